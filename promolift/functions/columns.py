@@ -1,56 +1,64 @@
-"""Column helpers shared by all operators. Built-in expressions only."""
+"""SQL expressions shared by all operators, and the two reshaping steps built on them.
+
+Expressions are SQL text: a report has a few hundred, and text reaches the JVM in
+one call where composing Column objects takes several per operator.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promolift.config import LiftConfig
 
+ROWS = "count(1)"
+
 
-def as_double(value: Column | str) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast("double")
+def as_double(value: str) -> str:
+    return f"CAST({value} AS DOUBLE)"
 
 
-def ratio(numerator: Column | str, denominator: Column | str) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """numerator / denominator as DOUBLE; NULL when the denominator is zero."""
-    return as_double(numerator) / F.nullif(as_double(denominator), F.lit(0.0))
+    return f"(CAST({numerator} AS DOUBLE) / nullif(CAST({denominator} AS DOUBLE), 0D))"
+
+
+def percent(numerator: str, denominator: str) -> str:
+    return f"(100D * CAST({numerator} AS DOUBLE) / nullif(CAST({denominator} AS DOUBLE), 0D))"
 
 
-def percent(numerator: Column | str, denominator: Column | str) -> Column:
-    return F.lit(100.0) * as_double(numerator) / F.nullif(as_double(denominator), F.lit(0.0))
+def rounded(value: str, digits: int) -> str:
+    """Decimals are rounded exactly before they are shown as DOUBLE."""
+    return f"CAST(round({value}, {digits}) AS DOUBLE)"
 
 
-def whole(value: Column | str) -> Column:
-    """Money rounded to whole units. Decimals are rounded exactly, then shown as DOUBLE."""
-    return F.round(value, 0).cast("double")
+def whole(value: str) -> str:
+    return rounded(value, 0)
 
 
-def paid(spend: Column | str) -> Column:
+def paid(spend: str) -> str:
     """Recorded spend with missing and negative amounts read as no spend."""
-    spend = F.col(spend) if isinstance(spend, str) else spend
-    return F.greatest(F.coalesce(spend, F.lit(0)), F.lit(0))
+    return f"greatest(coalesce({spend}, 0), 0)"
 
 
-def flag(condition: Column) -> Column:
+def flag(condition: str) -> str:
     """1 where the condition holds, else 0 (also when it is unknown)."""
-    return F.when(condition, 1).otherwise(0)
+    return f"if({condition}, 1, 0)"
 
 
-def count_where(condition: Column) -> Column:
-    return F.sum(flag(condition))
+def count_where(condition: str) -> str:
+    return f"sum(if({condition}, 1, 0))"
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
+def named(expressions: Mapping[str, str]) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in expressions.items()]
 
 
-def rows() -> Column:
-    return F.count(F.lit(1))
+def aggregate(frame: DataFrame, keys: Iterable[str], sums: Mapping[str, str]) -> DataFrame:
+    return frame.groupBy(*keys).agg(*[F.expr(text) for text in named(sums)])
 
 
 def weeks_between(table: DataFrame, start, end) -> DataFrame:
@@ -60,50 +68,47 @@ def weeks_between(table: DataFrame, start, end) -> DataFrame:
     written by ``replace_tables`` are partitioned by year; the same range is put
     on that column to prune directories.
     """
-    limited = table
+    bounds = []
     if start is not None:
-        limited = limited.filter(F.col("Date") >= F.lit(start))
+        bounds.append(f"Date >= DATE'{start}'")
     if end is not None:
-        limited = limited.filter(F.col("Date") < F.lit(end))
+        bounds.append(f"Date < DATE'{end}'")
     if "year" in table.columns:
         if start is not None:
-            limited = limited.filter(F.col("year") >= start.year)
+            bounds.append(f"year >= {start.year}")
         if end is not None:
-            limited = limited.filter(F.col("year") <= end.year)
-    return limited
+            bounds.append(f"year <= {end.year}")
+    return table.filter(" AND ".join(bounds)) if bounds else table
 
 
-def per_type(frame: DataFrame, keep: list[Column | str], values: dict[str, list[Column]], config: LiftConfig) -> DataFrame:
+def per_type(frame: DataFrame, keep: list[str], values: Mapping[str, list[str]], config: LiftConfig) -> DataFrame:
     """Wide to long: one row per promotion type.
 
     ``values`` maps an output column to its K per-type expressions. NULL values
     are kept, and the input is read once.
     """
     entries = [
-        F.struct(
-            F.lit(number).alias("type_no"),
-            F.lit(config.label(number)).alias("markdown_type"),
-            *[columns[number - 1].alias(name) for name, columns in values.items()],
-        )
+        f"struct({number} AS type_no, '{config.label(number)}' AS markdown_type, "
+        + ", ".join(named({name: each[number - 1] for name, each in values.items()}))
+        + ")"
         for number in config.type_numbers
     ]
-    return frame.select(*keep, F.inline(F.array(*entries)))
+    return frame.selectExpr(*keep, f"inline(array({', '.join(entries)}))")
 
 
-def published(frame: DataFrame, decimals: int | None = None) -> DataFrame:
+def published(frame: DataFrame, digits: int | None = None) -> DataFrame:
     """Plain output types: integers as BIGINT, money and ratios as DOUBLE.
 
-    ``decimals`` additionally rounds the fractional columns, for frames whose
+    ``digits`` additionally rounds the fractional columns, for frames whose
     definition is unrounded.
     """
 
-    def plain(field: T.StructField) -> Column:
-        column = F.col(field.name)
+    def plain(field: T.StructField) -> str:
         if isinstance(field.dataType, T.IntegralType):
-            return column.cast("bigint").alias(field.name)
+            return f"CAST({field.name} AS BIGINT) AS {field.name}"
         if isinstance(field.dataType, (T.DecimalType, T.FractionalType)):
-            column = column.cast("double")
-            return (column if decimals is None else F.round(column, decimals)).alias(field.name)
-        return column
+            value = as_double(field.name)
+            return f"{value if digits is None else rounded(value, digits)} AS {field.name}"
+        return field.name
 
-    return frame.select(*[plain(field) for field in frame.schema.fields])
+    return frame.selectExpr(*[plain(field) for field in frame.schema.fields])

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
+from promolift.functions.columns import ROWS, aggregate
 from promolift.sources.staging import materialize
 
 
-def rank_small(frame: DataFrame, name: str, value, within: tuple[str, ...] = ()) -> DataFrame:
+def _within(columns) -> str:
+    return f"PARTITION BY {', '.join(columns)} " if columns else ""
+
+
+def rank_over(value: str, within: tuple[str, ...] = ()) -> str:
     """Descending RANK() by window. For groups bounded by the number of types."""
-    return frame.withColumn(name, F.rank().over(Window.partitionBy(*within).orderBy(F.desc(value))))
+    return f"rank() OVER ({_within(within)}ORDER BY {value} DESC)"
 
 
 def rank_league(
@@ -25,12 +30,10 @@ def rank_league(
     there is no shared folder to write to, the ranks are computed in bins.
     """
     league, stored = materialize(league, "league")
-    small = stored and league.count() <= config.single_task_rank_rows
+    if stored and league.count() <= config.single_task_rank_rows:
+        return league.selectExpr("*", *[f"{rank_over(value, within)} AS {name}" for name, within in ranks.items()])
     for name, within in ranks.items():
-        if small:
-            league = rank_small(league, name, value, within)
-        else:
-            league = rank_in_bins(league, name, value, within, config.rank_bins)
+        league = rank_in_bins(league, name, value, within, config.rank_bins)
     return league
 
 
@@ -43,27 +46,26 @@ def rank_in_bins(frame: DataFrame, name: str, value: str, within: tuple[str, ...
     higher value in the same bin. A value shared by many rows is one row here.
     """
     keys = list(within)
-    ties = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    ties = aggregate(frame, [*keys, value], {"_rows": ROWS})
     fractions = [step / bins for step in range(1, bins)]
     cuts = ties.select(F.percentile_approx(value, fractions, 10 * bins)).scalar()
-    higher = F.size(F.filter(cuts, lambda cut: cut > F.col(value)))
-    binned = ties.withColumn("_bin", F.when(F.col(value).isNull(), bins).otherwise(higher))
-
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    ahead_of_bin = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("_rows").alias("_bin_rows"))
-        .select(*keys, "_bin", F.coalesce(F.sum("_bin_rows").over(before), F.lit(0)).alias("_ahead"))
+    binned = ties.withColumn("_cuts", cuts).selectExpr(
+        *keys,
+        value,
+        "_rows",
+        f"if({value} IS NULL, {bins}, size(filter(_cuts, cut -> cut > {value}))) AS _bin",
     )
-    inside = (
-        Window.partitionBy(*keys, "_bin").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    ahead_of_bin = aggregate(binned, [*keys, "_bin"], {"_bin_rows": "sum(_rows)"}).selectExpr(
+        *keys,
+        "_bin",
+        f"coalesce(sum(_bin_rows) OVER ({_within(keys)}ORDER BY _bin {before}), 0) AS _ahead",
     )
-    places = binned.join(ahead_of_bin, [*keys, "_bin"]).select(
-        *[F.col(key).alias(f"_{key}") for key in keys],
-        F.col(value).alias("_value"),
-        (F.lit(1) + F.col("_ahead") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias(name),
+    places = binned.join(ahead_of_bin, [*keys, "_bin"]).selectExpr(
+        *[f"{key} AS _{key}" for key in keys],
+        f"{value} AS _value",
+        f"1 + _ahead + coalesce(sum(_rows) OVER ({_within([*keys, '_bin'])}"
+        f"ORDER BY {value} DESC {before}), 0) AS {name}",
     )
-    same = F.col(value).eqNullSafe(F.col("_value"))
-    for key in keys:
-        same = same & (F.col(key) == F.col(f"_{key}"))
-    return frame.join(places, same).select(*frame.columns, name)
+    same = " AND ".join([f"{value} <=> _value", *[f"{key} <=> _{key}" for key in keys]])
+    return frame.join(places, F.expr(same)).select(*frame.columns, name)

@@ -8,10 +8,9 @@ with the number of types.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import as_double, flag, per_type, rows
+from promolift.functions.columns import ROWS, aggregate, as_double, flag, per_type
 from promolift.operators.base import (
     STORE_WEEK,
     positive_baseline,
@@ -23,39 +22,41 @@ from promolift.operators.base import (
 STORE_TYPE_SUMS = ("spend", "active", "spend_holiday", "active_holiday", "lift", "net_lift")
 
 
-def net_lift(drift: Column) -> Column:
-    """Lift left after the baseline is charged a year's drift."""
-    return as_double("sales_window") - as_double("sales_baseline") * (F.lit(1.0) + drift)
-
-
 def type_sums(effect: DataFrame, keys: list[str], config: LiftConfig, drift: Column | None = None) -> DataFrame:
-    """Per key, the additive sums of every type, named ``<sum>_<type>``."""
-    drift = F.lit(config.drift_rate) if drift is None else drift
-    holiday = F.col("is_holiday") == 1
-    sums = [rows().alias("store_weeks")]
+    """Per key, the additive sums of every type, named ``<sum>_<type>``.
+
+    The net lift charges the baseline a year's drift: the configured rate, or
+    ``drift``, a value known only when the query runs.
+    """
+    rate = repr(float(config.drift_rate)) + "D"
+    if drift is not None:
+        effect, rate = effect.withColumn("drift_rate", drift), "drift_rate"
+    lift = as_double("lift_dollars")
+    net_lift = f"({as_double('sales_window')} - {as_double('sales_baseline')} * (1D + {rate}))"
+    sums = {"store_weeks": ROWS}
     for k in config.type_numbers:
-        spend, active, share = F.col(spend_name(k)), flag(F.col(spend_name(k)) > 0), spend_share(k)
-        sums += [
-            F.sum(spend).alias(f"spend_{k}"),
-            F.sum(active).alias(f"active_{k}"),
-            F.sum(F.when(holiday, spend).otherwise(0)).alias(f"spend_holiday_{k}"),
-            F.sum(F.when(holiday, active).otherwise(0)).alias(f"active_holiday_{k}"),
-            F.sum(as_double("lift_dollars") * share).alias(f"lift_{k}"),
-            F.sum(net_lift(drift) * share).alias(f"net_lift_{k}"),
-        ]
+        spend, active, share = spend_name(k), flag(f"{spend_name(k)} > 0"), spend_share(k)
+        sums |= {
+            f"spend_{k}": f"sum({spend})",
+            f"active_{k}": f"sum({active})",
+            f"spend_holiday_{k}": f"sum(if(is_holiday = 1, {spend}, 0))",
+            f"active_holiday_{k}": f"sum(if(is_holiday = 1, {active}, 0))",
+            f"lift_{k}": f"sum({lift} * {share})",
+            f"net_lift_{k}": f"sum({net_lift} * {share})",
+        }
     # Without keys an empty input still yields a row; it has no types to report.
-    return effect.groupBy(*keys).agg(*sums).filter(F.col("store_weeks") > 0)
+    return aggregate(effect, keys, sums).filter("store_weeks > 0")
 
 
 def combine_type_sums(sums: DataFrame, keys: list[str], config: LiftConfig) -> DataFrame:
     """Roll ``type_sums`` up to coarser keys."""
     names = [f"{name}_{k}" for name in STORE_TYPE_SUMS for k in config.type_numbers]
-    return sums.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in names])
+    return aggregate(sums, keys, {name: f"sum({name})" for name in names})
 
 
 def types_as_rows(sums: DataFrame, keep: list[str], names: dict[str, str], config: LiftConfig) -> DataFrame:
     """One row per type; ``names`` maps an output column to a sum's prefix."""
-    values = {out: [F.col(f"{name}_{k}") for k in config.type_numbers] for out, name in names.items()}
+    values = {out: [f"{name}_{k}" for k in config.type_numbers] for out, name in names.items()}
     return per_type(sums, keep, values, config)
 
 
@@ -65,24 +66,19 @@ def store_dept_sums(pair: DataFrame, spend: DataFrame, config: LiftConfig) -> Da
     Spend and the positive baseline meet at the store-week first, so the pairs
     take part in a single join.
     """
-    per_store_week = spend.withColumnRenamed("is_holiday", "spend_is_holiday").join(
-        positive_baseline(pair), STORE_WEEK
-    )
-    shared = with_dept_share(pair, per_store_week)
-    part, holiday = F.col("dept_baseline_share"), F.col("is_holiday") == 1
-    sums = [
-        rows().alias("weeks"),
-        F.sum("sales_baseline").alias("sales_baseline"),
-        F.sum("lift_dollars").alias("lift_dollars"),
-        F.sum(as_double("total_md_spend") * part).alias("allocated_md_spend"),
-    ]
+    store_weeks = spend.drop("is_holiday").join(positive_baseline(pair), STORE_WEEK)
+    sums = {
+        "sales_baseline": "sum(sales_baseline)",
+        "lift_dollars": "sum(lift_dollars)",
+        "allocated_md_spend": f"sum({as_double('total_md_spend')} * dept_baseline_share)",
+    }
     for k in config.type_numbers:
-        allocated = as_double(spend_name(k)) * part
-        attributed = as_double("lift_dollars") * spend_share(k)
-        sums += [
-            F.sum(allocated).alias(f"allocated_{k}"),
-            F.sum(attributed).alias(f"attributed_{k}"),
-            F.sum(F.when(holiday, allocated).otherwise(0.0)).alias(f"allocated_holiday_{k}"),
-            F.sum(F.when(holiday, attributed).otherwise(0.0)).alias(f"attributed_holiday_{k}"),
-        ]
-    return shared.groupBy("store", "dept").agg(*sums)
+        allocated = f"{as_double(spend_name(k))} * dept_baseline_share"
+        attributed = f"{as_double('lift_dollars')} * {spend_share(k)}"
+        sums |= {
+            f"allocated_{k}": f"sum({allocated})",
+            f"attributed_{k}": f"sum({attributed})",
+            f"allocated_holiday_{k}": f"sum(if(is_holiday = 1, {allocated}, 0D))",
+            f"attributed_holiday_{k}": f"sum(if(is_holiday = 1, {attributed}, 0D))",
+        }
+    return aggregate(with_dept_share(pair, store_weeks), ["store", "dept"], sums)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import flag, paid, per_type, ratio, rows, total, weeks_between
+from promolift.functions.columns import ROWS, aggregate, flag, named, paid, per_type, ratio, weeks_between
 
 STORE_WEEK = ["store", "week"]
 
@@ -15,40 +14,33 @@ def spend_name(number: int) -> str:
     return f"md{number}"
 
 
+def spend_share(number: int) -> str:
+    """A type's part of the store-week's spend; NULL in a week without spend."""
+    return ratio(spend_name(number), "total_md_spend")
+
+
 def spend_store_week(features: DataFrame, config: LiftConfig) -> DataFrame:
     """Cleaned spend per store and week of the window, one column per type."""
-    limited = weeks_between(features, config.window_start, config.window_end)
-    spends = [
-        paid(column).alias(spend_name(number))
-        for number, column in zip(config.type_numbers, config.spend_columns)
-    ]
-    cleaned = limited.select(
-        F.col("Store").alias("store"),
-        F.col("Date").alias("week"),
-        F.col("IsHoliday").cast("int").alias("is_holiday"),
-        *spends,
+    names = [spend_name(k) for k in config.type_numbers]
+    spends = {name: paid(column) for name, column in zip(names, config.spend_columns)}
+    cleaned = weeks_between(features, config.window_start, config.window_end).selectExpr(
+        "Store AS store", "Date AS week", "CAST(IsHoliday AS INT) AS is_holiday", *named(spends)
     )
-    each = [F.col(spend_name(number)) for number in config.type_numbers]
-    return cleaned.select(
+    return cleaned.selectExpr(
         "*",
-        total(each).alias("total_md_spend"),
-        total([flag(spend > 0) for spend in each]).alias("types_active"),
+        f"{' + '.join(names)} AS total_md_spend",
+        f"{' + '.join(flag(f'{name} > 0') for name in names)} AS types_active",
     )
 
 
-def spend_share(number: int) -> Column:
-    """A type's part of the store-week's spend; NULL in a week without spend."""
-    return ratio(spend_name(number), "total_md_spend")
-
-
 def spend_long(spend: DataFrame, config: LiftConfig) -> DataFrame:
     """One row per store, week and type, with the share lift is attributed by."""
     return per_type(
         spend,
         ["store", "week", "is_holiday"],
         {
-            "spend": [F.col(spend_name(k)) for k in config.type_numbers],
-            "is_active": [flag(F.col(spend_name(k)) > 0) for k in config.type_numbers],
+            "spend": [spend_name(k) for k in config.type_numbers],
+            "is_active": [flag(f"{spend_name(k)} > 0") for k in config.type_numbers],
             "spend_share": [spend_share(k) for k in config.type_numbers],
         },
         config,
@@ -61,38 +53,42 @@ def yoy_pair(train: DataFrame, config: LiftConfig) -> DataFrame:
     The baseline side carries its own literal date range: no range follows from
     the shifted join key, and without it all years would be read and shuffled.
     """
-    window = weeks_between(train, config.window_start, config.window_end).select(
-        F.col("Store").alias("store"),
-        F.col("Dept").alias("dept"),
-        F.col("Date").alias("week"),
-        F.col("IsHoliday").cast("int").alias("is_holiday"),
-        F.col("Weekly_Sales").alias("sales_window"),
+    window = weeks_between(train, config.window_start, config.window_end).selectExpr(
+        "Store AS store",
+        "Dept AS dept",
+        "Date AS week",
+        "CAST(IsHoliday AS INT) AS is_holiday",
+        "Weekly_Sales AS sales_window",
     )
-    baseline = weeks_between(train, config.baseline_start, config.baseline_end).select(
-        F.col("Store").alias("store"),
-        F.col("Dept").alias("dept"),
-        F.date_add("Date", config.offset_days).alias("week"),
-        F.col("Weekly_Sales").alias("sales_baseline"),
+    baseline = weeks_between(train, config.baseline_start, config.baseline_end).selectExpr(
+        "Store AS store",
+        "Dept AS dept",
+        f"date_add(Date, {config.offset_days}) AS week",
+        "Weekly_Sales AS sales_baseline",
     )
-    return window.join(baseline, ["store", "dept", "week"]).withColumn(
-        "lift_dollars", F.col("sales_window") - F.col("sales_baseline")
+    return window.join(baseline, ["store", "dept", "week"]).selectExpr(
+        "*", "sales_window - sales_baseline AS lift_dollars"
     )
 
 
 def lift_store_week(pair: DataFrame) -> DataFrame:
     """Pairs summed to the store-week, the grain at which spend is recorded."""
-    return pair.groupBy("store", "week", "is_holiday").agg(
-        rows().alias("depts"),
-        F.sum("sales_window").alias("sales_window"),
-        F.sum("sales_baseline").alias("sales_baseline"),
-        F.sum("lift_dollars").alias("lift_dollars"),
+    return aggregate(
+        pair,
+        ["store", "week", "is_holiday"],
+        {
+            "depts": ROWS,
+            "sales_window": "sum(sales_window)",
+            "sales_baseline": "sum(sales_baseline)",
+            "lift_dollars": "sum(lift_dollars)",
+        },
     )
 
 
 def positive_baseline(pair: DataFrame) -> DataFrame:
     """Baseline sales of the departments above zero, per store-week."""
-    return pair.groupBy(*STORE_WEEK).agg(
-        F.sum(F.when(F.col("sales_baseline") > 0, F.col("sales_baseline")).otherwise(0)).alias("positive_baseline")
+    return aggregate(
+        pair, STORE_WEEK, {"positive_baseline": "sum(if(sales_baseline > 0, sales_baseline, 0))"}
     )
 
 
@@ -103,11 +99,11 @@ def with_dept_share(pair: DataFrame, store_weeks: DataFrame) -> DataFrame:
     the sums combine before the shuffle, a small table is broadcast, and a
     store-week holding much of the data is split by the skew join.
     """
-    share = F.when(
-        (F.col("sales_baseline") > 0) & (F.col("positive_baseline") > 0),
-        ratio("sales_baseline", "positive_baseline"),
-    ).otherwise(F.lit(0.0))
-    return pair.join(store_weeks, STORE_WEEK).withColumn("dept_baseline_share", share)
+    share = ratio("sales_baseline", "positive_baseline")
+    return pair.join(store_weeks, STORE_WEEK).selectExpr(
+        "*",
+        f"if(sales_baseline > 0 AND positive_baseline > 0, {share}, 0D) AS dept_baseline_share",
+    )
 
 
 def lift_dept_week(pair: DataFrame) -> DataFrame:

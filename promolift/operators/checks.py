@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from promolift.config import LiftConfig
 from promolift.functions.columns import (
+    ROWS,
+    aggregate,
     as_double,
     count_where,
     flag,
+    named,
     paid,
     per_type,
     percent,
     ratio,
-    rows,
-    total,
+    rounded,
     weeks_between,
     whole,
 )
@@ -31,147 +32,152 @@ def _baseline(table: DataFrame, config: LiftConfig) -> DataFrame:
     return weeks_between(table, config.baseline_start, config.baseline_end)
 
 
-def _named(check: str) -> Column:
-    return F.lit(check).alias("check_name")
+def _titled(check: str, columns: dict[str, str]) -> list[str]:
+    return named({"check_name": f"'{check}'"} | columns)
+
+
+def _each_spend(config: LiftConfig):
+    return zip(config.type_numbers, config.spend_columns)
 
 
 def window_shape(features: DataFrame, config: LiftConfig) -> DataFrame:
-    return _window(features, config).agg(
-        rows().alias("store_weeks"),
-        F.count_distinct("Store").alias("stores"),
-        F.count_distinct("Date").alias("weeks"),
-        F.min("Date").alias("first_week"),
-        F.max("Date").alias("last_week"),
-    ).select(_named("A1. window shape"), "*")
-
-
-def _null_rates(config: LiftConfig) -> list[Column]:
-    return [
-        F.round(percent(count_where(F.col(column).isNull()), rows()), 1).alias(f"md{k}_pct_null")
-        for k, column in zip(config.type_numbers, config.spend_columns)
-    ]
+    shape = {
+        "store_weeks": ROWS,
+        "stores": "count(DISTINCT Store)",
+        "weeks": "count(DISTINCT Date)",
+        "first_week": "min(Date)",
+        "last_week": "max(Date)",
+    }
+    return aggregate(_window(features, config), [], shape).selectExpr("'A1. window shape' AS check_name", "*")
+
+
+def _null_rates(config: LiftConfig) -> dict[str, str]:
+    return {
+        f"md{k}_pct_null": rounded(percent(count_where(f"{column} IS NULL"), ROWS), 1)
+        for k, column in _each_spend(config)
+    }
 
 
 def null_rate_by_month(features: DataFrame, config: LiftConfig) -> DataFrame:
     """Share of raw NULL spend per month, from the first month on record."""
-    return (
-        weeks_between(features, None, config.window_end)
-        .groupBy(F.date_format("Date", "yyyy-MM").alias("month"))
-        .agg(rows().alias("store_weeks"), *_null_rates(config))
-        .select(_named("A2. coverage by month"), "*")
-        .orderBy("month")
-    )
+    dated = weeks_between(features, None, config.window_end).selectExpr("*", "date_format(Date, 'yyyy-MM') AS month")
+    rates = aggregate(dated, ["month"], {"store_weeks": ROWS} | _null_rates(config))
+    return rates.selectExpr("'A2. coverage by month' AS check_name", "*").orderBy("month")
 
 
 def null_rate_overall(features: DataFrame, config: LiftConfig) -> DataFrame:
-    return weeks_between(features, None, config.window_end).agg(
-        rows().alias("store_weeks"), *_null_rates(config)
-    )
+    limited = weeks_between(features, None, config.window_end)
+    return aggregate(limited, [], {"store_weeks": ROWS} | _null_rates(config))
 
 
 def coactivity(features: DataFrame, config: LiftConfig) -> DataFrame:
     """How many types run at once. One row per count, so the total is a window of K+1 rows."""
-    active = total([flag(F.col(column) > 0) for column in config.spend_columns])
-    return (
-        _window(features, config)
-        .groupBy(active.alias("types_active"))
-        .agg(rows().alias("store_weeks"))
-        .select(
-            _named("B1. co-activity"),
-            "types_active",
-            "store_weeks",
-            F.round(percent("store_weeks", F.sum("store_weeks").over(Window.partitionBy())), 1).alias(
-                "pct_of_store_weeks"
-            ),
-        )
-        .orderBy("types_active")
+    active = " + ".join(flag(f"{column} > 0") for column in config.spend_columns)
+    counts = aggregate(
+        _window(features, config).selectExpr(f"{active} AS types_active"),
+        ["types_active"],
+        {"store_weeks": ROWS},
     )
+    return counts.selectExpr(
+        *_titled(
+            "B1. co-activity",
+            {
+                "types_active": "types_active",
+                "store_weeks": "store_weeks",
+                "pct_of_store_weeks": rounded(percent("store_weeks", "sum(store_weeks) OVER ()"), 1),
+            },
+        )
+    ).orderBy("types_active")
 
 
 def zero_spend_weeks(features: DataFrame, config: LiftConfig) -> DataFrame:
-    spent = total([paid(column) for column in config.spend_columns])
+    spent = " + ".join(paid(column) for column in config.spend_columns)
+    unpaid = _window(features, config).filter(f"{spent} = 0")
     return (
-        _window(features, config)
-        .filter(spent == 0)
-        .groupBy("Date")
-        .agg(rows().alias("stores_with_no_markdown"))
-        .select(_named("B2. zero-markdown weeks"), "Date", "stores_with_no_markdown")
+        aggregate(unpaid, ["Date"], {"stores_with_no_markdown": ROWS})
+        .selectExpr("'B2. zero-markdown weeks' AS check_name", "Date", "stores_with_no_markdown")
         .orderBy("Date")
     )
 
 
 def activity_by_type(features: DataFrame, config: LiftConfig) -> DataFrame:
     """Activity and spend per type. All types are summed in one pass and then become rows."""
-    sums = [rows().alias("store_weeks")]
-    for k, column in zip(config.type_numbers, config.spend_columns):
-        sums += [
-            count_where(paid(column) > 0).alias(f"active_{k}"),
-            F.sum(paid(column)).alias(f"spend_{k}"),
-        ]
-    wide = _window(features, config).agg(*sums).filter(F.col("store_weeks") > 0)
+    sums = {"store_weeks": ROWS}
+    for k, column in _each_spend(config):
+        sums |= {f"active_{k}": count_where(f"{paid(column)} > 0"), f"spend_{k}": f"sum({paid(column)})"}
     by_type = per_type(
-        wide,
+        aggregate(_window(features, config), [], sums).filter("store_weeks > 0"),
         ["store_weeks"],
         {
-            "active_store_weeks": [F.col(f"active_{k}") for k in config.type_numbers],
-            "spend": [F.col(f"spend_{k}") for k in config.type_numbers],
+            "active": [f"active_{k}" for k in config.type_numbers],
+            "spend": [f"spend_{k}" for k in config.type_numbers],
         },
         config,
     )
-    return by_type.select(
-        _named("B3. spend and activity by type"),
-        "markdown_type",
-        "active_store_weeks",
-        F.round(percent("active_store_weeks", "store_weeks"), 1).alias("pct_store_weeks_active"),
-        whole("spend").alias("total_spend"),
-        F.round(ratio("spend", "active_store_weeks"), 0).alias("avg_spend_per_active_week"),
+    return by_type.selectExpr(
+        *_titled(
+            "B3. spend and activity by type",
+            {
+                "markdown_type": "markdown_type",
+                "active_store_weeks": "active",
+                "pct_store_weeks_active": rounded(percent("active", "store_weeks"), 1),
+                "total_spend": whole("spend"),
+                "avg_spend_per_active_week": rounded(ratio("spend", "active"), 0),
+            },
+        )
     ).orderBy("markdown_type")
 
 
 def negative_spend(features: DataFrame, config: LiftConfig) -> DataFrame:
-    return _window(features, config).agg(
-        *[
-            count_where(F.col(column) < 0).alias(f"md{k}_negative_weeks")
-            for k, column in zip(config.type_numbers, config.spend_columns)
-        ]
-    ).select(_named("B4. negative markdown values"), "*")
-
-
-def _weeks(table: DataFrame, shift: int, *columns: str) -> DataFrame:
-    """Distinct weeks, moved forward by ``shift`` days so that partners share a key."""
-    return table.select(F.date_add("Date", shift).alias("window_week"), *columns).distinct()
+    counts = {f"md{k}_negative_weeks": count_where(f"{column} < 0") for k, column in _each_spend(config)}
+    return aggregate(_window(features, config), [], counts).selectExpr(
+        "'B4. negative markdown values' AS check_name", "*"
+    )
 
 
 def baseline_weeks(train: DataFrame, config: LiftConfig) -> DataFrame:
-    current = _weeks(_window(train, config), 0)
-    partner = _weeks(_baseline(train, config), config.offset_days).withColumn("matched", F.lit(1))
-    shifted = F.date_sub("window_week", config.offset_days)
-    return current.join(partner, "window_week", "left").agg(
-        F.count("window_week").alias("window_weeks"),
-        F.count("matched").alias("matched_baseline_weeks"),
-        F.min(shifted).alias("earliest_baseline_week"),
-        F.max(shifted).alias("latest_baseline_week"),
-    ).select(_named("C1. baseline week match"), "*")
+    """Weeks of the window with sales 364 days earlier. Both sides shrink to weeks first."""
+    current = _window(train, config).selectExpr("Date AS week").distinct()
+    partner = _baseline(train, config).selectExpr(f"date_add(Date, {config.offset_days}) AS week", "1 AS found").distinct()
+    shifted = f"date_sub(week, {config.offset_days})"
+    counts = {
+        "window_weeks": "count(week)",
+        "matched_baseline_weeks": "count(found)",
+        "earliest_baseline_week": f"min({shifted})",
+        "latest_baseline_week": f"max({shifted})",
+    }
+    return aggregate(current.join(partner, "week", "left"), [], counts).selectExpr(
+        "'C1. baseline week match' AS check_name", "*"
+    )
 
 
 def holiday_alignment(train: DataFrame, config: LiftConfig) -> DataFrame:
-    """Week pairs whose holiday flags differ. Both sides shrink to weeks before the join."""
-    is_holiday = F.col("IsHoliday").cast("int")
-    current = _weeks(_window(train, config).withColumn("window_is_holiday", is_holiday), 0, "window_is_holiday")
-    partner = _weeks(
-        _baseline(train, config).withColumn("baseline_is_holiday", is_holiday),
-        config.offset_days,
-        "baseline_is_holiday",
+    """Week pairs whose holiday flags differ. Both sides shrink to weeks first."""
+    current = (
+        _window(train, config)
+        .selectExpr("Date AS window_week", "CAST(IsHoliday AS INT) AS window_is_holiday")
+        .distinct()
+    )
+    partner = (
+        _baseline(train, config)
+        .selectExpr(
+            f"date_add(Date, {config.offset_days}) AS window_week", "CAST(IsHoliday AS INT) AS baseline_is_holiday"
+        )
+        .distinct()
     )
     return (
         current.join(partner, "window_week")
-        .filter(F.col("window_is_holiday") != F.col("baseline_is_holiday"))
-        .select(
-            _named("C2. holiday misalignment"),
-            "window_week",
-            "window_is_holiday",
-            F.date_sub("window_week", config.offset_days).alias("baseline_week"),
-            "baseline_is_holiday",
+        .filter("window_is_holiday <> baseline_is_holiday")
+        .selectExpr(
+            *_titled(
+                "C2. holiday misalignment",
+                {
+                    "window_week": "window_week",
+                    "window_is_holiday": "window_is_holiday",
+                    "baseline_week": f"date_sub(window_week, {config.offset_days})",
+                    "baseline_is_holiday": "baseline_is_holiday",
+                },
+            )
         )
     )
 
@@ -180,64 +186,75 @@ def pair_coverage(train: DataFrame, config: LiftConfig) -> DataFrame:
     """How many store-department weeks of the window have a baseline."""
     keys = ["Store", "Dept", "Date"]
     current = _window(train, config).select(*keys)
-    partner = _baseline(train, config).select(
-        "Store", "Dept", F.date_add("Date", config.offset_days).alias("Date"), "Weekly_Sales"
+    partner = _baseline(train, config).selectExpr(
+        "Store", "Dept", f"date_add(Date, {config.offset_days}) AS Date", "Weekly_Sales"
     )
-    counted = current.join(partner, keys, "left").agg(
-        rows().alias("window_rows"), count_where(F.col("Weekly_Sales").isNotNull()).alias("matched_rows")
+    counted = aggregate(
+        current.join(partner, keys, "left"),
+        [],
+        {"window_rows": ROWS, "matched_rows": count_where("Weekly_Sales IS NOT NULL")},
     )
-    return counted.select(
-        _named("C3. store-dept-week coverage"),
-        "window_rows",
-        "matched_rows",
-        (F.col("window_rows") - F.col("matched_rows")).alias("unmatched_rows"),
-        F.round(percent("matched_rows", "window_rows"), 1).alias("pct_matched"),
+    return counted.selectExpr(
+        *_titled(
+            "C3. store-dept-week coverage",
+            {
+                "window_rows": "window_rows",
+                "matched_rows": "matched_rows",
+                "unmatched_rows": "window_rows - matched_rows",
+                "pct_matched": rounded(percent("matched_rows", "window_rows"), 1),
+            },
+        )
     )
 
 
+_SALES = {"sales_window": "sum(sales_window)", "sales_baseline": "sum(sales_baseline)"}
+
+
 def _growth(sums: DataFrame, check: str, name: str) -> DataFrame:
-    return sums.select(
-        _named(check),
-        "store_dept_weeks",
-        whole("sales_window").alias("window_sales"),
-        whole("sales_baseline").alias("baseline_sales"),
-        F.round(ratio("sales_window", "sales_baseline") - 1, 4).alias(name),
+    return sums.selectExpr(
+        *_titled(
+            check,
+            {
+                "store_dept_weeks": "store_dept_weeks",
+                "window_sales": whole("sales_window"),
+                "baseline_sales": whole("sales_baseline"),
+                name: rounded(f"{ratio('sales_window', 'sales_baseline')} - 1", 4),
+            },
+        )
     )
 
 
 def drift_zero_spend(effect: DataFrame) -> DataFrame:
     """Year-on-year growth where no promotion ran: the drift estimate."""
-    sums = effect.filter(F.col("total_md_spend") == 0).agg(
-        F.coalesce(F.sum("depts"), F.lit(0)).alias("store_dept_weeks"),
-        F.sum("sales_window").alias("sales_window"),
-        F.sum("sales_baseline").alias("sales_baseline"),
-    )
+    unpaid = effect.filter("total_md_spend = 0")
+    sums = aggregate(unpaid, [], {"store_dept_weeks": "coalesce(sum(depts), 0)"} | _SALES)
     return _growth(sums, "C4. YoY drift on zero-markdown weeks", "yoy_drift_rate")
 
 
 def growth_full(pair: DataFrame) -> DataFrame:
-    sums = pair.agg(
-        rows().alias("store_dept_weeks"),
-        F.sum("sales_window").alias("sales_window"),
-        F.sum("sales_baseline").alias("sales_baseline"),
-    )
+    sums = aggregate(pair, [], {"store_dept_weeks": ROWS} | _SALES)
     return _growth(sums, "C5. YoY growth, full window", "yoy_growth_rate")
 
 
 def join_integrity(train: DataFrame, features: DataFrame) -> DataFrame:
-    """Sales rows without a spend row, and sales rows whose holiday flags disagree."""
-    flags = features.select(
-        "Store", "Date", F.col("IsHoliday").cast("int").alias("features_holiday"), F.lit(1).alias("found")
+    """Sales rows without a spend row, and sales rows whose holiday flags disagree.
+
+    Sales are counted per store-week before the join.
+    """
+    sales = aggregate(
+        train.selectExpr("Store", "Date", "CAST(IsHoliday AS INT) AS sales_holiday"),
+        ["Store", "Date", "sales_holiday"],
+        {"n": ROWS},
     )
-    joined = train.select("Store", "Date", F.col("IsHoliday").cast("int").alias("sales_holiday")).groupBy(
-        "Store", "Date", "sales_holiday"
-    ).agg(rows().alias("sales_rows")).join(flags, ["Store", "Date"], "left")
-    n = F.col("sales_rows")
-    differs = F.col("sales_holiday") != F.col("features_holiday")
-    return joined.agg(
-        F.sum(n).alias("sales_rows"),
-        F.sum(F.when(F.col("found").isNull(), n).otherwise(0)).alias("unmatched_rows"),
-        F.sum(F.when(differs, n).otherwise(0)).alias("holiday_mismatches"),
+    flags = features.selectExpr("Store", "Date", "CAST(IsHoliday AS INT) AS spend_holiday", "1 AS found")
+    return aggregate(
+        sales.join(flags, ["Store", "Date"], "left"),
+        [],
+        {
+            "sales_rows": "sum(n)",
+            "unmatched_rows": "sum(if(found IS NULL, n, 0))",
+            "holiday_mismatches": "sum(if(sales_holiday <> spend_holiday, n, 0))",
+        },
     )
 
 
@@ -246,32 +263,29 @@ def holiday_consistency(train: DataFrame, config: LiftConfig) -> DataFrame:
 
     Each such store-week counts its spend twice in every join at that grain.
     """
-    return (
-        _window(train, config)
-        .groupBy(F.col("Store").alias("store"), F.col("Date").alias("week"))
-        .agg(
-            F.min(F.col("IsHoliday").cast("int")).alias("lowest"),
-            F.max(F.col("IsHoliday").cast("int")).alias("highest"),
-        )
-        .agg(
-            rows().alias("store_weeks"),
-            count_where(F.col("lowest") != F.col("highest")).alias("disagreeing_store_weeks"),
-        )
+    is_holiday = "CAST(IsHoliday AS INT)"
+    flags = aggregate(
+        _window(train, config),
+        ["Store", "Date"],
+        {"lowest": f"min({is_holiday})", "highest": f"max({is_holiday})"},
     )
+    return aggregate(
+        flags, [], {"store_weeks": ROWS, "disagreeing_store_weeks": count_where("lowest <> highest")}
+    )
+
+
+KEYS = {"train": ["Store", "Dept", "Date"], "features": ["Store", "Date"], "stores": ["Store"]}
 
 
 def key_uniqueness(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and repeated keys per input table; repeats would multiply pairs."""
-    keys = {"train": ["Store", "Dept", "Date"], "features": ["Store", "Date"], "stores": ["Store"]}
     counted = [
-        tables[name]
-        .groupBy(*columns)
-        .agg(rows().alias("n"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), count_where(F.col("n") > 1).alias("repeated"))
-        .select(
-            F.lit(name).alias("table_name"), "rows", F.coalesce("repeated", F.lit(0)).alias("repeated_keys")
-        )
-        for name, columns in keys.items()
+        aggregate(
+            aggregate(tables[name], keys, {"n": ROWS}),
+            [],
+            {"rows": "coalesce(sum(n), 0)", "repeated_keys": f"coalesce({count_where('n > 1')}, 0)"},
+        ).selectExpr(f"'{name}' AS table_name", "*")
+        for name, keys in KEYS.items()
     ]
     return reduce(DataFrame.unionAll, counted)
 
@@ -282,41 +296,49 @@ def profile_tables(train: DataFrame, features: DataFrame, stores: DataFrame) ->
     Sales shrink to store x department before the distinct counts, so the fact
     is neither expanded nor shuffled row by row.
     """
-    none = F.lit(None)
-    dated = [rows().alias("rows"), F.min("Date").alias("first_week"), F.max("Date").alias("last_week")]
-    roll_up = [F.sum("rows").alias("rows"), F.min("first_week").alias("first_week"), F.max("last_week").alias("last_week")]
-    sales = (
-        train.groupBy("Store", "Dept")
-        .agg(*dated)
-        .agg(*roll_up, F.count_distinct("Store").alias("stores"), F.count_distinct("Dept").alias("depts"))
+    dated = {"n": ROWS, "first": "min(Date)", "last": "max(Date)"}
+    shape = {"rows": "sum(n)", "stores": "count(DISTINCT Store)"}
+    weeks = {"first_week": "min(first)", "last_week": "max(last)"}
+    sales = aggregate(
+        aggregate(train, ["Store", "Dept"], dated), [], shape | {"depts": "count(DISTINCT Dept)"} | weeks
     )
-    spend = features.groupBy("Store").agg(*dated).agg(*roll_up, F.count("Store").alias("stores"))
-    shops = stores.groupBy("Store").agg(rows().alias("rows")).agg(
-        F.sum("rows").alias("rows"), F.count("Store").alias("stores")
+    spend = aggregate(
+        aggregate(features, ["Store"], dated), [], shape | {"depts": "CAST(NULL AS BIGINT)"} | weeks
     )
-    shape = ["table_name", "rows", "stores", "depts", "first_week", "last_week"]
-    day, number = none.cast("date"), none.cast("bigint")
-    return (
-        sales.withColumn("table_name", F.lit("train")).select(*shape)
-        .unionAll(spend.withColumns({"table_name": F.lit("features"), "depts": number}).select(*shape))
-        .unionAll(
-            shops.withColumns(
-                {"table_name": F.lit("stores"), "depts": number, "first_week": day, "last_week": day}
-            ).select(*shape)
-        )
+    shops = aggregate(
+        aggregate(stores, ["Store"], {"n": ROWS}),
+        [],
+        shape
+        | {
+            "depts": "CAST(NULL AS BIGINT)",
+            "first_week": "CAST(NULL AS DATE)",
+            "last_week": "CAST(NULL AS DATE)",
+        },
+    )
+    profiles = {"train": sales, "features": spend, "stores": shops}
+    return reduce(
+        DataFrame.unionAll,
+        [frame.selectExpr(f"'{name}' AS table_name", "*") for name, frame in profiles.items()],
     )
 
 
 def profile_formats(stores: DataFrame) -> DataFrame:
-    return stores.groupBy(F.col("Type").alias("store_format")).agg(rows().alias("stores")).orderBy("store_format")
+    return aggregate(stores.selectExpr("Type AS store_format"), ["store_format"], {"stores": ROWS}).orderBy(
+        "store_format"
+    )
 
 
 def drift_charge(pair: DataFrame, config: LiftConfig) -> DataFrame:
     """The drift assumption in money, beside the lift it would be charged against."""
-    sums = pair.agg(F.sum("sales_baseline").alias("baseline"), F.sum("lift_dollars").alias("lift"))
-    return sums.select(
-        F.lit(config.drift_rate).alias("drift_rate"),
-        whole("baseline").alias("baseline_sales"),
-        whole("lift").alias("measured_lift"),
-        F.round(as_double("baseline") * F.lit(config.drift_rate), 0).alias("drift_charge"),
+    rate = repr(float(config.drift_rate)) + "D"
+    sums = aggregate(pair, [], {"baseline": "sum(sales_baseline)", "lift": "sum(lift_dollars)"})
+    return sums.selectExpr(
+        *named(
+            {
+                "drift_rate": rate,
+                "baseline_sales": whole("baseline"),
+                "measured_lift": whole("lift"),
+                "drift_charge": rounded(f"{as_double('baseline')} * {rate}", 0),
+            }
+        )
     )

@@ -6,43 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import percent, ratio, whole
-from promolift.functions.ranking import rank_league, rank_small
+from promolift.functions.columns import aggregate, named, percent, ratio, rounded, whole
+from promolift.functions.ranking import rank_league, rank_over
 from promolift.operators.attribution import types_as_rows
 
 
 def _dept_totals(store_dept: DataFrame) -> DataFrame:
     """Per department. Each store is one input row, so stores need no distinct count."""
-    return store_dept.groupBy("dept").agg(
-        F.count("store").alias("stores"),
-        F.sum("sales_baseline").alias("sales_baseline"),
-        F.sum("lift_dollars").alias("lift_dollars"),
-        F.sum("allocated_md_spend").alias("allocated"),
-    )
+    return aggregate(
+        store_dept,
+        ["dept"],
+        {
+            "stores": "count(store)",
+            "baseline": "sum(sales_baseline)",
+            "lift": "sum(lift_dollars)",
+            "allocated": "sum(allocated_md_spend)",
+        },
+    ).selectExpr("*", f"{ratio('lift', 'allocated')} AS per_dollar")
+
+
+_REPORTED = {
+    "allocated_md_spend": whole("allocated"),
+    "yoy_lift_dollars": whole("lift"),
+    "yoy_growth_pct": rounded(percent("lift", "baseline"), 1),
+    "sales_lift_per_allocated_dollar": rounded("per_dollar", 2),
+}
 
 
 def dept_league(store_dept: DataFrame, config: LiftConfig) -> DataFrame:
     """Departments ranked overall and within their materiality class."""
-    low_base = (F.col("stores") < config.min_stores) | (F.col("sales_baseline") < config.min_baseline)
+    low_base = f"stores < {config.min_stores} OR baseline < {config.min_baseline}"
     league = (
         _dept_totals(store_dept)
-        .filter(F.col("allocated") > 0)
-        .withColumn("per_dollar", ratio("lift_dollars", "allocated"))
-        .withColumn("materiality", F.when(low_base, "Low base - treat with caution").otherwise("Material"))
+        .filter("allocated > 0")
+        .selectExpr("*", f"if({low_base}, 'Low base - treat with caution', 'Material') AS materiality")
     )
     ranks = {"dept_rank": (), "rank_among_material": ("materiality",)}
-    return rank_league(league, "per_dollar", ranks, config).select(
-        "dept",
-        "stores",
-        whole("sales_baseline").alias("baseline_sales"),
-        whole("allocated").alias("allocated_md_spend"),
-        whole("lift_dollars").alias("yoy_lift_dollars"),
-        F.round(percent("lift_dollars", "sales_baseline"), 1).alias("yoy_growth_pct"),
-        F.round("per_dollar", 2).alias("sales_lift_per_allocated_dollar"),
-        "materiality",
-        "dept_rank",
-        "rank_among_material",
-    ).orderBy("materiality", F.desc("sales_lift_per_allocated_dollar"), "dept")
+    columns = {"dept": "dept", "stores": "stores", "baseline_sales": whole("baseline")} | _REPORTED
+    return (
+        rank_league(league, "per_dollar", ranks, config)
+        .selectExpr(*named(columns), "materiality", *ranks)
+        .orderBy("materiality", F.desc("sales_lift_per_allocated_dollar"), "dept")
+    )
 
 
 def dept_by_type_top(store_dept: DataFrame, config: LiftConfig) -> DataFrame:
@@ -52,35 +57,30 @@ def dept_by_type_top(store_dept: DataFrame, config: LiftConfig) -> DataFrame:
     plain top-k and needs no join back.
     """
     names = [f"{name}_{k}" for name in ("allocated", "attributed") for k in config.type_numbers]
-    per_dept = store_dept.groupBy("dept").agg(*[F.sum(name).alias(name) for name in names])
-    all_types = sum((F.col(f"allocated_{k}") for k in config.type_numbers), F.lit(0.0))
-    top = per_dept.orderBy(F.desc(all_types), "dept").limit(config.top_departments)
+    per_dept = aggregate(store_dept, ["dept"], {name: f"sum({name})" for name in names})
+    all_types = " + ".join(f"allocated_{k}" for k in config.type_numbers)
+    top = per_dept.orderBy(F.expr(all_types).desc(), "dept").limit(config.top_departments)
     rated = (
         types_as_rows(top, ["dept"], {"allocated": "allocated", "attributed": "attributed"}, config)
-        .filter(F.col("allocated") > 0)
-        .withColumn("per_dollar", ratio("attributed", "allocated"))
+        .filter("allocated > 0")
+        .selectExpr("*", f"{ratio('attributed', 'allocated')} AS per_dollar")
     )
-    return rank_small(rated, "best_type_in_dept", "per_dollar", ("dept",)).select(
-        "dept",
-        "markdown_type",
-        whole("allocated").alias("allocated_spend"),
-        whole("attributed").alias("attributed_lift"),
-        F.round("per_dollar", 2).alias("sales_lift_per_allocated_dollar"),
-        "best_type_in_dept",
-    ).orderBy("dept", "best_type_in_dept")
+    columns = {
+        "dept": "dept",
+        "markdown_type": "markdown_type",
+        "allocated_spend": whole("allocated"),
+        "attributed_lift": whole("attributed"),
+        "sales_lift_per_allocated_dollar": rounded("per_dollar", 2),
+        "best_type_in_dept": rank_over("per_dollar", ("dept",)),
+    }
+    return rated.selectExpr(*named(columns)).orderBy("dept", "best_type_in_dept")
 
 
 def dept_cut_list(store_dept: DataFrame, config: LiftConfig) -> DataFrame:
     """Departments with real spend that still went backwards, worst first."""
     return (
         _dept_totals(store_dept)
-        .filter((F.col("lift_dollars") < 0) & (F.col("allocated") > config.cut_min_spend))
-        .orderBy("lift_dollars", "dept")
-        .select(
-            "dept",
-            whole("allocated").alias("allocated_md_spend"),
-            whole("lift_dollars").alias("yoy_lift_dollars"),
-            F.round(percent("lift_dollars", "sales_baseline"), 1).alias("yoy_growth_pct"),
-            F.round(ratio("lift_dollars", "allocated"), 2).alias("sales_lift_per_allocated_dollar"),
-        )
+        .filter(f"lift < 0 AND allocated > {config.cut_min_spend}")
+        .orderBy("lift", "dept")
+        .selectExpr("dept", *named(_REPORTED))
     )

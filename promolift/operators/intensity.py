@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import as_double, count_where, flag, per_type, percent, ratio, rows
-from promolift.functions.ranking import rank_small
+from promolift.functions.columns import ROWS, aggregate, as_double, count_where, named, per_type, percent, ratio, rounded
+from promolift.functions.ranking import rank_over
 from promolift.operators.base import spend_name
 
 
-def _tiled(frame: DataFrame, keep: list[str], ties: list[str], config: LiftConfig) -> DataFrame:
+def _tiled(frame: DataFrame, keep: list[str], ties: str, config: LiftConfig) -> DataFrame:
     """Weeks of each store and type cut into tiles by spend.
 
     The group is the window's weeks of one store, so it does not grow with the
     data. Equal spends are ordered by week, which makes the cut repeatable.
     """
-    long = per_type(frame, keep, {"spend": [F.col(spend_name(k)) for k in config.type_numbers]}, config)
-    weeks = Window.partitionBy("store", "type_no").orderBy("spend", *ties)
-    return long.withColumn("tile", F.ntile(config.tiles).over(weeks))
+    long = per_type(frame, keep, {"spend": [spend_name(k) for k in config.type_numbers]}, config)
+    return long.selectExpr(
+        "*", f"ntile({config.tiles}) OVER (PARTITION BY store, type_no ORDER BY spend, {ties}) AS tile"
+    )
 
 
 def _contrast(effect: DataFrame, config: LiftConfig) -> DataFrame:
@@ -29,91 +30,92 @@ def _contrast(effect: DataFrame, config: LiftConfig) -> DataFrame:
     inner join of the two tiles would.
     """
     keep = ["store", "week", "sales_holiday", "sales_window", "sales_baseline"]
-    tiled = _tiled(effect, keep, ["week", "sales_holiday"], config)
-    sums = [
-        F.sum(F.when(F.col("tile") == tile, F.col(column))).alias(f"{side}_{column}")
+    tiled = _tiled(effect, keep, "week, sales_holiday", config).filter(f"tile IN (1, {config.tiles})")
+    sums = {
+        f"{side}_{name}": f"sum(CASE WHEN tile = {tile} THEN {column} END)"
         for side, tile in (("top", config.tiles), ("low", 1))
-        for column in ("spend", "sales_window", "sales_baseline")
-    ]
-    sides = (
-        tiled.filter(F.col("tile").isin(1, config.tiles))
-        .groupBy("store", "type_no", "markdown_type")
-        .agg(*sums)
-        .filter((F.col("low_sales_baseline") > 0) & (F.col("top_sales_baseline") > 0))
-    )
-    own_trend = ratio("low_sales_window", "low_sales_baseline")
-    return sides.select(
+        for name, column in (("spend", "spend"), ("sales", "sales_window"), ("base", "sales_baseline"))
+    }
+    sides = aggregate(tiled, ["store", "type_no", "markdown_type"], sums).filter("low_base > 0 AND top_base > 0")
+    own_trend = ratio("low_sales", "low_base")
+    return sides.selectExpr(
         "store",
         "type_no",
         "markdown_type",
-        (F.col("top_spend") - F.col("low_spend")).alias("more_spend"),
-        (as_double("top_sales_window") - as_double("top_sales_baseline") * own_trend).alias("more_sales"),
-        (ratio("top_sales_window", "top_sales_baseline") - 1).alias("top_growth"),
-        (own_trend - 1).alias("bottom_growth"),
+        "top_spend - low_spend AS more_spend",
+        f"{as_double('top_sales')} - {as_double('top_base')} * {own_trend} AS more_sales",
+        f"{ratio('top_sales', 'top_base')} - 1 AS top_growth",
+        f"{own_trend} - 1 AS bottom_growth",
     )
 
 
 def _by_type(contrast: DataFrame) -> DataFrame:
-    summed = contrast.groupBy("type_no", "markdown_type").agg(
-        rows().alias("stores_measured"),
-        F.sum("more_spend").alias("more_spend"),
-        F.sum("more_sales").alias("more_sales"),
-        F.round(F.lit(100.0) * F.avg(F.col("top_growth") - F.col("bottom_growth")), 1).alias("avg_growth_gap_pp"),
-        count_where(F.col("top_growth") > F.col("bottom_growth")).alias("stores_positive"),
-    )
-    per_dollar = summed.withColumn("per_dollar", ratio("more_sales", "more_spend"))
-    return rank_small(per_dollar, "place", "per_dollar").select(
-        "*",
-        F.round("more_spend", 0).cast("double").alias("incremental_spend"),
-        F.round("more_sales", 0).alias("incremental_sales"),
-        F.round("per_dollar", 2).alias("rounded"),
-    )
+    return aggregate(
+        contrast,
+        ["type_no", "markdown_type"],
+        {
+            "stores_measured": ROWS,
+            "more_spend": "sum(more_spend)",
+            "more_sales": "sum(more_sales)",
+            "growth_gap": "avg(top_growth - bottom_growth)",
+            "stores_positive": count_where("top_growth > bottom_growth"),
+        },
+    ).selectExpr("*", f"{ratio('more_sales', 'more_spend')} AS per_dollar")
+
+
+_SHOWN = {
+    "incremental_spend": rounded("more_spend", 0),
+    "incremental_sales": rounded("more_sales", 0),
+}
+_GAP = {"avg_growth_gap_pp": rounded("100D * growth_gap", 1)}
 
 
 def marginal_lift(effect: DataFrame, config: LiftConfig) -> DataFrame:
     """Extra sales per extra dollar between a store's heavy and light weeks, by type."""
-    return _by_type(_contrast(effect, config)).select(
-        "markdown_type",
-        "stores_measured",
-        "incremental_spend",
-        "incremental_sales",
-        F.col("rounded").alias("marginal_lift_per_dollar"),
-        "avg_growth_gap_pp",
-        "stores_positive",
-        F.col("place").alias("marginal_rank"),
-    ).orderBy(F.desc("marginal_lift_per_dollar"))
+    columns = (
+        {"markdown_type": "markdown_type", "stores_measured": "stores_measured"}
+        | _SHOWN
+        | {"marginal_lift_per_dollar": rounded("per_dollar", 2)}
+        | _GAP
+        | {"stores_positive": "stores_positive", "marginal_rank": rank_over("per_dollar")}
+    )
+    by_type = _by_type(_contrast(effect, config))
+    return by_type.selectExpr(*named(columns)).orderBy(F.desc("marginal_lift_per_dollar"))
 
 
 def marginal_lift_ex_holiday(effect: DataFrame, config: LiftConfig) -> DataFrame:
     """The same with holiday weeks (spend table's flag) left out before tiles are cut."""
-    normal = effect.filter(F.col("is_holiday") == 0)
-    return _by_type(_contrast(normal, config)).select(
-        "markdown_type",
-        "incremental_spend",
-        "incremental_sales",
-        F.col("rounded").alias("marginal_lift_per_dollar_ex_holiday"),
-        "avg_growth_gap_pp",
-        F.col("place").alias("marginal_rank_ex_holiday"),
-    ).orderBy(F.desc("marginal_lift_per_dollar_ex_holiday"))
+    columns = (
+        {"markdown_type": "markdown_type"}
+        | _SHOWN
+        | {"marginal_lift_per_dollar_ex_holiday": rounded("per_dollar", 2)}
+        | _GAP
+        | {"marginal_rank_ex_holiday": rank_over("per_dollar")}
+    )
+    by_type = _by_type(_contrast(effect.filter("is_holiday = 0"), config))
+    return by_type.selectExpr(*named(columns)).orderBy(F.desc("marginal_lift_per_dollar_ex_holiday"))
 
 
 def intensity_confound(spend: DataFrame, config: LiftConfig) -> DataFrame:
-    """In a type's heaviest weeks, how many other types are at their heaviest too."""
-    heavy = F.col("tile") == config.tiles
-    same_week = Window.partitionBy("store", "week")  # one row per type
-    others = (
-        _tiled(spend, ["store", "week"], ["week"], config)
-        .withColumn("heavy_types", F.sum(flag(heavy)).over(same_week))
+    """In a type's heaviest weeks, how many other types are at their heaviest too.
+
+    The second window spans the types of one store-week.
+    """
+    heavy = f"tile = {config.tiles}"
+    weeks = (
+        _tiled(spend, ["store", "week"], "week", config)
+        .selectExpr("*", f"sum(if({heavy}, 1, 0)) OVER (PARTITION BY store, week) AS heavy_types")
         .filter(heavy)
     )
     return (
-        others.groupBy("type_no", "markdown_type")
-        .agg(
-            rows().alias("top_tertile_store_weeks"),
-            F.round(F.avg(F.col("heavy_types") - 1), 2).alias("avg_other_types_also_high"),
-            F.round(percent(count_where(F.col("heavy_types") == 1), rows()), 1).alias(
-                "pct_weeks_this_type_alone_high"
-            ),
+        aggregate(
+            weeks,
+            ["type_no", "markdown_type"],
+            {
+                "top_tertile_store_weeks": ROWS,
+                "avg_other_types_also_high": rounded("avg(heavy_types - 1)", 2),
+                "pct_weeks_this_type_alone_high": rounded(percent(count_where("heavy_types = 1"), ROWS), 1),
+            },
         )
         .drop("type_no")
         .orderBy("avg_other_types_also_high", "markdown_type")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.functions.columns import ratio
+from promolift.functions.columns import aggregate, ratio
 
 Filters = Mapping[str, Iterable]
 
@@ -31,14 +31,14 @@ def _kept(fact: DataFrame, filters: Filters | None) -> DataFrame:
 
 
 def _sums(fact: DataFrame, dims: list[str], sums: dict[str, str], filters: Filters | None) -> DataFrame:
-    return _kept(fact, filters).groupBy(*dims).agg(*[F.sum(column).alias(name) for name, column in sums.items()])
+    return aggregate(_kept(fact, filters), dims, {name: f"sum({column})" for name, column in sums.items()})
 
 
 def type_measures(fact_spend: DataFrame, dims: list[str], filters: Filters | None = None) -> DataFrame:
     """Total spend, attributed lift and lift per dollar."""
     sums = {"total_spend": "total_spend", "attributed_lift": "attributed_lift"}
-    return _sums(fact_spend, dims, sums, filters).withColumn(
-        "sales_lift_per_dollar", ratio("attributed_lift", "total_spend")
+    return _sums(fact_spend, dims, sums, filters).selectExpr(
+        "*", f"{ratio('attributed_lift', 'total_spend')} AS sales_lift_per_dollar"
     )
 
 
@@ -46,40 +46,33 @@ def index_measure(fact_spend: DataFrame, dims: list[str], filters: Filters | Non
     """Lift per dollar over the same figure with any choice of type lifted.
 
     The other dimensions and filters stay in force on both sides. One aggregation
-    down to dims x type serves both; the rest works on its result.
+    down to dims x type serves both; the window spans the types of one context.
     """
     filters = dict(filters or {})
     types = filters.pop(TYPE, None)
     others = [dim for dim in dims if dim != TYPE]
-    sums = {"spend": "total_spend", "lift": "attributed_lift"}
-    by_type = _sums(fact_spend, [*others, TYPE], sums, filters)
-    chosen = F.lit(True) if types is None else F.col(TYPE).isin(*types)
-    context = Window.partitionBy(*others)  # the types of one context
-    pooled = ratio(F.sum("lift").over(context), F.sum("spend").over(context))
-    return (
-        by_type.withColumn("pooled", pooled)
-        .filter(chosen)
-        .groupBy(*dims)
-        .agg(F.sum("spend").alias("spend"), F.sum("lift").alias("lift"), F.max("pooled").alias("pooled"))
-        .select(*dims, ratio(ratio("lift", "spend"), "pooled").alias("effectiveness_index"))
-    )
+    by_type = _sums(fact_spend, [*others, TYPE], {"spend": "total_spend", "lift": "attributed_lift"}, filters)
+    context = f"OVER ({'PARTITION BY ' + ', '.join(others) if others else ''})"
+    pooled = by_type.selectExpr("*", f"{ratio(f'sum(lift) {context}', f'sum(spend) {context}')} AS pooled")
+    chosen = _kept(pooled, None if types is None else {TYPE: types})
+    return aggregate(
+        chosen, dims, {"spend": "sum(spend)", "lift": "sum(lift)", "pooled": "max(pooled)"}
+    ).selectExpr(*dims, f"{ratio(ratio('lift', 'spend'), 'pooled')} AS effectiveness_index")
 
 
 def dept_measures(fact_lift: DataFrame, dims: list[str], filters: Filters | None = None) -> DataFrame:
     """Allocated spend, attributed lift and their ratio for departments."""
     sums = {"dept_allocated_spend": "allocated_spend", "dept_attributed_lift": "attributed_lift"}
-    return _sums(fact_lift, dims, sums, filters).withColumn(
-        "dept_sales_lift_per_dollar", ratio("dept_attributed_lift", "dept_allocated_spend")
+    return _sums(fact_lift, dims, sums, filters).selectExpr(
+        "*", f"{ratio('dept_attributed_lift', 'dept_allocated_spend')} AS dept_sales_lift_per_dollar"
     )
 
 
 def yoy_measures(fact_sales: DataFrame, dims: list[str], filters: Filters | None = None) -> DataFrame:
     """Actual year-on-year lift, and growth as a fraction of the baseline."""
     sums = {"actual_yoy_lift": "yoy_lift_dollars", "baseline": "baseline_sales"}
-    return (
-        _sums(fact_sales, dims, sums, filters)
-        .withColumn("yoy_growth", ratio("actual_yoy_lift", "baseline"))
-        .drop("baseline")
+    return _sums(fact_sales, dims, sums, filters).selectExpr(
+        *dims, "actual_yoy_lift", f"{ratio('actual_yoy_lift', 'baseline')} AS yoy_growth"
     )
 
 
@@ -99,11 +92,8 @@ def holiday_split(fact_lift: DataFrame, dims: list[str], filters: Filters | None
         "holiday_spend": "allocated_spend_holiday",
         "holiday_lift": "attributed_lift_holiday",
     }
-    totals = _sums(fact_lift, dims, sums, filters)
-    return totals.select(
+    return _sums(fact_lift, dims, sums, filters).selectExpr(
         *dims,
-        ratio("holiday_lift", "holiday_spend").alias("holiday_lift_per_dollar"),
-        ratio(F.col("lift") - F.col("holiday_lift"), F.col("spend") - F.col("holiday_spend")).alias(
-            "normal_lift_per_dollar"
-        ),
+        f"{ratio('holiday_lift', 'holiday_spend')} AS holiday_lift_per_dollar",
+        f"{ratio('(lift - holiday_lift)', '(spend - holiday_spend)')} AS normal_lift_per_dollar",
     )

@@ -9,114 +9,89 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import as_double, paid, total, weeks_between
+from promolift.functions.columns import aggregate, as_double, named, paid, rounded, weeks_between
 from promolift.operators.base import STORE_WEEK
 
 
-def _side_by_side(totals: dict[str, DataFrame]) -> DataFrame:
-    """Several one-row totals as the columns of one row."""
+def _side_by_side(totals: dict[str, tuple[DataFrame, str]], gaps: dict[str, tuple[str, str]]) -> DataFrame:
+    """Several one-row totals as the columns of one row, with differences of two of them."""
     stacked = reduce(
         DataFrame.unionAll,
-        [frame.select(F.lit(name).alias("grain"), F.col("amount").cast("double")) for name, frame in totals.items()],
+        [
+            aggregate(frame, [], {"amount": as_double(f"sum({column})")}).selectExpr(f"'{name}' AS grain", "amount")
+            for name, (frame, column) in totals.items()
+        ],
+    )
+    row = aggregate(stacked, [], {name: f"max(CASE WHEN grain = '{name}' THEN amount END)" for name in totals})
+    return row.selectExpr(
+        *named({name: rounded(name, 2) for name in totals}),
+        *named({gap: rounded(f"{left} - {right}", 2) for gap, (left, right) in gaps.items()}),
     )
-    return stacked.agg(*[F.max(F.when(F.col("grain") == name, F.col("amount"))).alias(name) for name in totals])
-
-
-def _sum(frame: DataFrame, column) -> DataFrame:
-    return frame.agg(F.sum(column).alias("amount"))
 
 
 def reconcile_spend(features: DataFrame, spend_long: DataFrame, fact_spend: DataFrame, config: LiftConfig) -> DataFrame:
     raw = weeks_between(features, config.window_start, config.window_end)
-    sides = _side_by_side(
+    return _side_by_side(
         {
-            "raw_spend": _sum(raw, total([paid(column) for column in config.spend_columns])),
-            "long_spend": _sum(spend_long, "spend"),
-            "store_type_spend": _sum(fact_spend, "total_spend"),
-        }
-    )
-    return sides.select(
-        *[F.round(name, 2).alias(name) for name in sides.columns],
-        F.round(F.col("long_spend") - F.col("raw_spend"), 2).alias("long_gap"),
-        F.round(F.col("store_type_spend") - F.col("raw_spend"), 2).alias("store_type_gap"),
+            "raw_spend": (raw, " + ".join(paid(column) for column in config.spend_columns)),
+            "long_spend": (spend_long, "spend"),
+            "store_type_spend": (fact_spend, "total_spend"),
+        },
+        {"long_gap": ("long_spend", "raw_spend"), "store_type_gap": ("store_type_spend", "raw_spend")},
     )
 
 
 def reconcile_lift(fact_spend: DataFrame, store_dept: DataFrame, fact_lift: DataFrame, config: LiftConfig) -> DataFrame:
     """Lift by type against lift by department and type, before and after the
     export leaves out rows without allocated spend."""
-    attributed = total([F.coalesce(f"attributed_{k}", F.lit(0.0)) for k in config.type_numbers])
-    sides = _side_by_side(
+    attributed = " + ".join(f"coalesce(attributed_{k}, 0D)" for k in config.type_numbers)
+    return _side_by_side(
         {
-            "type_lift": _sum(fact_spend, "attributed_lift"),
-            "dept_type_lift": _sum(store_dept, attributed),
-            "exported_lift": _sum(fact_lift, "attributed_lift"),
-        }
-    )
-    return sides.select(
-        *[F.round(name, 2).alias(name) for name in sides.columns],
-        F.round(F.col("dept_type_lift") - F.col("type_lift"), 2).alias("gap"),
-        F.round(F.col("exported_lift") - F.col("type_lift"), 2).alias("export_gap"),
+            "type_lift": (fact_spend, "attributed_lift"),
+            "dept_type_lift": (store_dept, attributed),
+            "exported_lift": (fact_lift, "attributed_lift"),
+        },
+        {"gap": ("dept_type_lift", "type_lift"), "export_gap": ("exported_lift", "type_lift")},
     )
 
 
 def reconcile_alloc(fact_spend: DataFrame, fact_lift: DataFrame) -> DataFrame:
-    sides = _side_by_side(
-        {
-            "store_spend": _sum(fact_spend, "total_spend"),
-            "allocated_spend": _sum(fact_lift, "allocated_spend"),
-        }
-    )
-    return sides.select(
-        *[F.round(name, 2).alias(name) for name in sides.columns],
-        F.round(F.col("allocated_spend") - F.col("store_spend"), 2).alias("gap"),
+    return _side_by_side(
+        {"store_spend": (fact_spend, "total_spend"), "allocated_spend": (fact_lift, "allocated_spend")},
+        {"gap": ("allocated_spend", "store_spend")},
     )
 
 
 def reconcile_decomposition(spend: DataFrame, lift: DataFrame) -> DataFrame:
     """Lift in weeks with spend, in weeks without, and in weeks the spend table lacks."""
-    spent = spend.select(*STORE_WEEK, "total_md_spend")
-    joined = lift.join(spent, STORE_WEEK, "left")
-    paid_for = F.col("total_md_spend")
-
-    def part(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("lift_dollars"))), F.lit(0)).cast("double")
-
-    return joined.agg(
-        part(paid_for > 0).alias("attributed_lift"),
-        part(paid_for == 0).alias("zero_spend_lift"),
-        part(paid_for.isNull()).alias("no_spend_row_lift"),
-        as_double(F.sum("lift_dollars")).alias("total_yoy_lift"),
-    ).withColumn(
-        "gap",
-        F.round(
-            F.col("total_yoy_lift")
-            - F.col("attributed_lift")
-            - F.col("zero_spend_lift")
-            - F.col("no_spend_row_lift"),
-            2,
-        ),
+    joined = lift.join(spend.select(*STORE_WEEK, "total_md_spend"), STORE_WEEK, "left")
+
+    def part(condition: str) -> str:
+        return f"coalesce(sum(if({condition}, lift_dollars, 0)), 0)"
+
+    parts = {
+        "attributed_lift": part("total_md_spend > 0"),
+        "zero_spend_lift": part("total_md_spend = 0"),
+        "no_spend_row_lift": part("total_md_spend IS NULL"),
+        "total_yoy_lift": part("true"),
+    }
+    return aggregate(joined, [], parts).selectExpr(
+        *named({name: rounded(name, 2) for name in parts}),
+        f"{rounded('total_yoy_lift - attributed_lift - zero_spend_lift - no_spend_row_lift', 2)} AS gap",
     )
 
 
 def method_comparison(scorecard: DataFrame, marginal: DataFrame, ex_holiday: DataFrame) -> DataFrame:
     """Attribution and both intensity contrasts side by side, one row per type."""
+    attribution = scorecard.select("markdown_type", "sales_lift_per_dollar", "effectiveness_rank")
+    all_weeks = marginal.select("markdown_type", "marginal_lift_per_dollar", "marginal_rank", "stores_positive")
+    normal_weeks = ex_holiday.select(
+        "markdown_type", "marginal_lift_per_dollar_ex_holiday", "marginal_rank_ex_holiday"
+    )
     return (
-        scorecard.select("markdown_type", "sales_lift_per_dollar", "effectiveness_rank")
-        .join(
-            marginal.select("markdown_type", "marginal_lift_per_dollar", "marginal_rank", "stores_positive"),
-            "markdown_type",
-            "left",
-        )
-        .join(
-            ex_holiday.select(
-                "markdown_type", "marginal_lift_per_dollar_ex_holiday", "marginal_rank_ex_holiday"
-            ),
-            "markdown_type",
-            "left",
-        )
+        attribution.join(all_weeks, "markdown_type", "left")
+        .join(normal_weeks, "markdown_type", "left")
         .orderBy("markdown_type")
     )

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import percent, ratio, whole
-from promolift.functions.ranking import rank_league, rank_small
+from promolift.functions.columns import aggregate, named, percent, ratio, rounded, whole
+from promolift.functions.ranking import rank_league, rank_over
 from promolift.operators.attribution import combine_type_sums, type_sums, types_as_rows
 
 BY_TYPE = {
-    "total_spend": "spend",
-    "active_store_weeks": "active",
-    "attributed_lift": "lift",
-    "attributed_net_lift": "net_lift",
+    "spend": "spend",
+    "active": "active",
+    "lift": "lift",
+    "net_lift": "net_lift",
 }
 
 
-def recommend(lift: Column, index: Column, config: LiftConfig) -> Column:
+def recommendation(lift: str, index: str, config: LiftConfig) -> str:
     """First rule that holds; an unknown index falls through to the last."""
     return (
-        F.when(lift <= 0, "Cut")
-        .when(index >= config.double_down_at, "Double down")
-        .when(index >= config.hold_at, "Hold")
-        .otherwise("Reduce")
+        f"CASE WHEN {lift} <= 0 THEN 'Cut' WHEN {index} >= {config.double_down_at}D THEN 'Double down' "
+        f"WHEN {index} >= {config.hold_at}D THEN 'Hold' ELSE 'Reduce' END"
     )
 
 
@@ -32,34 +30,33 @@ def score_types(by_type: DataFrame, config: LiftConfig, with_validity: bool = Fa
     """Ratios, index, rank and recommendation from one row of sums per type.
 
     ``with_validity`` adds ``index_valid``: an index against a pooled ratio that
-    is zero or negative orders the types backwards.
+    is zero or negative orders the types backwards. The windows span one row per
+    type.
     """
-    everything = Window.partitionBy()  # one row per type
-    per_dollar = ratio("attributed_lift", "total_spend")
-    pooled = ratio(F.sum("attributed_lift").over(everything), F.sum("total_spend").over(everything))
-    scored = by_type.select(
+    rated = by_type.selectExpr(
         "*",
-        per_dollar.alias("per_dollar"),
-        ratio(per_dollar, pooled).alias("index"),
-        percent("total_spend", F.sum("total_spend").over(everything)).alias("spend_pct"),
-        (F.coalesce(pooled, F.lit(0.0)) > 0).alias("index_valid"),
+        f"{ratio('lift', 'spend')} AS per_dollar",
+        f"{ratio('sum(lift) OVER ()', 'sum(spend) OVER ()')} AS pooled",
+        f"{percent('spend', 'sum(spend) OVER ()')} AS spend_pct",
     )
-    ranked = rank_small(scored, "effectiveness_rank", "per_dollar")
-    return ranked.select(
-        "markdown_type",
-        whole("total_spend").alias("total_spend"),
-        "active_store_weeks",
-        F.round(ratio("total_spend", "active_store_weeks"), 0).alias("avg_spend_per_active_week"),
-        F.round("spend_pct", 1).alias("pct_of_total_spend"),
-        whole("attributed_lift").alias("attributed_lift"),
-        F.round("per_dollar", 2).alias("sales_lift_per_dollar"),
-        F.round(ratio("attributed_lift", "active_store_weeks"), 0).alias("lift_per_active_week"),
-        F.round("index", 2).alias("effectiveness_index"),
-        "effectiveness_rank",
-        recommend(F.col("attributed_lift"), F.col("index"), config).alias("recommendation"),
-        F.round(ratio("attributed_net_lift", "total_spend"), 2).alias("net_lift_per_dollar_sensitivity"),
-        *(["index_valid"] if with_validity else []),
-    ).orderBy(F.desc("sales_lift_per_dollar"))
+    scored = rated.selectExpr("*", f"{ratio('per_dollar', 'pooled')} AS index")
+    columns = {
+        "markdown_type": "markdown_type",
+        "total_spend": whole("spend"),
+        "active_store_weeks": "active",
+        "avg_spend_per_active_week": rounded(ratio("spend", "active"), 0),
+        "pct_of_total_spend": rounded("spend_pct", 1),
+        "attributed_lift": whole("lift"),
+        "sales_lift_per_dollar": rounded("per_dollar", 2),
+        "lift_per_active_week": rounded(ratio("lift", "active"), 0),
+        "effectiveness_index": rounded("index", 2),
+        "effectiveness_rank": rank_over("per_dollar"),
+        "recommendation": recommendation("lift", "index", config),
+        "net_lift_per_dollar_sensitivity": rounded(ratio("net_lift", "spend"), 2),
+    }
+    if with_validity:
+        columns["index_valid"] = "coalesce(pooled, 0D) > 0"
+    return scored.selectExpr(*named(columns)).orderBy(F.desc("sales_lift_per_dollar"))
 
 
 def scorecard_by_type(
@@ -72,84 +69,83 @@ def scorecard_by_type(
 
 def scorecard_by_type_holiday(effect: DataFrame, config: LiftConfig) -> DataFrame:
     """The same split by the holiday flag of the sales table."""
-    week_type = F.when(F.col("sales_holiday") == 1, "Holiday week").otherwise("Normal week")
-    sums = type_sums(effect.withColumn("week_type", week_type), ["week_type"], config)
-    return types_as_rows(sums, ["week_type"], BY_TYPE, config).select(
-        "markdown_type",
-        "week_type",
-        whole("total_spend").alias("total_spend"),
-        "active_store_weeks",
-        whole("attributed_lift").alias("attributed_lift"),
-        F.round(ratio("attributed_lift", "total_spend"), 2).alias("sales_lift_per_dollar"),
-        F.round(ratio("attributed_net_lift", "total_spend"), 2).alias("net_lift_per_dollar"),
-    ).orderBy("markdown_type", "week_type")
+    split = effect.selectExpr("*", "if(sales_holiday = 1, 'Holiday week', 'Normal week') AS week_type")
+    sums = type_sums(split, ["week_type"], config)
+    columns = {
+        "markdown_type": "markdown_type",
+        "week_type": "week_type",
+        "total_spend": whole("spend"),
+        "active_store_weeks": "active",
+        "attributed_lift": whole("lift"),
+        "sales_lift_per_dollar": rounded(ratio("lift", "spend"), 2),
+        "net_lift_per_dollar": rounded(ratio("net_lift", "spend"), 2),
+    }
+    by_type = types_as_rows(sums, ["week_type"], BY_TYPE, config)
+    return by_type.selectExpr(*named(columns)).orderBy("markdown_type", "week_type")
 
 
 def store_league(effect: DataFrame, stores: DataFrame, config: LiftConfig) -> DataFrame:
     """Stores ranked by lift per dollar. Spend is recorded per store, nothing is allocated."""
-    totals = effect.groupBy("store").agg(
-        F.sum("lift_dollars").alias("lift"),
-        F.sum("sales_baseline").alias("baseline"),
-        F.sum("total_md_spend").alias("spend"),
+    totals = aggregate(
+        effect,
+        ["store"],
+        {"lift": "sum(lift_dollars)", "baseline": "sum(sales_baseline)", "spend": "sum(total_md_spend)"},
     )
     described = totals.join(
-        stores.select(
-            F.col("Store").alias("store"),
-            F.col("Type").alias("store_format"),
-            F.col("Size").alias("store_size_sqft"),
-        ),
-        "store",
-    ).withColumn("per_dollar", ratio("lift", "spend"))
-    return rank_league(described, "per_dollar", {"store_rank": ()}, config).select(
-        "store",
-        "store_format",
-        "store_size_sqft",
-        whole("spend").alias("total_md_spend"),
-        whole("lift").alias("yoy_lift_dollars"),
-        F.round(percent("lift", "baseline"), 1).alias("yoy_growth_pct"),
-        F.round("per_dollar", 2).alias("sales_lift_per_dollar"),
-        F.round(percent("spend", "baseline"), 2).alias("md_spend_pct_of_baseline"),
-        "store_rank",
-    ).orderBy(F.desc("sales_lift_per_dollar"), "store")
+        stores.selectExpr("Store AS store", "Type AS store_format", "Size AS store_size_sqft"), "store"
+    ).selectExpr("*", f"{ratio('lift', 'spend')} AS per_dollar")
+    columns = {
+        "store": "store",
+        "store_format": "store_format",
+        "store_size_sqft": "store_size_sqft",
+        "total_md_spend": whole("spend"),
+        "yoy_lift_dollars": whole("lift"),
+        "yoy_growth_pct": rounded(percent("lift", "baseline"), 1),
+        "sales_lift_per_dollar": rounded("per_dollar", 2),
+        "md_spend_pct_of_baseline": rounded(percent("spend", "baseline"), 2),
+        "store_rank": "store_rank",
+    }
+    ranked = rank_league(described, "per_dollar", {"store_rank": ()}, config)
+    return ranked.selectExpr(*named(columns)).orderBy(F.desc("sales_lift_per_dollar"), "store")
 
 
 def _with_format(sums: DataFrame, stores: DataFrame) -> DataFrame:
-    return sums.join(
-        stores.select(F.col("Store").alias("store"), F.col("Type").alias("store_format")), "store"
-    )
+    return sums.join(stores.selectExpr("Store AS store", "Type AS store_format"), "store")
 
 
 def type_by_format(store_sums: DataFrame, stores: DataFrame, config: LiftConfig) -> DataFrame:
     """Types within each store format, from the per-store sums."""
     by_format = combine_type_sums(_with_format(store_sums, stores), ["store_format"], config)
-    rated = types_as_rows(by_format, ["store_format"], BY_TYPE, config).withColumn(
-        "per_dollar", ratio("attributed_lift", "total_spend")
+    rated = types_as_rows(by_format, ["store_format"], BY_TYPE, config).selectExpr(
+        "*", f"{ratio('lift', 'spend')} AS per_dollar"
     )
-    return rank_small(rated, "rank_within_format", "per_dollar", ("store_format",)).select(
-        "markdown_type",
-        "store_format",
-        whole("total_spend").alias("total_spend"),
-        "active_store_weeks",
-        whole("attributed_lift").alias("attributed_lift"),
-        F.round("per_dollar", 2).alias("sales_lift_per_dollar"),
-        "rank_within_format",
-    ).orderBy("store_format", F.desc("sales_lift_per_dollar"))
+    columns = {
+        "markdown_type": "markdown_type",
+        "store_format": "store_format",
+        "total_spend": whole("spend"),
+        "active_store_weeks": "active",
+        "attributed_lift": whole("lift"),
+        "sales_lift_per_dollar": rounded("per_dollar", 2),
+        "rank_within_format": rank_over("per_dollar", ("store_format",)),
+    }
+    return rated.selectExpr(*named(columns)).orderBy("store_format", F.desc("sales_lift_per_dollar"))
 
 
 def type_by_store(store_sums: DataFrame, stores: DataFrame, config: LiftConfig) -> DataFrame:
     """Types within each store, where the store spent on them at all."""
     rated = (
         types_as_rows(_with_format(store_sums, stores), ["store", "store_format"], BY_TYPE, config)
-        .filter(F.col("total_spend") > 0)
-        .withColumn("per_dollar", ratio("attributed_lift", "total_spend"))
+        .filter("spend > 0")
+        .selectExpr("*", f"{ratio('lift', 'spend')} AS per_dollar")
     )
-    return rank_small(rated, "best_type_rank_in_store", "per_dollar", ("store",)).select(
-        "store",
-        "store_format",
-        "markdown_type",
-        whole("total_spend").alias("total_spend"),
-        F.col("active_store_weeks").alias("active_weeks"),
-        whole("attributed_lift").alias("attributed_lift"),
-        F.round("per_dollar", 2).alias("sales_lift_per_dollar"),
-        "best_type_rank_in_store",
-    ).orderBy("store", "best_type_rank_in_store")
+    columns = {
+        "store": "store",
+        "store_format": "store_format",
+        "markdown_type": "markdown_type",
+        "total_spend": whole("spend"),
+        "active_weeks": "active",
+        "attributed_lift": whole("lift"),
+        "sales_lift_per_dollar": rounded("per_dollar", 2),
+        "best_type_rank_in_store": rank_over("per_dollar", ("store",)),
+    }
+    return rated.selectExpr(*named(columns)).orderBy("store", "best_type_rank_in_store")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -20,38 +21,42 @@ VIEWS = {
 }
 
 
+@dataclass
+class Tables:
+    """The inputs of a model.
+
+    ``pair`` takes the place of the year-on-year pairs; pass a stored copy of
+    ``yoy_pair`` when many reports run on large sales.
+    """
+
+    train: DataFrame
+    features: DataFrame
+    stores: DataFrame
+    pair: DataFrame | None = None
+
+
 class LiftModel:
-    """Lazy frames over train, features and stores.
+    """Lazy frames over the tables.
 
     Nothing runs until a frame is acted on, except that the two league tables
-    store their totals to learn how many rows they rank. Tables given as
-    functions are only built when a report needs them. ``pair`` takes the place
-    of the computed year-on-year pairs; pass a stored copy when many reports run
-    on large sales.
+    store their totals to learn how many rows they rank.
     """
 
-    def __init__(self, train, features, stores, config: LiftConfig = LiftConfig(), pair: DataFrame | None = None):
-        self._tables = {"train": train, "features": features, "stores": stores}
+    def __init__(self, tables, config: LiftConfig = LiftConfig()):
+        self.tables = tables
         self.config = config
-        self._pair = pair
-
-    def _table(self, name: str) -> DataFrame:
-        table = self._tables[name]
-        if not isinstance(table, DataFrame):
-            table = self._tables[name] = table()
-        return table
 
     @property
     def train(self) -> DataFrame:
-        return self._table("train")
+        return self.tables.train
 
     @property
     def features(self) -> DataFrame:
-        return self._table("features")
+        return self.tables.features
 
     @property
     def stores(self) -> DataFrame:
-        return self._table("stores")
+        return self.tables.stores
 
     # Base frames
 
@@ -65,7 +70,8 @@ class LiftModel:
 
     @cached_property
     def yoy_pair(self) -> DataFrame:
-        return base.yoy_pair(self.train, self.config) if self._pair is None else self._pair
+        stored = self.tables.pair
+        return base.yoy_pair(self.train, self.config) if stored is None else stored
 
     @cached_property
     def lift_store_week(self) -> DataFrame:
@@ -89,8 +95,8 @@ class LiftModel:
 
     def create_views(self) -> None:
         """The input tables and the base frames as temporary views, for SQL users."""
-        for name in self._tables:
-            self._table(name).createOrReplaceTempView(name)
+        for name in files.TABLES:
+            getattr(self.tables, name).createOrReplaceTempView(name)
         for view, frame in VIEWS.items():
             getattr(self, frame).createOrReplaceTempView(view)
 

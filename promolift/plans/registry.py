@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from promolift.functions.columns import published
 from promolift.plans.model import LiftModel
 from promolift.sources import testdata
+from promolift.sources.staging import state_of
 
 # Frames defined without rounding: the digits to show them with.
 UNROUNDED = {
@@ -81,22 +83,19 @@ REPORTS = (
 )
 
 
+_models: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
+
+
 def model_for(spark: SparkSession, folder: str) -> LiftModel:
-    """Each input table is built on first use: no report pays for one it does not read."""
-    nation = testdata.nation_table(spark, folder)
-    totals: list[DataFrame] = []
-
-    def line_totals() -> DataFrame:
-        if not totals:
-            totals.append(testdata.staged_line_totals(spark, folder))
-        return totals[0]
-
-    return LiftModel(
-        train=lambda: testdata.train_table(line_totals()),
-        features=lambda: testdata.features_table(line_totals(), nation),
-        stores=lambda: testdata.stores_table(nation),
-        config=testdata.CONFIG,
-    )
+    """One model per session and state of the source files.
+
+    Input tables are built on first use: no report pays for one it does not read.
+    """
+    models = _models.setdefault(spark, {})
+    slot = state_of(spark, testdata.source_paths(folder))
+    if slot not in models:
+        models[slot] = LiftModel(testdata.StagedTables(spark, folder), testdata.CONFIG)
+    return models[slot]
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -12,6 +12,8 @@ def build_session(cores: int | str = "*", app_name: str = "promolift", **extra:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
+        # Recording the Python line of every expression slows plan building several times.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **extra,

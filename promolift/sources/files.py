@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import rows
+from promolift.functions.columns import ROWS, aggregate
 from promolift.sources import schemas
 
-# Tables with a Date column; stored by year so that both the window and its
-# baseline prune to the directories they need.
-DATED = ("train", "features")
+TABLES = ("train", "features", "stores")
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,28 +34,34 @@ def read_inputs(spark: SparkSession, folder: str, config: LiftConfig = LiftConfi
     }
 
 
-def replace_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write the base tables as Parquet, replacing earlier ones.
+def write_table(table: DataFrame, path: str, mode: str = "error") -> None:
+    """Parquet, by year where there is a Date, so that the window and its baseline
+    read only the directories they need.
 
     The rebalance step lets adaptive execution even out file sizes and split a
     year that holds most of the rows.
     """
+    if "Date" in table.columns:
+        dated = table.withColumn("year", F.year("Date")).hint("rebalance", F.col("year"))
+        dated.write.mode(mode).partitionBy("year").parquet(path)
+    else:
+        table.write.mode(mode).parquet(path)
+
+
+def replace_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write the base tables, replacing earlier ones."""
     for name, table in tables.items():
-        if name in DATED:
-            table = table.withColumn("year", F.year("Date")).hint("rebalance", "year")
-            table.write.mode("overwrite").partitionBy("year").parquet(f"{folder}/{name}")
-        else:
-            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        write_table(table, f"{folder}/{name}", mode="overwrite")
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in (*DATED, "stores")}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
 
 
 def load_report(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table with its row count."""
     counts = [
-        table.agg(rows().alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        aggregate(table, [], {"rows": ROWS}).selectExpr(f"'{name}' AS table_name", "rows")
         for name, table in tables.items()
     ]
     return reduce(DataFrame.unionAll, counts)

@@ -9,12 +9,15 @@ cluster without it nothing is written and plans simply stay lazy.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_staged: dict[tuple, str] = {}
+from promolift.sources.files import write_table
+
+_staged: dict[tuple, tuple[StructType, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -43,26 +46,32 @@ def materialize(frame: DataFrame, name: str) -> tuple[DataFrame, bool]:
     return spark.read.schema(frame.schema).parquet(path), True
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Changes when a file below the paths is added, removed or rewritten.
+def state_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
+    """Changes when files below the paths are added, removed or rewritten.
 
-    Only file metadata is read, and one row comes back.
+    Only totals come back from the file system, not the list of files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    stamp = files.select(F.xxhash64("path", "modificationTime", "length").alias("h"), "length").agg(
-        F.count("h"), F.sum("length"), F.bit_xor("h")
-    )
-    return "-".join(str(part) for part in stamp.first())
-
-
-def stage(spark: SparkSession, name: str, sources: list[str], build) -> DataFrame:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    configuration = spark._jsc.hadoopConfiguration()
+    state = []
+    for name in paths:
+        path = hadoop.Path(name)
+        files = path.getFileSystem(configuration)
+        content = files.getContentSummary(path)
+        changed = files.getFileStatus(path).getModificationTime()
+        state.append((name, content.getFileCount(), content.getLength(), changed))
+    return tuple(state)
+
+
+def stage(spark: SparkSession, name: str, sources: Iterable[str], build: Callable[[], DataFrame]) -> DataFrame:
     """``build()`` written once per application and state of the source files."""
     folder = shared_folder(spark)
     if folder is None:
         return build()
-    slot = (spark.sparkContext.applicationId, folder, name, tuple(sources), fingerprint(spark, sources))
+    slot = (spark.sparkContext.applicationId, folder, name, state_of(spark, sources))
     if slot not in _staged:
         path = new_path(spark, name)
-        build().write.parquet(path)
-        _staged[slot] = path
-    return spark.read.parquet(_staged[slot])
+        write_table(build(), path)
+        _staged[slot] = spark.read.parquet(path).schema, path
+    schema, path = _staged[slot]
+    return spark.read.schema(schema).parquet(path)

@@ -8,11 +8,14 @@ lines to store x department x week x type; all three tables follow from it.
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
+from promolift.functions.columns import aggregate
+from promolift.operators.base import yoy_pair
 from promolift.sources.staging import stage
 
 CONFIG = LiftConfig(
@@ -25,20 +28,27 @@ CONFIG = LiftConfig(
 
 SPEND_RECORDED_FROM = date(2000, 1, 3)
 
+LINE_SOURCES = ("lineitem", "orders", "customer", "part")
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
+def _path(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}.parquet"
 
-def monday_of(day: Column) -> Column:
-    return F.next_day(F.date_sub(day, 7), "Mon")
 
+def source_paths(folder: str) -> list[str]:
+    return [_path(folder, name) for name in (*LINE_SOURCES, "nation")]
 
-def is_holiday(week: Column) -> Column:
+
+def monday_of(day: str) -> str:
+    return f"next_day(date_sub({day}, 7), 'MO')"
+
+
+def is_holiday(week: str) -> str:
     """Two holidays fixed in the calendar and two fixed in the ISO week."""
-    day = F.month(week) * 100 + F.dayofmonth(week)
-    fixed = day.between(628, 704) | day.between(1219, 1225)
-    return F.when(fixed | F.weekofyear(week).isin(6, 47), 1).otherwise(0)
+    day = f"(month({week}) * 100 + day({week}))"
+    return (
+        f"if({day} BETWEEN 628 AND 704 OR {day} BETWEEN 1219 AND 1225 OR weekofyear({week}) IN (6, 47), 1, 0)"
+    )
 
 
 def line_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,49 +60,41 @@ def line_totals(spark: SparkSession, folder: str) -> DataFrame:
     part of the lines is split by the skew join, and the sums combine before
     their own shuffle.
     """
-    returned = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)
-    sign = F.when(returned, F.lit(-1.0)).otherwise(F.lit(1.0))
-    lines = _table(spark, folder, "lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        (sign * F.col("l_extendedprice")).cast("decimal(18,2)").alias("net_sales"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-    )
-    orders = _table(spark, folder, "orders").select(
-        "o_orderkey",
-        "o_custkey",
-        monday_of(F.to_date("o_orderdate")).alias("week"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("type_no"),
+    lineitem, orders, customer, part = (spark.read.parquet(_path(folder, name)) for name in LINE_SOURCES)
+    sign = "if(l_returnflag = 'R' AND l_quantity > 40, -1D, 1D)"
+    lines = lineitem.selectExpr(
+        "l_orderkey AS orderkey",
+        "l_partkey AS partkey",
+        f"CAST({sign} * l_extendedprice AS DECIMAL(18,2)) AS net_sales",
+        "CAST(l_discount AS DECIMAL(4,2)) AS discount",
     )
-    customers = _table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("store"))
-    parts = _table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("dept"))
-
-    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "store", "week", "type_no"
-    )
-    return (
-        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("store", "dept", "week", "type_no")
-        .agg(
-            F.sum("net_sales").alias("net_sales"),
-            F.sum(F.col("net_sales") * F.col("discount")).alias("spend"),
+    customers = customer.selectExpr("c_custkey AS custkey", "c_nationkey AS store")
+    placed = (
+        orders.selectExpr(
+            "o_orderkey AS orderkey",
+            "o_custkey AS custkey",
+            f"{monday_of('CAST(o_orderdate AS DATE)')} AS week",
+            "CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_no",
         )
+        .join(customers, "custkey")
+        .drop("custkey")
+    )
+    parts = part.selectExpr("p_partkey AS partkey", "p_type AS dept")
+    return aggregate(
+        lines.join(placed, "orderkey").join(parts, "partkey"),
+        ["store", "dept", "week", "type_no"],
+        {"net_sales": "sum(net_sales)", "spend": "sum(net_sales * discount)"},
     )
-
-
-def staged_line_totals(spark: SparkSession, folder: str) -> DataFrame:
-    sources = [f"{folder.rstrip('/')}/{name}.parquet" for name in ("lineitem", "orders", "customer", "part")]
-    return stage(spark, "line_totals", sources, lambda: line_totals(spark, folder))
 
 
 def train_table(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("store", "dept", "week").agg(F.sum("net_sales").alias("sales")).select(
-        F.col("store").alias("Store"),
-        F.col("dept").alias("Dept"),
-        F.col("week").alias("Date"),
-        F.col("sales").cast("decimal(18,2)").alias("Weekly_Sales"),
-        is_holiday(F.col("week")).alias("IsHoliday"),
+    sales = aggregate(totals, ["store", "dept", "week"], {"sales": "sum(net_sales)"})
+    return sales.selectExpr(
+        "store AS Store",
+        "dept AS Dept",
+        "week AS Date",
+        "CAST(sales AS DECIMAL(18,2)) AS Weekly_Sales",
+        f"{is_holiday('week')} AS IsHoliday",
     )
 
 
@@ -104,29 +106,61 @@ def features_table(totals: DataFrame, nation: DataFrame, config: LiftConfig = CO
     """
     nations = nation.agg(F.collect_set("n_nationkey")).scalar()
     grid = totals.select("week").distinct().select("week", F.explode(nations).alias("store"))
-    recorded = totals.filter(F.col("week") >= F.lit(SPEND_RECORDED_FROM))
-    spend = recorded.groupBy("store", "week").agg(
-        *[
-            F.round(F.sum(F.when(F.col("type_no") == k, F.col("spend"))), 2).cast("decimal(18,2)").alias(column)
+    spend = aggregate(
+        totals.filter(f"week >= DATE'{SPEND_RECORDED_FROM}'"),
+        ["store", "week"],
+        {
+            column: f"CAST(round(sum(CASE WHEN type_no = {k} THEN spend END), 2) AS DECIMAL(18,2))"
             for k, column in zip(config.type_numbers, config.spend_columns)
-        ]
+        },
     )
-    return grid.join(spend, ["store", "week"], "left").select(
-        F.col("store").alias("Store"),
-        F.col("week").alias("Date"),
-        *config.spend_columns,
-        is_holiday(F.col("week")).alias("IsHoliday"),
+    return grid.join(spend, ["store", "week"], "left").selectExpr(
+        "store AS Store", "week AS Date", *config.spend_columns, f"{is_holiday('week')} AS IsHoliday"
     )
 
 
 def stores_table(nation: DataFrame) -> DataFrame:
-    region = F.col("n_regionkey")
-    return nation.select(
-        F.col("n_nationkey").alias("Store"),
-        F.when(region <= 1, "A").when(region <= 3, "B").otherwise("C").alias("Type"),
-        (F.lit(30000) + (F.col("n_nationkey") * 7919) % 190000).alias("Size"),
+    return nation.selectExpr(
+        "n_nationkey AS Store",
+        "CASE WHEN n_regionkey <= 1 THEN 'A' WHEN n_regionkey <= 3 THEN 'B' ELSE 'C' END AS Type",
+        "CAST(30000 + (n_nationkey * 7919) % 190000 AS INT) AS Size",
     )
 
 
-def nation_table(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "nation")
+class StagedTables:
+    """The three tables and the year-on-year pairs, each written on first use.
+
+    As with any weekly warehouse table, the heavy join runs once and the reports
+    scan what it left. Without a shared folder all of them stay lazy.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def _stage(self, name: str, build) -> DataFrame:
+        return stage(self.spark, name, source_paths(self.folder), build)
+
+    @cached_property
+    def nation(self) -> DataFrame:
+        return self.spark.read.parquet(_path(self.folder, "nation"))
+
+    @cached_property
+    def line_totals(self) -> DataFrame:
+        return self._stage("line_totals", lambda: line_totals(self.spark, self.folder))
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self._stage("train", lambda: train_table(self.line_totals))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return self._stage("features", lambda: features_table(self.line_totals, self.nation))
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        return stores_table(self.nation)
+
+    @cached_property
+    def pair(self) -> DataFrame:
+        return self._stage("yoy_pair", lambda: yoy_pair(self.train, CONFIG))
