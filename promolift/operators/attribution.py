@@ -14,9 +14,10 @@ from promolift.functions.columns import ROWS, aggregate, as_double, flag, per_ty
 from promolift.operators.base import (
     STORE_WEEK,
     positive_baseline,
+    share_name,
     spend_name,
-    spend_share,
     with_dept_share,
+    with_shares,
 )
 
 STORE_TYPE_SUMS = ("spend", "active", "spend_holiday", "active_holiday", "lift", "net_lift")
@@ -35,7 +36,7 @@ def type_sums(effect: DataFrame, keys: list[str], config: LiftConfig, drift: Col
     net_lift = f"({as_double('sales_window')} - {as_double('sales_baseline')} * (1D + {rate}))"
     sums = {"store_weeks": ROWS}
     for k in config.type_numbers:
-        spend, active, share = spend_name(k), flag(f"{spend_name(k)} > 0"), spend_share(k)
+        spend, active, share = spend_name(k), flag(f"{spend_name(k)} > 0"), share_name(k)
         sums |= {
             f"spend_{k}": f"sum({spend})",
             f"active_{k}": f"sum({active})",
@@ -66,7 +67,7 @@ def store_dept_sums(pair: DataFrame, spend: DataFrame, config: LiftConfig) -> Da
     Spend and the positive baseline meet at the store-week first, so the pairs
     take part in a single join.
     """
-    store_weeks = spend.drop("is_holiday").join(positive_baseline(pair), STORE_WEEK)
+    store_weeks = with_shares(spend.drop("is_holiday"), config).join(positive_baseline(pair), STORE_WEEK)
     sums = {
         "sales_baseline": "sum(sales_baseline)",
         "lift_dollars": "sum(lift_dollars)",
@@ -74,7 +75,7 @@ def store_dept_sums(pair: DataFrame, spend: DataFrame, config: LiftConfig) -> Da
     }
     for k in config.type_numbers:
         allocated = f"{as_double(spend_name(k))} * dept_baseline_share"
-        attributed = f"{as_double('lift_dollars')} * {spend_share(k)}"
+        attributed = f"{as_double('lift_dollars')} * {share_name(k)}"
         sums |= {
             f"allocated_{k}": f"sum({allocated})",
             f"attributed_{k}": f"sum({attributed})",

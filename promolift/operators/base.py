@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import ROWS, aggregate, flag, named, paid, per_type, ratio, weeks_between
+from promolift.functions.columns import (
+    ROWS,
+    aggregate,
+    as_double,
+    flag,
+    named,
+    paid,
+    per_type,
+    ratio,
+    weeks_between,
+)
 
 STORE_WEEK = ["store", "week"]
 
@@ -14,9 +24,8 @@ def spend_name(number: int) -> str:
     return f"md{number}"
 
 
-def spend_share(number: int) -> str:
-    """A type's part of the store-week's spend; NULL in a week without spend."""
-    return ratio(spend_name(number), "total_md_spend")
+def share_name(number: int) -> str:
+    return f"share{number}"
 
 
 def spend_store_week(features: DataFrame, config: LiftConfig) -> DataFrame:
@@ -33,15 +42,25 @@ def spend_store_week(features: DataFrame, config: LiftConfig) -> DataFrame:
     )
 
 
+def with_shares(spend: DataFrame, config: LiftConfig) -> DataFrame:
+    """Each type's part of the store-week's spend; NULL in a week without spend.
+
+    Computed here, once per store-week, rather than on the rows joined to it.
+    """
+    spent = spend.selectExpr("*", "nullif(CAST(total_md_spend AS DOUBLE), 0D) AS spent")
+    shares = {share_name(k): f"{as_double(spend_name(k))} / spent" for k in config.type_numbers}
+    return spent.selectExpr("*", *named(shares)).drop("spent")
+
+
 def spend_long(spend: DataFrame, config: LiftConfig) -> DataFrame:
     """One row per store, week and type, with the share lift is attributed by."""
     return per_type(
-        spend,
+        with_shares(spend, config),
         ["store", "week", "is_holiday"],
         {
             "spend": [spend_name(k) for k in config.type_numbers],
             "is_active": [flag(f"{spend_name(k)} > 0") for k in config.type_numbers],
-            "spend_share": [spend_share(k) for k in config.type_numbers],
+            "spend_share": [share_name(k) for k in config.type_numbers],
         },
         config,
     )
@@ -95,12 +114,13 @@ def positive_baseline(pair: DataFrame) -> DataFrame:
 def with_dept_share(pair: DataFrame, store_weeks: DataFrame) -> DataFrame:
     """Pairs joined to a frame with one ``positive_baseline`` per store-week.
 
-    A join to the pre-aggregated sums rather than a window over each store-week:
-    the sums combine before the shuffle, a small table is broadcast, and a
-    store-week holding much of the data is split by the skew join.
+    A join to sums that combine before their shuffle, not a window that would
+    gather each store-week in one task. The rebalance step gives the sums a
+    shuffle of their own: only between two plain shuffles does the skew join
+    split a store-week that holds much of the data.
     """
     share = ratio("sales_baseline", "positive_baseline")
-    return pair.join(store_weeks, STORE_WEEK).selectExpr(
+    return pair.join(store_weeks.hint("rebalance"), STORE_WEEK).selectExpr(
         "*",
         f"if(sales_baseline > 0 AND positive_baseline > 0, {share}, 0D) AS dept_baseline_share",
     )
@@ -111,10 +131,10 @@ def lift_dept_week(pair: DataFrame) -> DataFrame:
     return with_dept_share(pair, positive_baseline(pair)).select(*pair.columns, "dept_baseline_share")
 
 
-def store_week_effect(spend: DataFrame, lift: DataFrame) -> DataFrame:
-    """Spend and lift side by side per store-week.
+def store_week_effect(spend: DataFrame, lift: DataFrame, config: LiftConfig) -> DataFrame:
+    """Spend, its shares and lift side by side per store-week.
 
     ``is_holiday`` is the flag of the spend table, ``sales_holiday`` that of the
     sales table. Types stay columns, so nothing fans out before it is summed.
     """
-    return spend.join(lift.withColumnRenamed("is_holiday", "sales_holiday"), STORE_WEEK)
+    return with_shares(spend, config).join(lift.withColumnRenamed("is_holiday", "sales_holiday"), STORE_WEEK)

@@ -83,7 +83,7 @@ class LiftModel:
 
     @cached_property
     def effect(self) -> DataFrame:
-        return base.store_week_effect(self.spend_store_week, self.lift_store_week)
+        return base.store_week_effect(self.spend_store_week, self.lift_store_week, self.config)
 
     @cached_property
     def store_sums(self) -> DataFrame:
