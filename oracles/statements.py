@@ -122,9 +122,9 @@ FRAMES = {
                coalesce(sum(now) FILTER (h = 1), 0) AS now_h, coalesce(sum(ago) FILTER (h = 1), 0) AS ago_h
         FROM pairs GROUP BY store, dept""",
     "tiles": """
-        SELECT *, ntile(3) OVER (PARTITION BY store, kind ORDER BY spend, week) AS tile FROM credit""",
+        SELECT *, ntile(3) OVER (PARTITION BY store, kind ORDER BY spend, week, sales_h) AS tile FROM credit""",
     "normal_tiles": """
-        SELECT *, ntile(3) OVER (PARTITION BY store, kind ORDER BY spend, week) AS tile FROM credit WHERE h = 0""",
+        SELECT *, ntile(3) OVER (PARTITION BY store, kind ORDER BY spend, week, sales_h) AS tile FROM credit WHERE h = 0""",
 }
 
 _CONTRAST = """
@@ -539,7 +539,7 @@ LEFT JOIN (SELECT *, {rank("yield")} AS place FROM normal_marginal) x USING (kin
     ),
     "measure_index": _select(
         {
-            "store_format": "fmt",
+            "store_format": "a.fmt",
             "markdown_type": LABEL,
             "effectiveness_index": rnd(
                 per(
@@ -550,9 +550,9 @@ LEFT JOIN (SELECT *, {rank("yield")} AS place FROM normal_marginal) x USING (kin
             ),
         },
         """FROM (SELECT fmt, kind, sum(credit) AS credit, sum(spend) AS spend
-      FROM spend_facts JOIN shops USING (store) GROUP BY fmt, kind) a
+      FROM spend_facts LEFT JOIN shops USING (store) GROUP BY fmt, kind) a
 JOIN (SELECT fmt, sum(credit) AS credit, sum(spend) AS spend
-      FROM spend_facts JOIN shops USING (store) GROUP BY fmt) b USING (fmt)""",
+      FROM spend_facts LEFT JOIN shops USING (store) GROUP BY fmt) b ON a.fmt IS NOT DISTINCT FROM b.fmt""",
     ),
     "measure_dept": _select(
         {
@@ -580,7 +580,7 @@ JOIN (SELECT fmt, sum(credit) AS credit, sum(spend) AS spend
             "attributed_lift": rnd("sum(credit)", 4),
             "sales_lift_per_dollar": rnd(per("sum(credit)", "sum(spend)"), 4),
         },
-        "FROM spend_facts JOIN shops USING (store) GROUP BY fmt, band, kind",
+        "FROM spend_facts LEFT JOIN shops USING (store) GROUP BY fmt, band, kind",
     ),
     "measure_holiday_split": _select(
         {
@@ -664,13 +664,16 @@ FROM (SELECT count(DISTINCT h) AS flags FROM sales WHERE {WINDOW} GROUP BY store
 FRAMES["cut"] = "SELECT *, ntile(3) OVER (PARTITION BY store, kind ORDER BY spend, week) AS tile FROM kinds"
 
 
-def with_frames(body: str) -> str:
-    """The statement behind the frames it reads, directly or through others."""
+def with_frames(body: str, given: frozenset[str] = frozenset()) -> str:
+    """The statement behind the frames it reads, directly or through others.
+
+    Frames named in ``given`` exist as tables and are not defined.
+    """
     needed: set[str] = set()
 
     def visit(text: str) -> None:
         for name in FRAMES:
-            if name not in needed and re.search(rf"(FROM|JOIN|,)\s+{name}\b", text):
+            if name not in needed and name not in given and re.search(rf"(FROM|JOIN|,)\s+{name}\b", text):
                 needed.add(name)
                 visit(FRAMES[name])
 

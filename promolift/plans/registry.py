@@ -98,10 +98,15 @@ def model_for(spark: SparkSession, folder: str) -> LiftModel:
     return models[slot]
 
 
+def report(model: LiftModel, name: str) -> DataFrame:
+    """One query over any model, in plain output types."""
+    result = getattr(model, name)
+    return published(result if name in FRAMES else result(), UNROUNDED.get(name))
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        result = getattr(model_for(spark, folder), name)
-        return published(result if name in FRAMES else result(), UNROUNDED.get(name))
+        return report(model_for(spark, folder), name)
 
     run.__name__ = name
     return run
