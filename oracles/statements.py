@@ -596,6 +596,14 @@ JOIN (SELECT fmt, sum(credit) AS credit, sum(spend) AS spend
     "load_report": """SELECT 'train' AS table_name, count(*) AS rows FROM sales
 UNION ALL SELECT 'features', count(*) FROM spending
 UNION ALL SELECT 'stores', count(*) FROM shops""",
+    "csv_to_tables": f"""SELECT 'train' AS table_name, count(*) AS rows, {rnd("sum(amount)", 2)} AS total FROM sales
+UNION ALL SELECT 'features', count(*), {rnd("sum(" + each("coalesce(m#, 0)", " + ") + ")", 2)} FROM spending
+UNION ALL SELECT 'stores', count(*), {num("sum(size)")} FROM shops""",
+    "export_and_reload": f"""SELECT 'fact_markdown_lift' AS table_name, count(*) AS rows,
+       {rnd("sum(alloc)", 2)} AS total FROM lift_facts
+UNION ALL SELECT 'fact_dept_sales', count(*), {num("sum(lift)")} FROM sales_facts
+UNION ALL SELECT 'fact_markdown_spend', count(*), {num("sum(spend)")} FROM spend_facts
+UNION ALL SELECT 'dim_store', count(*), {num("sum(size)")} FROM shops""",
     "profile_tables": """SELECT 'train' AS table_name, count(*) AS rows, count(DISTINCT store) AS stores,
        count(DISTINCT dept) AS depts, min(week) AS first_week, max(week) AS last_week FROM sales
 UNION ALL SELECT 'features', count(*), count(DISTINCT store), NULL, min(week), max(week) FROM spending

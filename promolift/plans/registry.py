@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promolift.functions.columns import published
+from promolift.functions.columns import ROWS, aggregate, published, rounded
 from promolift.plans.model import LiftModel
-from promolift.sources import testdata
-from promolift.sources.staging import state_of
+from promolift.sources import files, testdata
+from promolift.sources.staging import job_path, state_of
 
 # Frames defined without rounding: the digits to show them with.
 UNROUNDED = {
@@ -112,5 +113,45 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _totals(tables: dict[str, DataFrame], amounts: dict[str, str]) -> DataFrame:
+    """Row count and one control total per table."""
+    counted = [
+        aggregate(tables[name], [], {"rows": ROWS, "total": rounded(f"sum({amount})", 2)}).selectExpr(
+            f"'{name}' AS table_name", "*"
+        )
+        for name, amount in amounts.items()
+    ]
+    return published(reduce(DataFrame.unionAll, counted))
+
+
+def csv_to_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The inputs as CSV, read with fixed types, stored as tables by year, and counted."""
+    model = model_for(spark, folder)
+    target = job_path(spark, "csv_to_tables")
+    inputs = {name: getattr(model, name) for name in files.TABLES}
+    files.write_inputs(inputs, f"{target}/csv", model.config)
+    files.replace_tables(files.read_inputs(spark, f"{target}/csv", model.config, "STRING"), f"{target}/tables")
+    spend = " + ".join(f"coalesce({column}, 0)" for column in model.config.spend_columns)
+    return _totals(
+        files.read_tables(spark, f"{target}/tables"), {"train": "Weekly_Sales", "features": spend, "stores": "Size"}
+    )
+
+
+def export_and_reload(spark: SparkSession, folder: str) -> DataFrame:
+    """The four exported facts as CSV, read back with their types, and counted."""
+    target = job_path(spark, "export_and_reload")
+    files.export_csv(model_for(spark, folder).exports(), target)
+    return _totals(
+        files.read_exports(spark, target, "STRING"),
+        {
+            "fact_markdown_lift": "allocated_spend",
+            "fact_dept_sales": "yoy_lift_dollars",
+            "fact_markdown_spend": "total_spend",
+            "dim_store": "store_size_sqft",
+        },
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in (*FRAMES, *REPORTS)}
+    named = {name: _query(name) for name in (*FRAMES, *REPORTS)}
+    return named | {"csv_to_tables": csv_to_tables, "export_and_reload": export_and_reload}

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from promolift.config import LiftConfig
 from promolift.functions.columns import ROWS, aggregate
@@ -25,15 +26,35 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def read_inputs(spark: SparkSession, folder: str, config: LiftConfig = LiftConfig()) -> dict[str, DataFrame]:
+def read_inputs(
+    spark: SparkSession, folder: str, config: LiftConfig = LiftConfig(), dept_type: str = "INT"
+) -> dict[str, DataFrame]:
     """train.csv, features.csv and stores.csv with fixed types; NA is NULL."""
     return {
-        "train": _csv(spark, f"{folder}/train.csv", schemas.SALES),
+        "train": _csv(spark, f"{folder}/train.csv", schemas.sales_schema(dept_type)),
         "features": _csv(spark, f"{folder}/features.csv", schemas.features_schema(config)),
         "stores": _csv(spark, f"{folder}/stores.csv", schemas.STORES),
     }
 
 
+def write_inputs(tables: dict[str, DataFrame], folder: str, config: LiftConfig = LiftConfig()) -> None:
+    """The three tables as CSV in the layout ``read_inputs`` expects; columns they lack are NA."""
+    dated = {
+        "train": schemas.sales_schema("STRING"),
+        "features": schemas.features_schema(config),
+    }
+    for name in TABLES:
+        schema = StructType.fromDDL(dated.get(name, schemas.STORES))
+        known = {column.lower() for column in tables[name].columns}
+        columns = [
+            f"CAST({field.name if field.name.lower() in known else 'NULL'} AS {field.dataType.simpleString()}) "
+            f"AS {field.name}"
+            for field in schema
+        ]
+        laid_out = tables[name].selectExpr(*columns)
+        laid_out.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(f"{folder}/{name}.csv")
+
+
 def write_table(table: DataFrame, path: str, mode: str = "error") -> None:
     """Parquet, by year where there is a Date, so that the window and its baseline
     read only the directories they need.

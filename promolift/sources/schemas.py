@@ -9,11 +9,13 @@ from promolift.config import LiftConfig
 
 MONEY = "DECIMAL(18,2)"
 
-SALES = f"Store INT, Dept INT, Date DATE, Weekly_Sales {MONEY}, IsHoliday BOOLEAN"
-
 STORES = "Store INT, Type STRING, Size INT"
 
 
+def sales_schema(dept_type: str = "INT") -> str:
+    return f"Store INT, Dept {dept_type}, Date DATE, Weekly_Sales {MONEY}, IsHoliday BOOLEAN"
+
+
 def features_schema(config: LiftConfig) -> str:
     spend = ", ".join(f"{name} {MONEY}" for name in config.spend_columns)
     return (

@@ -15,8 +15,6 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from promolift.sources.files import write_table
-
 _staged: dict[tuple, tuple[StructType, str]] = {}
 
 
@@ -36,14 +34,22 @@ def new_path(spark: SparkSession, name: str) -> str | None:
     return f"{folder.rstrip('/')}/promolift/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
+def job_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a job whose purpose is to write files."""
+    path = new_path(spark, name)
+    if path is None:
+        raise RuntimeError(f"{name} writes files: set spark.checkpoint.dir to a folder all executors share")
+    return path
+
+
 def materialize(frame: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """The frame read back from a written copy, or the frame itself and False."""
     spark = frame.sparkSession
     path = new_path(spark, name)
     if path is None:
         return frame, False
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path), True
+    schema, path = _written(frame, path)
+    return spark.read.schema(schema).parquet(path), True
 
 
 def state_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
@@ -70,8 +76,11 @@ def stage(spark: SparkSession, name: str, sources: Iterable[str], build: Callabl
         return build()
     slot = (spark.sparkContext.applicationId, folder, name, state_of(spark, sources))
     if slot not in _staged:
-        path = new_path(spark, name)
-        write_table(build(), path)
-        _staged[slot] = spark.read.parquet(path).schema, path
+        _staged[slot] = _written(build(), new_path(spark, name))
     schema, path = _staged[slot]
     return spark.read.schema(schema).parquet(path)
+
+
+def _written(frame: DataFrame, path: str) -> tuple[StructType, str]:
+    frame.write.parquet(path)
+    return frame.schema, path

@@ -27,7 +27,7 @@ def year_before(number: int) -> date:
 def train(spark, rows):
     """(store, dept, date, sales[, holiday])"""
     full = [(s, d, day, money(amount), bool(rest[0]) if rest else False) for s, d, day, amount, *rest in rows]
-    return spark.createDataFrame(full, schemas.SALES)
+    return spark.createDataFrame(full, schemas.sales_schema())
 
 
 def features(spark, rows, config=CONFIG):
