@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,18 @@ def rank_league(
     ``ranks`` maps an output column to the columns it is ranked within. The
     league is written once, so its size is known and nothing above it is computed
     again. Up to ``single_task_rank_rows`` rows a window does; beyond, or when
-    there is no shared folder to write to, the ranks are computed in bins.
+    there is no shared folder to write to, the ranks are computed in bins of
+    about that size.
     """
     league, stored = materialize(league, "league")
-    if stored and league.count() <= config.single_task_rank_rows:
-        return league.selectExpr("*", *[f"{rank_over(value, within)} AS {name}" for name, within in ranks.items()])
+    bins = config.rank_bins
+    if stored:
+        bins = min(bins, ceil(league.count() / config.single_task_rank_rows))
+        if bins <= 1:
+            places = [f"{rank_over(value, within)} AS {name}" for name, within in ranks.items()]
+            return league.selectExpr("*", *places)
     for name, within in ranks.items():
-        league = rank_in_bins(league, name, value, within, config.rank_bins)
+        league = rank_in_bins(league, name, value, within, bins)
     return league
 
 

@@ -50,7 +50,7 @@ def test_a_third_of_the_rows_may_share_a_value(spark):
     _check(spark, [("AB"[n % 2], 7.0 if n % 3 == 0 else float(n % 50)) for n in range(600)], 16)
 
 
-@pytest.mark.parametrize("limit, bins_used", [(200_000, 0), (2, 2)])
+@pytest.mark.parametrize("limit, bins_used", [(1_000_000, 0), (2, 2)])
 def test_size_decides_how_a_league_is_ranked(spark, monkeypatch, limit, bins_used):
     calls = Counter()
     original = ranking.rank_in_bins
