@@ -90,6 +90,15 @@ def yoy_pair(train: DataFrame, config: LiftConfig) -> DataFrame:
     )
 
 
+def clustered(pair: DataFrame) -> DataFrame:
+    """Pairs laid out for storing: all weeks of a store and department together.
+
+    Reports sum over those weeks, so a scan of the stored copy combines most rows
+    before any shuffle.
+    """
+    return pair.repartition("store", "dept")
+
+
 def lift_store_week(pair: DataFrame) -> DataFrame:
     """Pairs summed to the store-week, the grain at which spend is recorded."""
     return aggregate(

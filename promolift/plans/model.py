@@ -11,6 +11,7 @@ from promolift.config import LiftConfig
 from promolift.operators import attribution, base, checks, departments, exports, intensity, measures
 from promolift.operators import reconcile, scorecard
 from promolift.sources import files
+from promolift.sources.staging import materialize
 
 VIEWS = {
     "v_window_store_week": "spend_store_week",
@@ -23,11 +24,7 @@ VIEWS = {
 
 @dataclass
 class Tables:
-    """The inputs of a model.
-
-    ``pair`` takes the place of the year-on-year pairs; pass a stored copy of
-    ``yoy_pair`` when many reports run on large sales.
-    """
+    """The inputs of a model; ``pair`` takes the place of the year-on-year pairs."""
 
     train: DataFrame
     features: DataFrame
@@ -58,6 +55,15 @@ class LiftModel:
     def stores(self) -> DataFrame:
         return self.tables.stores
 
+    def with_stored_pairs(self) -> LiftModel:
+        """The same model over pairs written once to the shared folder.
+
+        For several reports on large sales; the department reports read the pairs
+        twice each.
+        """
+        pair, _ = materialize(self.yoy_pair, "yoy_pair", base.clustered)
+        return LiftModel(Tables(self.train, self.features, self.stores, pair), self.config)
+
     # Base frames
 
     @cached_property

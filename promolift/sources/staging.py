@@ -15,6 +15,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+Layout = Callable[[DataFrame], DataFrame]
+
 _staged: dict[tuple, tuple[StructType, str]] = {}
 
 
@@ -42,45 +44,54 @@ def job_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(frame: DataFrame, name: str) -> tuple[DataFrame, bool]:
-    """The frame read back from a written copy, or the frame itself and False."""
+def _as_is(frame: DataFrame) -> DataFrame:
+    return frame
+
+
+def materialize(frame: DataFrame, name: str, layout: Layout = _as_is) -> tuple[DataFrame, bool]:
+    """The frame read back from a written copy, or the frame itself and False.
+
+    ``layout`` arranges the rows for the copy.
+    """
     spark = frame.sparkSession
     path = new_path(spark, name)
     if path is None:
         return frame, False
-    schema, path = _written(frame, path)
-    return spark.read.schema(schema).parquet(path), True
+    layout(frame).write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), True
 
 
 def state_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
-    """Changes when files below the paths are added, removed or rewritten.
+    """Changes when one of the tables is written again.
 
-    Only totals come back from the file system, not the list of files.
+    Looks at each table's file or folder and its success marker only, so the cost
+    does not grow with the number of files. A file edited in place deep inside an
+    otherwise untouched folder goes unnoticed.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     configuration = spark._jsc.hadoopConfiguration()
     state = []
     for name in paths:
-        path = hadoop.Path(name)
-        files = path.getFileSystem(configuration)
-        content = files.getContentSummary(path)
-        changed = files.getFileStatus(path).getModificationTime()
-        state.append((name, content.getFileCount(), content.getLength(), changed))
+        files = hadoop.Path(name).getFileSystem(configuration)
+        for part in (name, f"{name}/_SUCCESS"):
+            path = hadoop.Path(part)
+            if files.exists(path):
+                status = files.getFileStatus(path)
+                state.append((part, status.getLen(), status.getModificationTime()))
     return tuple(state)
 
 
-def stage(spark: SparkSession, name: str, sources: Iterable[str], build: Callable[[], DataFrame]) -> DataFrame:
+def stage(
+    spark: SparkSession, name: str, sources: Iterable[str], build: Callable[[], DataFrame], layout: Layout = _as_is
+) -> DataFrame:
     """``build()`` written once per application and state of the source files."""
     folder = shared_folder(spark)
     if folder is None:
         return build()
     slot = (spark.sparkContext.applicationId, folder, name, state_of(spark, sources))
     if slot not in _staged:
-        _staged[slot] = _written(build(), new_path(spark, name))
+        frame, path = build(), new_path(spark, name)
+        layout(frame).write.parquet(path)
+        _staged[slot] = frame.schema, path
     schema, path = _staged[slot]
     return spark.read.schema(schema).parquet(path)
-
-
-def _written(frame: DataFrame, path: str) -> tuple[StructType, str]:
-    frame.write.parquet(path)
-    return frame.schema, path

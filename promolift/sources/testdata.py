@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
 from promolift.functions.columns import aggregate
-from promolift.operators.base import yoy_pair
+from promolift.operators.base import clustered, yoy_pair
 from promolift.sources.staging import stage
 
 CONFIG = LiftConfig(
@@ -138,8 +138,8 @@ class StagedTables:
         self.spark = spark
         self.folder = folder
 
-    def _stage(self, name: str, build) -> DataFrame:
-        return stage(self.spark, name, source_paths(self.folder), build)
+    def _stage(self, name: str, build, **options) -> DataFrame:
+        return stage(self.spark, name, source_paths(self.folder), build, **options)
 
     @cached_property
     def nation(self) -> DataFrame:
@@ -163,4 +163,4 @@ class StagedTables:
 
     @cached_property
     def pair(self) -> DataFrame:
-        return self._stage("yoy_pair", lambda: yoy_pair(self.train, CONFIG))
+        return self._stage("yoy_pair", lambda: yoy_pair(self.train, CONFIG), layout=clustered)

@@ -84,6 +84,13 @@ def test_top_departments_need_no_full_sort_or_join_back(stored):
     assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", text)) == 4
 
 
+def test_stored_pairs_change_nothing(stored):
+    again = stored.with_stored_pairs()
+    assert again.tables.pair is not None and "Join" not in plan(again.yoy_pair)
+    for name in ("scorecard_by_type", "dept_by_type_top", "marginal_lift"):
+        assert getattr(again, name)().collect() == getattr(stored, name)().collect()
+
+
 def test_league_totals_are_sums_of_sums(stored):
     # Stores per department come from the store x department rows, without an expanded distinct.
     assert "Expand" not in plan(stored.store_dept.groupBy("dept").count())
