@@ -179,6 +179,30 @@ _DEPT = {
     "sales_lift_per_allocated_dollar": rnd(per("lift", "alloc"), 2),
 }
 
+_SCORECARD = {
+    "markdown_type": LABEL,
+    "total_spend": rnd("spend", 0),
+    "active_store_weeks": big("active"),
+    "avg_spend_per_active_week": rnd(per("spend", "active"), 0),
+    "pct_of_total_spend": rnd(pct("spend", "(SELECT sum(spend) FROM by_kind)"), 1),
+    "attributed_lift": rnd("credit", 0),
+    "sales_lift_per_dollar": rnd("yield", 2),
+    "lift_per_active_week": rnd(per("credit", "active"), 0),
+    "effectiveness_index": rnd("idx", 2),
+    "effectiveness_rank": "place",
+    "recommendation": """CASE WHEN coalesce(credit <= 0, false) THEN 'Cut'
+            WHEN idx IS NULL OR idx < 0.85 THEN 'Reduce' WHEN idx < 1.15 THEN 'Hold' ELSE 'Double down' END""",
+    "net_lift_per_dollar_sensitivity": rnd(per("net_credit", "spend"), 2),
+}
+
+# One more frame: the drift of the weeks without spend, a single row.
+FRAMES["drift"] = f"""
+        SELECT round({per("sum(now)", "sum(ago)")} - 1, 4) AS rate
+        FROM pairs SEMI JOIN (FROM paid WHERE spent = 0) USING (store, week)"""
+FRAMES["drifted"] = """
+        SELECT kind, sum((now::DOUBLE - ago::DOUBLE * (1 + (SELECT rate FROM drift))) * share) AS net
+        FROM credit GROUP BY kind"""
+
 STATEMENTS = {
     # Base frames
     "spend_store_week": _select(
@@ -332,23 +356,14 @@ JOIN (SELECT DISTINCT week, h FROM sales) b ON c.week - b.week = 364 AND c.h !=
         "FROM pairs",
     ),
     # Scorecards
-    "scorecard_by_type": _select(
-        {
-            "markdown_type": LABEL,
-            "total_spend": rnd("spend", 0),
-            "active_store_weeks": big("active"),
-            "avg_spend_per_active_week": rnd(per("spend", "active"), 0),
-            "pct_of_total_spend": rnd(pct("spend", "(SELECT sum(spend) FROM by_kind)"), 1),
-            "attributed_lift": rnd("credit", 0),
-            "sales_lift_per_dollar": rnd("yield", 2),
-            "lift_per_active_week": rnd(per("credit", "active"), 0),
-            "effectiveness_index": rnd("idx", 2),
-            "effectiveness_rank": "place",
-            "recommendation": """CASE WHEN coalesce(credit <= 0, false) THEN 'Cut'
-            WHEN idx IS NULL OR idx < 0.85 THEN 'Reduce' WHEN idx < 1.15 THEN 'Hold' ELSE 'Double down' END""",
-            "net_lift_per_dollar_sensitivity": rnd(per("net_credit", "spend"), 2),
+    "scorecard_by_type": _select(_SCORECARD, "FROM scored"),
+    "scorecard_measured_drift": _select(
+        _SCORECARD
+        | {
+            "net_lift_per_dollar_sensitivity": rnd(per("net", "spend"), 2),
+            "index_valid": "coalesce(pooled > 0, false)",
         },
-        "FROM scored",
+        "FROM scored JOIN drifted USING (kind)",
     ),
     "scorecard_by_type_holiday": _select(
         {

@@ -171,6 +171,10 @@ class LiftModel:
     def scorecard_by_type(self, drift: Column | None = None, with_validity: bool = False) -> DataFrame:
         return scorecard.scorecard_by_type(self.effect, self.config, drift, with_validity)
 
+    def scorecard_measured_drift(self) -> DataFrame:
+        """The scorecard with the drift measured in weeks without spend, and its index marked valid or not."""
+        return self.scorecard_by_type(self.measured_drift(), with_validity=True)
+
     def scorecard_by_type_holiday(self) -> DataFrame:
         return scorecard.scorecard_by_type_holiday(self.effect, self.config)
 

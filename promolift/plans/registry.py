@@ -53,6 +53,7 @@ REPORTS = (
     "check_growth_full",
     "scorecard_by_type",
     "scorecard_by_type_holiday",
+    "scorecard_measured_drift",
     "store_league",
     "type_by_format",
     "type_by_store",
