@@ -27,18 +27,14 @@ def rank_league(
     """Descending RANK() over one row per store or department.
 
     ``ranks`` maps an output column to the columns it is ranked within. The
-    league is written once, so its size is known and nothing above it is computed
-    again. Up to ``single_task_rank_rows`` rows a window does; beyond, or when
-    there is no shared folder to write to, the ranks are computed in bins of
-    about that size.
+    league is stored once, so its size is known and nothing above it is computed
+    again. Up to ``single_task_rank_rows`` rows a window does; beyond, the ranks
+    are computed in bins of about that size.
     """
-    league, stored = materialize(league, "league")
-    bins = config.rank_bins
-    if stored:
-        bins = min(bins, ceil(league.count() / config.single_task_rank_rows))
-        if bins <= 1:
-            places = [f"{rank_over(value, within)} AS {name}" for name, within in ranks.items()]
-            return league.selectExpr("*", *places)
+    league = materialize(league, "league")
+    bins = min(config.rank_bins, ceil(league.count() / config.single_task_rank_rows))
+    if bins <= 1:
+        return league.selectExpr("*", *[f"{rank_over(value, within)} AS {name}" for name, within in ranks.items()])
     for name, within in ranks.items():
         league = rank_in_bins(league, name, value, within, bins)
     return league

@@ -61,7 +61,7 @@ class LiftModel:
         For several reports on large sales; the department reports read the pairs
         twice each.
         """
-        pair, _ = materialize(self.yoy_pair, "yoy_pair", base.clustered)
+        pair = materialize(self.yoy_pair, "yoy_pair", base.clustered)
         return LiftModel(Tables(self.train, self.features, self.stores, pair), self.config)
 
     # Base frames

@@ -3,7 +3,8 @@
 A written table cuts lineage, survives the loss of executors, and is read back
 with column pruning and filter pushdown. The folder is the session's checkpoint
 folder. A run on one machine without that setting gets a folder of its own; on a
-cluster without it nothing is written and plans simply stay lazy.
+cluster without it the frames are cached instead, and what an executor takes with
+it is computed again.
 """
 
 from __future__ import annotations
@@ -48,17 +49,14 @@ def _as_is(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def materialize(frame: DataFrame, name: str, layout: Layout = _as_is) -> tuple[DataFrame, bool]:
-    """The frame read back from a written copy, or the frame itself and False.
-
-    ``layout`` arranges the rows for the copy.
-    """
+def materialize(frame: DataFrame, name: str, layout: Layout = _as_is) -> DataFrame:
+    """The frame read back from a written copy. ``layout`` arranges the rows for it."""
     spark = frame.sparkSession
     path = new_path(spark, name)
     if path is None:
-        return frame, False
+        return frame.persist()
     layout(frame).write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path), True
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def state_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
@@ -87,7 +85,7 @@ def stage(
     """``build()`` written once per application and state of the source files."""
     folder = shared_folder(spark)
     if folder is None:
-        return build()
+        return build().persist()
     slot = (spark.sparkContext.applicationId, folder, name, state_of(spark, sources))
     if slot not in _staged:
         frame, path = build(), new_path(spark, name)

@@ -131,7 +131,7 @@ class StagedTables:
     """The three tables and the year-on-year pairs, each written on first use.
 
     As with any weekly warehouse table, the heavy join runs once and the reports
-    scan what it left. Without a shared folder all of them stay lazy.
+    scan what it left.
     """
 
     def __init__(self, spark: SparkSession, folder: str):

@@ -63,10 +63,3 @@ def test_size_decides_how_a_league_is_ranked(spark, monkeypatch, limit, bins_use
     found = sorted((row.id, row.place, row.team_place) for row in ranked.collect())
     assert found == [(1, 2, 2), (2, 1, 1), (3, 2, 1), (4, 4, 2)]
     assert calls["bins"] == bins_used
-
-
-def test_a_league_without_a_shared_folder_is_ranked_in_bins(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "materialize", lambda frame, name, *rest: (frame, False))
-    league = spark.createDataFrame([(1, 3.0), (2, 5.0)], "id INT, score DOUBLE")
-    ranked = ranking.rank_league(league, "score", {"place": ()}, LiftConfig())
-    assert sorted((row.id, row.place) for row in ranked.collect()) == [(1, 2), (2, 1)]

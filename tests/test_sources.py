@@ -86,11 +86,16 @@ def test_derived_tables(spark):
     assert staged.features.filter("Date < DATE'2000-01-03' AND MarkDown1 IS NOT NULL").count() == 0
 
 
-def test_derived_tables_without_a_shared_folder(spark, monkeypatch):
+def test_without_a_shared_folder_frames_are_cached(spark, monkeypatch):
     monkeypatch.setattr(staging, "shared_folder", lambda spark: None)
-    lazy = testdata.StagedTables(spark, FOLDER)
-    assert lazy.pair.count() == 49
-    assert lazy.train.count() == 4158
+    tables = testdata.StagedTables(spark, FOLDER)
+    assert tables.pair.count() == 49
+    assert tables.train.is_cached and tables.line_totals.is_cached
+    league = LiftModel(tables, testdata.CONFIG).store_league()
+    assert [row.store_rank for row in league.collect()][:2] == [1, 2]
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.job_path(spark, "an export")
+    spark.catalog.clearCache()
 
 
 def test_staged_copy_follows_its_sources(spark, tmp_path):
