@@ -52,7 +52,8 @@ def both(request, spark):
     sales, spending, shops = _tables(request.param)
     duck = duckdb.connect()
     duck.execute("CREATE TABLE sales (store INT, dept VARCHAR, week DATE, h INT, amount DECIMAL(18,2))")
-    duck.execute(f"CREATE TABLE spending (store INT, week DATE, h INT, {', '.join(f'm{k} DECIMAL(18,2)' for k in range(1, 6))})")
+    spends = ", ".join(f"m{k} DECIMAL(18,2)" for k in range(1, 6))
+    duck.execute(f"CREATE TABLE spending (store INT, week DATE, h INT, {spends})")
     duck.execute("CREATE TABLE shops (store INT, fmt VARCHAR, size INT, band VARCHAR)")
     tables = {"sales": sales, "spending": spending, "shops": shops}
     schemas = {
