@@ -1,7 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles, found with R-trees over count vectors.
 
-Every text becomes the set of its distinct five-word shingles and a point: the number of shingles in each of
-``GROUPS`` hash groups. The overlap of two sets is at most the sum of the smaller counts, so a pair or a pair of tree
+Every text becomes the set of its distinct five-word shingles and a point: the number of shingles in each hash group,
+with a group for about four shingles (a power of two; points of neighbouring sizes meet in the smaller number of
+groups), so that unrelated texts of any length are told apart. The overlap of two sets is at most the sum of the smaller counts, so a pair or a pair of tree
 boxes below the overlap that the similarity asks for is never looked at again; what survives is verified on whole sets.
 
 One tree over all points would prune nothing above its leaves: unrelated texts of one length all lie equally far
@@ -36,7 +37,7 @@ from promolift.llm.components import components
 from promolift.llm.shingles import mixed, shingle_sets
 
 PERCENT = 75
-GROUPS = 128
+SHINGLES_PER_GROUP = 4
 COUNTERS = 1 << 16
 FREQUENT = 32
 BLOCK = 4096
@@ -51,6 +52,22 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds the sets of a few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def group_counts(found: np.ndarray) -> np.ndarray:
+    groups = 1 << max(4, (max(1, len(found)) // SHINGLES_PER_GROUP).bit_length())
+    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+
+
+def _matrix(counts: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.uint16).reshape(-1, width)
+
+
 def _longs(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint64)
 
@@ -68,7 +85,7 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting, size = [], 0
-    for batch in batches:
+    for batch in _slices(batches):
         for found in shingle_sets(batch.column("text").to_pylist()):
             waiting.append(found)
             size += len(found)
@@ -109,22 +126,26 @@ class _Sets:
         return np.concatenate((rare, rest[: length - len(rare)]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts = _columns(batch, "id", "text")
             keys, counts, firsts, sizes = [], [], [], []
             for found in shingle_sets(texts):
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                groups = (found & np.uint64(GROUPS - 1)).astype(np.int64)
-                counts.append(np.bincount(groups, minlength=GROUPS).astype(np.uint32).tobytes())
+                counts.append(group_counts(found).tobytes())
                 firsts.append(self.first(found).tobytes() if len(found) else b"")
             columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(values, pa.binary()) for values in (keys, counts, firsts)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_key", "counts", "first"])
 
 
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """Number of the power of 100 / PERCENT at or below the size; linked sets are at most one class apart."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.uint8)
+
+
 class _Deal:
-    """First shingles to (part, shingles, owners, sizes) blocks, one row per part and batch."""
+    """First shingles to (part, shingles, owners, size classes) blocks, one row per part and batch."""
 
     def __init__(self, parts: int):
         self.parts = parts
@@ -134,7 +155,7 @@ class _Deal:
             ids, sizes, firsts = _columns(batch, "id", "n_shingles", "first")
             lengths = np.array([len(first) // 8 for first in firsts], np.int64)
             cells = _longs(firsts)
-            owners, totals = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+            owners, totals = np.repeat(np.array(ids, np.int64), lengths), np.repeat(size_class(np.array(sizes)), lengths)
             part = (mixed(cells) % np.uint64(self.parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, cells, owners, totals = part[order], cells[order], owners[order], totals[order]
@@ -157,7 +178,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for values, name in ((cells, "cells"), (owners, "owners"), (sizes, "sizes")):
             values += batch.column(name).to_pylist()
-    cells, owners, sizes = _longs(cells), _longs(owners).view(np.int64), _longs(sizes).view(np.int64)
+    cells, owners, sizes = _longs(cells), _longs(owners).view(np.int64), np.frombuffer(b"".join(sizes), np.uint8)
     order = np.lexsort((sizes, owners, cells))
     cells, owners, sizes = cells[order], owners[order], sizes[order]
     if len(cells):
@@ -182,7 +203,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(cell: int, owners: np.ndarray, sizes: np.ndarray) -> list[tuple]:
-    """(name, left_block, low, low's size, owners, sizes); owners come in ascending order."""
+    """(name, left_block, low, low's size class, owners, size classes); owners come in ascending order."""
+    sizes = sizes.astype(np.int64)
     low = int(owners[0]), int(sizes[0])
     if len(owners) <= BLOCK:
         return [(f"{cell}", None, *low, owners, sizes)]
@@ -192,7 +214,7 @@ def _blocks(cell: int, owners: np.ndarray, sizes: np.ndarray) -> list[tuple]:
     for i, block in enumerate(blocks):
         out.append((f"{cell}:{i}", None, *low, *block))
         for j in range(i + 1, len(blocks)):
-            if 100 * block[1][-1] >= PERCENT * blocks[j][1][0]:
+            if blocks[j][1][0] - block[1][-1] <= 1:
                 out.append((f"{cell}:{i}:{j}", True, *low, *block))
                 out.append((f"{cell}:{i}:{j}", False, *low, *blocks[j]))
     return out
@@ -226,18 +248,35 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of one cell or of two of its blocks: points with as many groups meet, and those with half as many."""
     labels = rows["component"].to_numpy()
     if (labels == labels[0]).all():
         return
-    ids, sizes = rows["id"].to_numpy(), rows["n_shingles"].to_numpy()
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint32).reshape(-1, GROUPS)
+    ids, sizes, counts = rows["id"].to_numpy(), rows["n_shingles"].to_numpy(), rows["counts"].to_pylist()
     sides = rows["left_block"]
-    left = None if sides.null_count else np.array(sides.to_pylist(), bool)
-    if left is not None and (left.all() or not left.any()):
-        return
-    i, j = rtree.self_join(counts, sizes, labels, PERCENT, left)
-    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    left = np.ones(len(ids), bool) if sides.null_count else np.array(sides.to_pylist(), bool)
+    widths = np.array([len(count) // 2 for count in counts])
+    points = {}
+    for width in np.unique(widths):
+        for side in (True, False):
+            at = np.flatnonzero((widths == width) & (left == side))
+            if len(at):
+                matrix = _matrix([counts[k] for k in at], width)
+                points[int(width), side] = rtree.Points(ids[at], sizes[at], labels[at], matrix)
+    for (width, side), own in points.items():
+        if sides.null_count:
+            yield _pairs(*rtree.join(own, None, PERCENT))
+        elif side and (width, False) in points:
+            yield _pairs(*rtree.join(own, points[width, False], PERCENT))
+        for other in {True} if sides.null_count else {not side}:
+            if (2 * width, other) in points:
+                wide = points[2 * width, other]
+                wide = wide._replace(counts=rtree.folded(wide.counts, width))
+                yield _pairs(*rtree.join(own, wide, PERCENT))
+
+
+def _pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
 
 class _Chosen:
@@ -249,10 +288,11 @@ class _Chosen:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((self.bitmap[at >> 3] >> (at & 7)) & 1 == 1))
-            ids, texts = _columns(batch, "id", "text")
-            found = [values.tobytes() for values in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
+            chosen = batch.filter(pa.array((self.bitmap[at >> 3] >> (at & 7)) & 1 == 1))
+            for part in _slices([chosen], 128):
+                ids, texts = _columns(part, "id", "text")
+                found = [values.tobytes() for values in shingle_sets(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
 
 
 def _bit(column: str):
@@ -278,7 +318,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, b), a's own sets first with a null b, to the pairs that truly link."""
     current, sets = None, []
-    for batch in batches:
+    for batch in _slices(batches, 256):
         firsts, seconds = [], []
         for a, salt, b, found in zip(*_columns(batch, "a", "salt", "b", "shingles")):
             if (a, salt) != current:
@@ -350,6 +390,16 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     return _labelled(members, staged(components(links), "groups"))
 
 
+def keep_least(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``frame`` that stay, with all their columns: of each component the rows with its least id.
+
+    Rows with a null id stay, and so do rows that link with nothing.
+    """
+    found = near_copies(frame, id_column, text_column)
+    leaves = found.where("component_id < id").select(F.col("id").alias("_leaves")).distinct()
+    return frame.join(leaves, frame[id_column] == leaves["_leaves"], "left_anti")
+
+
 def _members(sets: DataFrame, points: DataFrame) -> DataFrame:
     """Every row of ``sets`` with ``point``, the least id that has an equal set; null without shingles or id."""
     keys = points.select("set_key", F.col("id").alias("point"))
@@ -365,19 +415,25 @@ def _repeated_ids(members: DataFrame) -> DataFrame:
 
 def _pairs_with_least(cells: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each cell's least point against its other points, where the bound allows a link."""
-    fits = F.lit(100) * F.least("size", "low_size") >= F.lit(PERCENT) * F.greatest("size", "low_size")
+    fits = F.abs(F.col("size") - F.col("low_size")) <= 1
     pairs = cells.where((F.col("id") != F.col("low")) & fits).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda name: vectors.select(F.col("id").alias(name), F.struct("n_shingles", "counts").alias(f"of_{name}"))
     return map_batches(pairs.join(side("b"), "b").join(side("a"), "a"), _bounded, "a long, b long").distinct()
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, 4096):
         sides = [batch.column(name) for name in ("of_a", "of_b")]
         n, m = (side.field("n_shingles").to_numpy() for side in sides)
-        x, y = (np.frombuffer(b"".join(side.field("counts").to_pylist()), np.uint32).reshape(-1, GROUPS) for side in sides)
-        bound = np.minimum(x, y).sum(1, dtype=np.int64)
-        fits = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * bound >= PERCENT * (n + m))
+        x, y = (side.field("counts").to_pylist() for side in sides)
+        widths = [np.array([len(count) // 2 for count in counts]) for counts in (x, y)]
+        fits = np.zeros(len(n), bool)
+        for p, q in {*zip(*(width.tolist() for width in widths))}:
+            if max(p, q) <= 2 * min(p, q):
+                at = np.flatnonzero((widths[0] == p) & (widths[1] == q))
+                one, two = _matrix([x[k] for k in at], p), _matrix([y[k] for k in at], q)
+                one, two = rtree.folded(one, min(p, q)), rtree.folded(two, min(p, q))
+                fits[at] = rtree.may_link(one, two, n[at], m[at], PERCENT)
         yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 

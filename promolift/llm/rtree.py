@@ -1,52 +1,57 @@
-"""An R-tree over vectors of group counts, joined with itself under the overlap bound.
+"""R-trees over vectors of group counts, joined under the overlap bound.
 
 A point is a set's number of elements per hash group. Two sets share at most the sum over all groups of the smaller
 count; a box of points is bounded by its largest count per group. A pair of boxes or points that stays below the
-overlap which a similarity asks for is left out with everything in it.
+overlap which a similarity asks for is left out with everything in it, and so is a pair within one component.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 
 LEAF = 24
 
 
+class Points(NamedTuple):
+    ids: np.ndarray
+    sizes: np.ndarray
+    labels: np.ndarray
+    counts: np.ndarray
+
+    def where(self, chosen: np.ndarray) -> Points:
+        return Points(*(values[chosen] for values in self))
+
+
 @dataclass
 class Node:
-    points: np.ndarray
+    own: Points
     high: np.ndarray
     least: int
     most: int
-    component: int | None
+    label: int | None
     parts: tuple[Node, Node] | None
 
 
-def build(points: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Node:
+def build(points: Points) -> Node:
     """Bulk load: split at the median of the widest group until a leaf's worth is left."""
-    own = labels[points]
     parts = None
-    if len(points) > LEAF:
-        spread = counts[points].max(0).astype(np.int64) - counts[points].min(0)
+    high = points.counts.max(0)
+    if len(points.ids) > LEAF:
+        spread = high - points.counts.min(0)
         axis = int(spread.argmax())
-        by = counts[points, axis] if spread[axis] else sizes[points]
-        order = points[np.argsort(by, kind="stable")]
+        order = np.argsort(points.counts[:, axis] if spread[axis] else points.sizes, kind="stable")
         middle = len(order) // 2
-        parts = (build(order[:middle], counts, sizes, labels), build(order[middle:], counts, sizes, labels))
-    return Node(
-        points,
-        counts[points].max(0),
-        int(sizes[points].min()),
-        int(sizes[points].max()),
-        int(own[0]) if (own == own[0]).all() else None,
-        parts,
-    )
+        parts = (build(points.where(order[:middle])), build(points.where(order[middle:])))
+    one = (points.labels == points.labels[0]).all()
+    label = int(points.labels[0]) if one else None
+    return Node(points, high, int(points.sizes.min()), int(points.sizes.max()), label, parts)
 
 
 def _may_meet(a: Node, b: Node, percent: int) -> bool:
-    if a.component is not None and a.component == b.component:
+    if a.label is not None and a.label == b.label:
         return False
     if 100 * a.most < percent * b.least or 100 * b.most < percent * a.least:
         return False
@@ -54,48 +59,52 @@ def _may_meet(a: Node, b: Node, percent: int) -> bool:
     return (100 + percent) * bound >= percent * (a.least + b.least)
 
 
-def self_join(
-    counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, left: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points with different labels whose bound allows a Jaccard similarity of ``percent`` / 100.
+def join(left: Points, right: Points | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pairs with different labels whose bound allows a Jaccard similarity of ``percent`` / 100.
 
-    With ``left`` (a mask), only pairs of one point inside it and one outside.
+    One point of each side, or two of ``left`` where ``right`` is None. Both sides have the same groups.
     """
-    everything = np.arange(len(sizes))
-    if left is None:
-        root = build(everything, counts, sizes, labels)
-        stack = [(root, root)]
-    else:
-        stack = [(build(everything[left], counts, sizes, labels), build(everything[~left], counts, sizes, labels))]
-    firsts, seconds = [], []
+    firsts, seconds = [left.ids[:0]], [left.ids[:0]]
+    root = build(left)
+    stack = [(root, root if right is None else build(right))]
     while stack:
         a, b = stack.pop()
         if not _may_meet(a, b, percent):
             continue
         if a.parts is None and b.parts is None:
-            i, j = _leaf_pairs(a.points, b.points, counts, sizes, labels, percent, a is b)
-            firsts.append(i)
-            seconds.append(j)
+            i, j = _leaf_pairs(a.own, b.own, percent, a is b)
+            firsts.append(a.own.ids[i])
+            seconds.append(b.own.ids[j])
         elif a is b:
             one, two = a.parts
             stack += [(one, one), (two, two), (one, two)]
-        elif b.parts is None or (a.parts is not None and len(a.points) >= len(b.points)):
+        elif b.parts is None or (a.parts is not None and len(a.own.ids) >= len(b.own.ids)):
             stack += [(part, b) for part in a.parts]
         else:
             stack += [(a, part) for part in b.parts]
-    if not firsts:
-        return everything[:0], everything[:0]
     return np.concatenate(firsts), np.concatenate(seconds)
 
 
-def _leaf_pairs(left, right, counts, sizes, labels, percent, same):
-    n, m = sizes[left][:, None], sizes[right][None, :]
-    fits = (labels[left][:, None] != labels[right][None, :]) & (100 * n >= percent * m) & (100 * m >= percent * n)
+def _leaf_pairs(left: Points, right: Points, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    n, m = left.sizes[:, None], right.sizes[None, :]
+    fits = (left.labels[:, None] != right.labels[None, :]) & (100 * n >= percent * m) & (100 * m >= percent * n)
     if same:
         fits &= np.triu(np.ones(fits.shape, bool), 1)
     i, j = np.nonzero(fits)
-    if len(i):
-        bound = np.minimum(counts[left[i]], counts[right[j]]).sum(1, dtype=np.int64)
-        meets = (100 + percent) * bound >= percent * (sizes[left[i]] + sizes[right[j]])
-        i, j = i[meets], j[meets]
-    return left[i], right[j]
+    meets = may_link(left.counts[i], right.counts[j], left.sizes[i], right.sizes[j], percent)
+    return i[meets], j[meets]
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Row by row, whether sizes and summed coordinate minima allow the similarity."""
+    bound = np.minimum(x, y).sum(1, dtype=np.int64)
+    similar = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return similar & ((100 + percent) * bound >= percent * (n + m))
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same points with fewer groups, a power of two times fewer; group numbers are taken modulo ``groups``."""
+    while counts.shape[1] > groups:
+        half = counts.shape[1] // 2
+        counts = counts[:, :half] + counts[:, half:]
+    return counts

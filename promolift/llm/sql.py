@@ -2,8 +2,59 @@
 
 from __future__ import annotations
 
+from promolift.llm.url_rules import RULES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WARC = """
+WITH payloads AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages
+), firsts AS (
+  SELECT digest, min(page_id) AS page_id FROM payloads WHERE bytes >= 100 GROUP BY digest
+)
+SELECT p.page_id, CAST(p.bytes AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN f.page_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.page_id <> p.page_id THEN f.page_id END AS refers_to
+FROM payloads p LEFT JOIN firsts f ON f.digest = p.digest AND p.bytes >= 100
+"""
+
+EXACT = """
+WITH digests AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM digests WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+# Hit words are those inside an occurrence: a word is hit if a window starts at most its length before it.
+CONTAMINATION = f"""
+WITH item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, w[i:least(i + 9, len(w))] AS words, least(10, len(w)) AS size
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), starts AS (
+  SELECT r, i, w[i:i + size - 1] AS words, size
+  FROM (SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM doc_words, sizes WHERE len(w) >= size)
+), found AS MATERIALIZED (
+  SELECT r, i, s.size, item_id FROM starts s JOIN windows n ON s.words = n.words AND s.size = n.size
+), hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit
+  FROM (SELECT r, unnest(generate_series(i, i + size - 1)) AS place FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+  FROM found GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
 
 def near_copies(documents: str) -> str:
     """Common table expressions up to ``near``: doc_id, n_shingles and component_id of each row of ``documents``."""
@@ -32,7 +83,66 @@ words AS MATERIALIZED (
 )"""
 
 
+def _conversations() -> str:
+    """Digests of the turns and targets as they were put in; only the formatted length depends on the template.
+
+    A turn's form is ``<s>[INST] role [/INST]text</s>``, which adds 22 characters, and one for each control string.
+    """
+    control = "(s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>)"
+    escapes = f"len(regexp_extract_all({{0}}, '[<\\[]\\\\*{control}'))"
+    cost = "ceil(strlen(text) / 4) + 4"
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed AS (
+  SELECT *, row_number() OVER o AS place, coalesce(sum({cost}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts,
+         length(role) + length(text) + 22 + {escapes.format("role")} + {escapes.format("text")} AS chars
+  FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), spans AS (
+  SELECT *, CAST(floor(starts / 512) AS BIGINT) AS span FROM placed
+), heads AS (
+  SELECT conv_id, span, min(starts) AS begins FROM spans GROUP BY conv_id, span
+), repeats AS (
+  SELECT s.conv_id, sum(s.chars) AS chars FROM spans s JOIN heads h ON h.conv_id = s.conv_id AND h.span > s.span
+  WHERE s.starts >= h.begins - 128 OR (s.place = 1 AND s.role = 'system') GROUP BY s.conv_id
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(spans.chars) + coalesce(max(repeats.chars), 0) AS BIGINT) AS formatted_chars
+FROM spans LEFT JOIN repeats USING (conv_id) GROUP BY conv_id
+"""
+
+
+def _url_rules() -> str:
+    """Verdicts by rule; pages without canonical or refresh links have no aliases, so the rest is allowed."""
+    ranked = sorted(RULES, key=lambda rule: -len(rule.host + rule.path))
+    fits = [
+        (f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')", rule)
+        for rule in ranked
+    ]
+    rule = " ".join(f"WHEN {test} THEN '{one.host}{one.path}'" for test, one in fits)
+    verdict = " ".join(f"WHEN {test} THEN '{one.verdict}'" for test, one in fits)
+    host = _LOWER.format("regexp_extract(rest, '^[^/?#]*')")
+    return f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, {host} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
+        "op2_warc": WARC,
+        "op3_chat": _conversations(),
+        "op6_exact_dedup": EXACT,
+        "op7_decontaminate": CONTAMINATION,
+        "op8_url_rules": _url_rules(),
         "op9_ngram_jaccard": f"WITH RECURSIVE {near_copies('documents')} SELECT * FROM near",
     }
