@@ -18,6 +18,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,13 @@ ORDINARY_SAMPLE = 6000
 SAMPLE_WINDOWS = 100
 COMMON_RUNS = 6000
 COVER = 4
+LEAST_TEXTS = 5
+FOLDS = 4
 THRESHOLD = 0.7
 
+#: In front of every window and at the end of both dictionaries. It makes every window worth compressing: zstandard
+#: stores a block as it is unless that saves some bytes, which would hide a single match.
+_PREAMBLE = bytes(range(1, 25)) * 2
 _PLAIN = bytes(byte + 32 if 65 <= byte <= 90 else max(byte, 32) for byte in range(256))
 _WORD = re.compile(rb" [^ ]+")
 
@@ -72,7 +78,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         write_checksum=False,
         write_dict_id=False,
     )
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary = zstandard.ZstdCompressionDict(content + _PREAMBLE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
@@ -94,7 +100,7 @@ class Model:
 
     def features(self, own: list[bytes]) -> list[float]:
         ordinary, toxic = (one.compress for one in _compressors(self.ordinary, self.toxic))
-        gains = np.array([len(ordinary(window)) - len(toxic(window)) for window in own])
+        gains = np.array([len(ordinary(window)) - len(toxic(window)) for window in map(_PREAMBLE.__add__, own)])
         return [
             float(min(gains.max(), 6)),
             *(float(np.log1p((gains >= least).sum())) for least in (1, 2, 3)),
@@ -118,7 +124,7 @@ def common_runs(ordinary: Counter) -> bytes:
 def telling_runs(toxic: list[set[bytes]], words: Counter, ordinary: Counter, n_ordinary: int) -> list[bytes]:
     """Byte strings that mark toxic texts, by greedy cover."""
     counts = Counter(run for own in toxic for run in own)
-    least = max(3, 0.01 * len(toxic))
+    least = max(LEAST_TEXTS, 0.01 * len(toxic))
     odds = {run: n / len(toxic) / ((ordinary[run] + 0.5) / n_ordinary) for run, n in counts.items() if n >= least}
     odds = {run: ratio for run, ratio in odds.items() if ratio >= 20}
     texts = defaultdict(list)
@@ -165,22 +171,40 @@ def _calibrated(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, n
     return center, spread, weights
 
 
+class _Texts:
+    """The different texts of one class, as windows and as runs."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.texts = texts
+        self.runs = [_runs(own) for own in texts]
+        self.words = [set(_WORD.findall(b"".join(own))) for own in texts]
+
+
+def _dictionaries(ordinary: _Texts, toxic: _Texts, without: int | None = None) -> Model:
+    """Both dictionaries, from all texts or from those outside a fold."""
+    inside = lambda values: [one for at, one in enumerate(values) if at % FOLDS != without]
+    common = Counter(chain.from_iterable(inside(ordinary.runs)))
+    words = Counter(chain.from_iterable(inside(toxic.words)))
+    base = common_runs(common)
+    telling = telling_runs(inside(toxic.runs), words, common, len(inside(ordinary.texts)))
+    return Model(base, base + b"\0".join(reversed(telling)))
+
+
 def fit(sample: list[tuple[list[bytes], int]]) -> Model:
-    """Dictionaries from every other different text of each class, calibration on the rest."""
+    """Dictionaries from all different texts; the calibration sees each text as dictionaries without its fold do."""
     unique = {b"\n".join(own): (own, label) for own, label in sample}
-    sides = {label: [own for _, (own, found) in sorted(unique.items()) if found == label] for label in (0, 1)}
-    if min(len(own) for own in sides.values()) < 2:
+    sides = [_Texts([own for _, (own, found) in sorted(unique.items()) if found == label]) for label in (0, 1)]
+    if min(len(side.texts) for side in sides) < FOLDS:
         return Model(b"", b"")
-    ordinary = Counter(run for own in sides[0][::2] for run in _runs(own))
-    toxic = [_runs(own) for own in sides[1][::2]]
-    words = Counter(word for own in sides[1][::2] for word in set(_WORD.findall(b"".join(own))))
-    base = common_runs(ordinary)
-    telling = telling_runs(toxic, words, ordinary, len(sides[0][::2]))
-    model = Model(base, base + b"\0".join(reversed(telling)))
-    rest = [(own, label) for label in (0, 1) for own in sides[label][1::2]]
-    features = np.array([model.features(own) for own, _ in rest])
-    fitted = _calibrated(features, np.array([label for _, label in rest], float))
-    return Model(model.ordinary, model.toxic, *(tuple(values.tolist()) for values in fitted))
+    features, labels = [], []
+    for fold in range(FOLDS):
+        model = _dictionaries(*sides, without=fold)
+        for label, side in enumerate(sides):
+            features += [model.features(own) for own in side.texts[fold::FOLDS]]
+            labels += [label] * (len(features) - len(labels))
+    fitted = _calibrated(np.array(features), np.array(labels, float))
+    whole = _dictionaries(*sides)
+    return Model(whole.ordinary, whole.toxic, *(tuple(values.tolist()) for values in fitted))
 
 
 def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
