@@ -38,12 +38,6 @@ class LiftConfig:
     size_bands: tuple[tuple[int, str], ...] = ((150_000, "Large"), (70_000, "Medium"))
     smallest_band: str = "Small"
 
-    # A league (one row per store or department) is ranked in a single task only
-    # after its row count was seen to be at most this; larger ones rank in bins of
-    # about this size, of which there are at most so many.
-    single_task_rank_rows: int = 1_000_000
-    rank_bins: int = 128
-
     @property
     def type_numbers(self) -> range:
         return range(1, len(self.spend_columns) + 1)

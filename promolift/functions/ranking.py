@@ -2,54 +2,37 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.config import LiftConfig
 from promolift.functions.columns import ROWS, aggregate
-from promolift.sources.staging import materialize
 
 
-def _within(columns) -> str:
-    return f"PARTITION BY {', '.join(columns)} " if columns else ""
+def _over(within, order: str = "") -> str:
+    parts = f"PARTITION BY {', '.join(within)} " if within else ""
+    return f"OVER ({parts}{order})"
 
 
 def rank_over(value: str, within: tuple[str, ...] = ()) -> str:
     """Descending RANK() by window. For groups bounded by the number of types."""
-    return f"rank() OVER ({_within(within)}ORDER BY {value} DESC)"
-
-
-def rank_league(
-    league: DataFrame, value: str, ranks: dict[str, tuple[str, ...]], config: LiftConfig
-) -> DataFrame:
-    """Descending RANK() over one row per store or department.
-
-    ``ranks`` maps an output column to the columns it is ranked within. The
-    league is stored once, so its size is known and nothing above it is computed
-    again. Up to ``single_task_rank_rows`` rows a window does; beyond, the ranks
-    are computed in bins of about that size.
-    """
-    league = materialize(league, "league")
-    bins = min(config.rank_bins, ceil(league.count() / config.single_task_rank_rows))
-    if bins <= 1:
-        return league.selectExpr("*", *[f"{rank_over(value, within)} AS {name}" for name, within in ranks.items()])
-    for name, within in ranks.items():
-        league = rank_in_bins(league, name, value, within, bins)
-    return league
+    return f"rank() {_over(within, f'ORDER BY {value} DESC')}"
 
 
-def rank_in_bins(frame: DataFrame, name: str, value: str, within: tuple[str, ...], bins: int) -> DataFrame:
-    """Descending RANK() without a task that sees all rows.
+def rank_league(league: DataFrame, value: str, ranks: dict[str, tuple[str, ...]], bins: int | None = None) -> DataFrame:
+    """Descending RANK() over one row per store or department, without a task that sees all rows.
 
-    The distinct values are cut into bins at approximate quantiles. Bins follow
-    the order of the values and equal values share a bin, so the result is exact
+    ``ranks`` maps an output column to the columns it is ranked within. Nothing
+    runs until the result is acted on, and every size takes the same path: the
+    distinct values are cut into bins at approximate quantiles. Bins follow the
+    order of the values and equal values share a bin, so the result is exact
     however rough the quantiles are: rank = 1 + rows in higher bins + rows with a
-    higher value in the same bin. A value shared by many rows is one row here.
+    higher value in the same bin. A value shared by many rows is one row here, and
+    all ranks come from one table of such rows. There are as many bins as shuffle
+    partitions, so that a bin is what a task is expected to hold.
     """
-    keys = list(within)
-    ties = aggregate(frame, [*keys, value], {"_rows": ROWS})
+    bins = bins or max(2, int(league.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = sorted({key for within in ranks.values() for key in within})
+    ties = aggregate(league, [*keys, value], {"_rows": ROWS})
     fractions = [step / bins for step in range(1, bins)]
     cuts = ties.select(F.percentile_approx(value, fractions, 10 * bins)).scalar()
     binned = ties.withColumn("_cuts", cuts).selectExpr(
@@ -58,17 +41,25 @@ def rank_in_bins(frame: DataFrame, name: str, value: str, within: tuple[str, ...
         "_rows",
         f"if({value} IS NULL, {bins}, size(filter(_cuts, cut -> cut > {value}))) AS _bin",
     )
-    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    upto = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     ahead_of_bin = aggregate(binned, [*keys, "_bin"], {"_bin_rows": "sum(_rows)"}).selectExpr(
-        *keys,
-        "_bin",
-        f"coalesce(sum(_bin_rows) OVER ({_within(keys)}ORDER BY _bin {before}), 0) AS _ahead",
-    )
-    places = binned.join(ahead_of_bin, [*keys, "_bin"]).selectExpr(
         *[f"{key} AS _{key}" for key in keys],
+        "_bin AS _of_bin",
+        *[
+            f"sum(_bin_rows) {_over(within, f'ORDER BY _bin {upto}')} - sum(_bin_rows) {_over([*within, '_bin'])}"
+            f" AS _ahead_{name}"
+            for name, within in ranks.items()
+        ],
+    )
+    same_bin = " AND ".join(["_bin = _of_bin", *[f"{key} <=> _{key}" for key in keys]])
+    places = binned.join(ahead_of_bin, F.expr(same_bin)).selectExpr(
+        *[f"_{key}" for key in keys],
         f"{value} AS _value",
-        f"1 + _ahead + coalesce(sum(_rows) OVER ({_within([*keys, '_bin'])}"
-        f"ORDER BY {value} DESC {before}), 0) AS {name}",
+        *[
+            f"1 + _ahead_{name} + sum(_rows) {_over([*within, '_bin'], f'ORDER BY {value} DESC {upto}')}"
+            f" - sum(_rows) {_over([*within, '_bin', value])} AS {name}"
+            for name, within in ranks.items()
+        ],
     )
     same = " AND ".join([f"{value} <=> _value", *[f"{key} <=> _{key}" for key in keys]])
-    return frame.join(places, F.expr(same)).select(*frame.columns, name)
+    return league.join(places, F.expr(same)).select(*league.columns, *ranks)

@@ -44,7 +44,7 @@ def dept_league(store_dept: DataFrame, config: LiftConfig) -> DataFrame:
     ranks = {"dept_rank": (), "rank_among_material": ("materiality",)}
     columns = {"dept": "dept", "stores": "stores", "baseline_sales": whole("baseline")} | _REPORTED
     return (
-        rank_league(league, "per_dollar", ranks, config)
+        rank_league(league, "per_dollar", ranks)
         .selectExpr(*named(columns), "materiality", *ranks)
         .orderBy("materiality", F.desc("sales_lift_per_allocated_dollar"), "dept")
     )
@@ -73,7 +73,7 @@ def dept_by_type_top(store_dept: DataFrame, config: LiftConfig) -> DataFrame:
         "sales_lift_per_allocated_dollar": rounded("per_dollar", 2),
         "best_type_in_dept": rank_over("per_dollar", ("dept",)),
     }
-    return rated.selectExpr(*named(columns)).orderBy("dept", "best_type_in_dept")
+    return rated.selectExpr(*named(columns)).orderBy("dept", "best_type_in_dept", "markdown_type")
 
 
 def dept_cut_list(store_dept: DataFrame, config: LiftConfig) -> DataFrame:

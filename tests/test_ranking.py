@@ -1,13 +1,8 @@
 from __future__ import annotations
 
-import dataclasses
-from collections import Counter
-
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from promolift.config import LiftConfig
 from promolift.functions import ranking
 
 VALUES = st.one_of(
@@ -31,8 +26,7 @@ def _check(spark, rows, bins):
     frame = spark.createDataFrame(
         [(i, group, value) for i, (group, value) in enumerate(rows)], "id INT, team STRING, score DOUBLE"
     )
-    overall = ranking.rank_in_bins(frame, "place", "score", (), bins)
-    ranked = ranking.rank_in_bins(overall, "team_place", "score", ("team",), bins)
+    ranked = ranking.rank_league(frame, "score", {"place": (), "team_place": ("team",)}, bins)
     found = sorted((row.id, row.place, row.team_place) for row in ranked.collect())
     everyone = _expected([("", value) for _, value in rows])
     assert found == [(i, everyone[i], place) for i, place in enumerate(_expected(rows))]
@@ -50,16 +44,11 @@ def test_a_third_of_the_rows_may_share_a_value(spark):
     _check(spark, [("AB"[n % 2], 7.0 if n % 3 == 0 else float(n % 50)) for n in range(600)], 16)
 
 
-@pytest.mark.parametrize("limit, bins_used", [(1_000_000, 0), (2, 2)])
-def test_size_decides_how_a_league_is_ranked(spark, monkeypatch, limit, bins_used):
-    calls = Counter()
-    original = ranking.rank_in_bins
-    monkeypatch.setattr(ranking, "rank_in_bins", lambda *args: calls.update(bins=1) or original(*args))
-    config = dataclasses.replace(LiftConfig(), single_task_rank_rows=limit, rank_bins=4)
+def test_leagues_are_ranked_as_the_queries_rank_them(spark):
     league = spark.createDataFrame(
         [(1, "A", 3.0), (2, "A", 5.0), (3, "B", 3.0), (4, "B", None)], "id INT, team STRING, score DOUBLE"
     )
-    ranked = ranking.rank_league(league, "score", {"place": (), "team_place": ("team",)}, config)
+    ranked = ranking.rank_league(league, "score", {"place": (), "team_place": ("team",)})
     found = sorted((row.id, row.place, row.team_place) for row in ranked.collect())
     assert found == [(1, 2, 2), (2, 1, 1), (3, 2, 1), (4, 4, 2)]
-    assert calls["bins"] == bins_used
+    assert ranking.rank_league(league.limit(0), "score", {"place": ()}).collect() == []
