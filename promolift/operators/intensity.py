@@ -6,37 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import ROWS, aggregate, as_double, count_where, named, per_type, percent, ratio, rounded
+from promolift.functions.columns import (
+    ROWS,
+    aggregate,
+    as_double,
+    count_where,
+    flag,
+    named,
+    per_type,
+    percent,
+    ratio,
+    rounded,
+)
 from promolift.functions.ranking import rank_over
 from promolift.operators.base import spend_name
 
 
-def _tiled(frame: DataFrame, keep: list[str], ties: str, config: LiftConfig) -> DataFrame:
-    """Weeks of each store and type cut into tiles by spend.
+def _tiled(frame: DataFrame, ties: str, config: LiftConfig) -> DataFrame:
+    """Weeks of each store cut into tiles by each type's spend, ``tile1`` and so on.
 
-    The group is the window's weeks of one store, so it does not grow with the
-    data. Equal spends are ordered by week, which makes the cut repeatable.
+    All windows share one shuffle by store, and types stay columns. The group is
+    the window's weeks of one store, so it does not grow with the data. Equal
+    spends are ordered by week, which makes the cut repeatable.
     """
-    long = per_type(frame, keep, {"spend": [spend_name(k) for k in config.type_numbers]}, config)
-    return long.selectExpr(
-        "*", f"ntile({config.tiles}) OVER (PARTITION BY store, type_no ORDER BY spend, {ties}) AS tile"
-    )
+    tiles = {
+        f"tile{k}": f"ntile({config.tiles}) OVER (PARTITION BY store ORDER BY {spend_name(k)}, {ties})"
+        for k in config.type_numbers
+    }
+    return frame.selectExpr("*", *named(tiles))
 
 
 def _contrast(effect: DataFrame, config: LiftConfig) -> DataFrame:
     """Top against bottom tile per store and type, in one conditional aggregation.
 
     A missing tile leaves its sums NULL, which the baseline filter drops, as an
-    inner join of the two tiles would.
+    inner join of the two tiles would. Types become rows only after the sums.
     """
-    keep = ["store", "week", "sales_holiday", "sales_window", "sales_baseline"]
-    tiled = _tiled(effect, keep, "week, sales_holiday", config).filter(f"tile IN (1, {config.tiles})")
-    sums = {
-        f"{side}_{name}": f"sum(CASE WHEN tile = {tile} THEN {column} END)"
+    tiled = _tiled(effect, "week, sales_holiday", config)
+    names = {
+        f"{side}_{name}": (tile, column)
         for side, tile in (("top", config.tiles), ("low", 1))
-        for name, column in (("spend", "spend"), ("sales", "sales_window"), ("base", "sales_baseline"))
+        for name, column in (("spend", ""), ("sales", "sales_window"), ("base", "sales_baseline"))
+    }
+    sums = {
+        f"{name}_{k}": f"sum(CASE WHEN tile{k} = {tile} THEN {column or spend_name(k)} END)"
+        for name, (tile, column) in names.items()
+        for k in config.type_numbers
     }
-    sides = aggregate(tiled, ["store", "type_no", "markdown_type"], sums).filter("low_base > 0 AND top_base > 0")
+    by_store = aggregate(tiled, ["store"], sums)
+    values = {name: [f"{name}_{k}" for k in config.type_numbers] for name in names}
+    sides = per_type(by_store, ["store"], values, config).filter("low_base > 0 AND top_base > 0")
     own_trend = ratio("low_sales", "low_base")
     return sides.selectExpr(
         "store",
@@ -80,7 +99,7 @@ def marginal_lift(effect: DataFrame, config: LiftConfig) -> DataFrame:
         | {"stores_positive": "stores_positive", "marginal_rank": rank_over("per_dollar")}
     )
     by_type = _by_type(_contrast(effect, config))
-    return by_type.selectExpr(*named(columns)).orderBy(F.desc("marginal_lift_per_dollar"))
+    return by_type.selectExpr(*named(columns)).orderBy(F.desc("marginal_lift_per_dollar"), "markdown_type")
 
 
 def marginal_lift_ex_holiday(effect: DataFrame, config: LiftConfig) -> DataFrame:
@@ -93,30 +112,26 @@ def marginal_lift_ex_holiday(effect: DataFrame, config: LiftConfig) -> DataFrame
         | {"marginal_rank_ex_holiday": rank_over("per_dollar")}
     )
     by_type = _by_type(_contrast(effect.filter("is_holiday = 0"), config))
-    return by_type.selectExpr(*named(columns)).orderBy(F.desc("marginal_lift_per_dollar_ex_holiday"))
+    return by_type.selectExpr(*named(columns)).orderBy(F.desc("marginal_lift_per_dollar_ex_holiday"), "markdown_type")
 
 
 def intensity_confound(spend: DataFrame, config: LiftConfig) -> DataFrame:
-    """In a type's heaviest weeks, how many other types are at their heaviest too.
-
-    The second window spans the types of one store-week.
-    """
-    heavy = f"tile = {config.tiles}"
-    weeks = (
-        _tiled(spend, ["store", "week"], "week", config)
-        .selectExpr("*", f"sum(if({heavy}, 1, 0)) OVER (PARTITION BY store, week) AS heavy_types")
-        .filter(heavy)
-    )
-    return (
-        aggregate(
-            weeks,
-            ["type_no", "markdown_type"],
-            {
-                "top_tertile_store_weeks": ROWS,
-                "avg_other_types_also_high": rounded("avg(heavy_types - 1)", 2),
-                "pct_weeks_this_type_alone_high": rounded(percent(count_where("heavy_types = 1"), ROWS), 1),
-            },
-        )
-        .drop("type_no")
-        .orderBy("avg_other_types_also_high", "markdown_type")
-    )
+    """In a type's heaviest weeks, how many other types are at their heaviest too."""
+    heavy = {k: f"tile{k} = {config.tiles}" for k in config.type_numbers}
+    weeks = _tiled(spend, "week", config).selectExpr("*", f"{' + '.join(map(flag, heavy.values()))} AS heavy_types")
+    sums = {}
+    for k, is_heavy in heavy.items():
+        sums |= {
+            f"weeks_{k}": count_where(is_heavy),
+            f"others_{k}": rounded(f"avg(CASE WHEN {is_heavy} THEN heavy_types - 1 END)", 2),
+            f"alone_{k}": count_where(f"{is_heavy} AND heavy_types = 1"),
+        }
+    values = {name: [f"{name}_{k}" for k in config.type_numbers] for name in ("weeks", "others", "alone")}
+    columns = {
+        "markdown_type": "markdown_type",
+        "top_tertile_store_weeks": "weeks",
+        "avg_other_types_also_high": "others",
+        "pct_weeks_this_type_alone_high": rounded(percent("alone", "weeks"), 1),
+    }
+    by_type = per_type(aggregate(weeks, [], sums), [], values, config).filter("weeks > 0")
+    return by_type.selectExpr(*named(columns)).orderBy("avg_other_types_also_high", "markdown_type")

@@ -56,7 +56,7 @@ def score_types(by_type: DataFrame, config: LiftConfig, with_validity: bool = Fa
     }
     if with_validity:
         columns["index_valid"] = "coalesce(pooled, 0D) > 0"
-    return scored.selectExpr(*named(columns)).orderBy(F.desc("sales_lift_per_dollar"))
+    return scored.selectExpr(*named(columns)).orderBy(F.desc("sales_lift_per_dollar"), "markdown_type")
 
 
 def scorecard_by_type(
@@ -105,7 +105,7 @@ def store_league(effect: DataFrame, stores: DataFrame, config: LiftConfig) -> Da
         "md_spend_pct_of_baseline": rounded(percent("spend", "baseline"), 2),
         "store_rank": "store_rank",
     }
-    ranked = rank_league(described, "per_dollar", {"store_rank": ()}, config)
+    ranked = rank_league(described, "per_dollar", {"store_rank": ()})
     return ranked.selectExpr(*named(columns)).orderBy(F.desc("sales_lift_per_dollar"), "store")
 
 
@@ -128,7 +128,7 @@ def type_by_format(store_sums: DataFrame, stores: DataFrame, config: LiftConfig)
         "sales_lift_per_dollar": rounded("per_dollar", 2),
         "rank_within_format": rank_over("per_dollar", ("store_format",)),
     }
-    return rated.selectExpr(*named(columns)).orderBy("store_format", F.desc("sales_lift_per_dollar"))
+    return rated.selectExpr(*named(columns)).orderBy("store_format", F.desc("sales_lift_per_dollar"), "markdown_type")
 
 
 def type_by_store(store_sums: DataFrame, stores: DataFrame, config: LiftConfig) -> DataFrame:
@@ -148,4 +148,4 @@ def type_by_store(store_sums: DataFrame, stores: DataFrame, config: LiftConfig)
         "sales_lift_per_dollar": rounded("per_dollar", 2),
         "best_type_rank_in_store": rank_over("per_dollar", ("store",)),
     }
-    return rated.selectExpr(*named(columns)).orderBy("store", "best_type_rank_in_store")
+    return rated.selectExpr(*named(columns)).orderBy("store", "best_type_rank_in_store", "markdown_type")
