@@ -128,13 +128,14 @@ FRAMES = {
 }
 
 _CONTRAST = """
-        WITH sums AS (
-            SELECT store, kind, tile, sum(spend) AS spend, sum(now)::DOUBLE AS now, sum(ago)::DOUBLE AS ago
-            FROM {tiles} GROUP BY store, kind, tile)
-        SELECT t.store, t.kind, t.spend - b.spend AS d_spend, t.now - t.ago * (b.now / b.ago) AS d_sales,
-               t.now / t.ago - 1 AS t_growth, b.now / b.ago - 1 AS b_growth
-        FROM sums t JOIN sums b USING (store, kind)
-        WHERE t.tile = 3 AND b.tile = 1 AND t.ago > 0 AND b.ago > 0"""
+        WITH ends AS (
+            SELECT store, kind, sum(CASE tile WHEN 3 THEN spend WHEN 1 THEN -spend END) AS d_spend,
+                   (sum(now) FILTER (tile = 3))::DOUBLE AS heavy_now, (sum(ago) FILTER (tile = 3))::DOUBLE AS heavy_ago,
+                   (sum(now) FILTER (tile = 1))::DOUBLE AS light_now, (sum(ago) FILTER (tile = 1))::DOUBLE AS light_ago
+            FROM {tiles} GROUP BY store, kind)
+        SELECT store, kind, d_spend, heavy_now - heavy_ago * (light_now / light_ago) AS d_sales,
+               heavy_now / heavy_ago - 1 AS t_growth, light_now / light_ago - 1 AS b_growth
+        FROM ends WHERE heavy_ago > 0 AND light_ago > 0"""
 
 FRAMES["contrast"] = _CONTRAST.format(tiles="tiles")
 FRAMES["normal_contrast"] = _CONTRAST.format(tiles="normal_tiles")
@@ -607,6 +608,24 @@ JOIN (SELECT fmt, sum(credit) AS credit, sum(spend) AS spend
         },
         "FROM lift_facts GROUP BY kind",
     ),
+    "measure_holiday_share": _select(
+        {
+            "markdown_type": LABEL,
+            "spend": num("sum(spend)"),
+            "holiday_spend": num("sum(spend_h)"),
+            "holiday_share_pct": rnd(pct("sum(spend_h)", "sum(spend)"), 1),
+        },
+        "FROM spend_facts GROUP BY kind",
+    ),
+    "check_baseline_spend": _select(
+        {
+            "store_weeks": "count(*)",
+            "with_spend": big("coalesce(sum((spent > 0)::INTEGER), 0)"),
+            "spend": rnd("coalesce(sum(spent), 0)", 2),
+        },
+        f"""FROM (SELECT {each("greatest(coalesce(m#, 0), 0) AS p#")}, {each("p#", " + ")} AS spent FROM spending
+             WHERE week >= DATE '2000-01-03' - 364 AND week < DATE '2001-01-01' - 364)""",
+    ),
     # Profiles, integrity, reconciliation
     "load_report": """SELECT 'train' AS table_name, count(*) AS rows FROM sales
 UNION ALL SELECT 'features', count(*) FROM spending
@@ -669,7 +688,10 @@ FROM (SELECT count(DISTINCT h) AS flags FROM sales WHERE {WINDOW} GROUP BY store
             "zero_spend_lift": num("coalesce(sum(lift) FILTER (spent = 0), 0)"),
             "no_spend_row_lift": num("coalesce(sum(lift) FILTER (spent IS NULL), 0)"),
             "total_yoy_lift": num("coalesce(sum(lift), 0)"),
-            "gap": "0.0::DOUBLE",
+            "gap": num(
+                "coalesce(sum(lift), 0) - coalesce(sum(lift) FILTER (spent > 0), 0)"
+                " - coalesce(sum(lift) FILTER (spent = 0), 0) - coalesce(sum(lift) FILTER (spent IS NULL), 0)"
+            ),
         },
         "FROM store_weeks LEFT JOIN paid USING (store, week)",
     ),

@@ -1,43 +1,74 @@
-"""Command line: load CSV inputs, print reports, export the additive facts.
+"""Command line: load CSV inputs, write reports, export the additive facts.
 
     python -m promolift load   <csv folder> <table folder>
-    python -m promolift report <table folder> scorecard_by_type [name ...]
+    python -m promolift report <table folder> <report folder> scorecard_by_type [name ...]
     python -m promolift export <table folder> <csv folder>
 
-The session is the one the launcher configures; without a launcher it is local.
+Reports are written whole, as CSV with a header, one folder each. Settings are
+options named like those of ``LiftConfig``, e.g. ``--window-start 2011-11-01
+--drift-rate 0.05 --spend-columns MarkDown1,MarkDown2``. The session is the one
+the launcher configures; without a launcher it is local.
 """
 
 from __future__ import annotations
 
+import argparse
+import dataclasses
 import sys
+from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import SparkSession
 
+from promolift.config import LiftConfig
 from promolift.plans.model import LiftModel, Tables
 from promolift.plans.registry import FRAMES, REPORTS, report
 from promolift.sources import files
 
 
+def _names(text: str) -> tuple[str, ...]:
+    return tuple(text.split(","))
+
+
+def _bands(text: str) -> tuple[tuple[int, str], ...]:
+    """150000:Large,70000:Medium"""
+    pairs = (band.split(":") for band in text.split(","))
+    return tuple((int(size), name) for size, name in pairs)
+
+
+def _reader(default) -> Callable:
+    if isinstance(default, date):
+        return date.fromisoformat
+    if isinstance(default, tuple):
+        return _bands if isinstance(default[0], tuple) else _names
+    return type(default)
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="promolift", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
+    out.add_argument("command", choices=("load", "report", "export"))
+    out.add_argument("source")
+    out.add_argument("target")
+    out.add_argument("names", nargs="*", choices=[[], *FRAMES, *REPORTS], metavar="name")
+    for field in dataclasses.fields(LiftConfig):
+        out.add_argument(f"--{field.name.replace('_', '-')}", type=_reader(field.default), default=field.default)
+    return out
+
+
 def main(arguments: list[str]) -> int:
-    if len(arguments) < 3 or arguments[0] not in ("load", "report", "export"):
-        print(__doc__)
-        return 2
-    command, source, *rest = arguments
-    spark = SparkSession.builder.appName(f"promolift-{command}").getOrCreate()
-    if command == "load":
-        files.replace_tables(files.read_inputs(spark, source), rest[0])
-        files.load_report(files.read_tables(spark, rest[0])).show(truncate=False)
-        return 0
-    model = LiftModel(Tables(**files.read_tables(spark, source)))
-    if command == "export":
-        files.export_csv(model.exports(), rest[0])
+    chosen = parser().parse_args(arguments)
+    config = LiftConfig(**{field.name: getattr(chosen, field.name) for field in dataclasses.fields(LiftConfig)})
+    spark = SparkSession.builder.appName(f"promolift-{chosen.command}").getOrCreate()
+    if chosen.command == "load":
+        files.replace_tables(files.read_inputs(spark, chosen.source, config), chosen.target)
+        for row in files.load_report(files.read_tables(spark, chosen.target)).collect():
+            print(row.table_name, row.rows)
         return 0
-    unknown = [name for name in rest if name not in (*FRAMES, *REPORTS)]
-    if unknown:
-        print(f"unknown: {', '.join(unknown)}; known: {', '.join((*FRAMES, *REPORTS))}")
-        return 2
-    for name in rest:
-        report(model, name).show(100, truncate=False)
+    model = LiftModel(Tables(**files.read_tables(spark, chosen.source)), config).with_stored_pairs()
+    if chosen.command == "export":
+        files.export_csv(model.exports(), chosen.target)
+    else:
+        files.export_csv({name: report(model, name) for name in chosen.names}, chosen.target)
     return 0
 
 

@@ -96,7 +96,7 @@ def clustered(pair: DataFrame) -> DataFrame:
     Reports sum over those weeks, so a scan of the stored copy combines most rows
     before any shuffle.
     """
-    return pair.repartition("store", "dept")
+    return pair.hint("rebalance", "store", "dept")
 
 
 def lift_store_week(pair: DataFrame) -> DataFrame:

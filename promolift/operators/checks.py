@@ -236,6 +236,14 @@ def growth_full(pair: DataFrame) -> DataFrame:
     return _growth(sums, "C5. YoY growth, full window", "yoy_growth_rate")
 
 
+def baseline_spend(features: DataFrame, config: LiftConfig) -> DataFrame:
+    """Spend in the weeks the window is compared with, which the comparison takes to have none."""
+    spend = " + ".join(paid(column) for column in config.spend_columns)
+    weeks = weeks_between(features, config.baseline_start, config.baseline_end).selectExpr(f"{spend} AS spend")
+    sums = {"store_weeks": ROWS, "with_spend": f"coalesce({count_where('spend > 0')}, 0)", "spend": "sum(spend)"}
+    return aggregate(weeks, [], sums).selectExpr("store_weeks", "with_spend", f"{rounded('coalesce(spend, 0)', 2)} AS spend")
+
+
 def join_integrity(train: DataFrame, features: DataFrame) -> DataFrame:
     """Sales rows without a spend row, and sales rows whose holiday flags disagree.
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.functions.columns import aggregate, ratio
+from promolift.functions.columns import aggregate, percent, ratio, rounded
 
 Filters = Mapping[str, Iterable]
 
@@ -81,6 +81,14 @@ def format_type_matrix(fact_spend: DataFrame, dim_store: DataFrame, filters: Fil
     return type_measures(with_store(fact_spend, dim_store), ["store_format", "size_band", TYPE], filters)
 
 
+def holiday_share(fact_spend: DataFrame, dims: list[str], filters: Filters | None = None) -> DataFrame:
+    """Spend, its part in holiday weeks, and that part in percent."""
+    sums = {"spend": "total_spend", "holiday_spend": "total_spend_holiday"}
+    return _sums(fact_spend, dims, sums, filters).selectExpr(
+        *dims, "spend", "holiday_spend", f"{rounded(percent('holiday_spend', 'spend'), 1)} AS holiday_share_pct"
+    )
+
+
 def holiday_split(fact_lift: DataFrame, dims: list[str], filters: Filters | None = None) -> DataFrame:
     """Lift per dollar in holiday and in normal weeks.
 

@@ -24,20 +24,19 @@ VIEWS = {
 
 @dataclass
 class Tables:
-    """The inputs of a model; ``pair`` takes the place of the year-on-year pairs."""
+    """The inputs of a model; the others take the place of what is derived from them:
+    the year-on-year pairs, their store-week sums and their store x department sums."""
 
     train: DataFrame
     features: DataFrame
     stores: DataFrame
     pair: DataFrame | None = None
+    lift: DataFrame | None = None
+    store_dept: DataFrame | None = None
 
 
 class LiftModel:
-    """Lazy frames over the tables.
-
-    Nothing runs until a frame is acted on, except that the two league tables
-    store their totals to learn how many rows they rank.
-    """
+    """Lazy frames over the tables. Nothing runs until a frame is acted on."""
 
     def __init__(self, tables, config: LiftConfig = LiftConfig()):
         self.tables = tables
@@ -56,13 +55,14 @@ class LiftModel:
         return self.tables.stores
 
     def with_stored_pairs(self) -> LiftModel:
-        """The same model over pairs written once to the shared folder.
-
-        For several reports on large sales; the department reports read the pairs
-        twice each.
-        """
-        pair = materialize(self.yoy_pair, "yoy_pair", base.clustered)
-        return LiftModel(Tables(self.train, self.features, self.stores, pair), self.config)
+        """The same model over pairs, and the sums over them that most reports
+        share, written once to the shared folder. For several reports on large sales."""
+        stored = Tables(self.train, self.features, self.stores)
+        stored.pair = materialize(self.yoy_pair, "yoy_pair", base.clustered)
+        over_pairs = LiftModel(stored, self.config)
+        lift = materialize(over_pairs.lift_store_week, "lift_store_week")
+        store_dept = materialize(over_pairs.store_dept, "store_dept")
+        return LiftModel(Tables(self.train, self.features, self.stores, stored.pair, lift, store_dept), self.config)
 
     # Base frames
 
@@ -81,7 +81,8 @@ class LiftModel:
 
     @cached_property
     def lift_store_week(self) -> DataFrame:
-        return base.lift_store_week(self.yoy_pair)
+        stored = self.tables.lift
+        return base.lift_store_week(self.yoy_pair) if stored is None else stored
 
     @cached_property
     def lift_dept_week(self) -> DataFrame:
@@ -97,6 +98,9 @@ class LiftModel:
 
     @cached_property
     def store_dept(self) -> DataFrame:
+        stored = self.tables.store_dept
+        if stored is not None:
+            return stored
         return attribution.store_dept_sums(self.yoy_pair, self.spend_store_week, self.config)
 
     def create_views(self) -> None:
@@ -144,6 +148,9 @@ class LiftModel:
     def check_growth_full(self) -> DataFrame:
         return checks.growth_full(self.yoy_pair)
 
+    def check_baseline_spend(self) -> DataFrame:
+        return checks.baseline_spend(self.features, self.config)
+
     def check_join_integrity(self) -> DataFrame:
         return checks.join_integrity(self.train, self.features)
 
@@ -255,6 +262,9 @@ class LiftModel:
     def measure_format_type(self, filters=None) -> DataFrame:
         return measures.format_type_matrix(self.fact_type_spend, self.dim_store, filters)
 
+    def measure_holiday_share(self, dims=("markdown_type",), filters=None) -> DataFrame:
+        return measures.holiday_share(self._spend_by_store(), list(dims), filters)
+
     def measure_holiday_split(self, dims=("markdown_type",), filters=None) -> DataFrame:
         return measures.holiday_split(self._lift_by_store(), list(dims), filters)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from promolift.functions.columns import ROWS, aggregate, published, rounded
 from promolift.plans.model import LiftModel
 from promolift.sources import files, testdata
-from promolift.sources.staging import job_path, state_of
+from promolift.sources.staging import new_path, state_of
 
 # Frames defined without rounding: the digits to show them with.
 UNROUNDED = {
@@ -51,6 +51,7 @@ REPORTS = (
     "check_pair_coverage",
     "check_drift_zero_spend",
     "check_growth_full",
+    "check_baseline_spend",
     "scorecard_by_type",
     "scorecard_by_type_holiday",
     "scorecard_measured_drift",
@@ -69,6 +70,7 @@ REPORTS = (
     "measure_yoy",
     "measure_format_type",
     "measure_holiday_split",
+    "measure_holiday_share",
     "load_report",
     "profile_tables",
     "profile_formats",
@@ -89,15 +91,26 @@ _models: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
 def model_for(spark: SparkSession, folder: str) -> LiftModel:
-    """One model per session and state of the source files.
+    """One model per session and folder, for the present state of the source files.
 
     Input tables are built on first use: no report pays for one it does not read.
+    When the source files change, what the model had written is deleted.
     """
     models = _models.setdefault(spark, {})
-    slot = state_of(spark, testdata.source_paths(folder))
-    if slot not in models:
-        models[slot] = LiftModel(testdata.StagedTables(spark, folder), testdata.CONFIG)
-    return models[slot]
+    state = state_of(spark, testdata.source_paths(folder))
+    known = models.get(folder)
+    if known is None or known[0] != state:
+        if known is not None:
+            known[1].tables.stage.drop()
+        models[folder] = state, LiftModel(testdata.StagedTables(spark, folder), testdata.CONFIG)
+    return models[folder][1]
+
+
+def _job_path(model: LiftModel, name: str) -> str:
+    """A new folder for a job that writes files; the files of its last run are deleted."""
+    path = new_path(model.tables.spark, name)
+    model.tables.stage.replace(name, path)
+    return path
 
 
 def report(model: LiftModel, name: str) -> DataFrame:
@@ -128,7 +141,7 @@ def _totals(tables: dict[str, DataFrame], amounts: dict[str, str]) -> DataFrame:
 def csv_to_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The inputs as CSV, read with fixed types, stored as tables by year, and counted."""
     model = model_for(spark, folder)
-    target = job_path(spark, "csv_to_tables")
+    target = _job_path(model, "csv_to_tables")
     inputs = {name: getattr(model, name) for name in files.TABLES}
     files.write_inputs(inputs, f"{target}/csv", model.config)
     files.replace_tables(files.read_inputs(spark, f"{target}/csv", model.config, "STRING"), f"{target}/tables")
@@ -140,8 +153,9 @@ def csv_to_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def export_and_reload(spark: SparkSession, folder: str) -> DataFrame:
     """The four exported facts as CSV, read back with their types, and counted."""
-    target = job_path(spark, "export_and_reload")
-    files.export_csv(model_for(spark, folder).exports(), target)
+    model = model_for(spark, folder)
+    target = _job_path(model, "export_and_reload")
+    files.export_csv(model.exports(), target)
     return _totals(
         files.read_exports(spark, target, "STRING"),
         {

@@ -1,48 +1,34 @@
 """Intermediate tables in the shared folder of the cluster.
 
 A written table cuts lineage, survives the loss of executors, and is read back
-with column pruning and filter pushdown. The folder is the session's checkpoint
-folder. A run on one machine without that setting gets a folder of its own; on a
-cluster without it the frames are cached instead, and what an executor takes with
-it is computed again.
+with column pruning and filter pushdown. The folder is the session's
+``spark.checkpoint.dir``, else its warehouse, which executors share as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
 Layout = Callable[[DataFrame], DataFrame]
 
-_staged: dict[tuple, tuple[StructType, str]] = {}
 
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-def shared_folder(spark: SparkSession) -> str | None:
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="promolift-"))
-        folder = context.getCheckpointDir()
-    return folder
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/promolift/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
-def new_path(spark: SparkSession, name: str) -> str | None:
-    folder = shared_folder(spark)
-    if folder is None:
-        return None
-    return f"{folder.rstrip('/')}/promolift/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
-
-def job_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a job whose purpose is to write files."""
-    path = new_path(spark, name)
-    if path is None:
-        raise RuntimeError(f"{name} writes files: set spark.checkpoint.dir to a folder all executors share")
-    return path
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``new_path`` has named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _as_is(frame: DataFrame) -> DataFrame:
@@ -51,45 +37,43 @@ def _as_is(frame: DataFrame) -> DataFrame:
 
 def materialize(frame: DataFrame, name: str, layout: Layout = _as_is) -> DataFrame:
     """The frame read back from a written copy. ``layout`` arranges the rows for it."""
-    spark = frame.sparkSession
-    path = new_path(spark, name)
-    if path is None:
-        return frame.persist()
-    layout(frame).write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return Stage(frame.sparkSession).table(name, lambda: frame, layout)
+
+
+class Stage:
+    """Written tables that belong together and are deleted together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def table(self, name: str, build: Callable[[], DataFrame], layout: Layout = _as_is) -> DataFrame:
+        frame = build()
+        path = new_path(self.spark, name)
+        layout(frame).write.parquet(path)
+        self.replace(name, path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def replace(self, name: str, path: str) -> None:
+        """Own the folder under this name; an earlier one of the name is deleted."""
+        if name in self.paths:
+            delete(self.spark, self.paths[name])
+        self.paths[name] = path
+
+    def drop(self) -> None:
+        for path in self.paths.values():
+            delete(self.spark, path)
+        self.paths.clear()
 
 
 def state_of(spark: SparkSession, paths: Iterable[str]) -> tuple:
-    """Changes when one of the tables is written again.
+    """Changes when any file of the tables is added, removed or written again.
 
-    Looks at each table's file or folder and its success marker only, so the cost
-    does not grow with the number of files. A file edited in place deep inside an
-    otherwise untouched folder goes unnoticed.
+    The files are those that Spark's own listing finds, at any depth, compared by
+    path, length and time; their content is not read.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    configuration = spark._jsc.hadoopConfiguration()
-    state = []
-    for name in paths:
-        files = hadoop.Path(name).getFileSystem(configuration)
-        for part in (name, f"{name}/_SUCCESS"):
-            path = hadoop.Path(part)
-            if files.exists(path):
-                status = files.getFileStatus(path)
-                state.append((part, status.getLen(), status.getModificationTime()))
-    return tuple(state)
-
-
-def stage(
-    spark: SparkSession, name: str, sources: Iterable[str], build: Callable[[], DataFrame], layout: Layout = _as_is
-) -> DataFrame:
-    """``build()`` written once per application and state of the source files."""
-    folder = shared_folder(spark)
-    if folder is None:
-        return build().persist()
-    slot = (spark.sparkContext.applicationId, folder, name, state_of(spark, sources))
-    if slot not in _staged:
-        frame, path = build(), new_path(spark, name)
-        layout(frame).write.parquet(path)
-        _staged[slot] = frame.schema, path
-    schema, path = _staged[slot]
-    return spark.read.schema(schema).parquet(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    row = files.agg(
+        F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+    ).first()
+    return tuple(row)

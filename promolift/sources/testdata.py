@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from promolift.config import LiftConfig
 from promolift.functions.columns import aggregate
-from promolift.operators.base import clustered, yoy_pair
-from promolift.sources.staging import stage
+from promolift.operators.attribution import store_dept_sums
+from promolift.operators.base import clustered, lift_store_week, spend_store_week, yoy_pair
+from promolift.sources.staging import Stage
 
 CONFIG = LiftConfig(
     window_start=date(2000, 1, 3),
@@ -98,16 +99,22 @@ def train_table(totals: DataFrame) -> DataFrame:
     )
 
 
-def features_table(totals: DataFrame, nation: DataFrame, config: LiftConfig = CONFIG) -> DataFrame:
+def features_table(
+    totals: DataFrame, nation: DataFrame, config: LiftConfig = CONFIG, spend_from: date = SPEND_RECORDED_FROM
+) -> DataFrame:
     """Every nation in every week on record, with spend where there was any.
 
-    The grid is the distinct weeks times the list of nations, a dimension that
-    does not grow; it is exploded from a subquery value, not cross joined.
+    A nation's calendar runs from the first week to the last, of which the weeks
+    on record stay. Spend before ``spend_from`` counts as not recorded.
     """
-    nations = nation.agg(F.collect_set("n_nationkey")).scalar()
-    grid = totals.select("week").distinct().select("week", F.explode(nations).alias("store"))
+    weeks = totals.select("week").distinct()
+    first, last = (weeks.select(end("week")).scalar() for end in (F.min, F.max))
+    calendar = nation.select(F.col("n_nationkey").alias("store"), first.alias("first"), last.alias("last"))
+    grid = calendar.selectExpr("store", "explode(sequence(first, last, INTERVAL 7 DAYS)) AS week").join(
+        weeks, "week", "left_semi"
+    )
     spend = aggregate(
-        totals.filter(f"week >= DATE'{SPEND_RECORDED_FROM}'"),
+        totals.filter(f"week >= DATE'{spend_from}'"),
         ["store", "week"],
         {
             column: f"CAST(round(sum(CASE WHEN type_no = {k} THEN spend END), 2) AS DECIMAL(18,2))"
@@ -128,18 +135,20 @@ def stores_table(nation: DataFrame) -> DataFrame:
 
 
 class StagedTables:
-    """The three tables and the year-on-year pairs, each written on first use.
+    """The three tables, the year-on-year pairs and the two sums over them that
+    most reports share, each written on first use.
 
     As with any weekly warehouse table, the heavy join runs once and the reports
-    scan what it left.
+    scan what it left. ``stage`` owns what was written.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.stage = Stage(spark)
 
     def _stage(self, name: str, build, **options) -> DataFrame:
-        return stage(self.spark, name, source_paths(self.folder), build, **options)
+        return self.stage.table(name, build, **options)
 
     @cached_property
     def nation(self) -> DataFrame:
@@ -164,3 +173,12 @@ class StagedTables:
     @cached_property
     def pair(self) -> DataFrame:
         return self._stage("yoy_pair", lambda: yoy_pair(self.train, CONFIG), layout=clustered)
+
+    @cached_property
+    def lift(self) -> DataFrame:
+        return self._stage("lift_store_week", lambda: lift_store_week(self.pair))
+
+    @cached_property
+    def store_dept(self) -> DataFrame:
+        spend = spend_store_week(self.features, CONFIG)
+        return self._stage("store_dept", lambda: store_dept_sums(self.pair, spend, CONFIG))

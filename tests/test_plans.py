@@ -115,10 +115,32 @@ def test_one_task_only_ever_receives_sums(spark, name):
     for child in _children_of_single_partition(text):
         assert re.search(r"HashAggregate|Project|Generate|FileScan parquet", child)
         assert "Sort" not in child
-    # A fact scan may not feed it directly; the league's stored totals may.
-    for child in _children_of_single_partition(text):
-        if "FileScan" in child:
-            assert "/league-" in child
+        assert "FileScan" not in child
+
+
+@pytest.mark.parametrize("name", ["reconcile_lift", "reconcile_alloc", "method_comparison", "scorecard_by_type"])
+def test_reports_share_the_stored_sums(spark, settings, name):
+    """The pairs are scanned at most once, however many totals a report sets side by side."""
+    settings(maxMetadataStringLength="1000")
+    assert len(re.findall(r"FileScan[^\n]*/yoy_pair-", plan(all_queries()[name](spark, FOLDER)))) <= 1
+
+
+def test_leagues_run_nothing_while_they_are_planned(spark, stored):
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        stored.store_league(), stored.dept_league()
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["marginal_lift", "intensity_confound"])
+def test_tiles_need_one_shuffle_by_store(stored, settings, name):
+    settings(autoBroadcastJoinThreshold="-1")
+    text = plan(getattr(stored, name)())
+    assert len(re.findall(r"hashpartitioning\(store#\d+, \d+\)", text)) == 1
+    above = text.split("ntile")[0]
+    assert "Generate" not in text.split("ntile", 1)[1] and above.count("Window") <= 6
 
 
 def test_lines_are_shuffled_narrow(spark, settings):

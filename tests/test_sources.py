@@ -4,8 +4,11 @@ import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from promolift import LiftConfig, LiftModel, Tables
+from promolift.__main__ import main, parser
+from promolift.plans.registry import all_queries, model_for
 from promolift.sources import files, staging, testdata
 from promolift.sources.schemas import export_schemas
 from tests.frames import CONFIG, by, model, rows, week, year_before
@@ -86,51 +89,84 @@ def test_derived_tables(spark):
     assert staged.features.filter("Date < DATE'2000-01-03' AND MarkDown1 IS NOT NULL").count() == 0
 
 
-def test_without_a_shared_folder_frames_are_cached(spark, monkeypatch):
-    monkeypatch.setattr(staging, "shared_folder", lambda spark: None)
-    tables = testdata.StagedTables(spark, FOLDER)
-    assert tables.pair.count() == 49
-    assert tables.train.is_cached and tables.line_totals.is_cached
-    league = LiftModel(tables, testdata.CONFIG).store_league()
-    assert [row.store_rank for row in league.collect()][:2] == [1, 2]
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging.job_path(spark, "an export")
-    spark.catalog.clearCache()
+def test_state_follows_files_at_any_depth(spark, tmp_path):
+    source = tmp_path / "source"
+    spark.range(3).withColumn("p", F.lit(1)).write.partitionBy("p").parquet(str(source))
+    before = staging.state_of(spark, [str(source)])
+    assert staging.state_of(spark, [str(source)]) == before
+    spark.range(2).write.parquet(str(tmp_path / "more"))
+    part = next((tmp_path / "more").glob("*.parquet"))
+    shutil.copyfile(part, source / "p=1" / "part-later.parquet")
+    assert staging.state_of(spark, [str(source)]) != before
 
 
-def test_staged_copy_follows_its_sources(spark, tmp_path):
-    source = tmp_path / "source"
-    builds = []
+def test_staging_uses_a_folder_that_is_shared(spark):
+    folder = staging.shared_folder(spark)
+    assert staging.new_path(spark, "x").startswith(f"{folder}/promolift/")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert folder == (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    def build():
-        builds.append(1)
-        return spark.read.parquet(str(source))
 
-    spark.range(3).write.parquet(str(source))
-    assert staging.stage(spark, "copy", [str(source)], build).count() == 3
-    assert staging.stage(spark, "copy", [str(source)], build).count() == 3
-    assert len(builds) == 1
-    spark.range(5).write.mode("overwrite").parquet(str(source))
-    assert staging.stage(spark, "copy", [str(source)], build).count() == 5
+def test_a_stage_deletes_what_it_wrote(spark):
+    stage = staging.Stage(spark)
+    assert stage.table("copy", lambda: spark.range(3)).count() == 3
+    first = Path(stage.paths["copy"].removeprefix("file:"))
+    assert stage.table("copy", lambda: spark.range(5)).count() == 5
+    second = Path(stage.paths["copy"].removeprefix("file:"))
+    assert not first.exists() and second.exists()
+    stage.drop()
+    assert not second.exists() and not stage.paths
 
 
-def test_staging_uses_the_folder_of_the_session(spark, monkeypatch):
-    folder = staging.shared_folder(spark)
-    assert staging.new_path(spark, "x").startswith(f"{folder.rstrip('/')}/promolift/")
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is not None:
-        assert folder == configured
+def _copy_tables(scale: str, folder: Path, names=(*testdata.LINE_SOURCES, "nation")) -> None:
+    for name in names:
+        shutil.copyfile(Path("/root/testdata") / scale / f"{name}.parquet", folder / f"{name}.parquet")
 
 
 def test_queries_follow_changed_source_files(spark, tmp_path):
-    from promolift.plans.registry import all_queries
-
-    folder = tmp_path / "tables"
-    folder.mkdir()
-    for name in (*testdata.LINE_SOURCES, "nation"):
-        shutil.copy(Path(FOLDER) / f"{name}.parquet", folder)
+    _copy_tables("sf0.001", tmp_path)
+    query = all_queries()["check_growth_full"]
+    assert query(spark, str(tmp_path)).first()["store_dept_weeks"] == 49
+    written = dict(model_for(spark, str(tmp_path)).tables.stage.paths)
+    _copy_tables("sf0.01", tmp_path, testdata.LINE_SOURCES)
+    assert query(spark, str(tmp_path)).first()["store_dept_weeks"] == 2708
+    assert not any(Path(path.removeprefix("file:")).exists() for path in written.values())
+
+
+def test_rows_appended_deep_in_a_source_count(spark, tmp_path):
+    _copy_tables("sf0.001", tmp_path, ("orders", "customer", "part", "nation"))
+    lines = tmp_path / "lineitem.parquet" / "day=1"
+    lines.mkdir(parents=True)
+    source = Path(FOLDER) / "lineitem.parquet"
+    shutil.copyfile(source, lines / "part-0.parquet")
     query = all_queries()["check_growth_full"]
-    assert query(spark, str(folder)).first()["store_dept_weeks"] == 49
-    for name in testdata.LINE_SOURCES:
-        shutil.copy(Path("/root/testdata/sf0.01") / f"{name}.parquet", folder)
-    assert query(spark, str(folder)).first()["store_dept_weeks"] == 2708
+    once = query(spark, str(tmp_path)).first()["window_sales"]
+    shutil.copyfile(source, lines / "part-1.parquet")
+    assert abs(query(spark, str(tmp_path)).first()["window_sales"] - 2 * once) <= 1  # whole dollars
+
+
+@pytest.mark.parametrize("name", ["store_league", "csv_to_tables", "export_and_reload"])
+def test_a_second_call_leaves_no_more_folders(spark, name):
+    root = Path(staging.new_path(spark, "x").removeprefix("file:")).parent
+    all_queries()[name](spark, FOLDER).collect()
+    before = len(list(root.iterdir()))
+    all_queries()[name](spark, FOLDER).collect()
+    assert len(list(root.iterdir())) == before
+
+
+def test_command_line_writes_whole_reports(spark, tmp_path):
+    source = model_for(spark, "/root/testdata/sf0.01").tables
+    files.replace_tables({name: getattr(source, name) for name in files.TABLES}, str(tmp_path / "tables"))
+    config = testdata.CONFIG
+    options = [f"--window-start={config.window_start}", f"--window-end={config.window_end}", "--top-departments=2"]
+    names = ["fact_type_lift", "dept_by_type_top"]
+    assert main(["report", str(tmp_path / "tables"), str(tmp_path / "out"), *names, *options]) == 0
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / "out" / name))
+    assert read("fact_type_lift").count() == 747
+    assert read("dept_by_type_top").select("dept").distinct().count() == 2
+
+
+def test_every_setting_is_an_option():
+    chosen = parser().parse_args(["report", "a", "b", "--spend-columns=x,y", "--size-bands=9:Big", "--drift-rate=0.5"])
+    assert chosen.spend_columns == ("x", "y") and chosen.size_bands == ((9, "Big"),) and chosen.drift_rate == 0.5
+    assert chosen.window_start == LiftConfig().window_start
