@@ -16,8 +16,8 @@ only its least point; links so found merge points into components. In the second
 holds several components is joined with itself, skipping boxes and points of one component. A pair is thus left out
 only if its bound forbids the link or if its ends are connected already.
 
-A cell of more than ``BLOCK`` points is cut into blocks in order of set size, the top level of its tree; pairs of
-blocks whose sizes can meet become tasks of their own.
+Cells with one least point share a tree, so that a point's counts travel once for all of them. A tree of more than
+``BLOCK`` points is cut into blocks by set size and a hash, its top level; pairs of blocks become tasks of their own.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ BLOCK = 4096
 CELL_ROWS = 1 << 18
 FILTER_BITS = 1 << 24
 
-_CELLS = "cell string, left_block boolean, low long, low_size long, id long, size long"
+_NEIGHBOURS = "low long, low_class long, id long, id_class long"
 _SETS = "id long, n_shingles long, set_key binary, counts binary, first binary"
 
 
@@ -169,66 +169,30 @@ class _Deal:
             yield pa.RecordBatch.from_arrays(columns, ["part", "cells", "owners", "sizes"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of one task to (cell, left, id, low): the points of each cell or pair of blocks, once per set of points.
-
-    ``low`` is the least point of the whole cell. ``left`` is null unless two different blocks meet.
-    """
-    cells, owners, sizes = [], [], []
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one task to (low, low_class, id, id_class): the points of each cell beside the cell's least point."""
+    cells, owners, classes = [], [], []
     for batch in batches:
-        for values, name in ((cells, "cells"), (owners, "owners"), (sizes, "sizes")):
+        for values, name in ((cells, "cells"), (owners, "owners"), (classes, "sizes")):
             values += batch.column(name).to_pylist()
-    cells, owners, sizes = _longs(cells), _longs(owners).view(np.int64), np.frombuffer(b"".join(sizes), np.uint8)
-    order = np.lexsort((sizes, owners, cells))
-    cells, owners, sizes = cells[order], owners[order], sizes[order]
-    if len(cells):
-        changes = [values[1:] != values[:-1] for values in (cells, owners, sizes)]
-        fresh = np.r_[True, changes[0] | changes[1] | changes[2]]
-        cells, owners, sizes = cells[fresh], owners[fresh], sizes[fresh]
+    cells, owners, classes = _longs(cells), _longs(owners).view(np.int64), np.frombuffer(b"".join(classes), np.uint8)
+    order = np.lexsort((classes, owners, cells))
+    cells, owners, classes = cells[order], owners[order], classes[order]
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]][: len(cells)])
-    stops = np.append(starts[1:], len(cells)).astype(np.int64)
-    shared = stops - starts >= 2
-    starts, stops = starts[shared], stops[shared]
-    print_of = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(owners.view(np.uint64)))))
-    prints = print_of[stops] - print_of[starts] + mixed((stops - starts).astype(np.uint64))
-    _, keep = np.unique(prints, return_index=True)
-    out: list[tuple] = []
-    for start, stop in zip(starts[keep], stops[keep]):
-        out += _blocks(int(cells[start].view(np.int64)), owners[start:stop], sizes[start:stop])
-        if sum(len(part[4]) for part in out[-64:]) >= 1 << 14 or len(out) >= 1 << 12:
-            yield _cell_batch(out)
-            out = []
-    if out:
-        yield _cell_batch(out)
-
-
-def _blocks(cell: int, owners: np.ndarray, sizes: np.ndarray) -> list[tuple]:
-    """(name, left_block, low, low's size class, owners, size classes); owners come in ascending order."""
-    sizes = sizes.astype(np.int64)
-    low = int(owners[0]), int(sizes[0])
-    if len(owners) <= BLOCK:
-        return [(f"{cell}", None, *low, owners, sizes)]
-    order = np.argsort(sizes, kind="stable")
-    blocks = [(owners[order[i : i + BLOCK]], sizes[order[i : i + BLOCK]]) for i in range(0, len(owners), BLOCK)]
-    out = []
-    for i, block in enumerate(blocks):
-        out.append((f"{cell}:{i}", None, *low, *block))
-        for j in range(i + 1, len(blocks)):
-            if blocks[j][1][0] - block[1][-1] <= 1:
-                out.append((f"{cell}:{i}:{j}", True, *low, *block))
-                out.append((f"{cell}:{i}:{j}", False, *low, *blocks[j]))
-    return out
-
-
-def _cell_batch(parts: list[tuple]) -> pa.RecordBatch:
-    lengths = np.array([len(part[4]) for part in parts])
-    at = np.repeat(np.arange(len(parts)), lengths)
-    columns = [
-        pa.array([part[k] for part in parts], kind).take(pa.array(at))
-        for k, kind in enumerate((pa.string(), pa.bool_(), pa.int64(), pa.int64()))
-    ]
-    columns += [pa.array(np.concatenate([part[k] for part in parts])) for k in (4, 5)]
-    return pa.RecordBatch.from_arrays(columns, ["cell", "left_block", "low", "low_size", "id", "size"])
+    lengths = np.diff(np.append(starts, len(cells)))
+    first = np.repeat(starts, lengths)
+    rows = owners != owners[first]
+    lows, low_classes, owners, classes = owners[first][rows], classes[first][rows], owners[rows], classes[rows]
+    order = np.lexsort((classes, owners, low_classes, lows))
+    columns = [values[order] for values in (lows, low_classes, owners, classes)]
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for values in columns:
+        fresh[1:] |= values[1:] != values[:-1]
+    names = ["low", "low_class", "id", "id_class"]
+    for start in range(0, len(order), 1 << 16):
+        part = [pa.array(values[start : start + (1 << 16)][fresh[start : start + (1 << 16)]].astype(np.int64)) for values in columns]
+        yield pa.RecordBatch.from_arrays(part, names)
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +212,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Pairs of one cell or of two of its blocks: points with as many groups meet, and those with half as many."""
+    """Pairs within one cell or between its two blocks: points with as many groups meet, and those with half as many."""
     labels = rows["component"].to_numpy()
     if (labels == labels[0]).all():
         return
@@ -380,12 +344,13 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / CELL_ROWS))
     first = points.select("id", "n_shingles", "first")
     dealt = map_batches(first, _Deal(parts), "part long, cells binary, owners binary, sizes binary")
-    cells = staged(map_batches(dealt.repartition(parts, "part"), _cells, _CELLS), "cells")
+    found = map_batches(dealt.repartition(parts, "part"), _neighbours, _NEIGHBOURS)
+    neighbours = staged(found.distinct(), "neighbours")
     vectors = points.select("id", "n_shingles", "counts")
     members = staged(_members(sets, points), "members")
     same = _repeated_ids(members)
-    links = staged(_verify(staged(_pairs_with_least(cells, vectors), "pairs"), texts).union(same), "verified")
-    several = staged(_pairs_across(cells, vectors, staged(components(links), "groups")), "pairs")
+    links = staged(_verify(staged(_pairs_with_least(neighbours, vectors), "pairs"), texts).union(same), "verified")
+    several = staged(_pairs_across(neighbours, vectors, staged(components(links), "groups")), "pairs")
     links = links.union(staged(_verify(several, texts), "verified"))
     return _labelled(members, staged(components(links), "groups"))
 
@@ -413,10 +378,10 @@ def _repeated_ids(members: DataFrame) -> DataFrame:
     return members.join(several, "id").where("point <> a").select("a", F.col("point").alias("b")).distinct()
 
 
-def _pairs_with_least(cells: DataFrame, vectors: DataFrame) -> DataFrame:
+def _pairs_with_least(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each cell's least point against its other points, where the bound allows a link."""
-    fits = F.abs(F.col("size") - F.col("low_size")) <= 1
-    pairs = cells.where((F.col("id") != F.col("low")) & fits).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    fits = F.abs(F.col("id_class") - F.col("low_class")) <= 1
+    pairs = neighbours.where(fits).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda name: vectors.select(F.col("id").alias(name), F.struct("n_shingles", "counts").alias(f"of_{name}"))
     return map_batches(pairs.join(side("b"), "b").join(side("a"), "a"), _bounded, "a long, b long").distinct()
 
@@ -437,25 +402,56 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 
-def _pairs_across(cells: DataFrame, vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """What the cells' trees let through between points that are not connected yet."""
+def _pairs_across(neighbours: DataFrame, vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """What the cells' trees let through between points that are not connected yet.
+
+    Cells with one least point share a tree: it holds all points that meet that point anywhere.
+    """
     known = vectors.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     labels = known.select("id", "component")
-    open_cells = (
-        cells.join(labels, "id")
-        .groupBy("cell")
+    pairs = neighbours.select("low", "id").distinct()
+    own = pairs.select("low").distinct().select("low", F.col("low").alias("id"))
+    members = pairs.union(own)
+    several = (
+        members.join(labels, "id")
+        .groupBy("low")
         .agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
         .where("n > 2 and least <> most")
-        .select("cell")
+        .select("low", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     )
-    rows = cells.join(open_cells, "cell", "left_semi").join(known, "id")
-    rows = rows.select("cell", "left_block", "id", "n_shingles", "counts", "component")
-    dealt = rows.repartition("cell").sortWithinPartitions("cell")
+    rows = members.join(several, "low").join(known, "id")
+    dealt = _blocks(rows).repartition("cell").sortWithinPartitions("cell")
     return map_batches(dealt, _tree_pairs, "a long, b long").where("a <> b").distinct()
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Give every row the cells it is compared in.
+
+    One cell per least point, unless it has more than BLOCK points. Those are cut by size class, of which only
+    neighbours can link, and further into blocks by a hash; each pair of blocks is a cell of its own.
+    """
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    size = F.floor(F.log("n_shingles") / math.log(100 / PERCENT) + 1e-9).cast("long")
+    pair = lambda lower, first, second: F.concat_ws(":", "low", lower.cast("string"), first.cast("string"), second.cast("string"))
+    everyone = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    cell = lambda name, side: F.struct(name.alias("cell"), side.cast("boolean").alias("left_block"))
+    within = F.transform(
+        everyone,
+        lambda other: cell(
+            pair(size, F.least(block, other), F.greatest(block, other)),
+            F.when(block != other, block < other),
+        ),
+    )
+    above = F.transform(everyone, lambda other: cell(F.concat(F.lit("+"), pair(size, block, other)), F.lit(True)))
+    below = F.transform(everyone, lambda other: cell(F.concat(F.lit("+"), pair(size - 1, other, block)), F.lit(False)))
+    single = F.array(cell(F.col("low").cast("string"), F.lit(None)))
+    cells = F.when(F.col("blocks") == 1, single).otherwise(F.concat(within, above, below))
+    named = rows.withColumn("_cell", F.explode(cells))
+    return named.select("_cell.cell", "_cell.left_block", "id", "n_shingles", "counts", "component")
+
+
 def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     found = members.join(groups.withColumnRenamed("node", "point"), "point", "left")
     return found.select("id", "n_shingles", F.coalesce("component", "point", "id").alias("component_id"))
