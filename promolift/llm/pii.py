@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -48,10 +48,15 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ips(text: str) -> Iterator[tuple[int, int]]:
-    for match in _IP.finditer(text):
-        parts = [part.lstrip("0") for part in match.group().split(".")]
-        if all(len(part) <= 3 and int(part or "0") <= 255 for part in parts):
-            yield match.span()
+    """Four parts at a time from each dotted run of digits, which is read once."""
+    for match in _DOTTED.finditer(text):
+        parts = match.group().split(".")
+        start = match.start()
+        while len(parts) >= 4:
+            end = start + sum(map(len, parts[:4])) + 3
+            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in parts[:4]):
+                yield start, end
+            start, parts = end + 1, parts[4:]
 
 
 def _luhn(digits: str) -> bool:
@@ -94,9 +99,7 @@ _DIGIT_WORDS = (
 )
 _DIGIT_OF = {word: str(value) for words in _DIGIT_WORDS for value, word in enumerate(words.split())} | {
     "oh": "0",
-    "double-u": "",
 }
-_DIGIT_OF.pop("double-u")
 _DIGIT_WORD = "|".join(sorted(_DIGIT_OF, key=lambda word: (-len(word), word)))
 
 _ODD = re.compile(f"[{_INVISIBLE}ʰ-￿\U00010000-\U0010ffff]")
@@ -111,8 +114,9 @@ _BARE = re.compile(
     rf"|(?<=[A-Za-z0-9])\s?(@)\s?(?=[A-Za-z0-9])",
     re.I,
 )
-_BARE_HINT = re.compile(r"\sdot\s|\s@|@\s", re.I)
-_NAMED = re.compile(rf"(?<![\w.%+-])(?=[A-Za-z%+]*[0-9._-])[A-Za-z0-9._%+-]+(\sat\s)(?=(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?!\w))", re.I)
+_DOMAIN_NAME = re.compile(rf"(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?!\w)")
+_NUMBERED_NAME = re.compile(r"(?<![\w.%+-])(?=[A-Za-z%+]*[0-9._-])[A-Za-z0-9._%+-]+\Z")
+_LONGEST_NAME = 256
 
 
 class Normalised(NamedTuple):
@@ -124,7 +128,7 @@ class Normalised(NamedTuple):
 
 
 def _plain(text: str) -> Normalised:
-    place = np.arange(len(text) + 1)
+    place = np.arange(len(text) + 1, dtype=np.int32)
     return Normalised(text, place[:-1], place[1:])
 
 
@@ -135,8 +139,8 @@ def _rewritten(source: Normalised, edits: list[tuple[int, int, str]]) -> Normali
     pieces, starts, ends, done = [], [], [], 0
     for start, end, new in edits:
         pieces += [source.text[done:start], new]
-        starts += [source.start[done:start], np.full(len(new), source.start[start])]
-        ends += [source.end[done:start], np.full(len(new), source.end[end - 1])]
+        starts += [source.start[done:start], np.full(len(new), source.start[start], np.int32)]
+        ends += [source.end[done:start], np.full(len(new), source.end[end - 1], np.int32)]
         done = end
     pieces.append(source.text[done:])
     return Normalised(
@@ -188,20 +192,48 @@ def _bare_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _named_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(*match.span(1), "@") for match in _NAMED.finditer(text)]
+    """`` at `` between a name with a digit or mark and a domain."""
+    edits, at = [], text.find(" at ")
+    while at >= 0:
+        if _DOMAIN_NAME.match(text, at + 4) and _NUMBERED_NAME.search(text, max(0, at - _LONGEST_NAME), at):
+            edits.append((at, at + 4, "@"))
+        at = text.find(" at ", at + 1)
+    return edits
+
+
+def _has_digit_words(words: list[str]) -> bool:
+    """Whether four digits, one of them a word, stand in a row."""
+    row = spelled = 0
+    for word in words:
+        if word in _DIGIT_OF:
+            row, spelled = row + 1, spelled + 1
+        elif len(word) == 1 and word.isdecimal():
+            row += 1
+        else:
+            row = spelled = 0
+        if row >= 4 and spelled:
+            return True
+    return False
 
 
 def normalised(text: str) -> Normalised:
-    """Through all transducers: look-alikes, spelled digits, marked and bare disguises."""
+    """Through all transducers: look-alikes, spelled digits, marked and bare disguises.
+
+    The words of the text tell which of them have anything to do.
+    """
     out = _plain(text)
     out = _rewritten(out, _odd_edits(out.text)) if not out.text.isascii() else out
-    out = _rewritten(out, _digit_edits(out.text))
-    out = _rewritten(out, [(*match.span(), "+") for match in _PLUS.finditer(out.text)])
+    words = out.text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
+    known = set(words)
+    if not known.isdisjoint(_DIGIT_OF) and _has_digit_words(words):
+        out = _rewritten(out, _digit_edits(out.text))
+    if "plus" in known:
+        out = _rewritten(out, [(*match.span(), "+") for match in _PLUS.finditer(out.text)])
     if any(mark in out.text for mark in "([{<"):
         out = _rewritten(out, _mark_edits(out.text))
-    if _BARE_HINT.search(out.text):
+    if "dot" in known or "@" in out.text:
         out = _rewritten(out, _bare_edits(out.text))
-    if " at " in out.text:
+    if "at" in known:
         out = _rewritten(out, _named_edits(out.text))
     return out
 

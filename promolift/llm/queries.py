@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +106,8 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers  # only this query needs the vocabulary files to be installed
+
     return bpe.Vocabulary(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
