@@ -27,11 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import map_batches
+from promolift.llm.common import map_batches, slices
 
 SETTLE = 512
-MAX_FITS = 1_000_000
-MAX_PIECES = 300_000
+MAX_FITS = 400_000
+MAX_PIECES = 150_000
 CHUNK_IDS = 1 << 16
 
 _coders: dict[bytes, Coder] = {}
@@ -219,19 +219,13 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 class _Encode:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = self.vocabulary.coder()
-        for batch in _parts(batches):
+        for batch in slices(batches):
             ids = _lists([coder.encode(text) for text in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), ids], ["id", "ids"])
 
@@ -242,7 +236,7 @@ class _Decode:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = self.vocabulary.coder()
-        for batch in _parts(batches):
+        for batch in slices(batches):
             lists = batch.column("ids")
             texts = ["".join(coder.decode_chunks(lists[row].values.to_numpy())) for row in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
@@ -254,7 +248,7 @@ class _Digest:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = self.vocabulary.coder()
-        for batch in _parts(batches):
+        for batch in slices(batches):
             lists = batch.column("ids")
             rows = [self._row(coder, lists[row].values.to_numpy()) for row in range(len(lists))]
             kinds = [pa.int64(), pa.string(), pa.string()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import map_batches
+from promolift.llm.common import map_batches, slices
 
 WINDOW = 10
 MAX_BENCHMARK_BYTES = 32 << 20
@@ -110,7 +110,7 @@ class _Find:
         kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.bool_()]
         kinds.append(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
         names = ["id", "n_words", "n_hit", "items", "contaminated", "spans"]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             texts = batch.column("text").to_pylist()
             words = [normal_words(text) for text in texts]
@@ -128,7 +128,7 @@ class _Drop:
         self.scanner, self.text_column = scanner, text_column
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words = (normal_words(text) for text in batch.column(self.text_column).to_pylist())
             found = self.scanner.occurrences([b" " + b" ".join(own) + b" " for own in words])
             yield batch.filter(pa.array([not own for own in found], pa.bool_()))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import map_batches
+from promolift.llm.common import map_batches, slices
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 13
@@ -119,7 +119,7 @@ def fitted(languages: list[str], counts: np.ndarray) -> Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             totals[language] = totals.get(language, 0) + counts_of(text)
     for language, total in totals.items():
@@ -152,7 +152,7 @@ class _Predict:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.float64(), pa.bool_()]
-        for batch in batches:
+        for batch in slices(batches):
             found = [self.model.predict(text) for text in batch.column("text").to_pylist()]
             columns = [pa.array([row[k] for row in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "lang_pred", "score", "ambiguous"])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.llm import rtree
-from promolift.llm.common import map_batches, staged
+from promolift.llm.common import map_batches, slices, staged
 from promolift.llm.components import components
 from promolift.llm.shingles import mixed, shingle_sets
 
@@ -52,13 +52,6 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a task holds the sets of a few texts at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def group_counts(found: np.ndarray) -> np.ndarray:
     groups = 1 << max(4, (max(1, len(found)) // SHINGLES_PER_GROUP).bit_length())
     return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
@@ -85,7 +78,7 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting, size = [], 0
-    for batch in _slices(batches):
+    for batch in slices(batches):
         for found in shingle_sets(batch.column("text").to_pylist()):
             waiting.append(found)
             size += len(found)
@@ -126,7 +119,7 @@ class _Sets:
         return np.concatenate((rare, rest[: length - len(rare)]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids, texts = _columns(batch, "id", "text")
             keys, counts, firsts, sizes = [], [], [], []
             for found in shingle_sets(texts):
@@ -253,7 +246,7 @@ class _Chosen:
         for batch in batches:
             at = batch.column("bit").to_numpy()
             chosen = batch.filter(pa.array((self.bitmap[at >> 3] >> (at & 7)) & 1 == 1))
-            for part in _slices([chosen], 128):
+            for part in slices([chosen], 128):
                 ids, texts = _columns(part, "id", "text")
                 found = [values.tobytes() for values in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
@@ -282,7 +275,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, b), a's own sets first with a null b, to the pairs that truly link."""
     current, sets = None, []
-    for batch in _slices(batches, 256):
+    for batch in slices(batches, 256):
         firsts, seconds = [], []
         for a, salt, b, found in zip(*_columns(batch, "a", "salt", "b", "shingles")):
             if (a, salt) != current:
@@ -387,7 +380,7 @@ def _pairs_with_least(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches, 4096):
+    for batch in slices(batches, 4096):
         sides = [batch.column(name) for name in ("of_a", "of_b")]
         n, m = (side.field("n_shingles").to_numpy() for side in sides)
         x, y = (side.field("counts").to_pylist() for side in sides)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import map_batches
+from promolift.llm.common import map_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -261,7 +261,7 @@ _SPANS = "array<struct<kind: string, start: int, end: int, plain: boolean>>"
 
 def _find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("plain", pa.bool_())])
-    for batch in batches:
+    for batch in slices(batches):
         spans = [
             [{"kind": kind, "start": start, "end": end, "plain": plain} for start, kind, end, plain in find(text)]
             for text in batch.column("text").to_pylist()

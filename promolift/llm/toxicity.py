@@ -18,7 +18,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import map_batches
+from promolift.llm.common import map_batches, slices
 
 WINDOW = 64
 RUN = 5
 TOXIC_SAMPLE = 2000
-ORDINARY_SAMPLE = 6000
+ORDINARY_SAMPLE = 5000
 SAMPLE_WINDOWS = 100
 COMMON_RUNS = 6000
 COVER = 4
@@ -43,7 +42,7 @@ THRESHOLD = 0.7
 #: stores a block as it is unless that saves some bytes, which would hide a single match.
 _PREAMBLE = bytes(range(1, 25)) * 2
 _PLAIN = bytes(byte + 32 if 65 <= byte <= 90 else max(byte, 32) for byte in range(256))
-_WORD = re.compile(rb" [^ ]+")
+_WORD = re.compile(rb" [^ \n]+")
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -60,9 +59,33 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
-def _runs(own: list[bytes]) -> set[bytes]:
-    """Byte runs of one text that begin with or lie within a word."""
-    return {run for one in own for at in range(len(one) - RUN + 1) if b" " not in (run := one[at : at + RUN])[1:]}
+def _runs(joined: bytes) -> np.ndarray:
+    """The different byte runs of one text's windows (joined by line feeds, which windows never hold), as numbers.
+
+    A run lies within a word, or begins with the space before it.
+    """
+    codes = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    if len(codes) < RUN:
+        return codes[:0]
+    parts = [codes[at : len(codes) - RUN + 1 + at] for at in range(RUN)]
+    number, kept = np.zeros(len(parts[0]), np.uint64), parts[0] != 10
+    for at, part in enumerate(parts):
+        number = number << np.uint64(8) | part
+        kept &= (part != 10) & ((part != 32) | (at == 0))
+    return np.unique(number[kept])
+
+
+def _bytes(run: int) -> bytes:
+    return int(run).to_bytes(RUN, "big")
+
+
+def _parts(word: bytes) -> list[bytes]:
+    return [word[at : at + RUN] for at in range(len(word) - RUN + 1)]
+
+
+def _counted(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All runs, ascending, and the number of texts that have each."""
+    return np.unique(np.concatenate(runs), return_counts=True)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -115,28 +138,37 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(own @ self.weights[:-1] + self.weights[-1], -500, 500))))
 
 
-def common_runs(ordinary: Counter) -> bytes:
+def common_runs(runs: np.ndarray, counts: np.ndarray) -> bytes:
     """The most widespread runs, the most frequent last, where they are nearest to a window."""
-    chosen = sorted(ordinary.items(), key=lambda pair: (-pair[1], pair[0]))[:COMMON_RUNS]
-    return b"".join(run for run, _ in reversed(chosen))
+    order = np.lexsort((runs, -counts))[:COMMON_RUNS]
+    return b"".join(_bytes(run) for run in runs[order[::-1]])
 
 
-def telling_runs(toxic: list[set[bytes]], words: Counter, ordinary: Counter, n_ordinary: int) -> list[bytes]:
+def telling_runs(
+    toxic: list[bytes], toxic_runs: list[np.ndarray], ordinary: tuple[np.ndarray, np.ndarray], n_ordinary: int
+) -> list[bytes]:
     """Byte strings that mark toxic texts, by greedy cover."""
-    counts = Counter(run for own in toxic for run in own)
+    runs, counts = _counted(toxic_runs)
     least = max(LEAST_TEXTS, 0.01 * len(toxic))
-    odds = {run: n / len(toxic) / ((ordinary[run] + 0.5) / n_ordinary) for run, n in counts.items() if n >= least}
-    odds = {run: ratio for run, ratio in odds.items() if ratio >= 20}
-    texts = defaultdict(list)
-    for place, own in enumerate(toxic):
-        for run in own & odds.keys():
-            texts[run].append(place)
+    runs, counts = runs[counts >= least], counts[counts >= least]
+    at = np.minimum(np.searchsorted(ordinary[0], runs), len(ordinary[0]) - 1)
+    seen = np.where(ordinary[0][at] == runs, ordinary[1][at], 0)
+    ratios = counts / len(toxic) / ((seen + 0.5) / n_ordinary)
+    odds = {_bytes(run): ratio for run, ratio in zip(runs, ratios) if ratio >= 20}
+    known = runs[ratios >= 20]
+    texts, words = defaultdict(list), Counter()
+    for place, (joined, own) in enumerate(zip(toxic, toxic_runs)):
+        found = own[np.isin(own, known)]
+        for run in found:
+            texts[_bytes(run)].append(place)
+        if len(found):
+            words.update({word for word in set(_WORD.findall(joined)) if any(part in odds for part in _parts(word))})
     texts = {run: np.array(places) for run, places in texts.items()}
     word_of: dict[bytes, bytes] = {}
     for word, _ in sorted(words.items(), key=lambda pair: (-pair[1], pair[0])):
-        for at in range(len(word) - RUN + 1):
-            if word[at : at + RUN] in odds:
-                word_of.setdefault(word[at : at + RUN], word)
+        for part in _parts(word):
+            if part in odds:
+                word_of.setdefault(part, word)
     missing, left, chosen = np.full(len(toxic), COVER), set(odds), []
     while left:
         gain = {run: int((missing[texts[run]] > 0).sum()) for run in left}
@@ -171,50 +203,44 @@ def _calibrated(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, n
     return center, spread, weights
 
 
-class _Texts:
-    """The different texts of one class, as windows and as runs."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        self.texts = texts
-        self.runs = [_runs(own) for own in texts]
-        self.words = [set(_WORD.findall(b"".join(own))) for own in texts]
-
-
-def _dictionaries(ordinary: _Texts, toxic: _Texts, without: int | None = None) -> Model:
+def _dictionaries(sides: list[list[bytes]], runs: list[list[np.ndarray]], without: int | None = None) -> Model:
     """Both dictionaries, from all texts or from those outside a fold."""
     inside = lambda values: [one for at, one in enumerate(values) if at % FOLDS != without]
-    common = Counter(chain.from_iterable(inside(ordinary.runs)))
-    words = Counter(chain.from_iterable(inside(toxic.words)))
-    base = common_runs(common)
-    telling = telling_runs(inside(toxic.runs), words, common, len(inside(ordinary.texts)))
+    common = _counted(inside(runs[0]))
+    base = common_runs(*common)
+    telling = telling_runs(inside(sides[1]), inside(runs[1]), common, len(inside(sides[0])))
     return Model(base, base + b"\0".join(reversed(telling)))
 
 
-def fit(sample: list[tuple[list[bytes], int]]) -> Model:
-    """Dictionaries from all different texts; the calibration sees each text as dictionaries without its fold do."""
-    unique = {b"\n".join(own): (own, label) for own, label in sample}
-    sides = [_Texts([own for _, (own, found) in sorted(unique.items()) if found == label]) for label in (0, 1)]
-    if min(len(side.texts) for side in sides) < FOLDS:
+def fit(sample: list[tuple[bytes, int]]) -> Model:
+    """A model from texts, given as their windows joined by line feeds, and labels.
+
+    Dictionaries from all different texts; the calibration sees each text as dictionaries without its fold do.
+    """
+    unique = sorted({text: label for text, label in sample}.items())
+    sides = [[text for text, found in unique if found == label] for label in (0, 1)]
+    if min(len(side) for side in sides) < FOLDS:
         return Model(b"", b"")
+    runs = [[_runs(text) for text in side] for side in sides]
     features, labels = [], []
     for fold in range(FOLDS):
-        model = _dictionaries(*sides, without=fold)
+        model = _dictionaries(sides, runs, without=fold)
         for label, side in enumerate(sides):
-            features += [model.features(own) for own in side.texts[fold::FOLDS]]
+            features += [model.features(text.split(b"\n")) for text in side[fold::FOLDS]]
             labels += [label] * (len(features) - len(labels))
     fitted = _calibrated(np.array(features), np.array(labels, float))
-    whole = _dictionaries(*sides)
+    whole = _dictionaries(sides, runs)
     return Model(whole.ordinary, whole.toxic, *(tuple(values.tolist()) for values in fitted))
 
 
 def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         chosen = []
         for text in batch.column("text").to_pylist():
             own = windows(text)
             places = np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))
-            chosen.append([own[place] for place in places])
-        columns = [pa.array(chosen, pa.list_(pa.binary())), batch.column("label")]
+            chosen.append(b"\n".join(own[place] for place in places))
+        columns = [pa.array(chosen, pa.binary()), batch.column("label")]
         yield pa.RecordBatch.from_arrays(columns, ["windows", "label"])
 
 
@@ -234,7 +260,7 @@ def train(
         drawn = part if drawn is None else drawn.union(part)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     sample = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).select("text", "label")
-    rows = map_batches(sample, _sampled_windows, "windows array<binary>, label int").toArrow()
+    rows = map_batches(sample, _sampled_windows, "windows binary, label int").toArrow()
     return fit(list(zip(rows["windows"].to_pylist(), rows["label"].to_pylist())))
 
 
@@ -243,7 +269,7 @@ class _Score:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [self.model.score(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
@@ -253,7 +279,7 @@ class _Keep:
         self.model, self.text_column = model, text_column
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(self.text_column).to_pylist()
             yield batch.filter(pa.array([self.model.score(text) < THRESHOLD for text in texts], pa.bool_()))
 
