@@ -37,8 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text, as the query of the operator returns them."""
-    words = queries.vocabulary()
-    return bpe.digests(bpe.encode(docs, words), words).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(docs, queries.vocabulary()).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

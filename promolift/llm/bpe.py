@@ -19,6 +19,7 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -179,10 +180,13 @@ class Coder:
         lines = (line.split() for line in vocabulary.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(Transducer(self.ranks))
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.numbers = {rank: str(rank) for rank in self.tokens}
 
+    @cached_property
+    def pieces(self) -> _Pieces:
+        return _Pieces(Transducer(self.ranks))  # decoding needs none
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.split(text or ""))), np.int32)
 
@@ -243,14 +247,20 @@ class _Decode:
 
 
 class _Digest:
+    """Texts, or ids where there is such a column, to the digests of ids and of the decoded text."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = self.vocabulary.coder()
         for batch in slices(batches):
-            lists = batch.column("ids")
-            rows = [self._row(coder, lists[row].values.to_numpy()) for row in range(len(lists))]
+            if "ids" in batch.schema.names:
+                lists = batch.column("ids")
+                ids = (lists[row].values.to_numpy() for row in range(len(lists)))
+            else:
+                ids = map(coder.encode, batch.column("text").to_pylist())
+            rows = [self._row(coder, own) for own in ids]
             kinds = [pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -282,7 +292,17 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return map_batches(encoded.select("id", "ids"), _Decode(vocabulary), "id long, text string")
 
 
+_DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(id, ids) to id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (after decoding)."""
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(encoded.select("id", "ids"), _Digest(vocabulary), schema)
+    return map_batches(encoded.select("id", "ids"), _Digest(vocabulary), _DIGESTS)
+
+
+def round_trip(
+    frame: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The digests of ``encode`` and ``decode`` in one pass, in which ids don't leave the Python worker."""
+    rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    return map_batches(rows, _Digest(vocabulary), _DIGESTS)

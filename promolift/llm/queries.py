@@ -112,8 +112,7 @@ def vocabulary() -> bpe.Vocabulary:
 
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    words = vocabulary()
-    return bpe.digests(bpe.encode(table(spark, folder, "documents"), words), words).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(table(spark, folder, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
 
 def all_queries() -> dict[str, Query]:

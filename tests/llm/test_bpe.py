@@ -71,6 +71,8 @@ def test_table(spark):
     assert sorted((row.id is None, row.id or 0, row.text) for row in bpe.decode(encoded, vocabulary).collect()) == sorted(
         (number is None, number or 0, text or "") for number, text in rows
     )
+    whole = sorted(map(str, bpe.round_trip(frame, vocabulary).collect()))
+    assert whole == sorted(map(str, bpe.digests(encoded, vocabulary).collect()))
     for row in bpe.digests(encoded, vocabulary).collect():
         text = next(text or "" for number, text in rows if number == row.id)
         ids = coder.encode(text).tolist()
