@@ -6,6 +6,12 @@ is never cut. A window holds the conversation's leading system turn, then the tu
 tokens before the span, then the span's own turns. Only assistant texts of the span itself are under the loss mask; a
 repeated turn is masked, so every assistant text is a target exactly once.
 
+By default the budget is the stride of the spans and no bound of a window: the system turn, the repeated turns and the
+rest of the span's last turn come on top. ``within_budget`` makes it a bound. Spans are then ``budget`` less the system
+turn and ``history`` wide, a turn that crosses the border of two has a span of its own, and fewer turns are repeated
+where a long turn leaves less room. Only one turn that does not fit beside the system turn makes such a window longer,
+and no other turn is repeated in it.
+
 A turn is written ``<s>[INST] role [/INST]text</s>``. Control strings inside roles and texts are broken up by a
 backslash after their first character, and those that look broken up already get one more, so reading is exact.
 """
@@ -43,10 +49,11 @@ def formatted_windows(
     history: int = HISTORY,
     tokens: Column | None = None,
     id_column: str = "conv_id",
+    within_budget: bool = False,
 ) -> DataFrame:
     """One row per window: conv_id, window_no, text, n_repeated, n_own, and loss_spans.
 
-    ``loss_spans`` are code points of ``text``, end exclusive. The first ``n_repeated`` turns are repeated ones. Null
+    Window numbers ascend and may have gaps. ``loss_spans`` are code points of ``text``, end exclusive. The first ``n_repeated`` turns are repeated ones. Null
     ids form one conversation; a null turn sorts first; null roles and texts count as empty; repeated rows are turns of
     their own; other columns, whatever their names, are not read; an empty table gives no windows.
     """
@@ -59,34 +66,45 @@ def formatted_windows(
     )
     cost = F.greatest(F.lit(1), estimated_tokens(F.col("text")) if tokens is None else F.col("cost")).cast("long")
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.coalesce(F.sum(cost).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("cost").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    system_cost = F.first(F.when(F.col("role") == "system", F.col("cost")).otherwise(0)).over(in_order)
+    width = F.greatest(F.lit(1), budget - history - system_cost) if within_budget else F.lit(budget)
+    bucket = F.floor(F.col("starts") / F.col("width")).cast("long")
+    crosses = F.floor((F.col("starts") + F.col("cost") - 1) / F.col("width")) > bucket
     placed = staged(
-        rows.withColumn("place", F.row_number().over(in_order))
+        rows.withColumn("cost", cost)
+        .withColumn("place", F.row_number().over(in_order))
         .withColumn("starts", before)
-        .withColumn("span", F.floor(F.col("starts") / budget).cast("long"))
+        .withColumn("system_cost", system_cost.cast("long"))
+        .withColumn("width", width.cast("long"))
+        .withColumn("span", 2 * bucket + crosses.cast("long") if within_budget else bucket)
         .withColumn("is_system", (F.col("place") == 1) & (F.col("role") == "system"))
-        .select("conv_id", "role", "text", "place", "starts", "span", "is_system"),
+        .select("conv_id", "role", "text", "place", "cost", "starts", "system_cost", "width", "span", "is_system"),
         "turns",
     )
-    return _assembled(placed.withColumn("window_no", F.col("span")).unionByName(_repeated(placed, budget, history)))
+    repeated = _repeated(placed, budget, history, within_budget)
+    return _assembled(placed.withColumn("window_no", F.col("span")).unionByName(repeated))
 
 
-def _repeated(placed: DataFrame, budget: int, history: int) -> DataFrame:
+def _repeated(placed: DataFrame, budget: int, history: int, within_budget: bool) -> DataFrame:
     """The turns that later windows repeat: the system turn in all, others in the spans that begin soon enough.
 
-    A turn is looked up only in the at most ``history / budget + 1`` spans that can repeat it, so a conversation's work
-    grows with its turns.
+    A turn is looked up only in the spans that can repeat it, at most ``history`` / width + 1 or twice as many within
+    the budget, so a conversation's work grows with its turns.
     """
+    room = F.greatest(F.lit(0), budget - F.max("system_cost") - F.sum("cost"))
     spans = placed.groupBy(F.col("conv_id").alias("_conv"), F.col("span").alias("window_no")).agg(
-        F.min("starts").alias("_span_starts")
+        F.min("starts").alias("_span_starts"),
+        (F.least(F.lit(history), room) if within_budget else F.lit(history)).alias("_history"),
     )
     same = F.col("conv_id").eqNullSafe(F.col("_conv"))
     system = placed.where("is_system").join(spans, same).where("window_no > span")
-    reach = F.floor((F.col("starts") + history) / budget).cast("long")
+    reach = F.floor((F.col("starts") + history) / F.col("width")).cast("long")
+    reach = 2 * reach + 1 if within_budget else reach
     later = F.when(reach > F.col("span"), F.sequence(F.col("span") + 1, reach))
     looked_up = placed.where("not is_system").withColumn("_later", F.explode(later))
     recent = looked_up.join(spans, same & (F.col("_later") == F.col("window_no"))).where(
-        F.col("starts") >= F.col("_span_starts") - history
+        F.col("starts") >= F.col("_span_starts") - F.col("_history")
     )
     return system.unionByName(recent.drop("_later")).select(*placed.columns, "window_no")
 
