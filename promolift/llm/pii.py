@@ -114,9 +114,7 @@ _BARE = re.compile(
     rf"|(?<=[A-Za-z0-9])\s?(@)\s?(?=[A-Za-z0-9])",
     re.I,
 )
-_DOMAIN_NAME = re.compile(rf"(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?!\w)")
-_NUMBERED_NAME = re.compile(r"(?<![\w.%+-])(?=[A-Za-z%+]*[0-9._-])[A-Za-z0-9._%+-]+\Z")
-_LONGEST_NAME = 256
+_NAMED = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?!\w))", re.I)
 
 
 class Normalised(NamedTuple):
@@ -192,13 +190,8 @@ def _bare_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _named_edits(text: str) -> list[tuple[int, int, str]]:
-    """`` at `` between a name with a digit or mark and a domain."""
-    edits, at = [], text.find(" at ")
-    while at >= 0:
-        if _DOMAIN_NAME.match(text, at + 4) and _NUMBERED_NAME.search(text, max(0, at - _LONGEST_NAME), at):
-            edits.append((at, at + 4, "@"))
-        at = text.find(" at ", at + 1)
-    return edits
+    """`` at `` between any name and a dotted domain whose last label is a word."""
+    return [(*match.span(), "@") for match in _NAMED.finditer(text)]
 
 
 def _has_digit_words(words: list[str]) -> bool:

@@ -79,6 +79,24 @@ def test_ordinary_text_has_no_spans(text):
     assert pii.find(text) == []
 
 
+@pytest.mark.parametrize(
+    "said", ["john at gmail.com", "joe.b AT gmail.com", "joe.b  at\tgmail.com", "Ann At mail.example.co.uk", "x at\n mail [dot] org"]
+)
+def test_at_before_a_domain_needs_no_marked_name(said):
+    text = f"write ({said}), please"
+    assert [(text[start:end], plain) for start, kind, end, plain in pii.find(text) if kind == "email"] == [(said, False)]
+
+
+@pytest.mark.parametrize("text", ["home at 10.0.0", "we met at noon. Then", "at gmail.com", "look at version 1.2", "what gmail.com is"])
+def test_at_without_a_name_or_domain_is_no_address(text):
+    assert pii.find(text) == []
+
+
+def test_at_runs_take_linear_time():
+    for unit in ("x at ", "x at a.", "a.", " \t", "x at a.b1 "):
+        pii.find("x at " + unit * 100_000)
+
+
 def test_long_runs_take_linear_time():
     for unit in ("a", "1", "1.", "+1", "a@", "one "):
         pii.find(unit * 100_000)
