@@ -8,11 +8,13 @@ compressed length with the ordinary dictionary less that with the toxic one. Cou
 logistic function that is calibrated on labelled texts the dictionaries have not seen.
 
 The classifier is fitted on a sample of at most ``TOXIC_SAMPLE`` + ``ORDINARY_SAMPLE`` labelled texts, of each at most
-``SAMPLE_WINDOWS`` windows spread over the whole text. Everything else covers all rows and whole texts.
+``SAMPLE_WINDOWS`` windows spread over the whole text. Scores are for the mix of all labelled training rows, which are
+counted, not for that of the sample. Everything else covers all rows and whole texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -212,10 +214,11 @@ def _dictionaries(sides: list[list[bytes]], runs: list[list[np.ndarray]], withou
     return Model(base, base + b"\0".join(reversed(telling)))
 
 
-def fit(sample: list[tuple[bytes, int]]) -> Model:
+def fit(sample: list[tuple[bytes, int]], favour: float = 0.0) -> Model:
     """A model from texts, given as their windows joined by line feeds, and labels.
 
-    Dictionaries from all different texts; the calibration sees each text as dictionaries without its fold do.
+    ``favour`` is the logarithm of how much more often a toxic text was drawn than an ordinary one; it is taken off the
+    log-odds, so that scores mean the same for any sample. Dictionaries from all different texts; the calibration sees each text as dictionaries without its fold do.
     """
     unique = sorted({text: label for text, label in sample}.items())
     sides = [[text for text, found in unique if found == label] for label in (0, 1)]
@@ -229,6 +232,7 @@ def fit(sample: list[tuple[bytes, int]]) -> Model:
             features += [model.features(text.split(b"\n")) for text in side[fold::FOLDS]]
             labels += [label] * (len(features) - len(labels))
     fitted = _calibrated(np.array(features), np.array(labels, float))
+    fitted[2][-1] -= favour
     whole = _dictionaries(sides, runs)
     return Model(whole.ordinary, whole.toxic, *(tuple(values.tolist()) for values in fitted))
 
@@ -254,14 +258,18 @@ def train(
     """
     known = labels.where(learn & F.col(id_column).isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.max("toxic").alias("label"))
+    most_of = ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE))
+    counts = dict(known.groupBy("label").count().where(F.col("label").isin(0, 1)).collect())
+    shares = {label: min(1.0, most / counts[label]) for label, most in most_of if label in counts}
     drawn = None
-    for label, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
+    for label, most in most_of:
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = part if drawn is None else drawn.union(part)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     sample = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).select("text", "label")
     rows = map_batches(sample, _sampled_windows, "windows binary, label int").toArrow()
-    return fit(list(zip(rows["windows"].to_pylist(), rows["label"].to_pylist())))
+    favour = math.log(shares.get(1, 1.0) / shares.get(0, 1.0))
+    return fit(list(zip(rows["windows"].to_pylist(), rows["label"].to_pylist())), favour)
 
 
 class _Score:

@@ -53,6 +53,18 @@ def test_small_cases(spark):
     assert toxicity.score(model, frame.limit(0)).collect() == []
 
 
+def test_scores_do_not_depend_on_the_samples_mix(spark, monkeypatch):
+    """One text in ten is toxic, without any mark: every score is that share, however many are drawn of each side."""
+    random.seed(2)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    frame = documents(spark, [(n, " ".join(random.choices(words, k=60))) for n in range(400)])
+    labels = labelled(spark, [(n, int(n < 40)) for n in range(400)])
+    for most in (5000, 40):
+        monkeypatch.setattr(toxicity, "ORDINARY_SAMPLE", most)
+        scores = [row.score for row in toxicity.score(toxicity.train(frame, labels, F.lit(True)), frame).collect()]
+        assert abs(sum(scores) / len(scores) - 0.1) < 0.03, most
+
+
 def test_nothing_to_learn(spark):
     frame = documents(spark, [(1, "a"), (2, None)])
     for labels in ([], [(1, 0)], [(1, 1), (2, 1)]):
