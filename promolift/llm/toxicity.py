@@ -7,13 +7,15 @@ copies add nothing. Whole texts are cut at spaces into windows of about ``WINDOW
 compressed length with the ordinary dictionary less that with the toxic one. Counts of windows by gain go through a
 logistic function that is calibrated on labelled texts the dictionaries have not seen.
 
-The classifier is fitted on a sample of at most ``TOXIC_SAMPLE`` + ``ORDINARY_SAMPLE`` labelled texts, of each at most
-``SAMPLE_WINDOWS`` windows spread over the whole text. Scores are for the mix of all labelled training rows, which are
+The classifier is fitted on a sample of at most ``TOXIC_SAMPLE`` + ``ORDINARY_SAMPLE`` labelled texts. The dictionaries
+are made from at most ``SAMPLE_WINDOWS`` windows of each, spread over the whole text; the calibration sees all windows,
+as scoring does. Scores are for the mix of all labelled training rows, which are
 counted, not for that of the sample. Everything else covers all rows and whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import map_batches, slices
+from promolift.llm.common import drop_paths, map_batches, slices, written
 
 WINDOW = 64
 RUN = 5
@@ -214,40 +216,62 @@ def _dictionaries(sides: list[list[bytes]], runs: list[list[np.ndarray]], withou
     return Model(base, base + b"\0".join(reversed(telling)))
 
 
-def fit(sample: list[tuple[bytes, int]], favour: float = 0.0) -> Model:
-    """A model from texts, given as their windows joined by line feeds, and labels.
+def _excerpt(own: list[bytes]) -> bytes:
+    places = np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))
+    return b"\n".join(own[place] for place in places)
+
+
+def _key(excerpt: bytes) -> bytes:
+    return hashlib.blake2b(excerpt, digest_size=16).digest()
+
+
+def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        chosen = [_excerpt(windows(text)) for text in batch.column("text").to_pylist()]
+        columns = [pa.array(chosen, pa.binary()), batch.column("label")]
+        yield pa.RecordBatch.from_arrays(columns, ["windows", "label"])
+
+
+class _Features:
+    """Features of all windows of the sampled texts, as the dictionaries without the text's fold see them."""
+
+    def __init__(self, models: list[Model], folds: dict[bytes, int]):
+        self.models, self.folds = models, folds
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, features = [], []
+            for text in batch.column("text").to_pylist():
+                own = windows(text)
+                keys.append(_key(_excerpt(own)))
+                features.append(self.models[self.folds[keys[-1]]].features(own))
+            columns = [pa.array(keys, pa.binary()), pa.array(features, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "features"])
+
+
+def fit(excerpts: list[tuple[bytes, int]], sample: DataFrame, favour: float) -> Model:
+    """A model from the sampled texts, their excerpts (windows joined by line feeds) and labels.
 
     ``favour`` is the logarithm of how much more often a toxic text was drawn than an ordinary one; it is taken off the
-    log-odds, so that scores mean the same for any sample. Dictionaries from all different texts; the calibration sees each text as dictionaries without its fold do.
+    log-odds, so that scores mean the same for any sample. Dictionaries from all different excerpts; the calibration
+    sees each whole text as dictionaries without its fold do, texts of one excerpt once.
     """
-    unique = sorted({text: label for text, label in sample}.items())
+    unique = sorted({text: label for text, label in sorted(excerpts)}.items())
     sides = [[text for text, found in unique if found == label] for label in (0, 1)]
     if min(len(side) for side in sides) < FOLDS:
         return Model(b"", b"")
     runs = [[_runs(text) for text in side] for side in sides]
-    features, labels = [], []
-    for fold in range(FOLDS):
-        model = _dictionaries(sides, runs, without=fold)
-        for label, side in enumerate(sides):
-            features += [model.features(text.split(b"\n")) for text in side[fold::FOLDS]]
-            labels += [label] * (len(features) - len(labels))
-    fitted = _calibrated(np.array(features), np.array(labels, float))
+    models = [_dictionaries(sides, runs, without=fold) for fold in range(FOLDS)]
+    folds = {_key(text): at % FOLDS for side in sides for at, text in enumerate(side)}
+    seen = map_batches(sample, _Features(models, folds), "key binary, features array<double>").toArrow()
+    features = dict(sorted(zip(seen["key"].to_pylist(), seen["features"].to_pylist()), reverse=True))
+    labels = {_key(text): label for text, label in unique}
+    fitted = _calibrated(np.array(list(features.values())), np.array([labels[key] for key in features], float))
     fitted[2][-1] -= favour
     whole = _dictionaries(sides, runs)
     return Model(whole.ordinary, whole.toxic, *(tuple(values.tolist()) for values in fitted))
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        chosen = []
-        for text in batch.column("text").to_pylist():
-            own = windows(text)
-            places = np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))
-            chosen.append(b"\n".join(own[place] for place in places))
-        columns = [pa.array(chosen, pa.binary()), batch.column("label")]
-        yield pa.RecordBatch.from_arrays(columns, ["windows", "label"])
-
-
 def train(
     documents: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text"
 ) -> Model:
@@ -266,10 +290,13 @@ def train(
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = part if drawn is None else drawn.union(part)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).select("text", "label")
+    found = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).select("text", "label")
+    sample, path = written(found, "toxicity-sample")
     rows = map_batches(sample, _sampled_windows, "windows binary, label int").toArrow()
     favour = math.log(shares.get(1, 1.0) / shares.get(0, 1.0))
-    return fit(list(zip(rows["windows"].to_pylist(), rows["label"].to_pylist())), favour)
+    model = fit(list(zip(rows["windows"].to_pylist(), rows["label"].to_pylist())), sample, favour)
+    drop_paths(documents.sparkSession, [path])
+    return model
 
 
 class _Score:

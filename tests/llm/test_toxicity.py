@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -65,6 +66,27 @@ def test_scores_do_not_depend_on_the_samples_mix(spark, monkeypatch):
         assert abs(sum(scores) / len(scores) - 0.1) < 0.03, most
 
 
+def test_calibration_sees_whole_texts(spark):
+    random.seed(4)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+
+    def text(size, marks):
+        own = random.choices(words, k=size)
+        for place in random.sample(range(size), marks):
+            own[place] = "scumbag"
+        return " ".join(own)
+
+    rows = [text(60, 4) for _ in range(60)] + [text(4000, 250) for _ in range(20)]
+    rows += [text(60, 0) for _ in range(440)] + [text(4000, 2) for _ in range(40)]
+    frame, labels = documents(spark, list(enumerate(rows))), labelled(spark, [(n, int(n < 80)) for n in range(560)])
+    model = toxicity.train(frame, labels, F.lit(True))
+    lengths = [math.log1p(len(toxicity.windows(one))) for one in rows]
+    assert abs(model.center[4] - sum(lengths) / len(lengths)) < 1e-9
+    fresh = [(n, text(4000, 2)) for n in range(30)] + [(n, text(4000, 250)) for n in range(30, 60)]
+    found = toxicity.score(model, documents(spark, fresh)).collect()
+    assert [row.id for row in found if row.predicted != (row.id >= 30)] == []
+
+
 def test_nothing_to_learn(spark):
     frame = documents(spark, [(1, "a"), (2, None)])
     for labels in ([], [(1, 0)], [(1, 1), (2, 1)]):
