@@ -6,8 +6,10 @@ none, is one window. All windows, with a space at both ends, are the automaton's
 are hit; an occurrence's offsets are mapped back to the original text.
 
 The benchmark travels to every task, so its size is checked before it is read: beyond ``MAX_BENCHMARK_BYTES`` the call
-is refused; call it once per part of the benchmark then, hits add up. Within that, windows are put into automata of at
-most ``AUTOMATON_WINDOWS`` patterns, of which a task holds one at a time.
+is refused. Call it once per part of the benchmark then, each item whole in one part, and unite a document's items and
+spans: ``n_hit`` does not add up, as items of two parts may hit the same words; count the words of the united spans.
+Within that, windows are put into automata of at most ``AUTOMATON_WINDOWS`` patterns, of which a task holds one at a
+time.
 """
 
 from __future__ import annotations
