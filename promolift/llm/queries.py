@@ -14,6 +14,7 @@ from promolift.llm import (
     exact_dedup,
     langid,
     ngram_join,
+    pieces,
     pii,
     toxicity,
     url_rules,
@@ -24,6 +25,7 @@ from promolift.llm.common import held_out, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,9 +117,16 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.Model(public_tokenizers.path(PIECES))
+    return pieces.round_trip(table(spark, folder, "documents"), model).withColumnRenamed("id", "doc_id")
+
+
 def all_queries() -> dict[str, Query]:
     queries = (
         op1_pii, op2_warc, op3_chat, op4_toxicity, op5_langid, op6_exact_dedup, op7_decontaminate, op8_url_rules,
-        op9_ngram_jaccard, op10_bpe,
+        op9_ngram_jaccard, op10_bpe, op13_pieces,
     )
     return {query.__name__: query for query in queries}
