@@ -10,7 +10,7 @@ from pathlib import Path
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
@@ -76,6 +76,12 @@ def map_batches(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     return frame.mapInArrow(function, schema)
 
 
+def map_groups(grouped: GroupedData, function: Callable, schema: str) -> DataFrame:
+    """``applyInArrow`` with a function of this package."""
+    _ship(grouped.session)
+    return grouped.applyInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that a task holds few texts as Python objects at a time."""
     for batch in batches:

@@ -11,11 +11,13 @@ from promolift.llm import (
     bpe,
     chat,
     decontaminate,
+    divergence,
     exact_dedup,
     langid,
     ngram_join,
     pieces,
     pii,
+    repair,
     toxicity,
     url_rules,
     warc,
@@ -117,6 +119,40 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut off, repeated or given to the user, as a digest of their id and turn says."""
+    spoken = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat(spoken("conv_id"), F.lit(":"), spoken("turn")).cast("binary")) % 20
+    text = F.when(harm == 1, "").when(harm == 2, F.translate(spoken("text"), ".!?", "")).otherwise(spoken("text"))
+    role = F.when(harm == 4, "user").otherwise(spoken("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(harm == 3, 2).otherwise(1)))
+    kept = conversations.where(harm != 0)
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("col")
+
+
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    found = repair.repair(damaged(conversations))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    nothing = F.sha2(F.lit(""), 256)
+    summary = found.summary.withColumnRenamed("conv_id", "counted")
+    written_out = repair.transcripts(found.steps).withColumnRenamed("conv_id", "read")
+    return (
+        conversations.select("conv_id").distinct()
+        .join(summary, F.col("conv_id").eqNullSafe(F.col("counted")), "left")
+        .join(written_out, F.col("conv_id").eqNullSafe(F.col("read")), "left")
+        .select(
+            "conv_id", *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+        )
+    )
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -127,6 +163,7 @@ def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     queries = (
         op1_pii, op2_warc, op3_chat, op4_toxicity, op5_langid, op6_exact_dedup, op7_decontaminate, op8_url_rules,
-        op9_ngram_jaccard, op10_bpe, op13_pieces,
+        op9_ngram_jaccard, op10_bpe, op11_repair, op12_divergence,
+        op13_pieces,
     )
     return {query.__name__: query for query in queries}

@@ -137,6 +137,118 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow'
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    octets = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bits = "list_prepend(xor(crc, octet), [0, 0, 0, 0, 0, 0, 0, 0])"
+    shifted = f"list_reduce({bits}, lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda crc, octet: {shifted}), 4294967295)"
+
+
+# States: what the role before was; 1 none, 2 system, 3 user, 4 assistant. ``costs`` runs backwards, ``edits`` forwards.
+REPAIR = f"""
+WITH RECURSIVE base AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS harm
+  FROM conversations
+), damaged AS (
+  SELECT conv, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(generate_series(1, CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM base WHERE harm <> 0
+), placed AS (
+  SELECT conv, turn, role, text, role[1:1] AS initial, row_number() OVER o AS i,
+         row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS times,
+         regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS ending
+  FROM damaged WINDOW o AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy)
+), faulty AS MATERIALIZED (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN times > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair
+  FROM placed
+), ends AS MATERIALIZED (
+  SELECT conv, max(i) AS n FROM faulty GROUP BY conv
+), moves AS MATERIALIZED (
+  SELECT conv, i, role, text, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stays,
+         CASE initial WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS keeps
+  FROM faulty
+), costs AS (
+  SELECT conv, n + 1 AS i, [0, 4, 2, 0] AS c FROM ends
+  UNION ALL
+  SELECT conv, i, [least(b[1], 2 + least(b[3], 2 + b[4])), least(b[2], 2 + least(b[3], 2 + b[4])), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])]
+  FROM (
+    SELECT m.conv, m.i, list_transform([1, 2, 3, 4], lambda q: least(3 + c[q],
+             CASE WHEN must OR keeps[q] = 0 THEN 1000000000 ELSE stays + c[keeps[q]] END,
+             CASE WHEN must THEN 1000000000 ELSE 2 + stays + c[[3, 3, 4, 3][q]] END)) AS b
+    FROM costs JOIN moves m ON m.conv = costs.conv AND m.i = costs.i - 1
+  )
+), tables AS MATERIALIZED (
+  SELECT x.conv, x.i, x.c, y.c AS d, m.role, m.text, m.must, m.stays, m.keeps
+  FROM costs x LEFT JOIN costs y ON y.conv = x.conv AND y.i = x.i + 1 LEFT JOIN moves m ON m.conv = x.conv AND m.i = x.i
+), edits AS (
+  SELECT conv, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines, false AS finished FROM ends
+  UNION ALL
+  SELECT conv, CASE edit WHEN 'I' THEN i WHEN '' THEN i ELSE i + 1 END,
+         CASE edit WHEN 'K' THEN keeps[q] WHEN 'D' THEN q WHEN '' THEN q ELSE [3, 3, 4, 3][q] END, audit || edit,
+         CASE edit WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'I' THEN list_append(lines, ['user:', 'user:', 'assistant:', 'user:'][q])
+                   WHEN 'R' THEN list_append(lines, ['user:', 'user:', 'assistant:', 'user:'][q] || text) ELSE lines END, edit = ''
+  FROM (
+    SELECT e.*, t.role, t.text, t.keeps, CASE
+             WHEN d IS NULL AND c[q] = 0 THEN ''
+             WHEN d IS NOT NULL AND 3 + d[q] = c[q] THEN 'D'
+             WHEN 2 + c[[3, 3, 4, 3][q]] = c[q] THEN 'I'
+             WHEN NOT must AND keeps[q] > 0 AND stays + d[keeps[q]] = c[q] THEN 'K'
+             ELSE 'R' END AS edit
+    FROM edits e JOIN tables t ON t.conv = e.conv AND t.i = e.i WHERE NOT finished
+  )
+), summary AS (
+  SELECT conv, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM base) b LEFT JOIN summary USING (conv) LEFT JOIN (SELECT conv, c FROM costs WHERE i = 1) first USING (conv)
+LEFT JOIN (SELECT conv, audit, lines FROM edits WHERE finished) USING (conv)
+"""
+
+DIVERGENCE = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+), words AS MATERIALIZED (
+  SELECT r, lang, source, unnest(w) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), sizes AS MATERIALIZED (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), cells AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c FROM (SELECT DISTINCT lang, source FROM docs) g
+  JOIN kept k ON k.lang = g.lang LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), ps AS MATERIALIZED (
+  SELECT lang, source, term, c, CAST(1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p
+  FROM cells JOIN sizes USING (lang)
+), qs AS MATERIALIZED (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM cells GROUP BY lang, term) JOIN sizes USING (lang)
+), sums AS (
+  SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value
+  FROM ps x JOIN ps y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM ps JOIN qs USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op2_warc": WARC,
@@ -145,4 +257,6 @@ def all_oracles() -> dict[str, str]:
         "op7_decontaminate": CONTAMINATION,
         "op8_url_rules": _url_rules(),
         "op9_ngram_jaccard": f"WITH RECURSIVE {near_copies('documents')} SELECT * FROM near",
+        "op11_repair": REPAIR,
+        "op12_divergence": DIVERGENCE,
     }
