@@ -134,23 +134,25 @@ def _between(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def block_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Sums over one block of terms for every pair of two tiles of sources.
 
-    Rows are (number, unused, place, p): a source's number and its p of terms it does not use, and for each term that
-    it does use, the term and its p. ``place`` is null in the one row that every source has.
+    Rows are (number, tile, unused, place, p): a source's number, its tile and its p of terms it does not use, and for
+    each term that it does use, the term and its p. ``place`` is null in the one row that every source has.
     """
     lang, _, left_tile, right_tile = (part.as_py() for part in key)
-    number, unused, place, p = (rows.column(name).combine_chunks() for name in ("number", "unused", "place", "p"))
+    number, tile, unused, place, p = (
+        rows.column(name).combine_chunks() for name in ("number", "tile", "unused", "place", "p")
+    )
     used = place.is_valid().to_numpy(zero_copy_only=False)
     number, unused = number.to_numpy(), unused.to_numpy()
     sources, first = np.unique(number, return_index=True)
-    unused = unused[first]
+    unused, tile = unused[first], tile.to_numpy()[first]
     terms, column = np.unique(place.drop_null().to_numpy(), return_inverse=True)
     row = np.searchsorted(sources, number[used])
     ps = np.repeat(unused[:, None], len(terms), axis=1)
     ps[row, column] = p.drop_null().to_numpy()
     idle = np.ones(ps.shape, bool)
     idle[row, column] = False
-    lefts = np.flatnonzero(sources // TILE_SOURCES == left_tile)
-    rights = np.flatnonzero(sources // TILE_SOURCES == right_tile)
+    lefts = np.flatnonzero(tile == left_tile)
+    rights = np.flatnonzero(tile == right_tile)
     out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
     for left in lefts:
         against = rights[rights > left]
@@ -214,9 +216,9 @@ def audit(
     )
     own = f"number div {TILE_SOURCES}"
     tiled = used.unionByName(sentinels).selectExpr(
-        "lang", "block", "number", "unused", "place", "p",
-        f"inline(transform(sequence(0L, last_tile), tile -> struct(least(tile, {own}), greatest(tile, {own}))))",
-    ).toDF("lang", "block", "number", "unused", "place", "p", "low_tile", "high_tile")
+        "lang", "block", "number", f"{own} AS tile", "unused", "place", "p",
+        f"inline(transform(sequence(0L, last_tile), other -> struct(least(other, {own}), greatest(other, {own}))))",
+    ).toDF("lang", "block", "number", "tile", "unused", "place", "p", "low_tile", "high_tile")
     by_block = tiled.groupBy("lang", "block", "low_tile", "high_tile")
     partial = map_groups(by_block, block_sums, "lang string, a long, b long, value long")
     sums = partial.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
