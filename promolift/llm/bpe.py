@@ -6,8 +6,8 @@ prefix is unique. A state is the longest end of what was read that may still gro
 them than beginnings of tokens. A transition, made when it is first taken, names the tokens that may end at its byte;
 the first of them, from the longest, that may follow the last token of the prefix before it, is the prefix's last
 token. Tokens are emitted once all continuations share them, which lags behind by a bounded lookahead: a later token
-begins at the end or where one has been opened. Which token may follow which is worked out when first asked. Frequent
-pieces of text are looked up whole.
+begins at the end or where one has been opened. Which token may follow which is worked out when first asked. Parts of
+text between spaces, and pieces of them, that came before are looked up whole, in tables that forget rare ones.
 
 Decoding joins the tokens' bytes in chunks and runs an incremental UTF-8 state machine over them, so characters may be
 split between tokens and chunks.
@@ -18,21 +18,24 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promolift.llm.chunks import ChunkTable, Written, decimals, digest_of_numbers, joined, text_slices
 from promolift.llm.common import map_batches, slices
 
 SETTLE = 512
 MAX_FITS = 400_000
-MAX_PIECES = 150_000
+MAX_MOVES = 1_000_000
 CHUNK_IDS = 1 << 16
 
 _coders: dict[bytes, Coder] = {}
@@ -79,52 +82,54 @@ class Transducer:
             return [self.ranks[piece]]
         if len(self.fits) > MAX_FITS:
             self.fits.clear()
+        if len(self.moves) > MAX_MOVES:
+            self.moves.clear()
         moves, fits = self.moves, self.fits
-        state, before, out = 0, -1, []
-        last: list[tuple[int, int]] = []  # (length, token) of the last token of each prefix since the settled boundary
+        state, out = 0, []
+        # The last token of each prefix since the settled boundary, and its length; the first stands for that boundary.
+        last, lengths = [-1], [0]
         for byte in piece:
             move = moves.get(state << 8 | byte) or self._move(state, byte)
             state = move[0]
-            end = len(last) + 1
-            for found in move[1]:
-                start = end - found[0]
-                if start < 0:
+            end = len(last)
+            for length, token in move[1]:
+                if length > end:
                     continue
-                key = (last[start - 1][1] if start else before) << 20 | found[1]
+                key = last[end - length] << 20 | token
                 fit = fits.get(key)
                 if fit is None:
-                    fit = fits[key] = self._follows(key >> 20, found[1])
+                    fit = fits[key] = self._follows(key >> 20, token)
                 if fit:
-                    last.append(found)
+                    last.append(token)
+                    lengths.append(length)
                     break
             else:
                 raise ValueError("the merges give this prefix no tokens; is every byte a token?")
             if end >= SETTLE:
-                out += self._settled(last, self.states[state])
-                before = out[-1] if out else before
-        return out + self._tokens(last, len(last))
+                out += self._settled(last, lengths, self.states[state])
+        return out + self._tokens(last, lengths, len(last) - 1)
 
     @staticmethod
-    def _tokens(last: list[tuple[int, int]], end: int) -> list[int]:
+    def _tokens(last: list[int], lengths: list[int], end: int) -> list[int]:
         """The tokens of the prefix of length ``end``."""
         out = []
         while end:
-            length, token = last[end - 1]
-            out.append(token)
-            end -= length
+            out.append(last[end])
+            end -= lengths[end]
         return out[::-1]
 
-    def _settled(self, last: list[tuple[int, int]], read: bytes) -> list[int]:
-        """Take off ``last`` and return the tokens that every continuation shares: a later token begins at the end or
-        where one has been opened, and all those prefixes agree up to some boundary."""
-        ends = {len(last), *(len(last) - len(read) + at for at in range(len(read)) if read[at:] in self.openings)}
+    def _settled(self, last: list[int], lengths: list[int], read: bytes) -> list[int]:
+        """Take off and return the tokens that every continuation shares: a later token begins at the end or where one
+        has been opened, and all those prefixes agree up to some boundary."""
+        count = len(last) - 1
+        ends = {count, *(count - len(read) + at for at in range(len(read)) if read[at:] in self.openings)}
         while len(ends) > 1:  # walk the latest boundary back until all meet
             latest = max(ends)
             ends.remove(latest)
-            ends.add(latest - last[latest - 1][0])
+            ends.add(latest - lengths[latest])
         boundary = ends.pop()
-        out = self._tokens(last, boundary)
-        del last[:boundary]
+        out = self._tokens(last, lengths, boundary)
+        del last[:boundary], lengths[:boundary]
         return out
 
     def _edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
@@ -163,75 +168,95 @@ class Transducer:
                 j += 1
 
 
-class _Pieces(dict):
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> list[int]:
-        found = self.transducer.encode(piece.encode())
-        if len(self) < MAX_PIECES and len(piece) <= 64:
-            self[piece] = found
-        return found
-
-
 class Coder:
-    def __init__(self, vocabulary: bytes, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str, cut_at_space: bool = False):
         lines = (line.split() for line in vocabulary.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.split = regex.compile(pattern).findall
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.numbers = {rank: str(rank) for rank in self.tokens}
+        self.cut_at_space = cut_at_space
+        self.decimals = decimals(max(self.ranks.values()))
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = Written([tokens.get(rank, b"") for rank in range(max(tokens) + 1)])
+        self.pieces = ChunkTable(self._encode_pieces)
+        self.table = ChunkTable(self._encode_chunks)
 
     @cached_property
-    def pieces(self) -> _Pieces:
-        return _Pieces(Transducer(self.ranks))  # decoding needs none
+    def transducer(self) -> Transducer:
+        return Transducer(self.ranks)  # decoding needs none
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.split(text or ""))), np.int32)
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        return [array("i", self.transducer.encode(piece)).tobytes() for piece in pieces]
+
+    def _encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        parts = [[piece.encode() for piece in self.split(chunk.decode())] for chunk in chunks]
+        distinct = list(set(chain.from_iterable(parts)))
+        ids = dict(zip(distinct, self.pieces.of(distinct)))
+        return [b"".join([ids[piece] for piece in part]) for part in parts]
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def encode_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids start, with the end."""
+        data, starts = joined([(text or "").encode() for text in texts])
+        cuts = space_cuts(data) if self.cut_at_space else np.zeros(len(data), bool)
+        ids, id_starts = self.table.gather(data, starts, cuts, 1)
+        return np.ascontiguousarray(ids[:, 0]), id_starts
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_texts([text])[0]
 
     def decode_chunks(self, ids: np.ndarray) -> Iterator[str]:
         """Text chunk by chunk; raises UnicodeDecodeError where the tokens are not UTF-8."""
         machine = codecs.getincrementaldecoder("utf-8")("strict")
         for start in range(0, len(ids), CHUNK_IDS):
-            yield machine.decode(self.decode_bytes(ids[start : start + CHUNK_IDS].tolist()))
+            yield machine.decode(self.tokens.of(ids[start : start + CHUNK_IDS])[0])
         yield machine.decode(b"", final=True)
 
 
+def space_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a white space of ASCII follows another character, told by its bytes; not all such places are found.
+
+    Bytes from 0x21 to 0x7E are no white space, nor are two-byte characters from lead 0xC3 on, three-byte ones with lead
+    0xE0 or from 0xE4 on, and four-byte ones.
+    """
+    cuts = np.zeros(len(data), bool)
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    cuts[1:] = space[1:] & (data[:-1] >= 0x21) & (data[:-1] <= 0x7E)
+    cuts[2:] |= space[2:] & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+    cuts[3:] |= space[3:] & ((data[:-3] == 0xE0) | (data[:-3] >= 0xE4)) & (data[:-3] <= 0xEF)
+    cuts[4:] |= space[4:] & (data[:-4] >= 0xF0)
+    return cuts
+
+
 class Vocabulary:
-    """A rank file's content and a split pattern, as sent to tasks; a Python worker compiles it once."""
+    """A rank file's content and a split pattern, as sent to tasks; a Python worker compiles it once.
 
-    def __init__(self, path: str, pattern: str):
+    ``cut_at_space`` says that the pattern never matches a white space behind another character and looks at nothing
+    before a match; texts are then split by parts of which most are known already.
+    """
+
+    def __init__(self, path: str, pattern: str, cut_at_space: bool = False):
         with open(path, "rb") as file:
             self.content = file.read()
         self.pattern = pattern
-        self.key = hashlib.sha256(self.content + pattern.encode()).digest()
+        self.cut_at_space = cut_at_space
+        self.key = hashlib.sha256(self.content + pattern.encode() + bytes((cut_at_space,))).digest()
 
     def coder(self) -> Coder:
         if self.key not in _coders:
             _coders.clear()
-            _coders[self.key] = Coder(self.content, self.pattern)
+            _coders[self.key] = Coder(self.content, self.pattern, self.cut_at_space)
         return _coders[self.key]
 
 
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(ids) for ids in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-
-
 class _Encode:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = self.vocabulary.coder()
-        for batch in slices(batches):
-            ids = _lists([coder.encode(text) for text in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], ["id", "ids"])
+        for batch in text_slices(batches):
+            ids, starts = coder.encode_texts(batch.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])
 
 
 class _Decode:
@@ -254,27 +279,31 @@ class _Digest:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = self.vocabulary.coder()
-        for batch in slices(batches):
-            if "ids" in batch.schema.names:
-                lists = batch.column("ids")
-                ids = (lists[row].values.to_numpy() for row in range(len(lists)))
-            else:
-                ids = map(coder.encode, batch.column("text").to_pylist())
-            rows = [self._row(coder, own) for own in ids]
+        for batch, ids, starts in self._encoded(coder, batches):
+            numbers, number_starts = coder.decimals.of(ids)
+            rows = []
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                decoded = hashlib.sha256()
+                for chunk in coder.decode_chunks(ids[start:end]):
+                    decoded.update(chunk.encode())
+                joined_ids = digest_of_numbers(numbers, number_starts[start], number_starts[end])
+                rows.append((end - start, joined_ids, decoded.hexdigest()))
             kinds = [pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names)
 
     @staticmethod
-    def _row(coder: Coder, ids: np.ndarray) -> tuple[int, str, str]:
-        numbers, decoded = hashlib.sha256(), hashlib.sha256()
-        for start in range(0, len(ids), CHUNK_IDS):
-            joined = ",".join(map(coder.numbers.__getitem__, ids[start : start + CHUNK_IDS].tolist()))
-            numbers.update(("," * (start > 0) + joined).encode())
-        for chunk in coder.decode_chunks(ids):
-            decoded.update(chunk.encode())
-        return len(ids), numbers.hexdigest(), decoded.hexdigest()
+    def _encoded(coder: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            if "ids" in batch.schema.names:
+                for part in slices(iter([batch])):
+                    lists = part.column("ids")
+                    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+                    yield part, lists.flatten().to_numpy(), starts
+            else:
+                for part in text_slices(iter([batch])):
+                    yield part, *coder.encode_texts(part.column("text").to_pylist())
 
 
 def encode(frame: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -112,7 +112,7 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def vocabulary() -> bpe.Vocabulary:
     import public_tokenizers  # only this query needs the vocabulary files to be installed
 
-    return bpe.Vocabulary(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.Vocabulary(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, cut_at_space=True)
 
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,8 +16,8 @@ FILES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken")
 
 
 def both(name):
-    vocabulary = bpe.Vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN)
-    coder = bpe.Coder(vocabulary.content, vocabulary.pattern)
+    vocabulary = bpe.Vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN, cut_at_space=True)
+    coder = bpe.Coder(vocabulary.content, vocabulary.pattern, vocabulary.cut_at_space)
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     return vocabulary, coder, other
 
@@ -36,7 +36,7 @@ def test_token_strings_are_encoded_alike(name):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text("abeinrst é1\n日😀", max_size=200))
+@given(st.text(max_size=60) | st.text("abe'st é1\n\t\x1c\x85\xa0\u2003\u3000ऄ日😀", max_size=200))
 def test_any_text_is_encoded_alike_and_comes_back(text):
     text = text.encode(errors="ignore").decode()
     for _, coder, other in CODERS.values():
@@ -80,3 +80,12 @@ def test_table(spark):
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode(frame.limit(0), vocabulary).collect() == []
+
+
+def test_whole_texts_and_cut_ones_are_encoded_alike():
+    vocabulary, coder, _ = CODERS[FILES[0]]
+    whole = bpe.Coder(vocabulary.content, vocabulary.pattern)
+    random.seed(4)
+    texts = ["".join(random.choices("ab'd é\n\t\xa0\u3000日😀. 12", k=300)) for _ in range(50)] + ["", None]
+    for one, other in zip(coder.encode_texts(texts), whole.encode_texts(texts)):
+        assert one.tolist() == other.tolist()
