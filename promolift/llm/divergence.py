@@ -4,8 +4,8 @@ Every language has a vocabulary of its own: the terms of at least ``min_docs`` o
 with that bound and the largest possible vocabulary turns each document into an exact sparse vector of counts; terms are
 qualified by their language, so that one pass serves any number of languages. Vocabularies travel through the driver and
 to every executor, so the terms are dealt by their hash into parts with a bounded number of distinct terms each, every
-part is stored on its own, and the vectorizer runs once a part: the driver holds one part's vocabulary at a time and the
-text is read once however many parts there are.
+part is stored on its own, and the vectorizer runs once a part: the driver holds one part's vocabulary at a time and each
+part is read alone. Terms are the runs of letters A to Z and of characters from U+0080 on, only A to Z lower-cased.
 
 The vectors are summed by language and source as sparse (group, term, count) rows. Pairs of sources are compared on
 blocks of terms: a block holds only occurring counts, and a pair's sum comes from the terms that either source uses plus
@@ -14,6 +14,8 @@ one product for the terms that neither does. All arithmetic is on whole numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
@@ -21,7 +23,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promolift.llm.common import drop_paths, map_groups, new_path, written
+from promolift.llm.chunks import text_slices
+from promolift.llm.common import drop_paths, map_batches, map_groups, new_path, written
 
 MIN_DOCS = 10
 TERMS_PER_PART = 1_000_000  # distinct terms a part may hold, rare ones included: about a seventh reach MIN_DOCS
@@ -29,8 +32,6 @@ TOP_TERMS = 10
 SCALE = 1_000_000_000
 BLOCK_TERMS = 16_384
 TILE_SOURCES = 128
-TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LARGEST = 2**31 - 1
 
 _GROUP = ["lang", "source"]
@@ -40,27 +41,53 @@ def _documents(frame: DataFrame) -> DataFrame:
     return frame.select(*[F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in (*_GROUP, "text")])
 
 
+def terms_of(texts: pa.StringArray) -> pa.ListArray:
+    """The terms of each text, by whole buffers of UTF-8: every byte above 0x7F belongs to a character of a term."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    capital = (data >= 0x41) & (data <= 0x5A)
+    inside = capital | ((data >= 0x61) & (data <= 0x7A)) | (data >= 0x80)
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    opens[begins] = inside[begins]  # a text does not continue the one before
+    before = np.concatenate(([0], np.cumsum(opens)))
+    letters = (data | (capital.view(np.uint8) << 5))[inside]
+    starts = np.append(np.cumsum(inside)[opens] - 1, len(letters)).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)])
+    return pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), terms)
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        terms = terms_of(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), terms], [*_GROUP, "terms"])
+
+
 def _stored_terms(documents: DataFrame, terms_per_part: int) -> tuple[DataFrame, str, list[int]]:
-    """Documents' terms by part, written to one folder a part."""
+    """Documents' terms by part, written to one folder a part; the terms of a single part are written once."""
     spark = documents.sparkSession
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    tokenised = documents.select(*_GROUP, terms.alias("terms")).where("size(terms) > 0")
-    occurring = tokenised.select("lang", F.explode("terms").alias("term"))
-    distinct = occurring.agg(F.approx_count_distinct(F.xxhash64("lang", "term"))).first()[0]
-    parts = 1 + distinct // terms_per_part
-    if parts == 1:
-        dealt = tokenised.withColumn("part", F.lit(0))
-    else:
+    schema = "lang STRING, source STRING, terms ARRAY<STRING>"
+    tokenised = map_batches(documents, _tokenise, schema).where("size(terms) > 0")
+    path = new_path(spark, "divergence-terms")
+    tokenised.write.parquet(f"{path}/part=0")
+    stored = spark.read.schema(schema).parquet(f"{path}/part=0")
+    distinct = stored.select("lang", F.explode("terms").alias("term")).agg(
+        F.approx_count_distinct(F.xxhash64("lang", "term"))
+    )
+    parts = 1 + distinct.first()[0] // terms_per_part
+    if parts > 1:
+        whole, path = path, new_path(spark, "divergence-parts")
         own = f"transform(terms, term -> CAST(pmod(xxhash64(term), {parts}) AS INT))"
         dealt = (
-            tokenised.withColumn("own", F.expr(own))
+            stored.withColumn("own", F.expr(own))
             .select("*", F.explode(F.array_distinct("own")).alias("part"))
             .select(*_GROUP, F.expr("filter(terms, (term, at) -> own[at] = part)").alias("terms"), "part")
         )
-    path = new_path(spark, "divergence-terms")
-    dealt.write.partitionBy("part").parquet(path)
-    schema = "lang STRING, source STRING, terms ARRAY<STRING>, part INT"
-    return spark.read.schema(schema).parquet(path), path, list(range(parts))
+        dealt.write.partitionBy("part").parquet(path)
+        drop_paths(spark, [whole])
+    return spark.read.schema(f"{schema}, part INT").parquet(path), path, list(range(parts))
 
 
 def _part_counts(spark: SparkSession, stored: DataFrame, part: int, min_docs: int) -> tuple[DataFrame | None, str | None]:
