@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolift.functions.columns import ROWS, aggregate
+from promolift.functions.columns import ROWS
 
 
 def _over(within, order: str = "") -> str:
@@ -22,44 +22,56 @@ def rank_league(league: DataFrame, value: str, ranks: dict[str, tuple[str, ...]]
     """Descending RANK() over one row per store or department, without a task that sees all rows.
 
     ``ranks`` maps an output column to the columns it is ranked within. Nothing
-    runs until the result is acted on, and every size takes the same path: the
-    distinct values are cut into bins at approximate quantiles. Bins follow the
-    order of the values and equal values share a bin, so the result is exact
-    however rough the quantiles are: rank = 1 + rows in higher bins + rows with a
-    higher value in the same bin. A value shared by many rows is one row here, and
-    all ranks come from one table of such rows. There are as many bins as shuffle
-    partitions, so that a bin is what a task is expected to hold.
+    runs until the result is acted on, and every size takes the same path, in two
+    levels. The values are cut at approximate quantiles. Slots follow the order
+    of the values: every cut is a slot of its own and so is NULL, the others are
+    the values between two cuts. The rows of each slot are counted, and a rank is
+    one more than the rows of the slots before plus, between cuts, those with a
+    higher value in the same slot. The result is exact however rough the
+    quantiles are.
+
+    Cuts and counts come from one scalar subquery, so they fit each other. A
+    value that many rows share is a cut: its rows all have the same rank, need
+    no ordering and are dealt out evenly. There are as many cuts as shuffle
+    partitions, so that a slot is what a task is expected to hold.
     """
     bins = bins or max(2, int(league.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = sorted({key for within in ranks.values() for key in within})
-    ties = aggregate(league, [*keys, value], {"_rows": ROWS})
+    of = ", ".join(["_slot", *keys])
+    counted = _slotted(league, value, _quantiles(league, value, bins)).groupBy("_slot", *keys)
+    counted = counted.agg(F.expr(f"{ROWS} AS _rows"), F.expr("any_value(_cuts) AS _cuts"))
+    # A few rows per slot: windows and sums share one task.
+    before = counted.selectExpr(
+        f"struct({of}) AS _of",
+        "_cuts",
+        "struct("
+        + ", ".join(
+            f"coalesce(sum(_rows) {_over(within, 'ORDER BY _slot RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}, 0) AS {name}"
+            for name, within in sorted(ranks.items(), key=lambda item: len(item[1]))
+        )
+        + ") AS _before",
+    ).agg(F.expr("struct(any_value(_cuts) AS cuts, map_from_entries(collect_list(struct(_of, _before))) AS before)"))
+    placed = league.withColumn("_places", before.scalar()).withColumn("_cuts", F.col("_places.cuts"))
+    slotted = _slotted(placed, value, None).selectExpr("*", f"_places.before[struct({of})] AS _before")
+    # Rows of a cut or without a value are all first in their slot; they may lie anywhere.
+    spread = f"-1 - pmod(xxhash64({', '.join(league.columns)}), {bins})"
+    slotted = slotted.selectExpr("*", "_slot % 2 = 1 AS _alone", f"if(_slot % 2 = 1, {spread}, _slot) AS _task")
+    for name, within in sorted(ranks.items(), key=lambda item: len(item[1])):
+        inside = f"rank() {_over(['_task', *within], f'ORDER BY {value} DESC')}"
+        slotted = slotted.selectExpr("*", f"_before.{name} + if(_alone, 1, {inside}) AS {name}")
+    return slotted.select(*league.columns, *ranks)
+
+
+def _quantiles(league: DataFrame, value: str, bins: int) -> Column:
     fractions = [step / bins for step in range(1, bins)]
-    cuts = ties.select(F.percentile_approx(value, fractions, 10 * bins)).scalar()
-    binned = ties.withColumn("_cuts", cuts).selectExpr(
-        *keys,
-        value,
-        "_rows",
-        f"if({value} IS NULL, {bins}, size(filter(_cuts, cut -> cut > {value}))) AS _bin",
-    )
-    upto = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    ahead_of_bin = aggregate(binned, [*keys, "_bin"], {"_bin_rows": "sum(_rows)"}).selectExpr(
-        *[f"{key} AS _{key}" for key in keys],
-        "_bin AS _of_bin",
-        *[
-            f"sum(_bin_rows) {_over(within, f'ORDER BY _bin {upto}')} - sum(_bin_rows) {_over([*within, '_bin'])}"
-            f" AS _ahead_{name}"
-            for name, within in ranks.items()
-        ],
-    )
-    same_bin = " AND ".join(["_bin = _of_bin", *[f"{key} <=> _{key}" for key in keys]])
-    places = binned.join(ahead_of_bin, F.expr(same_bin)).selectExpr(
-        *[f"_{key}" for key in keys],
-        f"{value} AS _value",
-        *[
-            f"1 + _ahead_{name} + sum(_rows) {_over([*within, '_bin'], f'ORDER BY {value} DESC {upto}')}"
-            f" - sum(_rows) {_over([*within, '_bin', value])} AS {name}"
-            for name, within in ranks.items()
-        ],
+    return league.select(F.percentile_approx(value, fractions, 10 * bins)).scalar()
+
+
+def _slotted(frame: DataFrame, value: str, cuts: Column | None) -> DataFrame:
+    """The row's slot, from the highest values down: odd at a cut and for NULL, even between cuts."""
+    with_cuts = frame if cuts is None else frame.withColumn("_cuts", F.array_distinct(F.coalesce(cuts, F.array())))
+    higher = f"size(filter(_cuts, cut -> cut > {value}))"
+    return with_cuts.selectExpr(
+        "*",
+        f"CAST(if({value} IS NULL, 2 * size(_cuts) + 1, 2 * {higher} + if(array_contains(_cuts, {value}), 1, 0)) AS BIGINT) AS _slot",
     )
-    same = " AND ".join([f"{value} <=> _value", *[f"{key} <=> _{key}" for key in keys]])
-    return league.join(places, F.expr(same)).select(*league.columns, *ranks)
