@@ -8,6 +8,9 @@ Reports are written whole, as CSV with a header, one folder each. Settings are
 options named like those of ``LiftConfig``, e.g. ``--window-start 2011-11-01
 --drift-rate 0.05 --spend-columns MarkDown1,MarkDown2``. The session is the one
 the launcher configures; without a launcher it is local.
+
+A load is refused when more than ``--most-rejected`` (a share, 0 by default) of a
+table's lines do not fit its columns, and leaves the tables as they were.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("source")
     out.add_argument("target")
     out.add_argument("names", nargs="*", choices=[[], *FRAMES, *REPORTS], metavar="name")
+    out.add_argument("--most-rejected", type=float, default=0.0)
     for field in dataclasses.fields(LiftConfig):
         out.add_argument(f"--{field.name.replace('_', '-')}", type=_reader(field.default), default=field.default)
     return out
@@ -60,9 +64,9 @@ def main(arguments: list[str]) -> int:
     config = LiftConfig(**{field.name: getattr(chosen, field.name) for field in dataclasses.fields(LiftConfig)})
     spark = SparkSession.builder.appName(f"promolift-{chosen.command}").getOrCreate()
     if chosen.command == "load":
-        files.replace_tables(files.read_inputs(spark, chosen.source, config), chosen.target)
-        for row in files.load_report(files.read_tables(spark, chosen.target)).collect():
-            print(row.table_name, row.rows)
+        loaded = files.load_inputs(spark, chosen.source, chosen.target, config, most_rejected=chosen.most_rejected)
+        for row in loaded.collect():
+            print(row.table_name, row.rows, row.rejected)
         return 0
     model = LiftModel(Tables(**files.read_tables(spark, chosen.source)), config).with_stored_pairs()
     if chosen.command == "export":

@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, StructType
 
 from promolift.config import LiftConfig
 from promolift.functions.columns import ROWS, aggregate
 from promolift.sources import schemas
+from promolift.sources.versions import Versions
 
 TABLES = ("train", "features", "stores")
 
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+#: The whole text of a line that does not fit its columns.
+BAD_LINE = "_bad_line"
+REJECTED = "table_name STRING, file STRING, line_number BIGINT, line STRING"
+
+
+def _csv(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
     # FAILFAST: a value that does not fit its type must not turn into "no spend".
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", "NA")
-        .option("mode", "FAILFAST")
+        .option("mode", mode)
+        .option("columnNameOfCorruptRecord", BAD_LINE)
         .csv(path)
     )
 
 
+def _input_schemas(config: LiftConfig, dept_type: str) -> dict[str, str]:
+    return {
+        "train": schemas.sales_schema(dept_type),
+        "features": schemas.features_schema(config),
+        "stores": schemas.STORES,
+    }
+
+
 def read_inputs(
     spark: SparkSession, folder: str, config: LiftConfig = LiftConfig(), dept_type: str = "INT"
 ) -> dict[str, DataFrame]:
     """train.csv, features.csv and stores.csv with fixed types; NA is NULL."""
     return {
-        "train": _csv(spark, f"{folder}/train.csv", schemas.sales_schema(dept_type)),
-        "features": _csv(spark, f"{folder}/features.csv", schemas.features_schema(config)),
-        "stores": _csv(spark, f"{folder}/stores.csv", schemas.STORES),
+        name: _csv(spark, f"{folder}/{name}.csv", schema) for name, schema in _input_schemas(config, dept_type).items()
     }
 
 
@@ -55,28 +69,144 @@ def write_inputs(tables: dict[str, DataFrame], folder: str, config: LiftConfig =
         laid_out.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(f"{folder}/{name}.csv")
 
 
-def write_table(table: DataFrame, path: str, mode: str = "error") -> None:
-    """Parquet, by year where there is a Date, so that the window and its baseline
-    read only the directories they need.
+def laid_out(table: DataFrame) -> tuple[DataFrame, list[str]]:
+    """A base table as it is stored, and its folder columns: by year where there
+    is a Date, so that the window and its baseline read only the directories they need.
 
     The rebalance step lets adaptive execution even out file sizes and split a
     year that holds most of the rows.
     """
     if "Date" in table.columns:
-        dated = table.withColumn("year", F.year("Date")).hint("rebalance", F.col("year"))
-        dated.write.mode(mode).partitionBy("year").parquet(path)
-    else:
-        table.write.mode(mode).parquet(path)
+        return table.withColumn("year", F.year("Date")).hint("rebalance", F.col("year")), ["year"]
+    return table, []
+
+
+def control_amount(table: DataFrame) -> str:
+    """What the control total of a base table sums: sales, all spend or sizes."""
+    known = [column for column in ("Weekly_Sales", "Size") if column in table.columns]
+    spend = [f"coalesce({f.name}, 0)" for f in table.schema if isinstance(f.dataType, DecimalType)]
+    return known[0] if known else " + ".join(spend) or "0"
+
+
+def write_table(table: DataFrame, path: str) -> dict:
+    """Write a base table and return its control totals, which are collected while it is written.
+
+    They are taken behind the last shuffle, where a task that is run again counts once.
+    """
+    stored, folders = laid_out(table)
+    written = Observation()
+    total = f"CAST(coalesce(sum({control_amount(table)}), 0) AS STRING) AS total"
+    stored.observe(written, F.expr(f"{ROWS} AS rows"), F.expr(total)).write.partitionBy(*folders).parquet(path)
+    return dict(written.get)
 
 
 def replace_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write the base tables, replacing earlier ones."""
-    for name, table in tables.items():
-        write_table(table, f"{folder}/{name}", mode="overwrite")
+    """Write the base tables as a new version and switch to it when all are written.
+
+    Until then, and if any of them fails, readers find the earlier version whole.
+    """
+    versions = Versions(next(iter(tables.values())).sparkSession, folder)
+    path = versions.begin()
+    paths = {name: f"{path}/{name}" for name in tables}
+    totals = {name: write_table(table, paths[name]) for name, table in tables.items()}
+    versions.commit(path, paths, totals)
+
+
+def _in_force(spark: SparkSession, folder: str) -> dict:
+    found = Versions(spark, folder).current()
+    if found is None:
+        raise FileNotFoundError(f"no tables in {folder}: nothing was loaded there")
+    return found
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    """The tables of the load in force."""
+    paths = _in_force(spark, folder)["tables"]
+    return {name: spark.read.parquet(paths[name]) for name in TABLES}
+
+
+def stored_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """table_name, rows and total of the load in force, as counted while it was written: no table is read."""
+    totals = _in_force(spark, folder)["totals"]
+    rows = [(name, found["rows"], Decimal(found["total"])) for name, found in totals.items()]
+    return spark.createDataFrame(rows, "table_name STRING, rows BIGINT, total DECIMAL(38,2)")
+
+
+def load_inputs(
+    spark: SparkSession,
+    source: str,
+    folder: str,
+    config: LiftConfig = LiftConfig(),
+    dept_type: str = "INT",
+    most_rejected: float = 0.0,
+) -> DataFrame:
+    """Load the three CSV files as a new version of the tables: table_name, rows and rejected.
+
+    A line that does not fit its table's columns is left out of it and kept with
+    its file and line number in the table ``rejected`` of the version. When more
+    than ``most_rejected`` of a table's lines do not fit, the load is refused and
+    the earlier version stays in force; the refused version's rejected lines can
+    still be read at the path that the error names.
+
+    One pass reads, checks and stores a table. Only files with bad lines are read
+    again, to number them.
+    """
+    versions = Versions(spark, folder)
+    path = versions.begin()
+    paths, totals, report = {}, {}, []
+    rejected_path = f"{path}/rejected"
+    for name, schema in _input_schemas(config, dept_type).items():
+        lines = _csv(spark, f"{source}/{name}.csv", f"{schema}, {BAD_LINE} STRING", mode="PERMISSIVE")
+        seen = Observation()
+        with_file = lines.select("*", F.col("_metadata.file_path").alias("_file"))
+        checked = with_file.observe(seen, F.expr(f"collect_set(if({BAD_LINE} IS NULL, NULL, _file)) AS bad_files"))
+        paths[name] = f"{path}/{name}"
+        totals[name] = write_table(checked.where(f"{BAD_LINE} IS NULL").drop(BAD_LINE, "_file"), paths[name])
+        bad_files, rejected = list(seen.get["bad_files"]), 0
+        if bad_files:
+            counted = Observation()
+            bad = rejected_lines(spark, bad_files, schema).select(F.lit(name).alias("table_name"), "*")
+            bad.observe(counted, F.expr(f"{ROWS} AS rows")).write.mode("append").parquet(rejected_path)
+            rejected = counted.get["rows"]
+        report.append((name, totals[name]["rows"], rejected))
+    for name, rows, rejected in report:
+        if rejected > most_rejected * (rows + rejected):
+            raise ValueError(
+                f"{name}: {rejected} of {rows + rejected} lines do not fit, see {rejected_path}; nothing was replaced"
+            )
+    if any(rejected for _, _, rejected in report):
+        paths["rejected"] = rejected_path
+    versions.commit(path, paths, totals)
+    return spark.createDataFrame(report, "table_name STRING, rows BIGINT, rejected BIGINT")
+
+
+def read_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """table_name, file, line_number and line of the lines that the load in force left out."""
+    path = _in_force(spark, folder)["tables"].get("rejected")
+    return spark.read.schema(REJECTED).parquet(path) if path else spark.createDataFrame([], REJECTED)
+
+
+def rejected_lines(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """file, line_number and line of the lines of CSV files that do not fit the schema.
+
+    Lines are numbered in two levels: the blocks of a file are counted, and a line's
+    number is that of the lines in earlier blocks and its place in its own.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    blocks = aggregate(lines, ["file", "block"], {"_rows": ROWS, "_first": "min(place)"}).selectExpr(
+        "file AS _of", "block AS _at", "sum(_rows) OVER (PARTITION BY file ORDER BY block) - _rows - _first AS _lag"
+    )
+    options = {"nullValue": "NA", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    parsed = F.from_csv("line", f"{schema}, {BAD_LINE} STRING", options)[BAD_LINE]
+    numbered = lines.join(blocks, F.expr("file = _of AND block = _at")).selectExpr(
+        "file", "_lag + place + 1 AS line_number", "line"
+    )
+    return numbered.where("line_number > 1 AND trim(line) <> ''").where(parsed.isNotNull())
 
 
 def load_report(tables: dict[str, DataFrame]) -> DataFrame:

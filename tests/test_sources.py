@@ -11,6 +11,7 @@ from promolift.__main__ import main, parser
 from promolift.plans.registry import all_queries, model_for
 from promolift.sources import files, staging, testdata
 from promolift.sources.schemas import export_schemas
+from promolift.sources.versions import Versions
 from tests.frames import CONFIG, by, model, rows, week, year_before
 
 FOLDER = "/root/testdata/sf0.001"
@@ -61,7 +62,96 @@ def test_tables_are_replaced_reported_and_modelled(spark, tmp_path):
     }
     card = by(LiftModel(Tables(**tables), LiftConfig()).scorecard_by_type(), "markdown_type")
     assert card["Markdown Type 5"]["total_spend"] == 30.0
-    assert {p.name for p in (tmp_path / "tables" / "train").glob("year=*")} == {"year=2010", "year=2011"}
+    version = Path(tables["train"].inputFiles()[0].removeprefix("file://")).parents[1]
+    assert {p.name for p in version.glob("year=*")} == {"year=2010", "year=2011"}
+    assert {r["table_name"]: float(r["total"]) for r in rows(files.stored_totals(spark, target))} == {
+        "train": 247.5,
+        "features": 37.35,
+        "stores": 188707,
+    }
+
+
+def _loaded(spark, folder):
+    return {name: table.count() for name, table in files.read_tables(spark, folder).items()}
+
+
+def test_a_load_that_fails_midway_leaves_the_tables_as_they_were(spark, tmp_path):
+    _write_inputs(tmp_path)
+    target = str(tmp_path / "tables")
+    inputs = files.read_inputs(spark, str(tmp_path))
+    files.replace_tables(inputs, target)
+    before = _loaded(spark, target)
+    broken = inputs["stores"].withColumn("Size", F.raise_error(F.lit("disk full")).cast("int"))
+    more = inputs["train"].union(inputs["train"])
+    with pytest.raises(Exception, match="disk full"):
+        files.replace_tables({"train": more, "features": inputs["features"], "stores": broken}, target)
+    assert len(list((tmp_path / "tables").glob("version-*"))) == 2  # the failed one was half written
+    assert _loaded(spark, target) == before
+    open_reader = files.read_tables(spark, target)["train"]
+    files.replace_tables(inputs | {"train": more}, target)
+    assert _loaded(spark, target) == before | {"train": 6} and open_reader.count() == 3
+    files.replace_tables(inputs, target)
+    files.replace_tables(inputs, target)
+    left = sorted(path.name for path in (tmp_path / "tables").iterdir() if not path.name.startswith("."))
+    assert [name.split("-")[0] for name in left] == ["current"] * 2 + ["version"] * 2 and _loaded(spark, target) == before
+
+
+def test_of_two_loads_at_once_one_fails(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path))
+    first, second = versions.begin(), versions.begin()
+    versions.commit(first, {}, {})
+    with pytest.raises(Exception, match="exist"):
+        versions.commit(second, {}, {})
+    assert versions.current()["folder"] == first
+    with pytest.raises(FileNotFoundError):
+        files.read_tables(spark, str(tmp_path / "nothing"))
+
+
+def _spoil(folder):
+    with open(folder / "train.csv", "a") as out:
+        out.write("1,3,2011-11-04,many,FALSE\n\n2,4,2011-11-11,9.99,TRUE\n2,x\n2,5,2011-11-11,NA,FALSE,more\n")
+
+
+def test_lines_that_do_not_fit_are_kept_with_their_place(spark, tmp_path):
+    _write_inputs(tmp_path)
+    _spoil(tmp_path)
+    target = str(tmp_path / "tables")
+    report = files.load_inputs(spark, str(tmp_path), target, most_rejected=0.5)
+    assert {row.table_name: (row.rows, row.rejected) for row in report.collect()} == {
+        "train": (4, 3), "features": (2, 0), "stores": (2, 0)
+    }
+    bad = rows(files.read_rejected(spark, target))
+    assert sorted((row["line_number"], row["line"]) for row in bad) == [
+        (5, "1,3,2011-11-04,many,FALSE"), (8, "2,x"), (9, "2,5,2011-11-11,NA,FALSE,more")
+    ]
+    assert {(row["table_name"], Path(row["file"]).name) for row in bad} == {("train", "train.csv")}
+    train = files.read_tables(spark, target)["train"]
+    assert train.where("Weekly_Sales IS NULL").count() == 0 and "year" in train.columns
+    assert set(train.columns) == {"Store", "Dept", "Date", "Weekly_Sales", "IsHoliday", "year"}
+
+
+def test_too_many_bad_lines_refuse_the_load(spark, tmp_path):
+    _write_inputs(tmp_path)
+    target = str(tmp_path / "tables")
+    files.load_inputs(spark, str(tmp_path), target)
+    _spoil(tmp_path)
+    with pytest.raises(ValueError, match="3 of 7 lines") as refused:
+        files.load_inputs(spark, str(tmp_path), target, most_rejected=0.4)
+    assert _loaded(spark, target)["train"] == 3 and files.read_rejected(spark, target).count() == 0
+    path = str(refused.value).split("see ")[1].split(";")[0]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_lines_are_numbered_over_blocks_of_a_file(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("Store,Type,Size\n" + "".join(f"{k},A,{'x' if k % 997 == 0 else k}\n" for k in range(1, 20_001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 4
+        bad = files.rejected_lines(spark, [str(path)], "Store INT, Type STRING, Size INT").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(row.line_number for row in bad) == [k + 1 for k in range(997, 20_001, 997)]
 
 
 def test_exports_come_back_with_their_types(spark, tmp_path):
