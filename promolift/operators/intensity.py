@@ -19,7 +19,7 @@ from promolift.functions.columns import (
     rounded,
 )
 from promolift.functions.ranking import rank_over
-from promolift.operators.base import spend_name
+from promolift.operators.base import share_name, spend_name
 
 
 def _tiled(frame: DataFrame, ties: str, config: LiftConfig) -> DataFrame:
@@ -36,36 +36,81 @@ def _tiled(frame: DataFrame, ties: str, config: LiftConfig) -> DataFrame:
     return frame.selectExpr("*", *named(tiles))
 
 
+_SIDES = {"spend": "", "sales": "sales_window", "base": "sales_baseline"}
+
+
+def _side_sums(config: LiftConfig, tile: str = "tile", family: str = "") -> dict[str, str]:
+    """Per type, what the top and the bottom tile hold. A missing tile leaves its sums NULL."""
+    return {
+        f"{family}{side}_{name}_{k}": f"sum(CASE WHEN {tile}{k} = {number} THEN {column or spend_name(k)} END)"
+        for side, number in (("top", config.tiles), ("low", 1))
+        for name, column in _SIDES.items()
+        for k in config.type_numbers
+    }
+
+
+def _side_values(config: LiftConfig, family: str = "") -> dict[str, list[str]]:
+    names = [f"{family}{side}_{name}" for side in ("top", "low") for name in _SIDES]
+    return {name: [f"{name}_{k}" for k in config.type_numbers] for name in names}
+
+
+def _measured(family: str = "") -> str:
+    """Both tiles are there and have a baseline, as in an inner join of the two."""
+    return f"{family}low_base > 0 AND {family}top_base > 0"
+
+
+def _differences(family: str = "") -> dict[str, str]:
+    """What the top tile spent and sold more than the store's own trend, and both growths."""
+    own_trend = ratio(f"{family}low_sales", f"{family}low_base")
+    return {
+        "more_spend": f"{family}top_spend - {family}low_spend",
+        "more_sales": f"{as_double(f'{family}top_sales')} - {as_double(f'{family}top_base')} * {own_trend}",
+        "top_growth": f"{ratio(f'{family}top_sales', f'{family}top_base')} - 1",
+        "bottom_growth": f"{own_trend} - 1",
+    }
+
+
 def _contrast(effect: DataFrame, config: LiftConfig) -> DataFrame:
     """Top against bottom tile per store and type, in one conditional aggregation.
 
-    A missing tile leaves its sums NULL, which the baseline filter drops, as an
-    inner join of the two tiles would. Types become rows only after the sums.
+    Types become rows only after the sums.
     """
-    tiled = _tiled(effect, "week, sales_holiday", config)
-    names = {
-        f"{side}_{name}": (tile, column)
-        for side, tile in (("top", config.tiles), ("low", 1))
-        for name, column in (("spend", ""), ("sales", "sales_window"), ("base", "sales_baseline"))
-    }
-    sums = {
-        f"{name}_{k}": f"sum(CASE WHEN tile{k} = {tile} THEN {column or spend_name(k)} END)"
-        for name, (tile, column) in names.items()
-        for k in config.type_numbers
-    }
-    by_store = aggregate(tiled, ["store"], sums)
-    values = {name: [f"{name}_{k}" for k in config.type_numbers] for name in names}
-    sides = per_type(by_store, ["store"], values, config).filter("low_base > 0 AND top_base > 0")
-    own_trend = ratio("low_sales", "low_base")
-    return sides.selectExpr(
-        "store",
-        "type_no",
-        "markdown_type",
-        "top_spend - low_spend AS more_spend",
-        f"{as_double('top_sales')} - {as_double('top_base')} * {own_trend} AS more_sales",
-        f"{ratio('top_sales', 'top_base')} - 1 AS top_growth",
-        f"{own_trend} - 1 AS bottom_growth",
-    )
+    by_store = aggregate(_tiled(effect, "week, sales_holiday", config), ["store"], _side_sums(config))
+    sides = per_type(by_store, ["store"], _side_values(config), config).filter(_measured())
+    return sides.selectExpr("store", "type_no", "markdown_type", *named(_differences()))
+
+
+def both_contrasts(effect: DataFrame, config: LiftConfig) -> DataFrame:
+    """Per type, the sums behind attribution and behind the contrasts over all weeks and over normal weeks.
+
+    ``all_`` and ``normal_`` are two families of tiles over one shuffle by store:
+    windows by store and holiday flag need no other one, and of their tiles only
+    those of normal weeks are summed. A family's sums are NULL for a type that
+    no store measures.
+    """
+    families = {"all_": ("store", "true"), "normal_": ("store, is_holiday", "is_holiday = 0")}
+    tiles, sums, values, by_type = {}, {}, {}, {"spend": "sum(spend)", "lift": "sum(lift)"}
+    for family, (within, weeks) in families.items():
+        for k in config.type_numbers:
+            cut = f"ntile({config.tiles}) OVER (PARTITION BY {within} ORDER BY {spend_name(k)}, week, sales_holiday)"
+            tiles[f"{family}tile{k}"] = f"if({weeks}, {cut}, NULL)"
+        sums |= _side_sums(config, f"{family}tile", family)
+        values |= _side_values(config, family)
+        more = {name: f"if({_measured(family)}, {value}, NULL)" for name, value in _differences(family).items()}
+        by_type |= {
+            f"{family}stores": count_where(_measured(family)),
+            f"{family}more_spend": f"sum({more['more_spend']})",
+            f"{family}more_sales": f"sum({more['more_sales']})",
+            f"{family}stores_positive": count_where(f"{more['top_growth']} > {more['bottom_growth']}"),
+        }
+    for k in config.type_numbers:
+        sums |= {
+            f"spend_{k}": f"sum({spend_name(k)})",
+            f"lift_{k}": f"sum({as_double('lift_dollars')} * {share_name(k)})",
+        }
+    values |= {name: [f"{name}_{k}" for k in config.type_numbers] for name in ("spend", "lift")}
+    by_store = aggregate(effect.selectExpr("*", *named(tiles)), ["store"], sums)
+    return aggregate(per_type(by_store, ["store"], values, config), ["type_no", "markdown_type"], by_type)
 
 
 def _by_type(contrast: DataFrame) -> DataFrame:

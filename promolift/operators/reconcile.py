@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from promolift.config import LiftConfig
-from promolift.functions.columns import aggregate, as_double, named, paid, rounded, weeks_between
+from promolift.functions.columns import aggregate, as_double, named, paid, ratio, rounded, weeks_between
+from promolift.functions.ranking import rank_over
 from promolift.operators.base import STORE_WEEK
 
 
@@ -83,15 +84,22 @@ def reconcile_decomposition(spend: DataFrame, lift: DataFrame) -> DataFrame:
     )
 
 
-def method_comparison(scorecard: DataFrame, marginal: DataFrame, ex_holiday: DataFrame) -> DataFrame:
-    """Attribution and both intensity contrasts side by side, one row per type."""
-    attribution = scorecard.select("markdown_type", "sales_lift_per_dollar", "effectiveness_rank")
-    all_weeks = marginal.select("markdown_type", "marginal_lift_per_dollar", "marginal_rank", "stores_positive")
-    normal_weeks = ex_holiday.select(
-        "markdown_type", "marginal_lift_per_dollar_ex_holiday", "marginal_rank_ex_holiday"
-    )
-    return (
-        attribution.join(all_weeks, "markdown_type", "left")
-        .join(normal_weeks, "markdown_type", "left")
-        .orderBy("markdown_type")
+def method_comparison(by_type: DataFrame) -> DataFrame:
+    """Attribution and both intensity contrasts side by side, from one row of sums per type."""
+    rated = by_type.selectExpr(
+        "*",
+        f"{ratio('lift', 'spend')} AS attributed",
+        f"{ratio('all_more_sales', 'all_more_spend')} AS marginal",
+        f"{ratio('normal_more_sales', 'normal_more_spend')} AS marginal_normal",
     )
+    columns = {
+        "markdown_type": "markdown_type",
+        "sales_lift_per_dollar": rounded("attributed", 2),
+        "effectiveness_rank": rank_over("attributed"),
+        "marginal_lift_per_dollar": rounded("marginal", 2),
+        "marginal_rank": f"if(all_stores > 0, {rank_over('marginal')}, NULL)",
+        "stores_positive": "if(all_stores > 0, all_stores_positive, NULL)",
+        "marginal_lift_per_dollar_ex_holiday": rounded("marginal_normal", 2),
+        "marginal_rank_ex_holiday": f"if(normal_stores > 0, {rank_over('marginal_normal')}, NULL)",
+    }
+    return rated.selectExpr(*named(columns)).orderBy("markdown_type")

@@ -215,9 +215,7 @@ class LiftModel:
         return intensity.intensity_confound(self.spend_store_week, self.config)
 
     def method_comparison(self) -> DataFrame:
-        return reconcile.method_comparison(
-            self.scorecard_by_type(), self.marginal_lift(), self.marginal_lift_ex_holiday()
-        )
+        return reconcile.method_comparison(intensity.both_contrasts(self.effect, self.config))
 
     # Additive facts and measures over them
 
