@@ -640,6 +640,10 @@ UNION ALL SELECT 'stores', count(*), {num("sum(size)")} FROM shops""",
        count(*) FILTER (h = 1 AND store % 5 = 0) AS rejected, {rnd("sum(amount) FILTER (h = 0 OR store % 5 > 0)", 2)} AS total FROM sales
 UNION ALL SELECT 'features', count(*), 0, {rnd("sum(" + each("coalesce(m#, 0)", " + ") + ")", 2)} FROM spending
 UNION ALL SELECT 'stores', count(*), 0, {num("sum(size)")} FROM shops""",
+    "refresh_weeks": f"""SELECT week, CASE WHEN day(week) <= 7 OR day(week - 364) <= 7 THEN 'built' ELSE 'kept' END AS action,
+       count(*) AS pairs, {rnd("sum(now)", 2)} AS sales_window, {rnd("sum(ago)", 2)} AS sales_baseline,
+       {rnd("sum(lift)", 2)} AS lift, {rnd("sum(part)", 6)} AS shares
+FROM dept_weeks GROUP BY week""",
     "export_and_reload": f"""SELECT 'fact_markdown_lift' AS table_name, count(*) AS rows,
        {rnd("sum(alloc)", 2)} AS total FROM lift_facts
 UNION ALL SELECT 'fact_dept_sales', count(*), {num("sum(lift)")} FROM sales_facts

@@ -11,6 +11,7 @@ from promolift.config import LiftConfig
 from promolift.operators import attribution, base, checks, departments, exports, intensity, measures
 from promolift.operators import reconcile, scorecard
 from promolift.sources import files
+from promolift.sources.refresh import WeeklyPairs
 from promolift.sources.staging import materialize
 
 VIEWS = {
@@ -64,6 +65,14 @@ class LiftModel:
         store_dept = materialize(over_pairs.store_dept, "store_dept")
         return LiftModel(Tables(self.train, self.features, self.stores, stored.pair, lift, store_dept), self.config)
 
+    def with_refreshed_pairs(self, folder: str) -> LiftModel:
+        """The same model over pairs kept in ``folder``, of which only weeks with changed sales are built anew."""
+        weekly = WeeklyPairs(self.train.sparkSession, folder, self.config)
+        weekly.refresh(self.train)
+        found = weekly.frames(self.train)
+        tables = Tables(self.train, self.features, self.stores, found["yoy_pair"], found["lift_store_week"])
+        return LiftModel(tables, self.config)
+
     # Base frames
 
     @cached_property

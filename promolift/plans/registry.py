@@ -7,10 +7,12 @@ from functools import reduce
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promolift.functions.columns import ROWS, aggregate, published, rounded
 from promolift.plans.model import LiftModel
 from promolift.sources import files, testdata
+from promolift.sources.refresh import WeeklyPairs
 from promolift.sources.staging import new_path, state_of
 
 # Frames defined without rounding: the digits to show them with.
@@ -175,6 +177,22 @@ def load_with_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return published(stored.select("table_name", "rows", "rejected", "total"))
 
 
+def refresh_weeks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs stored for sales that are wrong in the first week of each month, then refreshed from the right ones: what
+    the refresh did with each week, and the sums of the stored pairs."""
+    model = model_for(spark, folder)
+    weekly = WeeklyPairs(spark, _job_path(model, "refresh_weeks"), model.config)
+    wrong = "CAST(if(day(Date) <= 7, 2 * Weekly_Sales, Weekly_Sales) AS DECIMAL(18,2))"
+    weekly.refresh(model.train.withColumn("Weekly_Sales", F.expr(wrong)))
+    report = weekly.refresh(model.train)
+    stored = weekly.frames(model.train)
+    sums = {name: rounded(f"sum({name})", 2) for name in ("sales_window", "sales_baseline")}
+    pairs = aggregate(stored["yoy_pair"], ["week"], sums)
+    lift = aggregate(stored["lift_store_week"], ["week"], {"lift": rounded("sum(lift_dollars)", 2)})
+    shares = aggregate(stored["lift_dept_week"], ["week"], {"shares": rounded("sum(dept_baseline_share)", 6)})
+    return published(report.join(pairs, "week").join(lift, "week").join(shares, "week"))
+
+
 def export_and_reload(spark: SparkSession, folder: str) -> DataFrame:
     """The four exported facts as CSV, read back with their types, and counted."""
     model = model_for(spark, folder)
@@ -193,5 +211,5 @@ def export_and_reload(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {name: _query(name) for name in (*FRAMES, *REPORTS)}
-    jobs = (csv_to_tables, load_totals, load_with_rejects, export_and_reload)
+    jobs = (csv_to_tables, load_totals, load_with_rejects, refresh_weeks, export_and_reload)
     return named | {job.__name__: job for job in jobs}

@@ -9,6 +9,7 @@ a version keeps its files, since the version before the present one stays.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,9 @@ class Versions:
         finally:
             stream.close()
 
+    def exists(self, path: str) -> bool:
+        return self._system.exists(self._path(path))
+
     def current(self) -> dict | None:
         """What the load in force left: ``folder`` with its path, ``tables`` with paths in it, and its ``totals``."""
         pointers = self._names(f"{POINTER}*")
@@ -48,21 +52,25 @@ class Versions:
         number = 1 + int(pointers[-1].removeprefix(POINTER)) if pointers else 1
         return f"{self.folder}/version-{number:08d}-{uuid4().hex}"
 
-    def commit(self, path: str, tables: dict[str, str], totals: dict[str, dict]) -> None:
-        """Switch readers to the version; fails if another load has switched since ``begin``."""
+    def commit(self, path: str, tables: dict, totals: dict[str, dict], uses: Iterable[str] = ()) -> None:
+        """Switch readers to the version; fails if another load has switched since ``begin``.
+
+        ``uses`` names folders of earlier versions that this one reads as well.
+        """
         number = path.rsplit("/", 1)[1].split("-")[1]
-        entry = {"folder": path, "tables": tables, "totals": totals}
+        entry = {"folder": path, "tables": tables, "totals": totals, "uses": sorted({path, *uses})}
         stream = self._system.create(self._path(f"{self.folder}/{POINTER}{number}"), False)
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
         self._clean()
 
     def _clean(self) -> None:
-        """Delete what is older than the versions kept, loads that failed included."""
+        """Delete what no version kept reads, loads that failed included."""
         pointers = self._names(f"{POINTER}*")
-        kept = [name.removeprefix(POINTER) for name in pointers[-KEPT:]]
         for name in pointers[:-KEPT]:
             delete(self.spark, f"{self.folder}/{name}")
+        kept = pointers[-KEPT:]
+        used = {path.rsplit("/", 1)[1] for name in kept for path in self._read(name)["uses"]}
         for name in self._names("version-*"):
-            if name.split("-")[1] < kept[0]:
+            if name not in used and name.split("-")[1] < kept[-1].removeprefix(POINTER):
                 delete(self.spark, f"{self.folder}/{name}")
