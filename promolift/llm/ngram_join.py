@@ -2,22 +2,25 @@
 
 Every text becomes the set of its distinct five-word shingles and a point: the number of shingles in each hash group,
 with a group for about four shingles (a power of two; points of neighbouring sizes meet in the smaller number of
-groups), so that unrelated texts of any length are told apart. The overlap of two sets is at most the sum of the smaller counts, so a pair or a pair of tree
-boxes below the overlap that the similarity asks for is never looked at again; what survives is verified on whole sets.
+groups), so that unrelated texts of any length are told apart. A group's count is kept as a word of finer groups. The
+overlap of two sets is at most the sum of the smaller counts, so a pair or a pair of tree boxes below the overlap that the
+similarity asks for is never looked at again; what survives is bounded on the fine groups and verified on whole sets.
 
 One tree over all points would prune nothing above its leaves: unrelated texts of one length all lie equally far
 apart, so every box meets every box. The points are therefore first dealt into cells, one for each shingle among the
 first ``n - ceil(0.75 n) + 1`` of a set in an order common to all sets. Two sets that link share such a cell, whatever
 the order. Shingles that many texts share come last in it, rarest first, found by Misra-Gries counts over all texts
-(estimates suffice: the order steers speed, never the result). Each cell has an R-tree of its own.
+(estimates suffice: the order steers speed, never the result). Cells with one least point share a tree, so that a
+point's counts travel once for all of them.
 
-The work is kept linear in large groups of copies. Equal sets are one point. In a first pass each cell's points meet
-only its least point; links so found merge points into components. In the second pass the tree of each cell that still
-holds several components is joined with itself, skipping boxes and points of one component. A pair is thus left out
-only if its bound forbids the link or if its ends are connected already.
+No pair of texts is ever a row. A tree hands on the points that may link with any other, at most once per cell. Their
+whole sets meet in one task, which verifies pairs and stops looking at a pair once it is connected, so what leaves the
+task joins components and is no longer than the list of points. Equal sets are one point.
 
-Cells with one least point share a tree, so that a point's counts travel once for all of them. A tree of more than
-``BLOCK`` points is cut into blocks by set size and a hash, its top level; pairs of blocks become tasks of their own.
+A cell of more than ``BLOCK`` points or ``BLOCK_SHINGLES`` shingles is cut into blocks by a hash. Blocks are joined with
+themselves first; of large cells that still hold several components, pairs of blocks, by set size, become tasks of their
+own, in which boxes and points of one component are skipped. A pair is thus left out only if a bound forbids the link or
+if its ends are connected already.
 """
 
 from __future__ import annotations
@@ -41,24 +44,23 @@ SHINGLES_PER_GROUP = 4
 COUNTERS = 1 << 16
 FREQUENT = 32
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 21
+SALTS = 64
 CELL_ROWS = 1 << 18
 FILTER_BITS = 1 << 24
 
 _NEIGHBOURS = "low long, low_class long, id long, id_class long"
-_SETS = "id long, n_shingles long, set_key binary, counts binary, first binary"
+_MARKED = "cell string, left_block boolean, id long, component long"
+_SETS = "id long, n_shingles long, set_key binary, bits binary, first binary"
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 
 
-def group_counts(found: np.ndarray) -> np.ndarray:
-    groups = 1 << max(4, (max(1, len(found)) // SHINGLES_PER_GROUP).bit_length())
-    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
-
-
-def _matrix(counts: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), np.uint16).reshape(-1, width)
+def group_number(size: int) -> int:
+    """Coarse groups of a set: more than one for SHINGLES_PER_GROUP shingles, a power of two."""
+    return 1 << max(4, (max(1, size) // SHINGLES_PER_GROUP).bit_length())
 
 
 def _longs(values: list[bytes]) -> np.ndarray:
@@ -121,15 +123,15 @@ class _Sets:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, texts = _columns(batch, "id", "text")
-            keys, counts, firsts, sizes = [], [], [], []
+            keys, bits, firsts, sizes = [], [], [], []
             for found in shingle_sets(texts):
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                counts.append(group_counts(found).tobytes())
+                bits.append(rtree.bitmap(found, group_number(len(found))).tobytes())
                 firsts.append(self.first(found).tobytes() if len(found) else b"")
             columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(values, pa.binary()) for values in (keys, counts, firsts)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_key", "counts", "first"])
+            columns += [pa.array(values, pa.binary()) for values in (keys, bits, firsts)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_key", "bits", "first"])
 
 
 def size_class(sizes: np.ndarray) -> np.ndarray:
@@ -188,52 +190,97 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(part, names)
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell, with count vectors and components, to the pairs that the trees let through."""
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell, a table for each cell."""
     cell, waiting = None, []
     for batch in batches:
         names = batch.column("cell").to_pylist()
         cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
         for start, stop in zip(cuts, cuts[1:]):
-            if names[start] != cell and waiting:
-                yield from _joined(pa.Table.from_batches(waiting))
+            if waiting and names[start] != cell:
+                yield pa.Table.from_batches(waiting)
                 waiting = []
             cell = names[start]
-            waiting.append(batch.slice(start, stop - start))
+            if stop > start:
+                waiting.append(batch.slice(start, stop - start))
     if waiting:
-        yield from _joined(pa.Table.from_batches(waiting))
-
-
-def _joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Pairs within one cell or between its two blocks: points with as many groups meet, and those with half as many."""
-    labels = rows["component"].to_numpy()
-    if (labels == labels[0]).all():
-        return
-    ids, sizes, counts = rows["id"].to_numpy(), rows["n_shingles"].to_numpy(), rows["counts"].to_pylist()
-    sides = rows["left_block"]
-    left = np.ones(len(ids), bool) if sides.null_count else np.array(sides.to_pylist(), bool)
-    widths = np.array([len(count) // 2 for count in counts])
-    points = {}
-    for width in np.unique(widths):
-        for side in (True, False):
-            at = np.flatnonzero((widths == width) & (left == side))
-            if len(at):
-                matrix = _matrix([counts[k] for k in at], width)
-                points[int(width), side] = rtree.Points(ids[at], sizes[at], labels[at], matrix)
-    for (width, side), own in points.items():
-        if sides.null_count:
-            yield _pairs(*rtree.join(own, None, PERCENT))
-        elif side and (width, False) in points:
-            yield _pairs(*rtree.join(own, points[width, False], PERCENT))
-        for other in {True} if sides.null_count else {not side}:
-            if (2 * width, other) in points:
-                wide = points[2 * width, other]
-                wide = wide._replace(counts=rtree.folded(wide.counts, width))
-                yield _pairs(*rtree.join(own, wide, PERCENT))
-
-
-def _pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+        yield pa.Table.from_batches(waiting)
+
+
+def _sides(rows: pa.Table) -> np.ndarray:
+    """1 and 2 for the two blocks of a cell, 0 where the cell is one block."""
+    return np.array([0 if side is None else 2 - side for side in rows["left_block"].to_pylist()], np.int8)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, with bitmaps and components, to those points that the cell's trees let through."""
+    for rows in _by_cell(batches):
+        labels = rows["component"].to_numpy()
+        if (labels == labels[0]).all():
+            continue
+        sizes, sides, bits = rows["n_shingles"].to_numpy(), _sides(rows), rows["bits"].to_pylist()
+        widths = np.array([len(value) // 4 for value in bits])
+        meets = np.zeros(len(sizes), bool)
+        own, other = (0, 0) if not sides.any() else (1, 2)
+        for width in np.unique(widths).tolist():
+            # Points of one width meet, and they meet those of twice the width, on either side.
+            for one, two, wide in {(own, other, width), (own, other, 2 * width), (other, own, 2 * width)}:
+                left = np.flatnonzero((widths == width) & (sides == one))
+                right = np.flatnonzero((widths == wide) & (sides == two))
+                if not len(left) or not len(right):
+                    continue
+                points = []
+                for at in (left, right):
+                    words = np.frombuffer(b"".join([bits[k] for k in at]), np.uint32).reshape(len(at), -1)
+                    points.append(rtree.Points(sizes[at], labels[at], rtree.folded(words, width)))
+                alone = one == two and wide == width
+                found = rtree.meeting(points[0], None if alone else points[1], PERCENT)
+                meets[left[found[0]]] = True
+                meets[right[found[1]]] = True
+        chosen = rows.filter(pa.array(meets)).select(["cell", "left_block", "id", "component"])
+        yield from chosen.combine_chunks().to_batches()
+
+
+class SpanningLinks:
+    """Links between sets that join their components, verified on whole sets; pairs connected by then are left out.
+
+    ``sides`` are those of ``_sides``: with two blocks only pairs between them count.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]):
+        self.ids, self.sides, self.sets = ids, sides, sets
+        self.component = np.unique(labels, return_inverse=True)[1]
+        self.sizes = np.array([len(found) for found in sets], np.int64)
+        self.widths = np.array([group_number(len(found)) for found in sets])
+        self.verified = 0
+
+    def find(self) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for width in np.unique(self.widths).tolist():
+            at = np.flatnonzero((self.widths == width) | (self.widths == 2 * width))
+            words = np.stack([rtree.bitmap(self.sets[k], width) for k in at])
+            spare = self.sizes[at] - np.bitwise_count(words).sum(1, dtype=np.int64)
+            for place in np.flatnonzero(self.widths[at] == width).tolist():
+                out += self._with(place, at, words, spare, width)
+        return out
+
+    def _with(self, place: int, at: np.ndarray, words: np.ndarray, spare: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+        """Links of one set with later ones of its width and with all of twice the width, the likeliest first."""
+        own = at[place]
+        others = (self.component[at] != self.component[own]) & ((self.widths[at] > width) | (np.arange(len(at)) > place))
+        if self.sides.any():
+            others &= self.sides[at] != self.sides[own]
+        near = np.flatnonzero(others)
+        near = near[rtree.enough(np.minimum(self.sizes[at[near]], self.sizes[own]), self.sizes[own], self.sizes[at[near]], PERCENT)]
+        shared = np.bitwise_count(words[near] & words[place]).sum(1, dtype=np.int64)
+        bound = shared + np.minimum(spare[near], spare[place])
+        kept = rtree.enough(bound, self.sizes[own], self.sizes[at[near]], PERCENT)
+        for other in at[near[kept][np.argsort(-bound[kept], kind="stable")]].tolist():
+            if self.component[other] != self.component[own]:
+                self.verified += 1
+                if _links(self.sets[own], self.sets[other]):
+                    self.component[self.component == self.component[other]] = self.component[own]
+                    yield int(self.ids[own]), int(self.ids[other])
 
 
 class _Chosen:
@@ -273,20 +320,12 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, salt, b), a's own sets first with a null b, to the pairs that truly link."""
-    current, sets = None, []
-    for batch in slices(batches, 256):
-        firsts, seconds = [], []
-        for a, salt, b, found in zip(*_columns(batch, "a", "salt", "b", "shingles")):
-            if (a, salt) != current:
-                current, sets = (a, salt), []
-            found = np.frombuffer(found, np.uint64)
-            if b is None:
-                sets.append(found)
-            elif any(_links(own, found) for own in sets):
-                firsts.append(a)
-                seconds.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64())], ["a", "b"])
+    """Whole sets sorted by cell to the links (a, b) that join components."""
+    for rows in _by_cell(batches):
+        sets = [np.frombuffer(found, np.uint64) for found in rows["shingles"].to_pylist()]
+        links = SpanningLinks(rows["id"].to_numpy(), rows["component"].to_numpy(), _sides(rows), sets).find()
+        columns = [pa.array(values, pa.int64()) for values in (zip(*links) if links else ((), ()))]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
 def _links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -298,22 +337,15 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; a partner's many pairs are dealt over several tasks."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    marked = texts.select("id", "text", _bit("id").alias("bit"))
-    chosen = map_batches(marked, _Chosen(_bitmap(ids)), "id long, shingles binary")
+def _verify(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the marked points (cell, left_block, id, component) of each cell, verified on whole sets."""
+    marked = staged(marked, "marked")
+    ids = marked.select("id").distinct()
+    candidates = texts.select("id", "text", _bit("id").alias("bit"))
+    chosen = map_batches(candidates, _Chosen(_bitmap(ids)), "id long, shingles binary")
     sets = staged(chosen.join(ids, "id", "left_semi").distinct(), "sets")
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
-    salted = pairs.join(spread, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "shingles")
-    own = spread.join(sets.withColumnRenamed("id", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles"
-    )
-    dealt = partners.union(own).repartition("a", "salt")
-    return map_batches(
-        dealt.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()), _verified, "a long, b long"
-    )
+    dealt = marked.join(sets, "id").repartition("cell").sortWithinPartitions("cell")
+    return staged(map_batches(dealt, _verified, "a long, b long"), "verified")
 
 
 def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -330,7 +362,7 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     points = staged(
         sets.where("id is not null and n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("id").alias("id"), *(F.first(name).alias(name) for name in ("n_shingles", "counts", "first"))),
+        .agg(F.min("id").alias("id"), *(F.first(name).alias(name) for name in ("n_shingles", "bits", "first"))),
         "points",
     )
     total = points.agg(F.sum(F.length("first") / 8)).first()[0] or 0
@@ -339,13 +371,16 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     dealt = map_batches(first, _Deal(parts), "part long, cells binary, owners binary, sizes binary")
     found = map_batches(dealt.repartition(parts, "part"), _neighbours, _NEIGHBOURS)
     neighbours = staged(found.distinct(), "neighbours")
-    vectors = points.select("id", "n_shingles", "counts")
+    vectors = points.select("id", "n_shingles", "bits")
     members = staged(_members(sets, points), "members")
     same = _repeated_ids(members)
-    links = staged(_verify(staged(_pairs_with_least(neighbours, vectors), "pairs"), texts).union(same), "verified")
-    several = staged(_pairs_across(neighbours, vectors, staged(components(links), "groups")), "pairs")
-    links = links.union(staged(_verify(several, texts), "verified"))
-    return _labelled(members, staged(components(links), "groups"))
+    cells = staged(_cell_members(neighbours, vectors), "cells")
+    links = _verify(_blockwise(cells, vectors), texts).union(same)
+    groups = staged(components(links), "groups")
+    if not cells.where("blocks > 1").isEmpty():
+        links = links.union(_verify(_across_blocks(cells, vectors, groups), texts))
+        groups = staged(components(links), "groups")
+    return _labelled(members, groups)
 
 
 def keep_least(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -371,59 +406,54 @@ def _repeated_ids(members: DataFrame) -> DataFrame:
     return members.join(several, "id").where("point <> a").select("a", F.col("point").alias("b")).distinct()
 
 
-def _pairs_with_least(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each cell's least point against its other points, where the bound allows a link."""
-    fits = F.abs(F.col("id_class") - F.col("low_class")) <= 1
-    pairs = neighbours.where(fits).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda name: vectors.select(F.col("id").alias(name), F.struct("n_shingles", "counts").alias(f"of_{name}"))
-    return map_batches(pairs.join(side("b"), "b").join(side("a"), "a"), _bounded, "a long, b long").distinct()
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 4096):
-        sides = [batch.column(name) for name in ("of_a", "of_b")]
-        n, m = (side.field("n_shingles").to_numpy() for side in sides)
-        x, y = (side.field("counts").to_pylist() for side in sides)
-        widths = [np.array([len(count) // 2 for count in counts]) for counts in (x, y)]
-        fits = np.zeros(len(n), bool)
-        for p, q in {*zip(*(width.tolist() for width in widths))}:
-            if max(p, q) <= 2 * min(p, q):
-                at = np.flatnonzero((widths[0] == p) & (widths[1] == q))
-                one, two = _matrix([x[k] for k in at], p), _matrix([y[k] for k in at], q)
-                one, two = rtree.folded(one, min(p, q)), rtree.folded(two, min(p, q))
-                fits[at] = rtree.may_link(one, two, n[at], m[at], PERCENT)
-        yield batch.select(["a", "b"]).filter(pa.array(fits))
-
-
-def _pairs_across(neighbours: DataFrame, vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """What the cells' trees let through between points that are not connected yet.
+def _cell_members(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(low, id, blocks): the points of the cells that share a least point, itself included, and into how many blocks
+    they are cut, so that a block holds at most about BLOCK points and BLOCK_SHINGLES shingles.
 
-    Cells with one least point share a tree: it holds all points that meet that point anywhere.
+    Only the few large cells are joined back, and a cell's rows are dealt over SALTS tasks for that.
     """
+    points = neighbours.select("low", "id").distinct()
+    members = points.union(points.select("low", F.col("low").alias("id")).distinct())
+    sized = members.join(vectors.select("id", "n_shingles"), "id").groupBy("low")
+    needed = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
+    large = sized.agg(needed.alias("blocks")).where("blocks > 1")
+    salted = large.select("low", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt")
+    found = members.select("low", "id", salt).join(salted, ["low", "salt"], "left")
+    return found.select("low", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+
+def _blockwise(cells: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What the trees let through inside each block; every point is once in each of its cells."""
+    block = F.pmod(F.xxhash64("id", "low"), F.col("blocks"))
+    rows = cells.select("id", F.concat_ws(":", "low", block.cast("string")).alias("cell")).join(vectors, "id")
+    rows = rows.select("cell", F.lit(None).cast("boolean").alias("left_block"), "id", "n_shingles", "bits", F.col("id").alias("component"))
+    return map_batches(rows.repartition("cell").sortWithinPartitions("cell"), _meeting, _MARKED)
+
+
+def _across_blocks(cells: DataFrame, vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """What the trees of several blocks let through between points that are not connected yet."""
     known = vectors.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
-    labels = known.select("id", "component")
-    pairs = neighbours.select("low", "id").distinct()
-    own = pairs.select("low").distinct().select("low", F.col("low").alias("id"))
-    members = pairs.union(own)
-    several = (
-        members.join(labels, "id")
+    several = cells.where("blocks > 1")
+    open_ = (
+        several.join(known.select("id", "component"), "id")
         .groupBy("low")
-        .agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("n > 2 and least <> most")
-        .select("low", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least <> most")
+        .select("low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    rows = members.join(several, "low").join(known, "id")
-    dealt = _blocks(rows).repartition("cell").sortWithinPartitions("cell")
-    return map_batches(dealt, _tree_pairs, "a long, b long").where("a <> b").distinct()
+    salted = several.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(open_, ["low", "salt"], "left_semi")
+    rows = _blocks(salted.join(known, "id")).repartition("cell").sortWithinPartitions("cell")
+    return map_batches(rows, _meeting, _MARKED)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Give every row the cells it is compared in.
 
-    One cell per least point, unless it has more than BLOCK points. Those are cut by size class, of which only
-    neighbours can link, and further into blocks by a hash; each pair of blocks is a cell of its own.
+    Blocks are cut by size class, of which only neighbours can link, and by a hash; each pair of blocks is a cell of its
+    own.
     """
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     size = F.floor(F.log("n_shingles") / math.log(100 / PERCENT) + 1e-9).cast("long")
@@ -439,10 +469,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     )
     above = F.transform(everyone, lambda other: cell(F.concat(F.lit("+"), pair(size, block, other)), F.lit(True)))
     below = F.transform(everyone, lambda other: cell(F.concat(F.lit("+"), pair(size - 1, other, block)), F.lit(False)))
-    single = F.array(cell(F.col("low").cast("string"), F.lit(None)))
-    cells = F.when(F.col("blocks") == 1, single).otherwise(F.concat(within, above, below))
-    named = rows.withColumn("_cell", F.explode(cells))
-    return named.select("_cell.cell", "_cell.left_block", "id", "n_shingles", "counts", "component")
+    named = rows.withColumn("_cell", F.explode(F.concat(within, above, below)))
+    return named.select("_cell.cell", "_cell.left_block", "id", "n_shingles", "bits", "component")
 
 
 def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:

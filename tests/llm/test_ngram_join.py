@@ -63,9 +63,9 @@ def made(n_groups, copies, length):
 ODD = [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "a"), (9005, "A"), (9006, "a b"), (None, "a"), (None, None), (9004, "a")]
 
 
-@pytest.mark.parametrize("block, frequent", [(4096, 32), (3, 2)])
-def test_against_brute_force(spark, monkeypatch, block, frequent):
-    for name, value in (("BLOCK", block), ("FREQUENT", frequent)):
+@pytest.mark.parametrize("block, shingles_each, frequent", [(4096, 1 << 21, 32), (3, 1 << 21, 2), (4096, 500, 2)])
+def test_against_brute_force(spark, monkeypatch, block, shingles_each, frequent):
+    for name, value in (("BLOCK", block), ("BLOCK_SHINGLES", shingles_each), ("FREQUENT", frequent)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = made(60, 8, 200) + ODD + [(9010, "one two three four five six"), (9010, "seven eight nine ten eleven twelve"), (9011, "seven eight nine ten eleven twelve")]
     frame = documents(spark, rows)
@@ -88,25 +88,83 @@ def test_shingle_counts_of_odd_texts():
         assert len(found) == len(shingle_set(text))
 
 
-def test_tree_join_is_complete():
-    random = np.random.default_rng(2)
-    base = random.integers(0, 9, (40, 16))
-    counts = np.concatenate([base, np.maximum(base + random.integers(-1, 2, base.shape), 0), base[:9]]).astype(np.uint16)
-    sizes = counts.sum(1).astype(np.int64)
-    for labels in (np.arange(len(sizes)), np.arange(len(sizes)) % 40):
-        points = rtree.Points(np.arange(len(sizes)), sizes, labels, counts)
-        i, j = rtree.join(points, None, 75)
-        expected = set()
-        for a in range(len(sizes)):
+def _random_sets(seed, count, size):
+    random = np.random.default_rng(seed)
+    out = []
+    for _ in range(count):
+        base = random.integers(0, 1 << 63, int(size * random.uniform(0.8, 1.2)), np.uint64)
+        for _ in range(random.integers(1, 4)):
+            keep = random.random(len(base)) < random.choice([1, 0.97, 0.9, 0.7])
+            fresh = random.integers(0, 1 << 63, int((~keep).sum()), np.uint64)
+            out.append(np.unique(np.concatenate((base[keep], fresh))))
+    return [found for found in out if len(found)]
+
+
+@pytest.mark.parametrize("size", [1, 9, 60, 300])
+def test_no_link_is_lost_by_a_bound(size):
+    sets = _random_sets(size, 60, size)
+    sizes = np.array([len(found) for found in sets])
+    for groups in (16, 64):
+        bits = np.stack([rtree.bitmap(found, groups) for found in sets])
+        assert (bits == rtree.folded(np.stack([rtree.bitmap(found, 256) for found in sets]), groups)).all()
+        for labels in (np.arange(len(sets)), np.arange(len(sets)) % 7):
+            points = rtree.Points(sizes, labels, bits)
+            linked = np.zeros(len(sets), bool)
+            for a in range(len(sets)):
+                for b in range(a):
+                    if labels[a] != labels[b] and ngram_join._links(sets[a], sets[b]):
+                        linked[[a, b]] = True
+            assert not (linked & ~rtree.meeting(points, None, 75)[0]).any()
+            half = len(sets) // 2
+            left, right = (rtree.Points(*(values[part] for values in points)) for part in (slice(half), slice(half, None)))
+            meets = np.concatenate(rtree.meeting(left, right, 75))
+            for a in range(half):
+                for b in range(half, len(sets)):
+                    if labels[a] != labels[b] and ngram_join._links(sets[a], sets[b]):
+                        assert meets[a] and meets[b]
+
+
+@pytest.mark.parametrize("size", [1, 9, 60, 300])
+def test_links_span_all_components(size):
+    sets = _random_sets(size + 1, 50, size)
+    ids = np.arange(len(sets)) + 100
+    for sides in (np.zeros(len(sets), np.int8), (np.arange(len(sets)) % 2 + 1).astype(np.int8)):
+        found = ngram_join.SpanningLinks(ids, ids, sides, sets).find()
+        root, wanted = {n: n for n in ids.tolist()}, {n: n for n in ids.tolist()}
+
+        def top(of, n):
+            while of[n] != n:
+                n = of[n]
+            return n
+
+        for a, b in found:
+            assert top(root, a) != top(root, b)
+            root[top(root, a)] = top(root, b)
+        for a in range(len(sets)):
             for b in range(a):
-                meets = rtree.may_link(counts[[a]], counts[[b]], sizes[[a]], sizes[[b]], 75)[0]
-                if meets and labels[a] != labels[b]:
-                    expected.add((b, a))
-        found = [tuple(sorted(pair)) for pair in zip(i.tolist(), j.tolist())]
-        assert len(found) == len(set(found)) and set(found) == expected
-        left, right = points.where(np.arange(50)), points.where(np.arange(50, len(sizes)))
-        i, j = rtree.join(left, right, 75)
-        assert {tuple(sorted(pair)) for pair in zip(i.tolist(), j.tolist())} == {p for p in expected if (p[0] < 50) != (p[1] < 50)}
+                if (not sides.any() or sides[a] != sides[b]) and ngram_join._links(sets[a], sets[b]):
+                    wanted[top(wanted, 100 + a)] = top(wanted, 100 + b)
+        groups = lambda of: sorted(sorted(n for n in of if top(of, n) == r) for r in of if of[r] == r)
+        assert groups(root) == groups(wanted)
+
+
+@pytest.mark.parametrize("words, edits", [(60, 1), (60, 2), (40, 1), (30, 1), (200, 3), (200, 6)])
+def test_verified_pairs_grow_with_the_group_and_not_with_its_square(words, edits):
+    random.seed(1)
+    base = [f"w{random.randrange(5000)}" for _ in range(words)]
+    counts = {}
+    for size in (200, 400, 800):
+        texts = []
+        for _ in range(size):
+            text = list(base)
+            for place in random.sample(range(words), edits):
+                text[place] = f"x{random.randrange(10**6)}"
+            texts.append(" ".join(text))
+        sets = shingles.shingle_sets(texts)
+        links = ngram_join.SpanningLinks(np.arange(size), np.arange(size), np.zeros(size, np.int8), sets)
+        links.find()
+        counts[size] = links.verified
+    assert all(verified <= 12 * size for size, verified in counts.items()), counts  # of size * (size - 1) / 2 pairs
 
 
 def test_components(spark):
