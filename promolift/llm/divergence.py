@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,42 +61,65 @@ def terms_of(texts: pa.StringArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), terms)
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _qualified(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.ListArray, pa.Array, np.ndarray]]:
+    """For each language of a slice: its rows, their terms, the distinct qualified terms and each term's place among
+    them. A term holds no zero byte, so the last one in a qualified term ends its language."""
+    for lang in pc.unique(batch.column("lang")):
+        rows = batch.filter(pc.equal(batch.column("lang"), lang))
+        terms = terms_of(rows.column("text"))
+        numbered = terms.values.dictionary_encode()
+        prefix = pa.scalar(lang.as_py() + "\0")
+        distinct = pc.binary_join_element_wise(prefix, numbered.dictionary, "")
+        yield rows, terms, distinct, numbered.indices.to_numpy()
+
+
+def _distinct_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the distinct qualified terms of each slice."""
     for batch in text_slices(batches):
-        terms = terms_of(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), terms], [*_GROUP, "terms"])
+        for _, _, distinct, _ in _qualified(batch):
+            digests = [xxhash.xxh64_intdigest(term) for term in pc.cast(distinct, pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64))], ["digest"])
+
+
+class _Tokenise:
+    """Texts to lists of qualified terms, one row for each part that a text has terms of."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            for rows, terms, distinct, places in _qualified(batch):
+                part_of = np.zeros(len(distinct), np.int32)
+                if self.parts > 1:
+                    names = pc.cast(distinct, pa.binary()).to_pylist()
+                    part_of = np.array([xxhash.xxh64_intdigest(name) % self.parts for name in names], np.int32)
+                starts, parts = terms.offsets.to_numpy(), part_of[places]
+                for part in range(self.parts):
+                    own = parts == part
+                    before = np.concatenate(([0], np.cumsum(own)))[starts]
+                    texts = pa.array(np.flatnonzero(np.diff(before)))
+                    offsets = np.append(before[:-1][np.diff(before) > 0], before[-1])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), distinct.take(pa.array(places[own])))
+                    columns = [rows.column(name).take(texts) for name in _GROUP]
+                    numbers = pa.array(np.full(len(texts), part, np.int32))
+                    yield pa.RecordBatch.from_arrays([*columns, lists, numbers], [*_GROUP, "terms", "part"])
 
 
 def _stored_terms(documents: DataFrame, terms_per_part: int) -> tuple[DataFrame, str, list[int]]:
-    """Documents' terms by part, written to one folder a part; the terms of a single part are written once."""
+    """Documents' qualified terms by part, written to one folder a part."""
     spark = documents.sparkSession
-    schema = "lang STRING, source STRING, terms ARRAY<STRING>"
-    tokenised = map_batches(documents, _tokenise, schema).where("size(terms) > 0")
+    digests = map_batches(documents, _distinct_hashes, "digest long")
+    parts = 1 + digests.agg(F.approx_count_distinct("digest")).first()[0] // terms_per_part
+    schema = "lang STRING, source STRING, terms ARRAY<STRING>, part INT"
     path = new_path(spark, "divergence-terms")
-    tokenised.write.parquet(f"{path}/part=0")
-    stored = spark.read.schema(schema).parquet(f"{path}/part=0")
-    distinct = stored.select("lang", F.explode("terms").alias("term")).agg(
-        F.approx_count_distinct(F.xxhash64("lang", "term"))
-    )
-    parts = 1 + distinct.first()[0] // terms_per_part
-    if parts > 1:
-        whole, path = path, new_path(spark, "divergence-parts")
-        own = f"transform(terms, term -> CAST(pmod(xxhash64(term), {parts}) AS INT))"
-        dealt = (
-            stored.withColumn("own", F.expr(own))
-            .select("*", F.explode(F.array_distinct("own")).alias("part"))
-            .select(*_GROUP, F.expr("filter(terms, (term, at) -> own[at] = part)").alias("terms"), "part")
-        )
-        dealt.write.partitionBy("part").parquet(path)
-        drop_paths(spark, [whole])
-    return spark.read.schema(f"{schema}, part INT").parquet(path), path, list(range(parts))
+    map_batches(documents, _Tokenise(parts), schema).write.partitionBy("part").parquet(path)
+    return spark.read.schema(schema).parquet(path), path, list(range(parts))
 
 
 def _part_counts(spark: SparkSession, stored: DataFrame, part: int, min_docs: int) -> tuple[DataFrame | None, str | None]:
     """Counts by language, source and term of one part, and the folder they read; None where no term is kept."""
-    # A term holds no zero byte, so the last one in a qualified term ends its language.
-    qualified = F.expr("transform(terms, term -> concat(lang, '\\0', term))")
-    rows = stored.where(F.col("part") == part).select(*_GROUP, qualified.alias("terms"))
+    rows = stored.where(F.col("part") == part).select(*_GROUP, "terms")
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST)
     try:
         model = vectorizer.fit(rows)
