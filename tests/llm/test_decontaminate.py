@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from promolift.llm import decontaminate
@@ -32,17 +34,20 @@ def bench(spark, items):
     return spark.createDataFrame([(*item, "x", 1) for item in items], "item_id LONG, text STRING, id STRING, n_hit INT")
 
 
-def test_windows_are_spread_over_automata(monkeypatch):
-    items = [(str(n), f"w{n} x y") for n in range(20)]
-    text = b" " + b" ".join(f"w{n} x y".encode() for n in range(20)) + b" "
-    whole = decontaminate.Scanner(items).occurrences([text])
-    monkeypatch.setattr(decontaminate, "AUTOMATON_WINDOWS", 3)
-    decontaminate._automaton.cache_clear()
-    assert sorted(decontaminate.Scanner(items).occurrences([text])[0]) == sorted(whole[0]) and len(whole[0]) == 20
-    decontaminate._automaton.cache_clear()
+def test_long_items_are_cut_into_pieces_with_all_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    text = " ".join(f"w{n % 23} é" for n in range(40))
+    for part in (text, " ".join(text.split()[:10]), " ".join(text.split()[:16]), "one two", ""):
+        batch = pa.RecordBatch.from_pydict({"id": ["a"], "text": [part]})
+        found = [piece.to_pylist() for piece in decontaminate._pieces([batch])]
+        pieces = [(row["id"], row["text"]) for rows in found for row in rows]
+        assert decontaminate.item_windows(pieces) == decontaminate.item_windows([("a", part)])
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("part_bytes, piece_words", [(1 << 20, 4096), (60, 3), (25, 4096)])
+def test_against_brute_force(spark, monkeypatch, part_bytes, piece_words):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece_words)
     random.seed(7)
     vocabulary = ["a", "B", "é", "É", "x1", "ß", "日本", "to", "be"]
     line = lambda n: " ".join(random.choices(vocabulary, k=n))
@@ -58,16 +63,40 @@ def test_against_brute_force(spark):
         if row.id is not None:
             own = [by_id[row.id][span.start : span.end] for span in row.spans]
             assert sum(len(words(part)) for part in own) == row.n_hit == sum(len(words(part)) for part in own)
+    assert len(list(decontaminate.scanners(benchmark))) > 4 or part_bytes > 60
     kept = decontaminate.without_contaminated(frame, benchmark)
     assert kept.columns == frame.columns
     assert sorted(map(str, (row.doc_id for row in kept.collect()))) == sorted(str(row.id) for row in found if not row.contaminated)
 
 
-def test_empty_tables_and_size_check(spark, monkeypatch):
+def test_empty_tables(spark):
     frame, none = documents(spark, [(1, "a b c")]), bench(spark, [(1, None)])
     assert [row.n_hit for row in decontaminate.contamination(frame, none).collect()] == [0]
     assert decontaminate.contamination(frame.limit(0), none).collect() == []
     assert decontaminate.contamination(frame, none.limit(0)).first().n_words == 3
-    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 2)
-    with pytest.raises(ValueError, match="one part"):
-        decontaminate.contamination(frame, bench(spark, [(1, "a b c")]))
+    assert decontaminate.without_contaminated(frame, none.limit(0)).count() == 1
+    assert decontaminate.without_contaminated(frame.limit(0), bench(spark, [(1, "a b c")])).count() == 0
+
+
+def test_very_long_texts(spark):
+    random.seed(9)
+    text = " ".join(random.choice("abcdefgh") * random.randint(1, 3) for _ in range(150_000))
+    planted = " ".join(f"q{n}" for n in range(30))
+    frame = documents(spark, [(1, text), (2, text + " " + planted + " " + text)])
+    found = {row.id: row for row in decontaminate.contamination(frame, bench(spark, [(5, "zz " + planted)])).collect()}
+    assert (found[1].n_hit, found[1].n_words) == (0, 150_000)
+    assert (found[2].n_hit, found[2].n_words, list(found[2]["items"])) == (30, 300_030, ["5"])
+
+
+def test_a_large_benchmark_scans_as_fast_as_a_small_one():
+    random.seed(3)
+    words = [f"w{n}" for n in range(20_000)]
+    items = [(str(n), " ".join(random.choices(words, k=500))) for n in range(470)]  # 230,000 windows, 1.5 MB
+    scanner = decontaminate.Scanner(items)
+    other = words[::5] + [f"v{n}" for n in range(16_000)]  # one word in five is one of the benchmark
+    texts = [" ".join(random.choices(other, k=300)) for _ in range(511)] + [items[7][1]]
+    slice_of = [decontaminate.normal_words(text) for text in texts]
+    scanner.occurrences(slice_of[0])
+    start = time.process_time()
+    found = [scanner.occurrences(text) for text in slice_of]
+    assert time.process_time() - start < 0.5 and len(found[-1]) == 491 and not any(found[:-1])
