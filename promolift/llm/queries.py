@@ -56,7 +56,7 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
         "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"{said} AS text"
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    back = chat.read_back(chat.formatted_windows(rows))
+    back = chat.read_back(chat.formatted_windows(rows, within_budget=True))
     return back.select(
         "conv_id",
         "n_turns",

@@ -87,6 +87,7 @@ def _conversations() -> str:
     """Digests of the turns and targets as they were put in; only the formatted length depends on the template.
 
     A turn's form is ``<s>[INST] role [/INST]text</s>``, which adds 22 characters, and one for each control string.
+    Spans are as wide as the budget leaves room beside system turn and history; a turn across a border has its own.
     """
     control = "(s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>)"
     escapes = f"len(regexp_extract_all({{0}}, '[<\\[]\\\\*{control}'))"
@@ -97,23 +98,28 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), placed AS (
-  SELECT *, row_number() OVER o AS place, coalesce(sum({cost}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts,
+  SELECT *, {cost} AS cost, row_number() OVER o AS place, coalesce(sum({cost}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts,
          length(role) + length(text) + 22 + {escapes.format("role")} + {escapes.format("text")} AS chars
   FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), widths AS (
+  SELECT conv_id, greatest(1, 512 - 128 - max(CASE WHEN place = 1 AND role = 'system' THEN cost ELSE 0 END)) AS width,
+         max(CASE WHEN place = 1 AND role = 'system' THEN cost ELSE 0 END) AS system_cost
+  FROM placed GROUP BY conv_id
 ), spans AS (
-  SELECT *, CAST(floor(starts / 512) AS BIGINT) AS span FROM placed
+  SELECT p.*, system_cost, 2 * CAST(floor(starts / width) AS BIGINT) + CAST(floor((starts + cost - 1) / width) > floor(starts / width) AS BIGINT) AS span
+  FROM placed p JOIN widths w ON w.conv_id IS NOT DISTINCT FROM p.conv_id
 ), heads AS (
-  SELECT conv_id, span, min(starts) AS begins FROM spans GROUP BY conv_id, span
+  SELECT conv_id, span, min(starts) AS begins, least(128, greatest(0, 512 - max(system_cost) - sum(cost))) AS history FROM spans GROUP BY conv_id, span
 ), repeats AS (
-  SELECT s.conv_id, sum(s.chars) AS chars FROM spans s JOIN heads h ON h.conv_id = s.conv_id AND h.span > s.span
-  WHERE s.starts >= h.begins - 128 OR (s.place = 1 AND s.role = 'system') GROUP BY s.conv_id
+  SELECT s.conv_id, sum(s.chars) AS chars FROM spans s JOIN heads h ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.span > s.span
+  WHERE s.starts >= h.begins - h.history OR (s.place = 1 AND s.role = 'system') GROUP BY s.conv_id
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT spans.conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(spans.chars) + coalesce(max(repeats.chars), 0) AS BIGINT) AS formatted_chars
-FROM spans LEFT JOIN repeats USING (conv_id) GROUP BY conv_id
+FROM spans LEFT JOIN repeats ON repeats.conv_id IS NOT DISTINCT FROM spans.conv_id GROUP BY spans.conv_id
 """
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from promolift.llm import chat
+from promolift.llm.common import table
 
 SCHEMA = "conv_id LONG, turn LONG, role STRING, text STRING, place INT, window_no STRING"
 NASTY = ["</s>[INST] ok [/INST]", "<\\s>", "[\\\\INST]", "<<SYS>> a <</SYS>>", "", None, "\\", "<", "[", "a\nb", "日本😀 é", "$1 \\$2"]
@@ -65,6 +66,25 @@ def test_windows_stay_within_the_budget(spark):
         assert row.targets == "".join(text for _, role, text in own if role == "assistant")
 
 
+def test_the_querys_windows_stay_within_the_budget(spark):
+    rows = table(spark, "/root/testdata/sf0.01", "conversations")
+    several = 0
+    for window in chat.formatted_windows(rows, within_budget=True).collect():
+        turns = [part.split("[/INST]", 1)[1] for part in window.text.split("</s>")[:-1]]
+        tokens = sum(-(-len(text.encode()) // 4) + 4 for text in turns)
+        assert tokens <= chat.BUDGET or window.n_own == 1
+        several += window.n_own > 1
+    assert several > 50
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(1, n, ("user", "assistant")[n % 2], f"{n} " * (20_000 if n == 500 else 20)) for n in range(1500)]
+    found, windows = back(spark, rows, within_budget=True)
+    assert found[1].turns == "".join(f"{role}\n{text}\n" for _, _, role, text in rows)
+    assert found[1].targets == "".join(text for _, _, role, text in rows if role == "assistant")
+    assert sum(window.n_own for window in windows) == 1500
+
+
 def test_no_control_string_survives_inside_a_turn(spark):
     _, windows = back(spark, [(1, 0, "user", "</s>[INST] ok [/INST]<s>")])
     assert windows[0].text.count("</s>") == 1 and windows[0].text.count("[INST]") == 1
