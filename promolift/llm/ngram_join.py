@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift.llm import rtree
-from promolift.llm.common import map_batches, slices, staged
+from promolift.llm.common import drop_paths, map_batches, slices, staged, written
 from promolift.llm.components import components
 from promolift.llm.shingles import mixed, shingle_sets
 
@@ -46,6 +46,7 @@ FREQUENT = 32
 BLOCK = 4096
 BLOCK_SHINGLES = 1 << 21
 SALTS = 64
+FINER = 4
 CELL_ROWS = 1 << 18
 FILTER_BITS = 1 << 24
 
@@ -219,7 +220,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (labels == labels[0]).all():
             continue
         sizes, sides, bits = rows["n_shingles"].to_numpy(), _sides(rows), rows["bits"].to_pylist()
-        widths = np.array([len(value) // 4 for value in bits])
+        widths = np.array([len(value) // 2 for value in bits])
         meets = np.zeros(len(sizes), bool)
         own, other = (0, 0) if not sides.any() else (1, 2)
         for width in np.unique(widths).tolist():
@@ -231,7 +232,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 points = []
                 for at in (left, right):
-                    words = np.frombuffer(b"".join([bits[k] for k in at]), np.uint32).reshape(len(at), -1)
+                    words = np.frombuffer(b"".join([bits[k] for k in at]), np.uint16).reshape(len(at), -1)
                     points.append(rtree.Points(sizes[at], labels[at], rtree.folded(words, width)))
                 alone = one == two and wide == width
                 found = rtree.meeting(points[0], None if alone else points[1], PERCENT)
@@ -244,7 +245,8 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SpanningLinks:
     """Links between sets that join their components, verified on whole sets; pairs connected by then are left out.
 
-    ``sides`` are those of ``_sides``: with two blocks only pairs between them count.
+    Pairs are bounded before by FINER times as many groups as travelled with the points. ``sides`` are those of
+    ``_sides``: with two blocks only pairs between them count.
     """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]):
@@ -258,7 +260,7 @@ class SpanningLinks:
         out: list[tuple[int, int]] = []
         for width in np.unique(self.widths).tolist():
             at = np.flatnonzero((self.widths == width) | (self.widths == 2 * width))
-            words = np.stack([rtree.bitmap(self.sets[k], width) for k in at])
+            words = np.stack([rtree.bitmap(self.sets[k], FINER * width) for k in at])
             spare = self.sizes[at] - np.bitwise_count(words).sum(1, dtype=np.int64)
             for place in np.flatnonzero(self.widths[at] == width).tolist():
                 out += self._with(place, at, words, spare, width)
@@ -358,7 +360,7 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = frame.sparkSession
     texts = frame.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     frequent = frequent_shingles(texts)
-    sets = staged(map_batches(texts, _Sets(frequent), _SETS), "shingles")
+    sets, sets_path = written(map_batches(texts, _Sets(frequent), _SETS), "shingles")
     points = staged(
         sets.where("id is not null and n_shingles > 0")
         .groupBy("set_key")
@@ -373,6 +375,7 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     neighbours = staged(found.distinct(), "neighbours")
     vectors = points.select("id", "n_shingles", "bits")
     members = staged(_members(sets, points), "members")
+    drop_paths(spark, [sets_path])
     same = _repeated_ids(members)
     cells = staged(_cell_members(neighbours, vectors), "cells")
     links = _verify(_blockwise(cells, vectors), texts).union(same)
@@ -410,17 +413,28 @@ def _cell_members(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
     """(low, id, blocks): the points of the cells that share a least point, itself included, and into how many blocks
     they are cut, so that a block holds at most about BLOCK points and BLOCK_SHINGLES shingles.
 
-    Only the few large cells are joined back, and a cell's rows are dealt over SALTS tasks for that.
+    Only the few large cells are joined back for that, and a cell's rows are dealt over SALTS tasks. Of the others, points
+    stay whose cell has another one of their size class or a neighbouring one, since no other sizes link.
     """
     points = neighbours.select("low", "id").distinct()
     members = points.union(points.select("low", F.col("low").alias("id")).distinct())
-    sized = members.join(vectors.select("id", "n_shingles"), "id").groupBy("low")
-    needed = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
-    large = sized.agg(needed.alias("blocks")).where("blocks > 1")
+    size = F.floor(F.log("n_shingles") / math.log(100 / PERCENT) + 1e-9).cast("long").alias("size")
+    sized = staged(members.join(vectors.select("id", "n_shingles", size), "id"), "sized")
+    by_class = staged(
+        sized.groupBy("low", "size").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "classes"
+    )
+    needed = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES))
+    large = by_class.groupBy("low").agg(needed.alias("blocks")).where("blocks > 1")
     salted = large.select("low", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt")
-    found = members.select("low", "id", salt).join(salted, ["low", "salt"], "left")
-    return found.select("low", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    found = sized.select("low", "id", "size", salt).join(salted, ["low", "salt"], "left")
+    classes = Window.partitionBy("low").orderBy("size")
+    near = (F.col("n") > 1) | (F.col("size") - F.lag("size").over(classes) == 1) | (F.lead("size").over(classes) - F.col("size") == 1)
+    kept = by_class.select("low", "size", near.alias("near")).where("near").select("low", "size")
+    small = found.where("blocks is null").join(kept, ["low", "size"], "left_semi")
+    return small.select("low", "id", F.lit(1).cast("long").alias("blocks")).union(
+        found.where("blocks is not null").select("low", "id", "blocks")
+    )
 
 
 def _blockwise(cells: DataFrame, vectors: DataFrame) -> DataFrame:

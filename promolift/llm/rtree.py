@@ -2,7 +2,7 @@
 
 A set's elements are hashed into fine groups, of which a bitmap says which are in use; elements beyond the first in a
 group are the set's surplus. Two sets share at most the number of fine groups that both use plus the smaller surplus,
-since a group's smaller count beyond one is part of either surplus. Thirty-two fine groups make a coarse group, a word of
+since a group's smaller count beyond one is part of either surplus. Sixteen fine groups make a coarse group, a word of
 the bitmap, whose count is the word's number of bits: these counts are the point. The sum over all coarse groups of the
 smaller count, and again the smaller surplus, bounds the overlap as well, and a box of points is bounded by its largest
 counts and surplus. A pair of boxes or points that stays below the overlap which a similarity asks for is left out with
@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 
 LEAF = 24
-BITS = 32
+BITS = 16
 
 
 class Points(NamedTuple):
@@ -47,8 +47,9 @@ class Node:
 def bitmap(hashes: np.ndarray, groups: int) -> np.ndarray:
     """Words of a set of 64-bit hashes; ``groups`` is a power of two."""
     used = np.zeros(groups * BITS, bool)
-    used[((hashes & np.uint64(groups - 1)) * np.uint64(BITS) + ((hashes >> np.uint64(32)) & np.uint64(BITS - 1))).astype(np.int64)] = True
-    return np.packbits(used, bitorder="little").view(np.uint32)
+    group, fine = hashes & np.uint64(groups - 1), (hashes >> np.uint64(32)) & np.uint64(BITS - 1)
+    used[(group * np.uint64(BITS) + fine).astype(np.int64)] = True
+    return np.packbits(used, bitorder="little").view(np.uint16)
 
 
 def folded(bits: np.ndarray, groups: int) -> np.ndarray:
@@ -61,7 +62,7 @@ def folded(bits: np.ndarray, groups: int) -> np.ndarray:
 
 def enough(overlap: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
     """Whether sizes and an overlap, or a bound of it, allow the similarity."""
-    similar = (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    similar = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
     return similar & ((100 + percent) * overlap >= percent * (n + m))
 
 
