@@ -2,15 +2,14 @@
 
 Both dictionaries hold the byte runs that most ordinary training texts share. The toxic one also holds the runs that
 mark toxic training texts: runs that are frequent in them and nearly absent from ordinary ones, chosen one by one so
-that every toxic text is covered several times. A run's frequency is the number of different texts that have it, so
-copies add nothing. Whole texts are cut at spaces into windows of about ``WINDOW`` bytes; the gain of a window is its
-compressed length with the ordinary dictionary less that with the toxic one. Counts of windows by gain go through a
-logistic function that is calibrated on labelled texts the dictionaries have not seen.
-
-The classifier is fitted on a sample of at most ``TOXIC_SAMPLE`` + ``ORDINARY_SAMPLE`` labelled texts. The dictionaries
-are made from at most ``SAMPLE_WINDOWS`` windows of each, spread over the whole text; the calibration sees all windows,
-as scoring does. Scores are for the mix of all labelled training rows, which are
-counted, not for that of the sample. Everything else covers all rows and whole texts.
+that every toxic text is covered several times. A run is common if many different texts have it, so copies add nothing.
+Whole texts are cut at spaces into windows of about ``WINDOW`` bytes; the gain of a window is its compressed length with
+the ordinary dictionary less that with the toxic one. Counts of windows by gain go through a logistic function that is
+calibrated on labelled texts the dictionaries have not seen.
+
+The classifier is fitted on a sample of at most ``TOXIC_SAMPLE`` + ``ORDINARY_SAMPLE`` labelled texts, whole ones as in
+scoring. Scores are for the mix of all labelled training rows, which are counted, not for that of the sample. Everything
+else covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -19,9 +18,10 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,6 @@ WINDOW = 64
 RUN = 5
 TOXIC_SAMPLE = 2000
 ORDINARY_SAMPLE = 5000
-SAMPLE_WINDOWS = 100
 COMMON_RUNS = 6000
 COVER = 4
 LEAST_TEXTS = 5
@@ -63,20 +62,25 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
-def _runs(joined: bytes) -> np.ndarray:
-    """The different byte runs of one text's windows (joined by line feeds, which windows never hold), as numbers.
+def _runs(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different byte runs of one text's windows (joined by line feeds, which windows never hold), as numbers, and
+    the share of the windows that have each.
 
     A run lies within a word, or begins with the space before it.
     """
     codes = np.frombuffer(joined, np.uint8).astype(np.uint64)
     if len(codes) < RUN:
-        return codes[:0]
+        return codes[:0], np.zeros(0)
+    window = np.cumsum(codes == 10).astype(np.uint64)
     parts = [codes[at : len(codes) - RUN + 1 + at] for at in range(RUN)]
     number, kept = np.zeros(len(parts[0]), np.uint64), parts[0] != 10
     for at, part in enumerate(parts):
         number = number << np.uint64(8) | part
         kept &= (part != 10) & ((part != 32) | (at == 0))
-    return np.unique(number[kept])
+    bits = np.uint64(64 - 8 * RUN)  # left for the window's number
+    in_windows = np.unique(number[kept] << bits | window[: len(number)][kept] & ((np.uint64(1) << bits) - np.uint64(1)))
+    runs, counts = np.unique(in_windows >> bits, return_counts=True)
+    return runs, counts / (float(window[-1]) + 1)
 
 
 def _bytes(run: int) -> bytes:
@@ -87,9 +91,22 @@ def _parts(word: bytes) -> list[bytes]:
     return [word[at : at + RUN] for at in range(len(word) - RUN + 1)]
 
 
-def _counted(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All runs, ascending, and the number of texts that have each."""
-    return np.unique(np.concatenate(runs), return_counts=True)
+#: Runs, ascending, the number of texts that have each, and the sum of those texts' shares.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _summed(tables: list[Counts]) -> Counts:
+    runs, place = np.unique(np.concatenate([table[0] for table in tables]), return_inverse=True)
+    counts, shares = (np.bincount(place, np.concatenate([table[k] for table in tables]), len(runs)) for k in (1, 2))
+    return runs, counts.astype(np.int64), shares
+
+
+def _counted(runs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Counts:
+    """The sums over texts, some texts at a time."""
+    total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+    for some in batched(runs, 256):
+        total = _summed([total, *((own, np.ones(len(own), np.int64), shares) for own, shares in some)])
+    return total
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -149,19 +166,27 @@ def common_runs(runs: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def telling_runs(
-    toxic: list[bytes], toxic_runs: list[np.ndarray], ordinary: tuple[np.ndarray, np.ndarray], n_ordinary: int
+    toxic: list[bytes],
+    toxic_runs: list[tuple[np.ndarray, np.ndarray]],
+    ordinary: Counts,
+    n_ordinary: int,
+    half_text: float,
 ) -> list[bytes]:
-    """Byte strings that mark toxic texts, by greedy cover."""
-    runs, counts = _counted(toxic_runs)
+    """Byte strings that mark toxic texts, by greedy cover.
+
+    Frequencies are mean shares of a text's windows, so that a mark or two in a long ordinary text weigh little.
+    ``half_text``, the share of half a text with one window of the mean number, is added to those in ordinary texts.
+    """
+    runs, counts, shares = _counted(toxic_runs)
     least = max(LEAST_TEXTS, 0.01 * len(toxic))
-    runs, counts = runs[counts >= least], counts[counts >= least]
+    runs, shares = runs[counts >= least], shares[counts >= least]
     at = np.minimum(np.searchsorted(ordinary[0], runs), len(ordinary[0]) - 1)
-    seen = np.where(ordinary[0][at] == runs, ordinary[1][at], 0)
-    ratios = counts / len(toxic) / ((seen + 0.5) / n_ordinary)
+    seen = np.where(ordinary[0][at] == runs, ordinary[2][at], 0)
+    ratios = shares / len(toxic) / ((seen + half_text) / n_ordinary)
     odds = {_bytes(run): ratio for run, ratio in zip(runs, ratios) if ratio >= 20}
     known = runs[ratios >= 20]
     texts, words = defaultdict(list), Counter()
-    for place, (joined, own) in enumerate(zip(toxic, toxic_runs)):
+    for place, (joined, (own, _)) in enumerate(zip(toxic, toxic_runs)):
         found = own[np.isin(own, known)]
         for run in found:
             texts[_bytes(run)].append(place)
@@ -207,27 +232,34 @@ def _calibrated(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, n
     return center, spread, weights
 
 
-def _dictionaries(sides: list[list[bytes]], runs: list[list[np.ndarray]], without: int | None = None) -> Model:
-    """Both dictionaries, from all texts or from those outside a fold."""
-    inside = lambda values: [one for at, one in enumerate(values) if at % FOLDS != without]
-    common = _counted(inside(runs[0]))
-    base = common_runs(*common)
-    telling = telling_runs(inside(sides[1]), inside(runs[1]), common, len(inside(sides[0])))
-    return Model(base, base + b"\0".join(reversed(telling)))
+class _Sides:
+    """The training texts as windows joined by line feeds, dealt into FOLDS folds. Of ordinary texts only the counts of
+    their runs are kept, by fold."""
 
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes]):
+        self.n_ordinary = len(ordinary)
+        self.half_text = 0.5 * len(ordinary) / sum(text.count(b"\n") + 1 for text in ordinary)
+        self.counts = [_counted(map(_runs, ordinary[fold::FOLDS])) for fold in range(FOLDS)]
+        self.toxic = toxic
+        self.toxic_runs = [_runs(text) for text in toxic]
 
-def _excerpt(own: list[bytes]) -> bytes:
-    places = np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))
-    return b"\n".join(own[place] for place in places)
+    def dictionaries(self, without: int | None = None) -> Model:
+        """Both dictionaries, from all texts or from those outside a fold."""
+        inside = lambda values: [one for at, one in enumerate(values) if at % FOLDS != without]
+        common = _summed([table for fold, table in enumerate(self.counts) if fold != without])
+        n_ordinary = len(inside(range(self.n_ordinary)))
+        base = common_runs(*common[:2])
+        telling = telling_runs(inside(self.toxic), inside(self.toxic_runs), common, n_ordinary, self.half_text)
+        return Model(base, base + b"\0".join(reversed(telling)))
 
 
-def _key(excerpt: bytes) -> bytes:
-    return hashlib.blake2b(excerpt, digest_size=16).digest()
+def _key(joined: bytes) -> bytes:
+    return hashlib.blake2b(joined, digest_size=16).digest()
 
 
 def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        chosen = [_excerpt(windows(text)) for text in batch.column("text").to_pylist()]
+        chosen = [b"\n".join(windows(text)) for text in batch.column("text").to_pylist()]
         columns = [pa.array(chosen, pa.binary()), batch.column("label")]
         yield pa.RecordBatch.from_arrays(columns, ["windows", "label"])
 
@@ -243,32 +275,32 @@ class _Features:
             keys, features = [], []
             for text in batch.column("text").to_pylist():
                 own = windows(text)
-                keys.append(_key(_excerpt(own)))
+                keys.append(_key(b"\n".join(own)))
                 features.append(self.models[self.folds[keys[-1]]].features(own))
             columns = [pa.array(keys, pa.binary()), pa.array(features, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "features"])
 
 
-def fit(excerpts: list[tuple[bytes, int]], sample: DataFrame, favour: float) -> Model:
-    """A model from the sampled texts, their excerpts (windows joined by line feeds) and labels.
+def fit(texts: list[tuple[bytes, int]], sample: DataFrame, favour: float) -> Model:
+    """A model from the sampled texts, as whole texts of windows joined by line feeds, and their labels.
 
     ``favour`` is the logarithm of how much more often a toxic text was drawn than an ordinary one; it is taken off the
-    log-odds, so that scores mean the same for any sample. Dictionaries from all different excerpts; the calibration
-    sees each whole text as dictionaries without its fold do, texts of one excerpt once.
+    log-odds, so that scores mean the same for any sample. Texts with equal windows count once. The calibration sees
+    each text as dictionaries without its fold do.
     """
-    unique = sorted({text: label for text, label in sorted(excerpts)}.items())
-    sides = [[text for text, found in unique if found == label] for label in (0, 1)]
-    if min(len(side) for side in sides) < FOLDS:
+    unique = sorted({text: label for text, label in sorted(texts)}.items())
+    ordinary, toxic = ([text for text, found in unique if found == label] for label in (0, 1))
+    if min(len(ordinary), len(toxic)) < FOLDS:
         return Model(b"", b"")
-    runs = [[_runs(text) for text in side] for side in sides]
-    models = [_dictionaries(sides, runs, without=fold) for fold in range(FOLDS)]
-    folds = {_key(text): at % FOLDS for side in sides for at, text in enumerate(side)}
+    labels = {_key(text): label for text, label in unique}
+    folds = {_key(text): at % FOLDS for side in (ordinary, toxic) for at, text in enumerate(side)}
+    sides = _Sides(ordinary, toxic)
+    models = [sides.dictionaries(without=fold) for fold in range(FOLDS)]
     seen = map_batches(sample, _Features(models, folds), "key binary, features array<double>").toArrow()
     features = dict(sorted(zip(seen["key"].to_pylist(), seen["features"].to_pylist()), reverse=True))
-    labels = {_key(text): label for text, label in unique}
     fitted = _calibrated(np.array(list(features.values())), np.array([labels[key] for key in features], float))
     fitted[2][-1] -= favour
-    whole = _dictionaries(sides, runs)
+    whole = sides.dictionaries()
     return Model(whole.ordinary, whole.toxic, *(tuple(values.tolist()) for values in fitted))
 
 
@@ -331,5 +363,9 @@ def score(model: Model, frame: DataFrame, id_column: str = "doc_id", text_column
 
 
 def without_toxic(model: Model, frame: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of ``frame`` with a score under THRESHOLD, with all their columns."""
+    """The rows of ``frame`` with a score under THRESHOLD, with all their columns.
+
+    Null and empty texts are scored as empty; null ids and repeated rows stay or go by their text; an empty table stays
+    empty.
+    """
     return map_batches(frame, _Keep(model, text_column), frame.schema)
