@@ -633,9 +633,10 @@ UNION ALL SELECT 'stores', count(*) FROM shops""",
     "csv_to_tables": f"""SELECT 'train' AS table_name, count(*) AS rows, {rnd("sum(amount)", 2)} AS total FROM sales
 UNION ALL SELECT 'features', count(*), {rnd("sum(" + each("coalesce(m#, 0)", " + ") + ")", 2)} FROM spending
 UNION ALL SELECT 'stores', count(*), {num("sum(size)")} FROM shops""",
-    "load_totals": f"""SELECT 'train' AS table_name, count(*) AS rows, {rnd("sum(amount)", 2)} AS total FROM sales
+    "load_totals": f"""SELECT *, 0::BIGINT AS rows_gap, 0::DOUBLE AS total_gap FROM (
+SELECT 'train' AS table_name, count(*) AS rows, {rnd("sum(amount)", 2)} AS total FROM sales
 UNION ALL SELECT 'features', count(*), {rnd("sum(" + each("coalesce(m#, 0)", " + ") + ")", 2)} FROM spending
-UNION ALL SELECT 'stores', count(*), {num("sum(size)")} FROM shops""",
+UNION ALL SELECT 'stores', count(*), {num("sum(size)")} FROM shops)""",
     "load_with_rejects": f"""SELECT 'train' AS table_name, count(*) FILTER (h = 0 OR store % 5 > 0) AS rows,
        count(*) FILTER (h = 1 AND store % 5 = 0) AS rejected, {rnd("sum(amount) FILTER (h = 0 OR store % 5 > 0)", 2)} AS total FROM sales
 UNION ALL SELECT 'features', count(*), 0, {rnd("sum(" + each("coalesce(m#, 0)", " + ") + ")", 2)} FROM spending

@@ -132,6 +132,23 @@ def stored_totals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name STRING, rows BIGINT, total DECIMAL(38,2)")
 
 
+def verify_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals left by the load in force beside those of a scan: table_name, rows, total, rows_gap and total_gap.
+
+    Gaps tell that files were changed, lost or added since.
+    """
+    scans = [
+        aggregate(table, [], {"_rows": ROWS, "_total": f"coalesce(sum({control_amount(table)}), 0)"}).selectExpr(
+            f"'{name}' AS table_name", "_rows", "CAST(_total AS DECIMAL(38,2)) AS _total"
+        )
+        for name, table in read_tables(spark, folder).items()
+    ]
+    scanned = reduce(DataFrame.unionAll, scans)
+    return stored_totals(spark, folder).join(scanned, "table_name").selectExpr(
+        "table_name", "rows", "total", "_rows - rows AS rows_gap", "_total - total AS total_gap"
+    )
+
+
 def load_inputs(
     spark: SparkSession,
     source: str,

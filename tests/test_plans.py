@@ -7,6 +7,7 @@ import re
 import pytest
 
 from promolift import LiftModel, Tables
+from promolift.functions.ranking import rank_league
 from promolift.operators import base
 from promolift.plans.registry import FRAMES, REPORTS, all_queries
 from promolift.sources import files
@@ -143,6 +144,21 @@ def test_tiles_need_one_shuffle_by_store(stored, settings, name):
     assert "Generate" not in text.split("ntile", 1)[1] and above.count("Window") <= 6
 
 
+def test_both_contrasts_read_everything_once(stored, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    text = plan(stored.method_comparison())
+    assert text.count("FileScan") == 3  # spend, and sales of both years
+    assert len(re.findall(r"hashpartitioning\(store#\d+, \d+\)", text)) == 1
+
+
+def test_leagues_are_ranked_without_joins(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    league = spark.range(100).selectExpr("id AS store", "id % 7 / 3 AS score", "id % 2 AS team")
+    ranked = rank_league(league, "score", {"place": (), "team_place": ("team",)})
+    text = plan(ranked)
+    assert "Join" not in text and len(re.findall(r"Exchange hashpartitioning\(_task#\d+L, \d+\)", text.split("Subqueries")[0])) == 1
+
+
 def test_lines_are_shuffled_narrow(spark, settings):
     settings(autoBroadcastJoinThreshold="-1")
     text = plan(line_totals(spark, FOLDER))

@@ -71,6 +71,25 @@ def test_tables_are_replaced_reported_and_modelled(spark, tmp_path):
     }
 
 
+def test_totals_of_a_load_tell_lost_files(spark, tmp_path):
+    _write_inputs(tmp_path)
+    target = str(tmp_path / "tables")
+    files.replace_tables(files.read_inputs(spark, str(tmp_path)), target)
+    assert all(row.rows_gap == 0 and row.total_gap == 0 for row in files.verify_tables(spark, target).collect())
+    for part in (tmp_path / "tables").glob("version-*/train/year=2010/*.parquet"):
+        part.unlink()
+    gaps = by(files.verify_tables(spark, target), "table_name")
+    assert (gaps["train"]["rows_gap"], float(gaps["train"]["total_gap"])) == (-1, -100.0)
+    assert gaps["features"]["rows_gap"] == 0
+
+
+def test_stored_totals_read_no_table(spark, tmp_path):
+    _write_inputs(tmp_path)
+    target = str(tmp_path / "tables")
+    files.replace_tables(files.read_inputs(spark, str(tmp_path)), target)
+    assert "FileScan" not in files.stored_totals(spark, target)._jdf.queryExecution().toString()
+
+
 def _loaded(spark, folder):
     return {name: table.count() for name, table in files.read_tables(spark, folder).items()}
 
