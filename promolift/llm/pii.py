@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -83,13 +84,18 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 _DETECTORS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = dict(zip(KINDS, (emails, ips, cards, phones)))
 
-# Letters of other scripts that look like ASCII letters, and marks that look like @ . - +
+# Letters of other scripts that look like ASCII letters, and marks that look like . -
 _LOOKALIKES = dict(
     zip(
-        "АВЕКМНОРСТХУаеорсухіјѕԁһӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν" + "‐‑‒–−․。",
-        "ABEKMHOPCTXYaeopcyxijsdhl" + "ABEZHIKMNOPTYXoav" + "-----..",
+        "АВЕКМНОРСТХУаеорсухіјѕԁһӏЅІЈԚԜѴԛԝѵ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυχϳϲ" + "ɑɩօսցհո" + "‐‑‒–−․。",
+        "ABEKMHOPCTXYaeopcyxijsdhlSIJQWVqwv" + "ABEZHIKMNOPTYXoavikpuxjc" + "aioughn" + "-----..",
     )
 )
+#: Names of characters that are drawn as one ASCII letter.
+_DRAWN = re.compile(
+    "(?:LATIN LETTER SMALL CAPITAL|LATIN SMALL LETTER (?:SCRIPT|DOTLESS)|REGIONAL INDICATOR SYMBOL LETTER"
+    "|NEGATIVE (?:CIRCLED|SQUARED) LATIN CAPITAL LETTER) ([A-Z])"
+)
 _INVISIBLE = "­​‌‍⁠﻿"
 _DIGIT_WORDS = (
     "zero one two three four five six seven eight nine",
@@ -102,19 +108,32 @@ _DIGIT_OF = {word: str(value) for words in _DIGIT_WORDS for value, word in enume
 }
 _DIGIT_WORD = "|".join(sorted(_DIGIT_OF, key=lambda word: (-len(word), word)))
 
-_ODD = re.compile(f"[{_INVISIBLE}ʰ-￿\U00010000-\U0010ffff]")
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_DIGIT_WORD}|[0-9])[\s,.-]{{1,2}}){{3,}}(?:{_DIGIT_WORD}|[0-9])(?!\w)", re.I)
 _SPELLED_PART = re.compile(rf"({_DIGIT_WORD}|[0-9])|([\s,.-]+)", re.I)
+_NUMBER = rf"(?:(?:{_DIGIT_WORD}|[0-9])[\s,-]{{1,2}}){{0,2}}(?:{_DIGIT_WORD}|[0-9]{{1,3}})"
+_POINT = r"\s(?:dot|point|punkt|punto)\s"
+_SPELLED_IP = re.compile(rf"(?<!\w){_NUMBER}(?:{_POINT}{_NUMBER}){{3}}(?!\w)", re.I)
+_IP_PART = re.compile(rf"({_POINT})|({_DIGIT_WORD}|[0-9]+)|([\s,-]+)", re.I)
+_POINT_WORDS = {"dot", "point", "punkt", "punto"}
 _PLUS = re.compile(rf"(?<!\w)plus\s+(?=(?:{_DIGIT_WORD}|[0-9])(?!\w))", re.I)
 _MARKED = re.compile(r"\s{0,3}(?:\(\s?(at|@|dot|\.)\s?\)|\[\s?(at|@|dot|\.)\s?\]|\{\s?(at|@|dot|\.)\s?\}|<(at|dot)>)\s{0,3}", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
 _BARE = re.compile(
     rf"(?<=[A-Za-z0-9])\s(at)\s(?={_LABEL}(?:(?:\sdot\s|\.){_LABEL})*\sdot\s[A-Za-z])"
     rf"|(?<=[A-Za-z0-9])(\sdot\s)(?=[A-Za-z0-9])"
-    rf"|(?<=[A-Za-z0-9])\s?(@)\s?(?=[A-Za-z0-9])",
+    rf"|(?<=[A-Za-z0-9])\s?(@)\s?(?={_LABEL}(?:(?:\sdot\s|\.){_LABEL})*(?:\sdot\s|\.)[A-Za-z])",
     re.I,
 )
 _NAMED = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?!\w))", re.I)
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+# What makes a word before " at " and a domain a name, and words that are none.
+_CUE = re.compile(
+    r"\b(?:e-?mails?|mail|write|contact|reach|send|address|kontakt|schreib\w*|adresse|correo|escrib\w*|contacto|courriel"
+    r"|écri\w*|contacte\w*)\b",
+    re.I,
+)
+_PROVIDER = re.compile(r"(?:gmail|googlemail|yahoo|hotmail|outlook|icloud|gmx|proton|protonmail|aol|live|msn)\.", re.I)
+_NO_NAMES = set("us me him her them you it is be was were are look see met meet here there uns mich ihn nous moi nos".split())
 
 
 class Normalised(NamedTuple):
@@ -155,13 +174,25 @@ def _ascii_of(mark: str) -> str:
     digit = unicodedata.digit(mark, None)
     if digit is not None:
         return str(digit)
+    drawn = _DRAWN.fullmatch(unicodedata.name(mark, ""))
+    if drawn:
+        return drawn.group(1).lower()
     plain = unicodedata.normalize("NFKC", mark)
     return plain if len(plain) == 1 and plain.isascii() else mark
 
 
+@lru_cache(maxsize=1)
+def _odd() -> tuple[re.Pattern, dict[str, str]]:
+    """All characters that look like others, from U+00A1 on: their pattern, and what they look like."""
+    wide = ((0x3400, 0xA000), (0xAC00, 0xE000))  # Han and Hangul, private characters
+    points = (point for point in range(0xA1, 0x1FBFF) if not any(low <= point < high for low, high in wide))
+    found = {mark: plain for mark in map(chr, points) if (plain := _ascii_of(mark)) != mark}
+    return re.compile("[" + "".join(map(re.escape, found)) + "]"), found
+
+
 def _odd_edits(text: str) -> list[tuple[int, int, str]]:
-    found = ((match.start(), match.end(), _ascii_of(match.group())) for match in _ODD.finditer(text))
-    return [edit for edit in found if edit[2] != text[edit[0] : edit[1]]]
+    pattern, found = _odd()
+    return [(*match.span(), found[match.group()]) for match in pattern.finditer(text)]
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
@@ -175,6 +206,18 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _ip_edits(text: str) -> list[tuple[int, int, str]]:
+    """Four spelled numbers between points become digits without anything else between them."""
+    edits = []
+    for run in _SPELLED_IP.finditer(text):
+        for part in _IP_PART.finditer(text, *run.span()):
+            point, digits, _ = part.groups()
+            new = "." if point else _DIGIT_OF.get(digits.lower(), digits) if digits else ""
+            if new != part.group():
+                edits.append((*part.span(), new))
+    return edits
+
+
 def _mark_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for match in _MARKED.finditer(text):
@@ -190,8 +233,21 @@ def _bare_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _named_edits(text: str) -> list[tuple[int, int, str]]:
-    """`` at `` between any name and a dotted domain whose last label is a word."""
-    return [(*match.span(), "@") for match in _NAMED.finditer(text)]
+    """`` at `` between a name and a dotted domain whose last label is a word.
+
+    A word is a name if it holds a digit or a mark, if the domain is a mail provider's, or if a word that speaks of mail
+    stands shortly before it; pronouns and some verbs are none.
+    """
+    edits = []
+    for match in _NAMED.finditer(text):
+        before = text[max(0, match.start() - 112) : match.start()]
+        name = _NAME.search(before[-64:]).group()
+        if name.lower() in _NO_NAMES:
+            continue
+        marked = any(not mark.isalpha() for mark in name)
+        if marked or _PROVIDER.match(text, match.end()) or _CUE.search(before[: len(before) - len(name)][-48:]):
+            edits.append((*match.span(), "@"))
+    return edits
 
 
 def _has_digit_words(words: list[str]) -> bool:
@@ -210,7 +266,7 @@ def _has_digit_words(words: list[str]) -> bool:
 
 
 def normalised(text: str) -> Normalised:
-    """Through all transducers: look-alikes, spelled digits, marked and bare disguises.
+    """Through all transducers: look-alikes, spelled addresses and digits, marked and bare disguises.
 
     The words of the text tell which of them have anything to do.
     """
@@ -218,6 +274,8 @@ def normalised(text: str) -> Normalised:
     out = _rewritten(out, _odd_edits(out.text)) if not out.text.isascii() else out
     words = out.text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
     known = set(words)
+    if not known.isdisjoint(_POINT_WORDS) and not known.isdisjoint(_DIGIT_OF):
+        out = _rewritten(out, _ip_edits(out.text))
     if not known.isdisjoint(_DIGIT_OF) and _has_digit_words(words):
         out = _rewritten(out, _digit_edits(out.text))
     if "plus" in known:

@@ -63,6 +63,14 @@ def test_plain_spans_are_those_of_the_patterns(text):
         ("call plus one five five five one two three four five six seven", "phone", None),
         ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("host 10 [dot] 0 [dot] 0 [dot] 1", "ip", "10 [dot] 0 [dot] 0 [dot] 1"),
+        ("at one nine two dot one six eight dot one dot one now", "ip", "one nine two dot one six eight dot one dot one"),
+        ("zehn: eins null Punkt null Punkt null Punkt eins", "ip", "eins null Punkt null Punkt null Punkt eins"),
+        ("\u03f3oe@ex\u0430mple.com", "email", "\u03f3oe@ex\u0430mple.com"),
+        ("\u1d0aoe@x\uff0eorg", "email", "\u1d0aoe@x\uff0eorg"),
+        ("\u0405am@\u0408oe.org and jo\u0131n@\u0261mail.com", "email", "\u0405am@\u0408oe.org"),
+        ("10.0.0.\u00b9", "ip", "10.0.0.\u00b9"),
+        ("john at gmail.com", "email", "john at gmail.com"),
+        ("my address is jane at acme.org", "email", "jane at acme.org"),
     ],
 )
 def test_disguised_identifiers_are_mapped_back(text, kind, found):
@@ -87,7 +95,7 @@ def test_at_before_a_domain_needs_no_marked_name(said):
     assert [(text[start:end], plain) for start, kind, end, plain in pii.find(text) if kind == "email"] == [(said, False)]
 
 
-@pytest.mark.parametrize("text", ["home at 10.0.0", "we met at noon. Then", "at gmail.com", "look at version 1.2", "what gmail.com is"])
+@pytest.mark.parametrize("text", ["home at 10.0.0", "we met at noon. Then", "at gmail.com", "look at version 1.2", "what gmail.com is", "see prices at shop.example.de", "look at node.js", "we met at example.com yesterday", "meet @ 5.30", "write to us at example.com", "point one dot two"])
 def test_at_without_a_name_or_domain_is_no_address(text):
     assert pii.find(text) == []
 
