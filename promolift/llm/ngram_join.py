@@ -345,8 +345,7 @@ def _verify(marked: DataFrame, texts: DataFrame) -> DataFrame:
     ids = marked.select("id").distinct()
     candidates = texts.select("id", "text", _bit("id").alias("bit"))
     chosen = map_batches(candidates, _Chosen(_bitmap(ids)), "id long, shingles binary")
-    sets = staged(chosen.join(ids, "id", "left_semi").distinct(), "sets")
-    dealt = marked.join(sets, "id").repartition("cell").sortWithinPartitions("cell")
+    dealt = marked.join(chosen, "id").repartition("cell").sortWithinPartitions("cell")
     return staged(map_batches(dealt, _verified, "a long, b long"), "verified")
 
 
