@@ -42,3 +42,36 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
             expected.add(row.id)
     assert found == expected and len(corpus_pipeline.STAGES) == 5
     assert exact_dedup.keep_one(docs).columns == docs.columns
+
+
+def _folder(spark, path, documents, benchmark):
+    extra = "id STRING, row LONG, items STRING, component LONG, cell STRING, digest STRING, size INT"
+    full = [(*row, "x", 7, "y", 1, "z", None, 3) for row in documents]
+    schema = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
+    spark.createDataFrame(full, f"{schema}, {extra}").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id LONG, text STRING").write.parquet(f"{path}/benchmark.parquet")
+    labels = [(1, 1, 0), (2, 0, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id LONG, quality INT, toxic INT").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve"
+
+
+def test_pipeline_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rows = [
+        (1, "Alpha beta gamma delta epsilon zeta", None, None, None), (2, "Alpha beta gamma delta epsilon zeta", "en", "a", 3),
+        (2, "Alpha beta gamma delta epsilon zeta", "en", "a", 3), (3, "alpha BETA gamma delta epsilon zeta", "en", "a", 3),
+        (4, None, "de", "b", 0), (5, "", "de", "b", 0), (6, " \n", "de", "b", 0), (None, "no id here", None, None, None),
+        (None, "no id here either", None, None, None), (7, LONG, "fr", "c", 9), (8, "word " * 100_000, "fr", "c", 9),
+    ]
+    found = corpus_pipeline.run(spark, _folder(spark, tmp_path, rows, [(1, LONG), (None, None)])).collect()
+    # Of 1, 2, 2 and 3 the exact copies leave 2 and 3, of which 2 is the least; 4 and 5 are one empty text; 7 is the item.
+    assert sorted(str(row.doc_id) for row in found) == ["2", "5", "6", "8", "None", "None"]
+    assert {row.doc_id: row.n_tokens for row in found}[5] == 0
+
+
+@pytest.mark.parametrize("documents, benchmark", [([], [(1, LONG)]), ([(1, LONG, "en", "a", 1)], []), ([], [])])
+def test_pipeline_on_empty_tables(spark, tmp_path, documents, benchmark):
+    found = corpus_pipeline.run(spark, _folder(spark, tmp_path, documents, benchmark)).collect()
+    assert [row.doc_id for row in found] == [row[0] for row in documents]
