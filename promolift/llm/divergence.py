@@ -31,7 +31,6 @@ from promolift.llm.common import drop_paths, map_batches, map_groups, new_path,
 MIN_DOCS = 10
 TERMS_PER_PART = 1_000_000  # distinct terms a part may hold, rare ones included: about a seventh reach MIN_DOCS
 TOP_TERMS = 10
-SCALE = 1_000_000_000
 BLOCK_TERMS = 16_384
 TILE_SOURCES = 128
 LARGEST = 2**31 - 1
@@ -170,9 +169,13 @@ def term_counts(frame: DataFrame, min_docs: int = MIN_DOCS, terms_per_part: int
 
 
 def _probability(count: str) -> str:
-    """p of a count, among ``total`` occurrences of ``kept`` terms."""
-    shifted = f"CAST({SCALE} AS DECIMAL(10,0)) * CAST({count} + 2 AS DECIMAL(20,0))"
-    return f"1 + ({shifted}) div CAST(total + 2 * kept AS DECIMAL(20,0))"
+    """p of a count, among ``total`` occurrences of ``kept`` terms: a long division, three digits at a time, so that no
+    product outgrows a whole number before ``total`` reaches 9 * 10^15."""
+    places, rest = [], f"({count} + 2)"
+    for _ in range(3):
+        places.append(f"({rest} * 1000) div (total + 2 * kept)")
+        rest = f"(({rest} * 1000) % (total + 2 * kept))"
+    return f"1 + (({places[0]}) * 1000 + {places[1]}) * 1000 + {places[2]}"
 
 
 def _distance(p: str, q: str) -> str:
@@ -232,6 +235,7 @@ def audit(
     in_lang = Window.partitionBy("lang").orderBy("source")
     groups = _documents(frame).select(*_GROUP).distinct()
     by_term = counts.groupBy("lang", "block", "place").agg(F.sum("count").alias("lang_count"))
+    by_term = written(by_term, "divergence-terms-of-languages")[0]
     langs = by_term.groupBy("lang").agg(F.sum("lang_count").alias("total"), F.count("*").alias("kept"))
     kept = langs.select("lang", "kept")
     totals = counts.groupBy(*_GROUP).agg(F.sum("count").alias("total"))
@@ -240,12 +244,14 @@ def audit(
         .join(kept, "lang", "left")
         .fillna(0, ["total", "kept"])
         .withColumn("number", (F.row_number().over(in_lang) - 1).cast("long"))
+        .withColumn("unused", F.when(F.col("kept") > 0, F.expr(_probability("0L"))))
     )
     numbered = written(numbered, "divergence-groups")[0]
 
     # Part term: each group's counts beside its language's.
     lang_p = by_term.join(langs, "lang").select("lang", "block", "place", F.expr(_probability("lang_count")).alias("q"))
     group_p = counts.join(numbered, _GROUP).withColumn("p", F.expr(_probability("count")))
+    group_p = written(group_p.select(*_GROUP, "term", "block", "place", "number", "unused", "p"), "divergence-shares")[0]
     above = group_p.join(lang_p, ["lang", "block", "place"]).where("p > q")
     by_value = Window.partitionBy(*_GROUP).orderBy(F.desc("value"), "item")
     terms = (
@@ -257,15 +263,10 @@ def audit(
     # Part pair: blocks of terms by tiles of sources; a source's row goes to each pair of tiles it is in.
     tiles = numbered.groupBy("lang").agg(F.floor(F.max("number") / TILE_SOURCES).alias("last_tile"))
     blocks = by_term.select("lang", "block").distinct().join(tiles, "lang")
-    bare = numbered.where("kept > 0").withColumn("unused", F.expr(_probability("0L")))
-    sentinels = bare.join(blocks, "lang").selectExpr(
+    sentinels = numbered.where("kept > 0").join(blocks, "lang").selectExpr(
         "lang", "block", "number", "unused", "CAST(NULL AS INT) AS place", "CAST(NULL AS LONG) AS p", "last_tile"
     )
-    used = (
-        group_p.withColumn("unused", F.expr(_probability("0L")))
-        .join(tiles, "lang")
-        .select("lang", "block", "number", "unused", "place", "p", "last_tile")
-    )
+    used = group_p.join(tiles, "lang").select("lang", "block", "number", "unused", "place", "p", "last_tile")
     own = f"number div {TILE_SOURCES}"
     tiled = used.unionByName(sentinels).selectExpr(
         "lang", "block", "number", f"{own} AS tile", "unused", "place", "p",
