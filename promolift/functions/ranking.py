@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from promolift.functions.columns import ROWS
 
+DIGITS = 9
+
 
 def _over(within, order: str = "") -> str:
     parts = f"PARTITION BY {', '.join(within)} " if within else ""
@@ -30,48 +32,41 @@ def rank_league(league: DataFrame, value: str, ranks: dict[str, tuple[str, ...]]
     higher value in the same slot. The result is exact however rough the
     quantiles are.
 
-    Cuts and counts come from one scalar subquery, so they fit each other. A
-    value that many rows share is a cut: its rows all have the same rank, need
-    no ordering and are dealt out evenly. There are as many cuts as shuffle
-    partitions, so that a slot is what a task is expected to hold.
+    Cuts and counts come from one scalar subquery, so they fit each other. The
+    values are computed again there, and sums of DOUBLE may differ in their last
+    digits from one run to the next; they are therefore ranked by ``DIGITS``
+    decimals. A value that many rows share is a cut: its rows all have the same
+    rank, need no ordering and are dealt out evenly. There are as many cuts as
+    shuffle partitions, so that a slot is what a task is expected to hold.
     """
     bins = bins or max(2, int(league.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = sorted({key for within in ranks.values() for key in within})
-    of = ", ".join(["_slot", *keys])
-    counted = _slotted(league, value, _quantiles(league, value, bins)).groupBy("_slot", *keys)
+    keyed = league.withColumn("_key", F.round(value, DIGITS))
+    counted = _slotted(keyed, _quantiles(keyed, bins)).groupBy("_slot", *keys)
     counted = counted.agg(F.expr(f"{ROWS} AS _rows"), F.expr("any_value(_cuts) AS _cuts"))
-    # A few rows per slot: windows and sums share one task.
-    before = counted.selectExpr(
-        f"struct({of}) AS _of",
-        "_cuts",
-        "struct("
-        + ", ".join(
-            f"coalesce(sum(_rows) {_over(within, 'ORDER BY _slot RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}, 0) AS {name}"
-            for name, within in sorted(ranks.items(), key=lambda item: len(item[1]))
-        )
-        + ") AS _before",
-    ).agg(F.expr("struct(any_value(_cuts) AS cuts, map_from_entries(collect_list(struct(_of, _before))) AS before)"))
-    placed = league.withColumn("_places", before.scalar()).withColumn("_cuts", F.col("_places.cuts"))
-    slotted = _slotted(placed, value, None).selectExpr("*", f"_places.before[struct({of})] AS _before")
+    slots = f"collect_list(struct({', '.join(['_slot', *keys, '_rows'])}))"  # a few for each slot
+    places = counted.agg(F.expr(f"struct(any_value(_cuts) AS cuts, {slots} AS slots)")).scalar()
+    placed = keyed.withColumn("_places", places).withColumn("_cuts", F.col("_places.cuts"))
     # Rows of a cut or without a value are all first in their slot; they may lie anywhere.
     spread = f"-1 - pmod(xxhash64({', '.join(league.columns)}), {bins})"
-    slotted = slotted.selectExpr("*", "_slot % 2 = 1 AS _alone", f"if(_slot % 2 = 1, {spread}, _slot) AS _task")
+    slotted = _slotted(placed, None).selectExpr(
+        "*", "_slot % 2 = 1 AS _alone", f"if(_slot % 2 = 1, {spread}, _slot) AS _task"
+    )
     for name, within in sorted(ranks.items(), key=lambda item: len(item[1])):
-        inside = f"rank() {_over(['_task', *within], f'ORDER BY {value} DESC')}"
-        slotted = slotted.selectExpr("*", f"_before.{name} + if(_alone, 1, {inside}) AS {name}")
+        ahead = " AND ".join(["slot._slot < _slot", *[f"slot.{key} <=> {key}" for key in within]])
+        before = f"aggregate(filter(_places.slots, slot -> {ahead}), 0L, (sum, slot) -> sum + slot._rows)"
+        inside = f"rank() {_over(['_task', *within], 'ORDER BY _key DESC')}"
+        slotted = slotted.selectExpr("*", f"{before} + if(_alone, 1, {inside}) AS {name}")
     return slotted.select(*league.columns, *ranks)
 
 
-def _quantiles(league: DataFrame, value: str, bins: int) -> Column:
+def _quantiles(keyed: DataFrame, bins: int) -> Column:
     fractions = [step / bins for step in range(1, bins)]
-    return league.select(F.percentile_approx(value, fractions, 10 * bins)).scalar()
+    return keyed.select(F.percentile_approx("_key", fractions, 10 * bins)).scalar()
 
 
-def _slotted(frame: DataFrame, value: str, cuts: Column | None) -> DataFrame:
+def _slotted(frame: DataFrame, cuts: Column | None) -> DataFrame:
     """The row's slot, from the highest values down: odd at a cut and for NULL, even between cuts."""
     with_cuts = frame if cuts is None else frame.withColumn("_cuts", F.array_distinct(F.coalesce(cuts, F.array())))
-    higher = f"size(filter(_cuts, cut -> cut > {value}))"
-    return with_cuts.selectExpr(
-        "*",
-        f"CAST(if({value} IS NULL, 2 * size(_cuts) + 1, 2 * {higher} + if(array_contains(_cuts, {value}), 1, 0)) AS BIGINT) AS _slot",
-    )
+    above = "2 * size(filter(_cuts, cut -> cut > _key)) + if(array_contains(_cuts, _key), 1, 0)"
+    return with_cuts.selectExpr("*", f"CAST(if(_key IS NULL, 2 * size(_cuts) + 1, {above}) AS BIGINT) AS _slot")
