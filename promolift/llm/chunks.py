@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-MOST_CHUNKS = 250_000
+SLICE_BYTES = 2 << 20
+MOST_CHUNKS = 100_000
 LONGEST_KEPT = 48
 
 #: Distinct chunks to their ids, packed as int32.

@@ -44,7 +44,7 @@ SHINGLES_PER_GROUP = 4
 COUNTERS = 1 << 16
 FREQUENT = 32
 BLOCK = 4096
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 SALTS = 64
 FINER = 4
 CELL_ROWS = 1 << 18
