@@ -150,19 +150,24 @@ def _plain(text: str) -> Normalised:
 
 
 def _rewritten(source: Normalised, edits: list[tuple[int, int, str]]) -> Normalised:
-    """Apply (start, end, replacement) edits, in order and without overlap."""
+    """Apply (start, end, replacement) edits, none of them empty, in order and without overlap."""
     if not edits:
         return source
-    pieces, starts, ends, done = [], [], [], 0
+    pieces, done = [], 0
     for start, end, new in edits:
         pieces += [source.text[done:start], new]
-        starts += [source.start[done:start], np.full(len(new), source.start[start], np.int32)]
-        ends += [source.end[done:start], np.full(len(new), source.end[end - 1], np.int32)]
         done = end
     pieces.append(source.text[done:])
-    return Normalised(
-        "".join(pieces), np.concatenate((*starts, source.start[done:])), np.concatenate((*ends, source.end[done:]))
-    )
+    starts, ends, lengths = np.array([(start, end, len(new)) for start, end, new in edits], np.int64).T
+    # How often each source character is repeated, and the last one that its copies stand for.
+    edge = np.zeros(len(source.text) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    copies = 1 - np.cumsum(edge[:-1], dtype=np.int64)
+    copies[starts] = lengths
+    last = np.arange(len(source.text))
+    last[starts] = ends - 1
+    return Normalised("".join(pieces), np.repeat(source.start, copies), np.repeat(source.end[last], copies))
 
 
 def _ascii_of(mark: str) -> str:
@@ -182,17 +187,21 @@ def _ascii_of(mark: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _odd() -> tuple[re.Pattern, dict[str, str]]:
-    """All characters that look like others, from U+00A1 on: their pattern, and what they look like."""
+def _odd() -> tuple[np.ndarray, dict[str, str]]:
+    """All characters that look like others, from U+00A1 on: whether a code point is one, and what they look like."""
     wide = ((0x3400, 0xA000), (0xAC00, 0xE000))  # Han and Hangul, private characters
     points = (point for point in range(0xA1, 0x1FBFF) if not any(low <= point < high for low, high in wide))
     found = {mark: plain for mark in map(chr, points) if (plain := _ascii_of(mark)) != mark}
-    return re.compile("[" + "".join(map(re.escape, found)) + "]"), found
+    table = np.zeros(0x110000, bool)
+    table[[ord(mark) for mark in found]] = True
+    return table, found
 
 
 def _odd_edits(text: str) -> list[tuple[int, int, str]]:
-    pattern, found = _odd()
-    return [(*match.span(), found[match.group()]) for match in pattern.finditer(text)]
+    """By one table of code points: a pattern of all these characters tries its ranges one by one at each place."""
+    table, found = _odd()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return [(at, at + 1, found[text[at]]) for at in np.flatnonzero(table[points]).tolist()]
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -110,6 +111,36 @@ def test_long_runs_take_linear_time():
         pii.find(unit * 100_000)
 
 
+def test_texts_in_other_scripts_cost_about_what_ascii_does():
+    def seconds(text):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            pii.normalised(text)
+            times.append(time.process_time() - start)
+        return min(times)
+
+    pii.normalised("é")
+    assert seconds("déjà vu über größere Wörter " * 20_000) < 4 * seconds("deja vu uber grossere Worter " * 20_000) + 0.05
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["а", "ｂ", "é", "漢", "\u200b", "𝐚", "\U0010fffd", "a", " at ", "(at)", "one ", "."]), max_size=20).map("".join))
+def test_normalised_characters_know_their_source(text):
+    marks = [(pii._ascii_of(mark) if ord(mark) > 0xA0 else mark) for mark in text]
+    found = pii._rewritten(pii._plain(text), pii._odd_edits(text))
+    assert found.text == "".join(marks)
+    kept = [place for place, mark in enumerate(marks) if mark]
+    assert found.start.tolist() == kept and found.end.tolist() == [place + 1 for place in kept]
+    edits = [(match.start(), match.end(), "xyz"[: len(match.group()) % 4]) for match in re.finditer(r"\(at\)|one |é+", text)]
+    spans, done = [], 0
+    for start, end, new in [*edits, (len(text), len(text), "")]:
+        spans += [(place, place + 1) for place in range(done, start)] + [(start, end)] * len(new)
+        done = end
+    found = pii._rewritten(pii._plain(text), edits)
+    assert list(zip(found.start.tolist(), found.end.tolist())) == spans
+
+
 def test_table(spark):
     frame = documents(spark, [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "+1 222 333 4444")])
     found = pii.personal_data(frame)
