@@ -10,7 +10,9 @@ One tree over all points would prune nothing above its leaves: unrelated texts o
 apart, so every box meets every box. The points are therefore first dealt into cells, one for each shingle among the
 first ``n - ceil(0.75 n) + 1`` of a set in an order common to all sets. Two sets that link share such a cell, whatever
 the order. Shingles that many texts share come last in it, rarest first, found by Misra-Gries counts over all texts
-(estimates suffice: the order steers speed, never the result). Cells with one least point share a tree, so that a
+(estimates suffice: the order steers speed, never the result). Two sets share nothing before their first common shingle
+in this order, so its place in a set bounds the overlap, and with it the sizes of the sets that may link through this
+cell; a point without a partner of such a size leaves the cell. Cells with one least point share a tree, so that a
 point's counts travel once for all of them.
 
 No pair of texts is ever a row. A tree hands on the points that may link with any other, at most once per cell. Their
@@ -48,9 +50,10 @@ BLOCK_SHINGLES = 1 << 20
 SALTS = 64
 FINER = 4
 CELL_ROWS = 1 << 18
+CELL_BYTES = 5  # of a first shingle's hash; two that share them only share a cell
 FILTER_BITS = 1 << 24
 
-_NEIGHBOURS = "low long, low_class long, id long, id_class long"
+_NEIGHBOURS = "low long, id long"
 _MARKED = "cell string, left_block boolean, id long, component long"
 _SETS = "id long, n_shingles long, set_key binary, bits binary, first binary"
 
@@ -64,10 +67,6 @@ def group_number(size: int) -> int:
     return 1 << max(4, (max(1, size) // SHINGLES_PER_GROUP).bit_length())
 
 
-def _longs(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint64)
-
-
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Misra-Gries: one counter per key, then the (COUNTERS + 1)-th largest count taken from all."""
     unique, place = np.unique(keys, return_inverse=True)
@@ -129,19 +128,39 @@ class _Sets:
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 bits.append(rtree.bitmap(found, group_number(len(found))).tobytes())
-                firsts.append(self.first(found).tobytes() if len(found) else b"")
+                firsts.append(_planes(self.first(found), CELL_BYTES) if len(found) else b"")
             columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(values, pa.binary()) for values in (keys, bits, firsts)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_key", "bits", "first"])
 
 
-def size_class(sizes: np.ndarray) -> np.ndarray:
-    """Number of the power of 100 / PERCENT at or below the size; linked sets are at most one class apart."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.uint8)
+def _planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The low ``width`` bytes of 64-bit values, byte by byte, so that bytes which values share compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(blocks: list[bytes], width: int = 8) -> np.ndarray:
+    out = [np.zeros((0, 8), np.uint8)]
+    for block in blocks:
+        out.append(np.zeros((len(block) // width, 8), np.uint8))
+        out[-1][:, :width] = np.frombuffer(block, np.uint8).reshape(width, -1).T
+    return np.concatenate(out).view(np.uint64).ravel()
+
+
+def size_step(sizes: np.ndarray) -> np.ndarray:
+    """Sizes in steps of a sixteenth of a power of two, in order; the last step holds all sizes from 2^16 on."""
+    return np.minimum(16 * np.log2(np.maximum(sizes, 1)), 255).astype(np.uint8)
+
+
+def largest_partner(sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The largest size of a set that may link, if the first common shingle has ``places`` shingles before it: the overlap
+    is at most what is left."""
+    return (100 + PERCENT) * (sizes - places) // PERCENT - sizes
 
 
 class _Deal:
-    """First shingles to (part, shingles, owners, size classes) blocks, one row per part and batch."""
+    """First shingles to blocks, one row per part and batch: shingles, owners, and the steps of the owner's size and of
+    its largest partner's."""
 
     def __init__(self, parts: int):
         self.parts = parts
@@ -149,46 +168,81 @@ class _Deal:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, firsts = _columns(batch, "id", "n_shingles", "first")
-            lengths = np.array([len(first) // 8 for first in firsts], np.int64)
-            cells = _longs(firsts)
-            owners, totals = np.repeat(np.array(ids, np.int64), lengths), np.repeat(size_class(np.array(sizes)), lengths)
+            lengths = np.array([len(first) // CELL_BYTES for first in firsts], np.int64)
+            cells = _from_planes(firsts, CELL_BYTES)
+            places = np.arange(len(cells)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            owners, totals = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+            own, most = size_step(totals), size_step(largest_partner(totals, places))
             part = (mixed(cells) % np.uint64(self.parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            part, cells, owners, totals = part[order], cells[order], owners[order], totals[order]
+            part, cells, owners, own, most = part[order], cells[order], owners[order], own[order], most[order]
             starts = np.flatnonzero(np.diff(part, prepend=-1))
-            stops = np.append(starts[1:], len(part))
+            cuts = list(zip(starts, np.append(starts[1:], len(part))))
             columns = [pa.array(part[starts])]
             columns += [
-                pa.array([values[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary())
-                for values in (cells, owners, totals)
+                pa.array(values, pa.binary())
+                for values in (
+                    [_planes(cells[a:b], CELL_BYTES) for a, b in cuts],
+                    [_planes(owners[a:b]) for a, b in cuts],
+                    [own[a:b].tobytes() for a, b in cuts],
+                    [most[a:b].tobytes() for a, b in cuts],
+                )
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "cells", "owners", "sizes"])
+            yield pa.RecordBatch.from_arrays(columns, ["part", "cells", "owners", "sizes", "partners"])
+
+
+def _range_maxima(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The largest value of each range, -1 if it is empty."""
+    out = np.full(len(starts), -1, np.int64)
+    level, width = values, 1
+    while width <= len(values):
+        at = np.flatnonzero((stops - starts >= width) & (stops - starts < 2 * width))
+        out[at] = np.maximum(level[starts[at]], level[stops[at] - width])
+        level, width = np.maximum(level[:-width], level[width:]), 2 * width
+    return out
+
+
+def partnered(cells: np.ndarray, sizes: np.ndarray, partners: np.ndarray) -> np.ndarray:
+    """Which entries have another one in their cell so that neither's size is above the other's largest partner.
+
+    Entries of one cell, size and partner are one, so a cell of very many rows is as short as there are steps.
+    """
+    number = np.unique(cells, return_inverse=True)[1].astype(np.int64)
+    key, place, count = np.unique((number << 16) | (sizes.astype(np.int64) << 8) | partners, return_inverse=True, return_counts=True)
+    size, partner = (key >> 8) & 255, key & 255
+    at = np.arange(len(key))
+    start = np.searchsorted(key, key >> 16 << 16)
+    stop = np.searchsorted(key, (key >> 16 << 16) + ((partner + 1) << 8))
+    most = partner.astype(np.int16)
+    before = _range_maxima(most, start, np.minimum(stop, at))
+    after = _range_maxima(most, at + 1, np.maximum(stop, at + 1))
+    found = (np.maximum(before, after) >= size) | ((count > 1) & (partner >= size))
+    return found[place]
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of one task to (low, low_class, id, id_class): the points of each cell beside the cell's least point."""
-    cells, owners, classes = [], [], []
+    """Blocks of one task to (low, id): the points of each cell that have a partner there, beside the cell's least one."""
+    blocks: dict[str, list[bytes]] = {"cells": [], "owners": [], "sizes": [], "partners": []}
     for batch in batches:
-        for values, name in ((cells, "cells"), (owners, "owners"), (classes, "sizes")):
+        for name, values in blocks.items():
             values += batch.column(name).to_pylist()
-    cells, owners, classes = _longs(cells), _longs(owners).view(np.int64), np.frombuffer(b"".join(classes), np.uint8)
-    order = np.lexsort((classes, owners, cells))
-    cells, owners, classes = cells[order], owners[order], classes[order]
+    cells, owners = _from_planes(blocks["cells"], CELL_BYTES), _from_planes(blocks["owners"]).view(np.int64)
+    sizes, partners = (np.frombuffer(b"".join(blocks[name]), np.uint8) for name in ("sizes", "partners"))
+    chosen = partnered(cells, sizes, partners)
+    cells, owners = cells[chosen], owners[chosen]
+    order = np.lexsort((owners, cells))
+    cells, owners = cells[order], owners[order]
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]][: len(cells)])
-    lengths = np.diff(np.append(starts, len(cells)))
-    first = np.repeat(starts, lengths)
+    first = np.repeat(starts, np.diff(np.append(starts, len(cells))))
     rows = owners != owners[first]
-    lows, low_classes, owners, classes = owners[first][rows], classes[first][rows], owners[rows], classes[rows]
-    order = np.lexsort((classes, owners, low_classes, lows))
-    columns = [values[order] for values in (lows, low_classes, owners, classes)]
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for values in columns:
-        fresh[1:] |= values[1:] != values[:-1]
-    names = ["low", "low_class", "id", "id_class"]
-    for start in range(0, len(order), 1 << 16):
-        part = [pa.array(values[start : start + (1 << 16)][fresh[start : start + (1 << 16)]].astype(np.int64)) for values in columns]
-        yield pa.RecordBatch.from_arrays(part, names)
+    lows, owners = owners[first][rows], owners[rows]
+    order = np.lexsort((owners, lows))
+    lows, owners = lows[order], owners[order]
+    fresh = np.r_[True, (lows[1:] != lows[:-1]) | (owners[1:] != owners[:-1])][: len(lows)]
+    lows, owners = lows[fresh], owners[fresh]
+    for start in range(0, len(lows), 1 << 16):
+        part = [pa.array(values[start : start + (1 << 16)]) for values in (lows, owners)]
+        yield pa.RecordBatch.from_arrays(part, ["low", "id"])
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -366,10 +420,10 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
         .agg(F.min("id").alias("id"), *(F.first(name).alias(name) for name in ("n_shingles", "bits", "first"))),
         "points",
     )
-    total = points.agg(F.sum(F.length("first") / 8)).first()[0] or 0
+    total = points.agg(F.sum(F.length("first") / CELL_BYTES)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / CELL_ROWS))
     first = points.select("id", "n_shingles", "first")
-    dealt = map_batches(first, _Deal(parts), "part long, cells binary, owners binary, sizes binary")
+    dealt = map_batches(first, _Deal(parts), "part long, cells binary, owners binary, sizes binary, partners binary")
     found = map_batches(dealt.repartition(parts, "part"), _neighbours, _NEIGHBOURS)
     neighbours = staged(found.distinct(), "neighbours")
     vectors = points.select("id", "n_shingles", "bits")
@@ -415,7 +469,7 @@ def _cell_members(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
     Only the few large cells are joined back for that, and a cell's rows are dealt over SALTS tasks. Of the others, points
     stay whose cell has another one of their size class or a neighbouring one, since no other sizes link.
     """
-    points = neighbours.select("low", "id").distinct()
+    points = neighbours.select("low", "id")
     members = points.union(points.select("low", F.col("low").alias("id")).distinct())
     size = F.floor(F.log("n_shingles") / math.log(100 / PERCENT) + 1e-9).cast("long").alias("size")
     sized = staged(members.join(vectors.select("id", "n_shingles", size), "id"), "sized")

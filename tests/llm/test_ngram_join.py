@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from promolift.llm import ngram_join, rtree, shingles
@@ -179,3 +180,43 @@ def test_components(spark):
     found = components(spark.createDataFrame(links, "a INT, b INT"))
     assert {row.node: row.component for row in found.collect()} == {n: r for n, r in root.items() if n not in alone}
     assert components(spark.createDataFrame([], "a STRING, b STRING")).collect() == []
+
+
+def test_entries_stay_that_have_a_partner_of_their_size_in_their_cell():
+    random = np.random.default_rng(5)
+    for _ in range(60):
+        count = int(random.integers(0, 60))
+        cells = random.integers(0, 12, count).astype(np.uint64)
+        sizes, partners = (random.integers(100, 110, count).astype(np.uint8) for _ in range(2))
+        meets = (cells[:, None] == cells) & (sizes[:, None] <= partners) & (sizes <= partners[:, None])
+        np.fill_diagonal(meets, False)
+        assert ngram_join.partnered(cells, sizes, partners).tolist() == meets.any(1).tolist()
+
+
+def test_linked_sets_are_partners_in_the_cell_of_their_first_common_shingle():
+    random = np.random.default_rng(6)
+    seen = 0
+    for _ in range(3000):
+        union = random.permutation(int(random.integers(1, 60)))
+        cut, shared = len(union) - len(union) * 3 // 4, int(random.integers(0, len(union) + 1))
+        sets = [np.sort(union[: len(union) - cut + shared]), np.sort(union[int(random.integers(0, cut + 1)) :])]
+        common = np.intersect1d(*sets)
+        if not len(common) or 100 * len(common) < 75 * len(np.union1d(*sets)):
+            continue
+        seen += 1
+        n, m = map(len, sets)
+        i, j = (np.searchsorted(found, common[:1]) for found in sets)
+        assert i[0] < n - -(-75 * n // 100) + 1 and j[0] < m - -(-75 * m // 100) + 1
+        assert m <= ngram_join.largest_partner(np.array([n]), i)[0] and n <= ngram_join.largest_partner(np.array([m]), j)[0]
+    assert seen > 300
+
+
+def test_points_that_share_only_late_shingles_do_not_meet():
+    """Equal sizes, common first shingle behind a fifth of both sets: no link is possible, and no row is made."""
+    found = [np.arange(100, dtype=np.uint64) + 1000 * (k + 1) for k in range(2)]
+    for own in found:
+        own[20:25] = np.arange(5, dtype=np.uint64) + 10
+    first = [ngram_join._planes(own[:26], ngram_join.CELL_BYTES) for own in found]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "n_shingles": [100, 100], "first": first})
+    dealt = list(ngram_join._Deal(1)(iter([batch])))
+    assert sum(part.num_rows for part in ngram_join._neighbours(iter(dealt))) == 0
