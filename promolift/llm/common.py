@@ -29,16 +29,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(frame: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """The frame written once to the shared folder and read back, and its folder. Survives lost executors."""
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path), path
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
-    return written(frame, name)[0]
+def staged(frame: DataFrame, name: str, **options: str) -> DataFrame:
+    return written(frame, name, **options)[0]
 
 
 def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:

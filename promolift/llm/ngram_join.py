@@ -413,13 +413,16 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = frame.sparkSession
     texts = frame.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     frequent = frequent_shingles(texts)
-    sets, sets_path = written(map_batches(texts, _Sets(frequent), _SETS), "shingles")
+    sets, sets_path = written(map_batches(texts, _Sets(frequent), _SETS), "shingles", compression="zstd")
     points = staged(
         sets.where("id is not null and n_shingles > 0")
         .groupBy("set_key")
         .agg(F.min("id").alias("id"), *(F.first(name).alias(name) for name in ("n_shingles", "bits", "first"))),
         "points",
+        compression="zstd",
     )
+    members = staged(_members(sets, points), "members")
+    drop_paths(spark, [sets_path])
     total = points.agg(F.sum(F.length("first") / CELL_BYTES)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / CELL_ROWS))
     first = points.select("id", "n_shingles", "first")
@@ -427,8 +430,6 @@ def near_copies(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     found = map_batches(dealt.repartition(parts, "part"), _neighbours, _NEIGHBOURS)
     neighbours = staged(found.distinct(), "neighbours")
     vectors = points.select("id", "n_shingles", "bits")
-    members = staged(_members(sets, points), "members")
-    drop_paths(spark, [sets_path])
     same = _repeated_ids(members)
     cells = staged(_cell_members(neighbours, vectors), "cells")
     links = _verify(_blockwise(cells, vectors), texts).union(same)
