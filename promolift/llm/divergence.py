@@ -1,11 +1,18 @@
 """How far the sources of a language differ in their words, and which words set a source apart from its language.
 
 Every language has a vocabulary of its own: the terms of at least ``min_docs`` of its documents. A ``CountVectorizer``
-with that bound and the largest possible vocabulary turns each document into an exact sparse vector of counts; terms are
-qualified by their language, so that one pass serves any number of languages. Vocabularies travel through the driver and
-to every executor, so the terms are dealt by their hash into parts with a bounded number of distinct terms each, every
-part is stored on its own, and the vectorizer runs once a part: the driver holds one part's vocabulary at a time and each
-part is read alone. Terms are the runs of letters A to Z and of characters from U+0080 on, only A to Z lower-cased.
+with that bound and the largest possible vocabulary learns it and turns terms into exact sparse vectors of counts; terms
+are qualified by their language, so that one pass serves any number of languages. Terms are the runs of letters A to Z
+and of characters from U+0080 on, only A to Z lower-cased.
+
+The vectorizer's work is in its strings, so a task first merges some megabytes of its documents. What it learns from:
+row j holds the terms of at least j of the merged documents, up to j = ``min_docs``, so that a term is in ``min_docs``
+rows of all tasks if and only if it is in ``min_docs`` documents. What it counts: row b of a language and source holds
+the terms whose number of occurrences there has binary digit b, and counts 2^b times.
+
+Vocabularies travel through the driver and to every executor, so the terms are dealt by their hash into parts with a
+bounded number of distinct terms each, every part is stored on its own, and the vectorizer runs once a part: the driver
+holds one part's vocabulary at a time and each part is read alone.
 
 The vectors are summed by language and source as sparse (group, term, count) rows. Pairs of sources are compared on
 blocks of terms: a block holds only occurring counts, and a pair's sum comes from the terms that either source uses plus
@@ -19,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,12 +36,18 @@ from promolift.llm.common import drop_paths, map_batches, map_groups, new_path,
 
 MIN_DOCS = 10
 TERMS_PER_PART = 1_000_000  # distinct terms a part may hold, rare ones included: about a seventh reach MIN_DOCS
+MERGED_BYTES = 12 << 20  # of text, whose terms a task counts before they go to the vectorizer
+ROW_TERMS = 8192  # in a row for the vectorizer
 TOP_TERMS = 10
 BLOCK_TERMS = 16_384
 TILE_SOURCES = 128
 LARGEST = 2**31 - 1
 
 _GROUP = ["lang", "source"]
+_INSIDE = bytes(65 <= byte <= 90 or 97 <= byte <= 122 or byte >= 128 for byte in range(256))
+_OUTSIDE = bytes(byte for byte in range(256) if not _INSIDE[byte])
+_FACTOR = 0x9E3779B97F4A7C15
+_LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
 
 def _documents(frame: DataFrame) -> DataFrame:
@@ -45,19 +57,21 @@ def _documents(frame: DataFrame) -> DataFrame:
 def terms_of(texts: pa.StringArray) -> pa.ListArray:
     """The terms of each text, by whole buffers of UTF-8: every byte above 0x7F belongs to a character of a term."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes()
     offsets = offsets - offsets[0]
-    capital = (data >= 0x41) & (data <= 0x5A)
-    inside = capital | ((data >= 0x61) & (data <= 0x7A)) | (data >= 0x80)
-    opens = inside.copy()
+    inside = np.frombuffer(data.translate(_INSIDE), bool)
+    opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]
     opens[begins] = inside[begins]  # a text does not continue the one before
-    before = np.concatenate(([0], np.cumsum(opens)))
-    letters = (data | (capital.view(np.uint8) << 5))[inside]
-    starts = np.append(np.cumsum(inside)[opens] - 1, len(letters)).astype(np.int32)
-    terms = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)])
-    return pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), terms)
+    closes[begins[1:] - 1] = inside[begins[1:] - 1]
+    opens = np.flatnonzero(opens)
+    starts = np.zeros(len(opens) + 1, np.int32)
+    np.cumsum(np.flatnonzero(closes) + 1 - opens, out=starts[1:])
+    letters = data.translate(_LOWER, _OUTSIDE)
+    terms = pa.Array.from_buffers(pa.string(), len(opens), [None, pa.py_buffer(starts), pa.py_buffer(letters)])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(opens, offsets), pa.int32()), terms)
 
 
 def _qualified(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.ListArray, pa.Array, np.ndarray]]:
@@ -72,71 +86,160 @@ def _qualified(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.ListA
         yield rows, terms, distinct, numbered.indices.to_numpy()
 
 
+def hashes(strings: pa.StringArray) -> np.ndarray:
+    """A hash of each string's bytes, for dealing and estimates: a polynomial over all bytes, as differences of sums whose
+    powers are divided away, then mixed."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets - offsets[0]
+    powers, inverses = (
+        np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(data), factor, np.uint64))))
+        for factor in (_FACTOR, pow(_FACTOR, -1, 1 << 64))
+    )
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+    mixed = np.diff(sums[starts]) * inverses[starts[:-1]]
+    for shift in (32, 29):
+        mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(_FACTOR)
+    return mixed ^ mixed >> np.uint64(32)
+
+
 def _distinct_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the distinct qualified terms of each slice."""
     for batch in text_slices(batches):
         for _, _, distinct, _ in _qualified(batch):
-            digests = [xxhash.xxh64_intdigest(term) for term in pc.cast(distinct, pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64))], ["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(distinct).view(np.int64))], ["digest"])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    return keys[firsts], np.add.reduceat(counts[order], firsts) if len(keys) else counts
+
+
+class _Merge:
+    """Terms of some documents: how many of the documents have each, and how often each language and source has it."""
+
+    def __init__(self) -> None:
+        self.bytes = 0
+        self.groups: dict[tuple[str, str], int] = {}
+        self.names: list[pa.Array] = [pa.array([], pa.string())]
+        self.hashes = [np.zeros(0, np.uint64)]
+        self.docs = [np.zeros(0, np.int64)]
+        self.uses = [(np.zeros(0, np.int64),) * 3]
+        self.seen = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for rows, terms, distinct, places in _qualified(batch):
+            size = max(1, len(distinct))
+            document = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+            found, counts = _summed(document * size + places, np.ones(len(places), np.int64))
+            document, place = found // size, found % size
+            pairs = zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist())
+            group = np.array([self.groups.setdefault(pair, len(self.groups)) for pair in pairs], np.int64)
+            used, counts = _summed(group[document] * size + place, counts)
+            self.names.append(distinct)
+            self.hashes.append(hashes(distinct))
+            self.docs.append(np.bincount(place, minlength=len(distinct)))
+            self.uses.append((used // size, used % size + self.seen, counts))
+            self.seen += len(distinct)
+        self.bytes += batch.column("text").nbytes
+
+    def rows(self, parts: int, min_docs: int) -> Iterator[pa.RecordBatch]:
+        numbered = pa.concat_arrays(self.names).dictionary_encode()
+        distinct, codes = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
+        terms, docs = _summed(codes, np.concatenate(self.docs))
+        group, place, counts = (np.concatenate(values) for values in zip(*self.uses))
+        size = max(1, len(distinct))
+        used, counts = _summed(group * size + codes[place], counts)
+        group, place = used // size, used % size
+        part_of = np.zeros(len(distinct), np.int32)
+        part_of[codes] = np.concatenate(self.hashes) % np.uint64(parts)
+        pairs = [*self.groups, ("", "")]  # the last for rows that stand for documents
+        for part in range(parts):
+            own = terms[part_of[terms] == part]
+            for least in range(1, min_docs + 1):
+                own = own[docs[own] >= least]
+                if not len(own):
+                    break
+                yield self._lists(pairs, np.full(len(own), len(pairs) - 1), distinct.take(pa.array(own)), part, 0)
+            own = np.flatnonzero(part_of[place] == part)
+            digit = 0
+            while len(own):
+                here = own[counts[own] >> digit & 1 == 1]
+                yield self._lists(pairs, group[here], distinct.take(pa.array(place[here])), part, 1 << digit)
+                digit += 1
+                own = own[counts[own] >> digit > 0]
+
+    @staticmethod
+    def _lists(
+        pairs: list[tuple[str, str]], group: np.ndarray, terms: pa.Array, part: int, weight: int
+    ) -> pa.RecordBatch:
+        """Terms as lists of one group each, given in order of their groups."""
+        within = np.arange(len(group)) - np.searchsorted(group, group)
+        starts = np.flatnonzero(within % ROW_TERMS == 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(group)), pa.int32()), terms)
+        langs, sources = (pa.array([pairs[number][k] for number in group[starts]], pa.string()) for k in range(2))
+        columns = [langs, sources, lists, pa.array(np.full(len(starts), weight)), pa.array(np.full(len(starts), part, np.int32))]
+        role = pa.array(["counts" if weight else "documents"] * len(starts), pa.string())
+        return pa.RecordBatch.from_arrays([*columns, role], [*_GROUP, "terms", "weight", "part", "role"])
 
 
 class _Tokenise:
-    """Texts to lists of qualified terms, one row for each part that a text has terms of."""
+    """Texts to lists of distinct qualified terms by part and role: ``documents`` to learn from, ``counts`` to count, each
+    list ``weight`` times."""
 
-    def __init__(self, parts: int):
+    def __init__(self, parts: int, min_docs: int, merged_bytes: int):
         self.parts = parts
+        self.min_docs = min_docs
+        self.merged_bytes = merged_bytes
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = _Merge()
         for batch in text_slices(batches):
-            for rows, terms, distinct, places in _qualified(batch):
-                part_of = np.zeros(len(distinct), np.int32)
-                if self.parts > 1:
-                    names = pc.cast(distinct, pa.binary()).to_pylist()
-                    part_of = np.array([xxhash.xxh64_intdigest(name) % self.parts for name in names], np.int32)
-                starts, parts = terms.offsets.to_numpy(), part_of[places]
-                for part in range(self.parts):
-                    own = parts == part
-                    before = np.concatenate(([0], np.cumsum(own)))[starts]
-                    texts = pa.array(np.flatnonzero(np.diff(before)))
-                    offsets = np.append(before[:-1][np.diff(before) > 0], before[-1])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), distinct.take(pa.array(places[own])))
-                    columns = [rows.column(name).take(texts) for name in _GROUP]
-                    numbers = pa.array(np.full(len(texts), part, np.int32))
-                    yield pa.RecordBatch.from_arrays([*columns, lists, numbers], [*_GROUP, "terms", "part"])
-
-
-def _stored_terms(documents: DataFrame, terms_per_part: int) -> tuple[DataFrame, str, list[int]]:
-    """Documents' qualified terms by part, written to one folder a part."""
+            merge.add(batch)
+            if merge.bytes >= self.merged_bytes:
+                yield from merge.rows(self.parts, self.min_docs)
+                merge = _Merge()
+        yield from merge.rows(self.parts, self.min_docs)
+
+
+def _stored_terms(documents: DataFrame, min_docs: int, terms_per_part: int) -> tuple[DataFrame, str, list[int]]:
+    """Merged documents' qualified terms, written to one folder a part and role."""
     spark = documents.sparkSession
     digests = map_batches(documents, _distinct_hashes, "digest long")
     parts = 1 + digests.agg(F.approx_count_distinct("digest")).first()[0] // terms_per_part
-    schema = "lang STRING, source STRING, terms ARRAY<STRING>, part INT"
+    schema = "lang STRING, source STRING, terms ARRAY<STRING>, weight LONG, part INT, role STRING"
     path = new_path(spark, "divergence-terms")
-    map_batches(documents, _Tokenise(parts), schema).write.partitionBy("part").parquet(path)
+    tokenise = _Tokenise(parts, min_docs, MERGED_BYTES)
+    map_batches(documents, tokenise, schema).write.partitionBy("part", "role").parquet(path)
     return spark.read.schema(schema).parquet(path), path, list(range(parts))
 
 
 def _part_counts(spark: SparkSession, stored: DataFrame, part: int, min_docs: int) -> tuple[DataFrame | None, str | None]:
     """Counts by language, source and term of one part, and the folder they read; None where no term is kept."""
-    rows = stored.where(F.col("part") == part).select(*_GROUP, "terms")
+    own = stored.where(F.col("part") == part)
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST)
     try:
-        model = vectorizer.fit(rows)
+        model = vectorizer.fit(own.where("role = 'documents'").select("terms"))
     except IllegalArgumentException as error:
         if "vocabulary size should be > 0" not in str(error):
             raise
         return None, None
     path = new_path(spark, "divergence-vectors")
     model.write().save(f"{path}/model")
-    model.transform(rows).select(*_GROUP, "vector").write.parquet(f"{path}/vectors")
+    rows = own.where("role = 'counts'").select(*_GROUP, "weight", "terms")
+    model.transform(rows).select(*_GROUP, "weight", "vector").write.parquet(f"{path}/vectors")
     # A stored vector is a struct, whose fields Spark reads without the vector type.
-    schema = "lang STRING, source STRING, vector STRUCT<indices: ARRAY<INT>, `values`: ARRAY<DOUBLE>>"
+    schema = "lang STRING, source STRING, weight LONG, vector STRUCT<indices: ARRAY<INT>, `values`: ARRAY<DOUBLE>>"
     vectors = spark.read.schema(schema).parquet(f"{path}/vectors")
     counts = (
-        vectors.select(*_GROUP, F.expr("inline(arrays_zip(vector.indices, vector.`values`))"))
-        .toDF(*_GROUP, "place", "count")
+        vectors.select(*_GROUP, "weight", F.expr("inline(arrays_zip(vector.indices, vector.`values`))"))
+        .toDF(*_GROUP, "weight", "place", "count")
         .groupBy(*_GROUP, "place")
-        .agg(F.sum(F.col("count").cast("long")).alias("count"))
+        .agg(F.sum(F.col("count").cast("long") * F.col("weight")).alias("count"))
     )
     vocabulary = spark.read.schema("vocabulary ARRAY<STRING>").parquet(f"{path}/model/data")
     names = vocabulary.select(F.posexplode("vocabulary").alias("place", "term")).select(
@@ -154,7 +257,7 @@ def term_counts(frame: DataFrame, min_docs: int = MIN_DOCS, terms_per_part: int
     a table in which no term is kept give no rows.
     """
     spark = frame.sparkSession
-    stored, path, parts = _stored_terms(_documents(frame), terms_per_part)
+    stored, path, parts = _stored_terms(_documents(frame), min_docs, terms_per_part)
     empty = spark.createDataFrame(
         [], "lang STRING, source STRING, term STRING, block LONG, place INT, count LONG"
     )

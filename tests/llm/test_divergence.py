@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from promolift.llm import divergence
@@ -83,3 +84,30 @@ def test_a_third_of_the_rows_in_one_group_and_a_very_long_text(spark):
 @pytest.mark.parametrize("table", [[], [("one text", "en", "a")], [(None, None, None), (None, None, "b")]])
 def test_tables_without_kept_terms(spark, table):
     assert rows(divergence.audit(frame(spark, table)), *NAMES) == expected(table, 10, 10)
+
+
+def test_merged_rows_decide_as_documents_do_and_hold_fewer_terms():
+    texts = ["common ab ab", "common ab", "common cd", "common cd cd cd", "common", "ef", "ef"] * 20
+    columns = [pa.array([name] * len(texts)) for name in ("en", "s")]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(texts)], ["lang", "source", "text"])
+    for merged, batches in ((1, [batch.slice(0, 70), batch.slice(70)]), (1 << 20, [batch])):
+        seen, counted, held = Counter(), Counter(), 0
+        for made in divergence._Tokenise(3, 45, merged)(iter(batches)):
+            for row in made.to_pylist():
+                assert len(set(row["terms"])) == len(row["terms"])
+                (seen if row["role"] == "documents" else counted).update(
+                    {term: row["weight"] or 1 for term in row["terms"]}
+                )
+                held += len(row["terms"]) if row["role"] == "counts" else 0
+        assert counted == {"en\0" + t: n for t, n in Counter(" ".join(texts).split()).items()}
+        within = Counter(term for text in texts for term in set(text.split()))
+        assert {term for term in seen if seen[term] >= 45} == {"en\0" + term for term in within if within[term] >= 45}
+        assert held < 25  # 240 occurrences
+
+
+def test_hashes_tell_terms_apart_wherever_they_stand():
+    names = [f"en\0{chr(97 + k % 26)}{k}é" for k in range(50_000)]
+    found = divergence.hashes(pa.array(names))
+    assert len(set(found.tolist())) == len(names)
+    assert divergence.hashes(pa.array(names)[777:]).tolist() == found[777:].tolist()
+    assert sorted(found % 3).count(0) == pytest.approx(len(names) / 3, rel=0.05)
