@@ -6,8 +6,9 @@ prefix is unique. A state is the longest end of what was read that may still gro
 them than beginnings of tokens. A transition, made when it is first taken, names the tokens that may end at its byte;
 the first of them, from the longest, that may follow the last token of the prefix before it, is the prefix's last
 token. Tokens are emitted once all continuations share them, which lags behind by a bounded lookahead: a later token
-begins at the end or where one has been opened. Which token may follow which is worked out when first asked. Parts of
-text between spaces, and pieces of them, that came before are looked up whole, in tables that forget rare ones.
+begins at the end or where one has been opened. Which token may follow which is worked out when first asked. Pieces that
+begin alike share the work on their common beginning. Parts of text between spaces, and pieces of them, that came before
+are looked up whole, in tables that forget rare ones.
 
 Decoding joins the tokens' bytes in chunks and runs an incremental UTF-8 state machine over them, so characters may be
 split between tokens and chunks.
@@ -51,74 +52,120 @@ def merges(data: bytes, ranks: dict[bytes, int]) -> Iterator[list[bytes]]:
         yield parts
 
 
+class _State(dict):
+    """Transitions of a state by byte, made when first taken: the next state, and (length, token, what the token may
+    follow) of the tokens that may end at the byte, the longest first."""
+
+    __slots__ = ("owner", "read")
+
+    def __init__(self, owner: Transducer, read: bytes):
+        self.owner, self.read = owner, read
+
+    def __missing__(self, byte: int) -> tuple[_State, tuple[tuple[int, int, _Lefts], ...]]:
+        self[byte] = move = self.owner.move(self.read + bytes((byte,)))
+        return move
+
+
+class _Lefts(dict):
+    """Whether a token may follow another, by the other token, worked out when first asked."""
+
+    __slots__ = ("owner", "token")
+
+    def __init__(self, owner: Transducer, token: int):
+        self.owner, self.token = owner, token
+
+    def __missing__(self, left: int) -> bool:
+        self.owner.n_fits += 1
+        self[left] = fit = self.owner.follows(left, self.token)
+        return fit
+
+
 class Transducer:
     """Bytes to tokens, one piece of text at a time."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.openings = {token[:length] for token in ranks for length in range(1, len(token))}
         self.edges: dict[int, tuple | None] = {}
-        self.fits: dict[int, bool] = {}
-        self.numbers = {b"": 0}
-        self.states = [b""]
-        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
-        """A transition taken for the first time: the next state, and (length, token) of the tokens that may end here,
-        the longest first."""
-        read = self.states[state] + bytes((byte,))
+        self.fits: dict[int, _Lefts] = {}
+        self.n_fits = 0
+        self.start = _State(self, b"")
+        self.states = {b"": self.start}
+        self.n_moves = 0
+
+    def move(self, read: bytes) -> tuple[_State, tuple[tuple[int, int, _Lefts], ...]]:
+        """The state after ``read``, and the tokens that may end there."""
+        self.n_moves += 1
         tails = [read[at:] for at in range(len(read))]
         after = next((tail for tail in tails if tail in self.openings), b"")
-        if after not in self.numbers:
-            self.numbers[after] = len(self.states)
-            self.states.append(after)
-        ending = tuple((len(tail), self.ranks[tail]) for tail in tails if tail in self.ranks)
-        self.moves[state << 8 | byte] = move = self.numbers[after], ending
-        return move
-
-    def encode(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:  # a piece that is a token stays whole, whatever the merges say
-            return [self.ranks[piece]]
-        if len(self.fits) > MAX_FITS:
-            self.fits.clear()
-        if len(self.moves) > MAX_MOVES:
-            self.moves.clear()
-        moves, fits = self.moves, self.fits
-        state, out = 0, []
-        # The last token of each prefix since the settled boundary, and its length; the first stands for that boundary.
-        last, lengths = [-1], [0]
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            end = len(last)
-            for length, token in move[1]:
-                if length > end:
-                    continue
-                key = last[end - length] << 20 | token
-                fit = fits.get(key)
-                if fit is None:
-                    fit = fits[key] = self._follows(key >> 20, token)
-                if fit:
-                    last.append(token)
-                    lengths.append(length)
-                    break
-            else:
-                raise ValueError("the merges give this prefix no tokens; is every byte a token?")
-            if end >= SETTLE:
-                out += self._settled(last, lengths, self.states[state])
-        return out + self._tokens(last, lengths, len(last) - 1)
-
-    @staticmethod
-    def _tokens(last: list[int], lengths: list[int], end: int) -> list[int]:
+        if after not in self.states:
+            self.states[after] = _State(self, after)
+        ending = []
+        for token in (self.ranks[tail] for tail in tails if tail in self.ranks):
+            if token not in self.fits:
+                self.fits[token] = _Lefts(self, token)
+            ending.append((self.lengths[token], token, self.fits[token]))
+        return self.states[after], tuple(ending)
+
+    def _forget(self) -> None:
+        """Bounds what has been worked out."""
+        if self.n_fits > MAX_FITS:
+            for lefts in self.fits.values():
+                lefts.clear()
+            self.n_fits = 0
+        if self.n_moves > MAX_MOVES:
+            for state in self.states.values():
+                state.clear()
+            self.n_moves = 0
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tokens of each piece. Pieces are read in order of their bytes, each from where it departs from the one
+        before."""
+        found: list[list[int]] = [[]] * len(pieces)
+        # The last token and the state of each prefix since the settled boundary, which the first stands for.
+        read, last, states = b"", [-1], [self.start]
+        for place in sorted(range(len(pieces)), key=pieces.__getitem__):
+            piece = pieces[place]
+            if piece in self.ranks:  # a piece that is a token stays whole, whatever the merges say
+                found[place] = [self.ranks[piece]]
+                continue
+            self._forget()
+            end = min(len(read), len(piece))
+            differ = int.from_bytes(read[:end]) ^ int.from_bytes(piece[:end])
+            end -= (differ.bit_length() + 7) // 8
+            del last[end + 1 :], states[end + 1 :]
+            state, out, settled = states[end], [], False
+            for byte in piece[end:]:
+                state, ending = state[byte]
+                end += 1
+                for length, token, lefts in ending:
+                    if length <= end and lefts[last[end - length]]:
+                        last.append(token)
+                        break
+                else:
+                    raise ValueError("the merges give this prefix no tokens; is every byte a token?")
+                states.append(state)
+                if end >= SETTLE:
+                    out += self._settled(last, state.read)
+                    end, settled = len(last) - 1, True
+            found[place] = out + self._tokens(last, end)
+            read = piece
+            if settled:
+                read, last, states = b"", [-1], [self.start]
+        return found
+
+    def _tokens(self, last: list[int], end: int) -> list[int]:
         """The tokens of the prefix of length ``end``."""
-        out = []
+        out, lengths = [], self.lengths
         while end:
-            out.append(last[end])
-            end -= lengths[end]
+            token = last[end]
+            out.append(token)
+            end -= lengths[token]
         return out[::-1]
 
-    def _settled(self, last: list[int], lengths: list[int], read: bytes) -> list[int]:
+    def _settled(self, last: list[int], read: bytes) -> list[int]:
         """Take off and return the tokens that every continuation shares: a later token begins at the end or where one
         has been opened, and all those prefixes agree up to some boundary."""
         count = len(last) - 1
@@ -126,10 +173,10 @@ class Transducer:
         while len(ends) > 1:  # walk the latest boundary back until all meet
             latest = max(ends)
             ends.remove(latest)
-            ends.add(latest - lengths[latest])
+            ends.add(latest - self.lengths[last[latest]])
         boundary = ends.pop()
-        out = self._tokens(last, lengths, boundary)
-        del last[:boundary], lengths[:boundary]
+        out = self._tokens(last, boundary)
+        del last[:boundary]
         return out
 
     def _edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
@@ -145,7 +192,7 @@ class Transducer:
             self.edges[token] = tuple(sides) if len(states[-1]) == 1 else None
         return self.edges[token]
 
-    def _follows(self, left: int, token: int) -> bool:
+    def follows(self, left: int, token: int) -> bool:
         """Whether the merges leave the two tokens as they are; left is -1 at the start of a piece.
 
         Parts come in order of rank, so the parts at the boundary are merged if their rank comes before the merges that
@@ -185,7 +232,7 @@ class Coder:
         return Transducer(self.ranks)  # decoding needs none
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        return [array("i", self.transducer.encode(piece)).tobytes() for piece in pieces]
+        return [array("i", ids).tobytes() for ids in self.transducer.encode(pieces)]
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         parts = [[piece.encode() for piece in self.split(chunk.decode())] for chunk in chunks]

@@ -89,3 +89,25 @@ def test_whole_texts_and_cut_ones_are_encoded_alike():
     texts = ["".join(random.choices("ab'd é\n\t\xa0\u3000日😀. 12", k=300)) for _ in range(50)] + ["", None]
     for one, other in zip(coder.encode_texts(texts), whole.encode_texts(texts)):
         assert one.tolist() == other.tolist()
+
+
+def test_pieces_that_begin_alike_are_read_from_where_they_depart(monkeypatch):
+    vocabulary, _, _ = CODERS[FILES[0]]
+    random.seed(5)
+    pieces = [b"".join(random.choices([b"th", b"an", b"er", b"e", "é".encode()], k=random.randint(1, 12))) for _ in range(2000)]
+    pieces += [b"", b"the", pieces[0] * 3, pieces[0] * 3 + b"q", pieces[0], b"\x00", b"\x00\x00qz", b"qz" * 40, b"qz" * 40 + b"x"]
+    ranks = bpe.Coder(vocabulary.content, vocabulary.pattern).ranks
+    alone = [bpe.Transducer(ranks)] * len(pieces)
+    expected = [transducer.encode([piece])[0] for transducer, piece in zip(alone, pieces)]
+    other = CODERS[FILES[0]][2]
+    assert expected == [other._encode_single_piece(piece) if piece else [] for piece in pieces]
+    taken = []
+    monkeypatch.setattr(bpe._State, "__getitem__", lambda self, byte: taken.append(byte) or dict.__getitem__(self, byte), raising=False)
+    for settle in (7, 512):
+        monkeypatch.setattr(bpe, "SETTLE", settle)
+        taken.clear()
+        assert bpe.Transducer(ranks).encode(pieces) == expected
+    assert len(taken) < 0.7 * sum(map(len, pieces))
+    monkeypatch.setattr(bpe, "MAX_FITS", 50)
+    monkeypatch.setattr(bpe, "MAX_MOVES", 50)
+    assert bpe.Transducer(ranks).encode(pieces) == expected
