@@ -116,7 +116,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     keys = keys[order]
     firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
-    return keys[firsts], np.add.reduceat(counts[order], firsts) if len(keys) else counts
+    sums = np.add.reduceat(counts[order], firsts, dtype=np.int64) if len(keys) else counts.astype(np.int64)
+    return keys[firsts], sums
 
 
 class _Merge:
@@ -128,7 +129,7 @@ class _Merge:
         self.names: list[pa.Array] = [pa.array([], pa.string())]
         self.hashes = [np.zeros(0, np.uint64)]
         self.docs = [np.zeros(0, np.int64)]
-        self.uses = [(np.zeros(0, np.int64),) * 3]
+        self.uses = [(np.zeros(0, np.int32),) * 3]
         self.seen = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -143,7 +144,8 @@ class _Merge:
             self.names.append(distinct)
             self.hashes.append(hashes(distinct))
             self.docs.append(np.bincount(place, minlength=len(distinct)))
-            self.uses.append((used // size, used % size + self.seen, counts))
+            uses = (used // size, used % size + self.seen, counts)
+            self.uses.append(tuple(values.astype(np.int32) for values in uses))
             self.seen += len(distinct)
         self.bytes += batch.column("text").nbytes
 
@@ -151,12 +153,16 @@ class _Merge:
         numbered = pa.concat_arrays(self.names).dictionary_encode()
         distinct, codes = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
         terms, docs = _summed(codes, np.concatenate(self.docs))
-        group, place, counts = (np.concatenate(values) for values in zip(*self.uses))
-        size = max(1, len(distinct))
-        used, counts = _summed(group * size + codes[place], counts)
-        group, place = used // size, used % size
         part_of = np.zeros(len(distinct), np.int32)
         part_of[codes] = np.concatenate(self.hashes) % np.uint64(parts)
+        size = max(1, len(distinct))
+        used = np.concatenate([group * np.int64(size) + codes[place] for group, place, _ in self.uses])
+        counts = np.concatenate([counts for _, _, counts in self.uses])
+        self.names, self.docs, self.hashes, self.uses = [], [], [], []
+        del numbered, codes
+        used, counts = _summed(used, counts)
+        group, place = used // size, used % size
+        del used
         pairs = [*self.groups, ("", "")]  # the last for rows that stand for documents
         for part in range(parts):
             own = terms[part_of[terms] == part]
